@@ -34,7 +34,7 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, **opti
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barsmith/{tag}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd").options(**options)
+    writer = df.write.options(**({"compression": "zstd"} | options))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -9,7 +9,7 @@ documents; a container is one row of a Parquet table that Spark's own committer
 writes, so a lost executor's containers are simply written again.
 
 Edge cases: a null or empty text has no ids but the end id; null doc_ids come
-first and repeated ones are ordered by text; an empty table gives an empty one;
+first and repeated ones in a fixed order; an empty table gives an empty one;
 further columns are ignored; a text of any length is one document of one
 container, cut into as many blocks as it needs.
 """
@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import small_batches, stage, table
+from .common import release, small_batches, stage, table
 
 #: log2 of the sum of all frequencies in a table.
 SCALE = 20
 #: Ids in a block, ids in a container before it closes, steps between checkpoints.
-BLOCK_IDS, CONTAINER_IDS, CHECKPOINT_STEPS = 1 << 18, 1 << 19, 64
-MAX_LANES, IDS_A_LANE = 1024, 64
+BLOCK_IDS, CONTAINER_IDS, CHECKPOINT_STEPS = 1 << 20, 1 << 20, 128
+MAX_LANES, IDS_A_LANE = 4096, 64
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIIIII")
 MAGIC = b"RNS1"
@@ -110,7 +110,8 @@ class Coder:
 
     def _slots(self) -> np.ndarray:
         if self.slots is None:
-            self.slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            kind = np.uint16 if len(self.freq) <= 1 << 16 else np.uint32
+            self.slots = np.repeat(np.arange(len(self.freq), dtype=kind), self.freq.astype(np.int64))
         return self.slots
 
     def decode(self, buf: memoryview | bytes, part: int | None = None) -> tuple[np.ndarray, int]:
@@ -178,20 +179,47 @@ def unpack_blocks(payload: bytes, freq: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def id_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(doc_id, n_ids, ids) of every document; ids: 16-bit (32-bit beyond 65535), compressed."""
+    kind = id_kind(path, end_id)
+
+    def each(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            for lo, ids, bounds in tokens.encode_texts(batch.column(1), path, end_id):
+                raw, cuts = memoryview(ids.astype(kind).tobytes()), (bounds * np.dtype(kind).itemsize).tolist()
+                blobs = [squeeze(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(blobs)), pa.array(np.diff(bounds)), pa.array(blobs, pa.binary())], ["doc_id", "n_ids", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_ids long, ids binary")
+
+
+def id_kind(path: str, end_id: int) -> str:
+    return "<u2" if max(tokens.vocabulary_size(path), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def _open(column: pa.Array, kind: str):
+    import zstandard
+
+    opened = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(opened(b), dtype=kind) if b else np.empty(0, kind) for b in column.to_pylist()]
+
+
+def id_counts(rows: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each id occurs in all documents, end ids included."""
 
     def count(batches):
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for _, ids, _ in tokens.encode_texts(batch.column(0), path, end_id):
-                part = np.bincount(ids, minlength=len(total))
-                part[: len(total)] += total
-                total = part
+            part = np.bincount(np.concatenate([np.empty(0, kind), *_open(batch.column(0), kind)]), minlength=len(total))
+            part[: len(total)] += total
+            total = part
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
 
-    return docs.select("text").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 CONTAINER = "shard int, container int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -200,14 +228,16 @@ CONTAINER = "shard int, container int, first_id long, n_ids long, doc_ids array<
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, partitions: int | None = None) -> tuple[DataFrame, bytes]:
     """Encode every document in ascending doc_id order; return the written table and its frequencies.
 
-    Ids are counted in a first pass and coded in a second; between them only the texts are
-    shuffled, once, by ranges of doc_id."""
+    Texts are tokenised once, into a staged table of compressed ids; these are counted there,
+    and coded after one shuffle by ranges of doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
     path = path or tokens.default_path()
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = np.zeros(1, dtype=np.int64)
-    rows = id_counts(docs, path, end_id).collect()  # as many as the vocabulary has ids at most
+    kind = id_kind(path, end_id)
+    tokenised = stage(id_rows(docs, path, end_id), "tokenised", compression="none")
+    rows = id_counts(tokenised, kind).collect()  # as many as the vocabulary has ids at most
     if rows:
         counts = np.zeros(max(r["id"] for r in rows) + 1, dtype=np.int64)
         counts[[r["id"] for r in rows]] = [r["n"] for r in rows]
@@ -223,7 +253,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, partiti
 
         def container():
             nonlocal number, first, ids, doc_ids, lengths
-            data = np.concatenate(ids)
+            data = np.concatenate(ids).astype(np.int64)
             row = [[shard], [number], [first], [len(data)], [doc_ids], [lengths], [pack_blocks(data, freq)]]
             number, first = number + 1, first + len(data)
             ids, doc_ids, lengths = [], [], []
@@ -232,25 +262,21 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, partiti
 
         held = 0
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for lo, got, bounds in tokens.encode_texts(batch.column(1), path, end_id):
-                # close a container after the document that fills it
-                from_, sizes = 0, np.diff(bounds)
-                for i, size in enumerate(sizes.tolist()):
-                    doc_ids.append(keys[lo + i])
-                    lengths.append(size)
-                    held += size
-                    if held >= CONTAINER_IDS:
-                        ids.append(got[bounds[from_] : bounds[i + 1]])
-                        yield container()
-                        held, from_ = 0, i + 1
-                if from_ < len(sizes):
-                    ids.append(got[bounds[from_] :])
+            for key, got in zip(batch.column(0).to_pylist(), _open(batch.column(1), kind)):
+                doc_ids.append(key)
+                lengths.append(len(got))
+                ids.append(got)
+                held += len(got)
+                if held >= CONTAINER_IDS:  # close a container after the document that fills it
+                    yield container()
+                    held = 0
         if doc_ids:
             yield container()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(code, CONTAINER), "ids"), freq
+    ordered = tokenised.select("doc_id", "ids").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "ids")
+    written = stage(ordered.mapInArrow(code, CONTAINER), "ids", compression="none")
+    release(tokenised)
+    return written, freq
 
 
 def read_ids(written: DataFrame, freq: bytes) -> DataFrame:

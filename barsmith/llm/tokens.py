@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Remembered chunks a worker holds at most; beyond that it starts again.
-CACHE_CHUNKS = 1_000_000
+#: Remembered chunks a worker holds: up to so many new ones beside the last so many old ones.
+CACHE_CHUNKS = 500_000
 #: Characters of text that are gathered at once.
 SLICE_CHARS = 8_000_000
 _TAIL = re.compile(r"([.,!?;:]+)$")
@@ -39,6 +39,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         n = self.tokenizer.get_vocab_size()
         last = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.ends_word = np.array([t.endswith("</w>") for t in last])
@@ -63,25 +64,29 @@ class ChunkEncoder:
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each chunk."""
-        cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-            cache[""] = b""
+        if len(self.cache) > CACHE_CHUNKS:
+            self.old, self.cache = self.cache, {"": b""}
+        cache, old = self.cache, self.old
         out = list(map(cache.get, chunks))
         pairs = []
         new: dict[str, None] = {}
         for i, known in enumerate(out):
             if known is None:
                 c = chunks[i]
+                if (known := old.get(c)) is not None:
+                    out[i] = cache[c] = known
+                    continue
                 head, tail = c, ""
                 if c.isascii():
                     head = c.lower()
                     if not head.isalpha() and (m := _TAIL.search(head)) and head[: m.start()].isalnum():
                         head, tail = head[: m.start()], m[1]
-                if head not in cache:
-                    new[head] = None
-                if tail not in cache:
-                    new[tail] = None
+                for part in (head, tail):
+                    if part not in cache:
+                        if (known := old.get(part)) is not None:
+                            cache[part] = known
+                        else:
+                            new[part] = None
                 pairs.append((i, head, tail))
         if new:
             self._learn(list(new))
@@ -95,6 +100,10 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def vocabulary_size(path: str) -> int:
+    return len(encoder(path).ends_word)
+
+
 def _slices(sizes: np.ndarray):
     """Runs of rows with about SLICE_CHARS bytes each."""
     ends = np.cumsum(sizes)
