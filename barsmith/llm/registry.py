@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import op2_rans, op3_packing
+from . import op2_rans, op3_packing, op6_rules, op8_quality, op9_count, op10_langid
 
 QUERIES = {
     "op2_rans": op2_rans.op2_rans,
     "op3_packing": op3_packing.op3_packing,
+    "op6_rules": op6_rules.op6_rules,
+    "op8_quality": op8_quality.op8_quality,
+    "op9_count": op9_count.op9_count,
+    "op10_langid": op10_langid.op10_langid,
 }
 ORACLES: dict[str, str] = {}
