@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import op2_rans, op3_packing, op6_rules, op8_quality, op9_count, op10_langid
+from . import op1_urls, op2_rans, op3_packing, op4_mixing, op6_rules, op8_quality, op9_count, op10_langid
 
 QUERIES = {
+    "op1_urls": op1_urls.op1_urls,
     "op2_rans": op2_rans.op2_rans,
     "op3_packing": op3_packing.op3_packing,
+    "op4_mixing": op4_mixing.op4_mixing,
     "op6_rules": op6_rules.op6_rules,
     "op8_quality": op8_quality.op8_quality,
     "op9_count": op9_count.op9_count,
     "op10_langid": op10_langid.op10_langid,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_urls": op1_urls.ORACLE,
+    "op4_mixing": op4_mixing.ORACLE,
+}
