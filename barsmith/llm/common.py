@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, as single texts can be very long."""
+    """Bound the rows of an Arrow batch, as single texts can be very long, and let Python workers
+    find this package where they see the driver's files (elsewhere it is shipped with --py-files)."""
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_urls, op2_rans, op3_packing, op4_mixing, op6_rules, op8_quality, op9_count, op10_langid
+from . import op1_urls, op2_rans, op3_packing, op4_mixing, op5_jaccard, op6_rules, op8_quality, op9_count, op10_langid
 
 QUERIES = {
     "op1_urls": op1_urls.op1_urls,
     "op2_rans": op2_rans.op2_rans,
     "op3_packing": op3_packing.op3_packing,
     "op4_mixing": op4_mixing.op4_mixing,
+    "op5_jaccard": op5_jaccard.op5_jaccard,
     "op6_rules": op6_rules.op6_rules,
     "op8_quality": op8_quality.op8_quality,
     "op9_count": op9_count.op9_count,
