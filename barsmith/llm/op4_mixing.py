@@ -78,22 +78,39 @@ class Mix:
     draws: DataFrame  # (source, block, epoch, partial, shard): one row a block that is drawn
     small: bool = False  # whether blocks and draws may be broadcast
 
-    def taken(self) -> DataFrame:
-        """(doc_id, source, size, copies, place) of every document, those never drawn included."""
-        hint = F.broadcast(self.blocks) if self.small else self.blocks
-        b = hint.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "copies", "part")
-        d = self.docs.join(b, F.expr("source <=> b_source and block = b_block"))
-        # only documents of the one partly drawn block of each source are ordered
+    def cuts(self) -> DataFrame:
+        """(source, block, cut): the last place that the partly drawn block of a source still gives, if any."""
+        some = self.blocks.where("part > 0").select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "part")  # a row a source
+        d = self.docs.join(F.broadcast(some), F.expr("source <=> b_source and block = b_block"))
         inside = Window.partitionBy("source", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        cut = d.where("part > 0").withColumn("extra", (2 * F.sum("size").over(inside) - F.col("size") <= 2 * F.col("part")).cast("long"))
-        whole = d.where("part = 0").withColumn("extra", F.lit(0).cast("long"))
-        return whole.unionByName(cut).withColumn("copies", F.col("copies") + F.col("extra")).drop("b_source", "b_block", "part")
+        d = d.withColumn("fits", 2 * F.sum("size").over(inside) - F.col("size") <= 2 * F.col("part")).where("fits")
+        return d.groupBy("source", "block").agg(F.max(F.struct("place", "doc_id")).alias("cut"))
+
+    def copies(self, docs: DataFrame) -> DataFrame:
+        """docs (with doc_id and source) with copies: how often the mix takes each, as the dealt draws give it.
+
+        Every row finds its block by its own hash, so no text moves."""
+        dealt = self.draws.where("not partial").groupBy("source", "block").agg(F.count("*").alias("dealt"))
+        dealt = dealt.select(F.col("source").alias("d_source"), F.col("block").alias("d_block"), "dealt")
+        cuts = self.cuts().select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), "cut")
+        b = self.blocks.join(dealt, F.expr("source <=> d_source and block = d_block"), "left").join(F.broadcast(cuts), F.expr("source <=> c_source and block = c_block"), "left")
+        b = b.select(F.struct(F.col("source").alias("source"), F.col("block").alias("block")).alias("mix_key"), F.coalesce("dealt", F.lit(0).cast("long")).alias("mix_dealt"), F.col("cut").alias("mix_cut"))
+        p = F.broadcast(self.plan.select(F.col("source").alias("mix_source"), F.col("n_blocks").alias("mix_blocks")))
+        own = [docs[c] for c in docs.columns]
+        h = hashed("doc_id")
+        d = docs.join(p, docs["source"].cast("string").eqNullSafe(F.col("mix_source")))
+        d = d.select(*own, F.struct(F.col("mix_source").alias("source"), (h % F.col("mix_blocks")).alias("block")).alias("mix_own"), F.struct((h / F.col("mix_blocks")).cast("long").alias("place"), F.col("doc_id")).alias("mix_place"))
+        d = d.join(F.broadcast(b) if self.small else b, F.expr("mix_own <=> mix_key"))
+        extra = F.coalesce(F.col("mix_place") <= F.col("mix_cut"), F.lit(False)).cast("long")
+        return d.select(*own, (F.col("mix_dealt") + extra).alias("copies"))
 
     def rows(self) -> DataFrame:
         """(shard, position, doc_id, source, size, epoch): the mixture, ordered within each shard by position."""
-        draws = F.broadcast(self.draws) if self.small else self.draws
-        r = draws.select(F.col("source").alias("r_source"), F.col("block").alias("r_block"), "epoch", "partial", "shard")
-        d = self.taken().join(r, F.expr("source <=> r_source and block = r_block")).where("not partial or extra = 1")
+        r = self.draws.select(F.col("source").alias("r_source"), F.col("block").alias("r_block"), "epoch", "partial", "shard")
+        d = self.docs.join(F.broadcast(r) if self.small else r, F.expr("source <=> r_source and block = r_block"))
+        c = self.cuts().select(F.col("source").alias("c_source"), F.col("block").alias("c_block"), "cut")
+        d = d.join(F.broadcast(c), F.expr("source <=> c_source and block = c_block"), "left")
+        d = d.where("not partial or coalesce(struct(place, doc_id) <= cut, false)")
         return d.select("shard", hashed("doc_id", "size", "epoch", F.lit("order")).alias("position"), "doc_id", "source", "size", "epoch")
 
 
@@ -175,18 +192,16 @@ def mix(docs: DataFrame, shards: int = 8, weights: tuple[float, ...] = WEIGHTS,
     return Mix(placed, plan, blocks, stage(draws, "draws"), small)
 
 
-def mixed_copies(m: Mix) -> DataFrame:
-    """(doc_id, source, size, copies, source_size, target) of every document, copies as the dealt draws give them."""
-    dealt = m.draws.where("not partial").groupBy("source", "block").agg(F.count("*").alias("dealt"))
-    seen = m.blocks.join(dealt.select(F.col("source").alias("d_source"), F.col("block").alias("d_block"), "dealt"), F.expr("source <=> d_source and block = d_block"), "left")
-    blocks = seen.select("source", "block", F.coalesce("dealt", F.lit(0).cast("long")).alias("copies"), "part")
-    rows = Mix(m.docs, m.plan, blocks, m.draws, m.small).taken()
-    p = F.broadcast(m.plan.select(F.col("source").alias("p_source"), "source_size", "target"))
-    return rows.join(p, F.expr("source <=> p_source")).select("doc_id", "source", "size", "copies", "source_size", "target")
+def repeat(docs: DataFrame, m: Mix) -> DataFrame:
+    """The rows of docs as often as the mix takes them, all columns kept."""
+    return m.copies(docs).where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("mix_copy")).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixed_copies(mix(table(spark, sf_dir, "documents")))
+    m = mix(table(spark, sf_dir, "documents"))
+    rows = m.copies(m.docs.select("doc_id", "source", "size"))
+    p = F.broadcast(m.plan.select(F.col("source").alias("p_source"), "source_size", "target"))
+    rows = rows.join(p, F.expr("source <=> p_source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

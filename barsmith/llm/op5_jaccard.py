@@ -13,9 +13,9 @@
    near copies costs about a pair a copy, not all pairs, and yet no link between
    two components is missed: every candidate pair is either tried or lies within
    one component already.
-4. A candidate pair passes the length filter and the positional filter in the
-   join, then the suffix filter (sizes of 16 hash ranges of both sets bound their
-   overlap), and is verified once on the sets themselves.
+4. A candidate pair passes the length filter and the positional filter where the
+   rows meet, then the suffix filter (how many shingles either set has in each of
+   256 hash ranges bounds their overlap), and is verified once on the sets.
 5. Components come from large and small stars; nothing is collected.
 
 Edge cases: null, empty and blank texts have no shingle and link with nothing;
@@ -44,9 +44,9 @@ from .words import slices
 SKETCH, CHUNK = 20, 1 << 16
 #: log2 of the bits that tell which documents' texts are read again.
 FILTER_BITS = 23
-RANGES = 16
-#: Rounds with one pairing row a shingle, before the round with all.
-STAR_ROUNDS = 3
+RANGES = 256
+#: Rounds with one pairing row a shingle, before the round with all; rows of a shingle that are paired at once there.
+STAR_ROUNDS, BLOCK = 2, 2048
 A, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -84,9 +84,28 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def least_overlap(n: Column | int, m: Column | int, num: int, den: int) -> Column | int:
-    """Common shingles that two sets of n and m need: ceil(t / (1 + t) * (n + m))."""
-    return F.ceil((n + m) * num / F.lit(float(num + den)) - F.lit(1e-9))
+def ranges(s: np.ndarray) -> bytes | None:
+    """How many shingles lie in each range of hashes; None, which filters nothing, where a byte cannot say."""
+    found = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return found.astype(np.uint8).tobytes() if found.max() <= 255 else None
+
+
+def may_link(a, b, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether pairs pass the suffix filter; a, b: binary columns of ranges, n, m: set sizes."""
+    out = np.ones(len(n), dtype=bool)
+    none = b"\xff" * RANGES
+    for lo in range(0, len(n), 20_000):
+        x = np.frombuffer(b"".join(v or none for v in a[lo : lo + 20_000].to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
+        y = np.frombuffer(b"".join(v or none for v in b[lo : lo + 20_000].to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
+        some, other = n[lo : lo + 20_000], m[lo : lo + 20_000]
+        unknown = (x == 255).all(axis=1) | (y == 255).all(axis=1)
+        out[lo : lo + 20_000] = unknown | (np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(some, other, num, den))
+    return out
+
+
+def least_overlap(n, m, num: int, den: int):
+    """Common shingles that sets of n and m need at least: ceil(t / (1 + t) * (n + m))."""
+    return (num * (n + m) + num + den - 1) // (num + den)
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
@@ -97,25 +116,25 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
 
         counts = np.zeros(1 << SKETCH, dtype=np.int64)
         for batch in batches:
-            cls, sizes, ranges = [], [], []
+            cls, sizes, spread = [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
-                ranges.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=RANGES).tolist())
+                spread.append(ranges(s))
                 np.add.at(counts, (s & np.uint64((1 << SKETCH) - 1)).astype(np.int64), 1)
             n = len(sizes)
-            yield _profile_batch(batch.column(0), cls, sizes, ranges, [None] * n, [None] * n)
+            yield _profile_batch(batch.column(0), cls, sizes, spread, [None] * n, [None] * n)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         chunks = [(i, squeeze(counts[i * CHUNK : (i + 1) * CHUNK].astype("<u4").tobytes())) for i in range((1 << SKETCH) // CHUNK)]
         none = [None] * len(chunks)
         yield _profile_batch(pa.nulls(len(chunks), pa.int64()), none, none, none, [c for c, _ in chunks], [b for _, b in chunks])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, cls long, n long, ranges array<int>, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, cls long, n long, ranges binary, chunk int, counts binary")
 
 
-def _profile_batch(ids, cls, sizes, ranges, chunk, counts):
+def _profile_batch(ids, cls, sizes, spread, chunk, counts):
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())],
+        [ids, pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spread, pa.binary()), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())],
         ["doc_id", "cls", "n", "ranges", "chunk", "counts"],
     )
 
@@ -178,7 +197,59 @@ def _possible(n: str, pos: str, m: str, mpos: str, num: int, den: int) -> Column
     a, b = F.col(n).cast("long"), F.col(m).cast("long")
     lengths = (F.least(a, b) * den >= F.greatest(a, b) * num)
     room = 1 + F.least(a - F.col(pos), b - F.col(mpos)) - 1 + F.least(F.col(pos), F.col(mpos))
-    return lengths & (room >= least_overlap(a, b, num, den))
+    return lengths & (room * (num + den) >= (a + b) * num)
+
+
+def _all_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(a, b, n, m): pairs of rows with one token and different roots that pass all filters.
+
+    rows: (token, cls, n, pos, root, ranges).  A token's rows are dealt to blocks, and each pair of blocks is one
+    piece of work of bounded size, in which only the pairs that pass are ever made rows."""
+    counts = rows.groupBy("token").agg(F.count("*").alias("rows"))
+    dealt = rows.join(counts, "token").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    dealt = dealt.withColumn("side", F.explode(sides)).select("token", F.col("side.i").alias("i"), F.col("side.j").alias("j"), "own", "cls", "n", "pos", "root", "ranges")
+
+    def pairs_of(t: pa.Table):
+        n, pos, root, cls, own = (t.column(c).to_numpy() for c in ("n", "pos", "root", "cls", "own"))
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = (np.arange(len(n)), np.arange(len(n))) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        for lo in range(0, len(left), 256):
+            x, y = left[lo : lo + 256, None], right[None, :]
+            ok = root[x] != root[y]
+            if i == j:
+                ok &= x < y
+            ok &= np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+            ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) + np.minimum(pos[x], pos[y]) >= least_overlap(n[x], n[y], num, den)
+            p, q = np.nonzero(ok)
+            if len(p):
+                a, b = left[lo + p], right[q]
+                sig = t.column("ranges").combine_chunks()
+                keep = may_link(sig.take(pa.array(a)), sig.take(pa.array(b)), n[a], n[b], num, den)
+                a, b = a[keep], b[keep]
+                swap = cls[a] > cls[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(n[a].astype(np.int32)), pa.array(n[b].astype(np.int32))], ["a", "b", "n", "m"])
+
+    def each(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            t = pa.Table.from_batches(held).combine_chunks()
+            keys = [t.column(c).to_numpy() for c in ("token", "i", "j")]
+            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            cuts = [0, *new.tolist()]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a > 1:
+                    yield from pairs_of(t.slice(a, b - a))
+            held = t.slice(cuts[-1]).to_batches()  # its group may go on
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held).combine_chunks())
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
+    return ordered.mapInArrow(each, "a long, b long, n int, m int").distinct()
 
 
 class _Verifier:
@@ -191,11 +262,16 @@ class _Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b, n, m) of distinct classes that link, as (u, v)."""
-        num, den, k = self.num, self.den, self.k
+        num, den = self.num, self.den
         side = lambda c: self.classes.select(F.col("cls").alias(c), F.col("ranges").alias(f"r_{c}"), F.col("doc_id").alias(f"d_{c}"))
-        shared = F.aggregate(F.zip_with("r_a", "r_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        left = pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= least_overlap(F.col("n"), F.col("m"), num, den))
-        left = stage(left.select("a", "b", "d_a", "d_b"), "candidates")
+
+        def likely(batches):
+            for batch in batches:
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+                yield batch.select(["a", "b", "d_a", "d_b"]).filter(pa.array(may_link(batch.column(4), batch.column(5), n, m, num, den)))
+
+        left = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n", "m", "r_a", "r_b", "d_a", "d_b")
+        left = stage(left.mapInArrow(likely, "a long, b long, d_a long, d_b long"), "candidates")
         needed = left.select(F.col("a").alias("cls"), F.col("d_a").alias("doc_id")).union(left.select("b", "d_b")).distinct()
         sets = self._sets(needed)
         bs, as_ = sets.select(F.col("cls").alias("b"), F.col("s").alias("s_b")), sets.select(F.col("cls").alias("a"), F.col("s").alias("s_a"))
@@ -267,6 +343,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, star_rounds
     alike = Window.partitionBy("token")
     rows = rows.withColumn("lo", F.min("cls").over(alike)).withColumn("hi", F.max("cls").over(alike)).where("lo <> hi")
     rows = stage(rows.select("token", "cls", "n", "pos").distinct(), "shared")
+    staged = [both, rows]
     verifier = _Verifier(docs, profiles, k, num, den)
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -276,38 +353,45 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, star_rounds
         if turn:  # shingles whose rows are all in one component have nothing left to find
             open_ = at.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
             at = stage(at.join(open_, "token", "left_semi"), "open")
+            staged.append(at)
         one = at.select("token", F.col("cls").alias("a"), F.col("n").alias("n"), F.col("pos").alias("pos"), F.col("root").alias("root_a"))
         two = at.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("root").alias("root_b"))
-        if turn < star_rounds:
+        if turn == star_rounds:
+            at = at.join(verifier.classes.select("cls", "ranges"), "cls")
+            pairs = _all_pairs(at, num, den, BLOCK)
+        else:
             key = F.struct("pos", "a") if turn == 0 else F.struct(F.xxhash64("root_a", F.lit(turn)), "pos", "a")
             head = one.groupBy("token").agg(F.min(F.struct(key.alias("key"), "a", "n", "pos", "root_a")).alias("h"))
             one = head.select("token", "h.a", "h.n", "h.pos", "h.root_a")
-        pairs = two.join(one, "token").where("root_a <> root_b").where(_possible("n", "pos", "m", "mpos", num, den))
-        if turn == star_rounds:
-            pairs = pairs.where("a < b")
-        pairs = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("a") < F.col("b"), F.col("m")).otherwise(F.col("n")).alias("m"))
-        pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m").distinct()
+            pairs = two.join(one, "token").where("root_a <> root_b").where(_possible("n", "pos", "m", "mpos", num, den))
+            first = F.col("a") < F.col("b")
+            turned = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("m")]
+            pairs = pairs.select(*turned).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
+        staged.append(pairs)
         if pairs.isEmpty():
-            if turn == 0 or turn == star_rounds:
-                break
             continue
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
         found = verifier.links(pairs)
         links = found if links is None else links.union(found)
         roots = stage(components(links), "roots")
+        staged += [found, roots]
     if roots is None:
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
     named = profiles.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls").alias("root"))
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(first, "root", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = stage(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "linked")
+    release(*staged, verifier.classes)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those whose group has a document with a smaller doc_id; rows without an id or without words stay."""
+    """docs without those whose group has a document with a smaller doc_id; rows without an id or without words stay.
+
+    Rows that repeat a doc_id count as one document."""
     found = link(docs, k, num, den)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")

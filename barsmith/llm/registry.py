@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_urls, op2_rans, op3_packing, op4_mixing, op5_jaccard, op6_rules, op8_quality, op9_count, op10_langid
+from . import op1_urls, op2_rans, op3_packing, op4_mixing, op5_jaccard, op6_rules, op7_neighbours, op8_quality, op9_count, op10_langid
 
 QUERIES = {
     "op1_urls": op1_urls.op1_urls,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": op4_mixing.op4_mixing,
     "op5_jaccard": op5_jaccard.op5_jaccard,
     "op6_rules": op6_rules.op6_rules,
+    "op7_neighbours": op7_neighbours.op7_neighbours,
     "op8_quality": op8_quality.op8_quality,
     "op9_count": op9_count.op9_count,
     "op10_langid": op10_langid.op10_langid,
