@@ -99,10 +99,11 @@ class Mix:
         own = [docs[c] for c in docs.columns]
         h = hashed("doc_id")
         d = docs.join(p, docs["source"].cast("string").eqNullSafe(F.col("mix_source")))
-        d = d.select(*own, F.struct(F.col("mix_source").alias("source"), (h % F.col("mix_blocks")).alias("block")).alias("mix_own"), F.struct((h / F.col("mix_blocks")).cast("long").alias("place"), F.col("doc_id")).alias("mix_place"))
+        d = d.select(*own, h.alias("mix_hash"), "mix_source", "mix_blocks")
+        d = d.select(*docs.columns, F.expr("struct(mix_source as source, mix_hash % mix_blocks as block)").alias("mix_own"), F.expr("struct(mix_hash div mix_blocks as place, doc_id)").alias("mix_place"))
         d = d.join(F.broadcast(b) if self.small else b, F.expr("mix_own <=> mix_key"))
         extra = F.coalesce(F.col("mix_place") <= F.col("mix_cut"), F.lit(False)).cast("long")
-        return d.select(*own, (F.col("mix_dealt") + extra).alias("copies"))
+        return d.select(*docs.columns, (F.col("mix_dealt") + extra).alias("copies"))
 
     def rows(self) -> DataFrame:
         """(shard, position, doc_id, source, size, epoch): the mixture, ordered within each shard by position."""
@@ -169,7 +170,7 @@ def mix(docs: DataFrame, shards: int = 8, weights: tuple[float, ...] = WEIGHTS,
     plan = stage(plan.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block_words))).cast("long")), "plan")
     p = F.broadcast(plan.select(F.col("source").alias("p_source"), "n_blocks"))  # a row a source
     placed = base.join(p, F.expr("source <=> p_source")).withColumn("place", hashed("doc_id"))
-    placed = stage(placed.select("doc_id", "source", "size", (F.col("place") % F.col("n_blocks")).alias("block"), (F.col("place") / F.col("n_blocks")).cast("long").alias("place")), "placed")
+    placed = stage(placed.select("doc_id", "source", "size", (F.col("place") % F.col("n_blocks")).alias("block"), F.expr("place div n_blocks").alias("place")), "placed")
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("words"))
     turn = Window.partitionBy("source").orderBy("key", "block")
     blocks = blocks.withColumn("key", hashed("source", "block")).withColumn("turn", F.row_number().over(turn) - 1).withColumn("until", F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, 0)))
