@@ -1,6 +1,194 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barsmith.functions.dialect import DATE, KEY
+from barsmith.operators import factor, period, prepare, rolling, screen, stocks
+from barsmith.plans import evaluation, expression, features
+from barsmith.plans.staged import apply, needed, rounded, select, to_sql
+from barsmith.sources import bars
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _columns(names, digits: int = 4, keys=(KEY, DATE)) -> dict:
+    return {**{k: k for k in keys}, **{n: rounded(n, digits) for n in names}}
+
+
+# --- bars and panels ---------------------------------------------------------------------------------------------
+
+for _kind in ("events", "lineitem"):
+    _names = ["open", "high", "low", "close", "vol", "amount", "log_return"]
+    query(f"panel_{_kind}", to_sql(bars.panel_sql(_kind), "panel", [], _columns(_names, 3)))(lambda s, d, k=_kind, n=_names: select(bars.panel(s, d, k), _columns(n, 3)))
+
+# --- rolling indicators ------------------------------------------------------------------------------------------
+
+
+def _rolling(name: str, kind: str, window: int, metrics: tuple[str, ...], digits: int = 3) -> None:
+    stages, columns = needed(rolling.stages(window), metrics), _columns(metrics, digits)
+    query(name, to_sql(bars.panel_sql(kind), "panel", stages, columns))(lambda s, d: select(apply(bars.panel(s, d, kind), stages), columns))
+
+
+_rolling("rolling_core", "events", 5, ("CloseMA", "PriceSigma", "BollUp_2", "RSI"))
+FAMILIES = {
+    "bands": ("CloseMA", "PriceSigma", "CloseMADiff", *(f"Boll{x}_{k}" for x in ("Up", "UpDiff", "Do", "DoDiff", "UpDo") for k in (2, 3))),
+    "range": ("L", "H", "RSV", "VolMA", "VolMADiff", "RSI", "MTM", *(f"MTMMA{x}_{k}" for x in ("", "Diff") for k in (3, 6, 10))),
+    "volume": ("OBV", "MAOBV", "MAOBVDiff", "PVT", "MAPVT", "MAPVTDiff", "VR", *(f"MAVR{x}_{k}" for x in ("", "Diff") for k in (3, 6, 12))),
+    "mood": ("PSY", *(f"MAPSY{x}_{k}" for x in ("", "Diff") for k in (3, 6)), "CCI", "CR", *(f"MACR{x}_{n}" for x in ("", "Diff") for n in ("10_5", "20_9", "40_17", "62_28"))),
+    "energy": ("AR", "BR", "BRARDiff", "ARDiff_40", "ARDiff_180", "BRDiff_400", "BRDiff_40", "BIAS", *(f"MABIAS{x}_{n}" for x in ("", "Diff") for n in (5, 10))),
+    "trend": ("TR", "PDI", "MDI", "PDIMDIDiff", "ADX_6", "ADXR_6_6", "ADXR_6_14", "ADXRDiff_6_6", "ADXRDiff_6_14", "DKX", "DKXDiff", *(f"MADKX{x}_{n}" for x in ("", "Diff") for n in (5, 10, 15))),
+}
+for _name, _metrics in FAMILIES.items():
+    _rolling(f"rolling_{_name}_5", "events", 5, _metrics)
+    _rolling(f"rolling_{_name}_20", "lineitem", 20, _metrics)
+
+_STATE = ("EMA", "EMADiff", "TRIX", "MATRIX_3", "MATRIXDiff_3", "MATRIX_5", "MATRIXDiff_5", "KDJ_K_3", "KDJ_D_3", "KDJ_J_3", "KDJ_KD_3", "KDJ_KJ_3", "KDJ_DJ_3")
+
+
+def _state_sql(window: int) -> str:
+    """The lines with state as folds over all values so far, for checking on short panels."""
+    alpha, far = 2 / (window + 1), f"PARTITION BY {KEY} ORDER BY {DATE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    ema = lambda x: f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) OVER ({far}), lambda a, v: {alpha!r} * v + (1 - {alpha!r}) * a)"
+    line = lambda x: f"list_reduce(list_prepend(50.0, coalesce(list({x}) FILTER (WHERE {x} IS NOT NULL AND row_no > 1 AND RSV IS NOT NULL) OVER ({far}), [])), lambda a, v: v / 3 + a * (1 - 1 / 3.0))"
+    extra = [{"EMA": ema("close"), "KDJ_K_3": line("RSV")}, {"ema_two": ema("EMA"), "KDJ_D_3": line("KDJ_K_3")}, {"ema_three": ema("ema_two")}]
+    extra += [{"ema_prev": f"lag(ema_three, 1) OVER (PARTITION BY {KEY} ORDER BY {DATE})"}, {"TRIX": "(ema_three - ema_prev) / nullif(ema_prev, 0) * 100"}]
+    return to_sql(bars.panel_sql(), "panel", needed(rolling.stages(window), ["RSV", "row_no"]) + extra + rolling.state_stages(), _columns(_STATE, 3))
+
+
+query("rolling_state_5", _state_sql(5))(lambda s, d: select(rolling.with_state(bars.panel(s, d), 5), _columns(_STATE, 3)))
+
+
+@query("rolling_long")
+def _rolling_long(spark, sf_dir):
+    return rolling.long_table(bars.panel(spark, sf_dir), ["CloseMA", "RSI", "PSY", "OBV"], (3, 5, 10)).selectExpr(KEY, DATE, "metric", "window", "floor(CAST(value AS DOUBLE) * 1000 + 0.500001) / CAST(1000 AS DOUBLE) AS value")
+
+
+# --- period metrics ----------------------------------------------------------------------------------------------
+
+for _period, _kind in (("5d", "events"), ("10d", "events"), ("2w", "events"), ("5m", "lineitem"), ("1y", "lineitem"), ("mtd", "lineitem")):
+    _sql = period.period_metrics_sql(bars.panel_sql(_kind), _period, digits=3)
+
+    def _run(s, d, p=_period, k=_kind):
+        out = period.period_metrics(bars.panel(s, d, k), p)
+        return out.selectExpr(KEY, period.END, *(f"floor(CAST({m} AS DOUBLE) * 1000 + 0.500001) / CAST(1000 AS DOUBLE) AS {m}" for m in period.METRICS))
+
+    query(f"period_{_period}", _sql)(_run)
+
+
+@query("period_hurst_5m")
+def _hurst(spark, sf_dir):
+    return period.hurst(bars.panel(spark, sf_dir, "lineitem"), "5m").selectExpr(KEY, period.END, "floor(CAST(HurstExponent AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS HurstExponent")
+
+
+# --- factor operators --------------------------------------------------------------------------------------------
+
+_X, _Y = {"var": "close"}, {"var": "vol"}
+_R = {"var": "log_return"}
+_call = lambda f, *a, **k: {"func": f, "args": {**dict(zip(_parameters(f), a)), **k}}
+
+
+def _parameters(name: str) -> list[str]:
+    import inspect
+
+    return list(inspect.signature(factor.OPERATORS[name]).parameters)[1:]
+
+
+FACTORS = {
+    "arithmetic": {"add": _call("add", _X, _Y), "subtract": _call("subtract", _X, _Y), "multiply": _call("multiply", _X, _R), "divide": _call("divide", _X, _Y), "log": _call("log", _X), "abs_val": _call("abs_val", _R), "power": _call("power", _R, 2), "sqrt": _call("sqrt", _R)},
+    "cumulative": {"cumulative_sum": _call("cumulative_sum", _R), "cumulative_product": _call("cumulative_product", _R), "cumulative_max": _call("cumulative_max", _X), "cumulative_min": _call("cumulative_min", _X)},
+    "windows": {f: _call(f, _X if f not in ("rolling_product", "downside_deviation") else _R, 5) for f in ("rolling_sum", "rolling_product", "rolling_max", "rolling_min", "rolling_std", "moving_average", "ts_mean", "ts_std", "downside_deviation", "ts_delay", "ts_delta")},
+    "moments": {"rolling_skew": _call("rolling_skew", _R, 6), "rolling_kurt": _call("rolling_kurt", _R, 6), "rolling_quantile": _call("rolling_quantile", _X, 6, 0.3), "ts_rank": _call("ts_rank", _X, 6)},
+    "pairs": {"rolling_corr": _call("rolling_corr", _R, {"var": "benchmark"}, 6), "rolling_cov": _call("rolling_cov", _R, {"var": "benchmark"}, 6), "alpha": _call("alpha", _R, {"var": "benchmark"}, 6), "beta": _call("beta", _R, {"var": "benchmark"}, 6), "excess_return": _call("excess_return", _R, {"var": "benchmark"}), "correlation": _call("correlation", _R, {"var": "benchmark"}), "covariance": _call("covariance", _R, {"var": "benchmark"})},
+    "statistics": {**{f: _call(f, _X) for f in ("mean", "std_dev", "variance", "max_val", "min_val", "median")}, "mean_across": _call("mean", _X, axis=1), "variance_2": _call("variance", _X, 0, 2), "quantile": _call("quantile", _X, 0.25)},
+    "ratios": {f: _call(f, _R, 6) for f in ("sharpe_ratio", "sortino_ratio", "calmar_ratio", "rolling_max_drawdown")},
+    "decay": {"exponential_moving_average": _call("exponential_moving_average", _X, 5), "time_series_decay": _call("time_series_decay", _R, 3)},
+    "cross_section": {"neutralize": _call("neutralize", _R, _Y), "winsorize": _call("winsorize", _X), "winsorize_across": _call("winsorize", _X, 0.05, 0.95, 1), "clip": _call("clip", _R, -0.5, 0.5), "cross_sectional_rank": _call("cross_sectional_rank", _R), "cross_sectional_scale": _call("cross_sectional_scale", _R)},
+    "filling": {f"fill_{m}": _call("fill_na", _X, m) for m in ("ffill", "bfill", "zero", "mean", "median")},
+    "nested": {"nested": _call("divide", _call("ts_delta", _call("moving_average", _X, 3.0), 2), _call("rolling_std", _call("fill_na", _R, "zero"), 5))},
+}
+_VARIABLES = {KEY, DATE, "open", "high", "low", "close", "vol", "amount", "log_return", "benchmark"}
+_WITH_BENCHMARK = bars.panel_sql() + f", marked AS (SELECT *, sum(log_return) OVER (PARTITION BY {DATE}) / (SELECT count(DISTINCT {KEY}) FROM panel) AS benchmark FROM panel)"
+
+
+def _marked(spark, sf_dir):
+    p = bars.panel(spark, sf_dir)
+    return prepare.with_benchmark(p, prepare.equal_weight_benchmark(p))
+
+
+def _factors(trees: dict) -> tuple[factor.FactorPlan, dict[str, str]]:
+    plan, out = factor.FactorPlan(), {}
+    for name, tree in trees.items():
+        out[name] = expression.compile_node(plan, expression.normalise(tree), _VARIABLES)
+    return plan, out
+
+
+for _name, _trees in FACTORS.items():
+    _plan, _out = _factors(_trees)
+    _sql = _plan.sql(_WITH_BENCHMARK, "marked", [KEY, DATE, *(f'{rounded(c)} AS "{n}"' for n, c in _out.items())])
+
+    def _run_factors(s, d, trees=_trees):
+        plan, out = _factors(trees)
+        return plan.apply(_marked(s, d)).selectExpr(KEY, DATE, *(f"{rounded(c)} AS `{n}`" for n, c in out.items()))
+
+    query(f"factor_{_name}", _sql)(_run_factors)
+
+# --- factor evaluation -------------------------------------------------------------------------------------------
+
+_TREE = _call("ts_delta", _call("moving_average", _X, 3), 2)
+_EVAL = {"factor": _TREE}
+_plan, _out = _factors(_EVAL)
+_EVAL_SQL = _plan.sql(_WITH_BENCHMARK, "marked", ["*", f"{_out['factor']} AS factor", f"{evaluation.forward_returns()} AS forward"])
+_EVAL_BASE = f"evaluated AS ({_EVAL_SQL})"
+
+
+def _evaluated(spark, sf_dir):
+    p = _marked(spark, sf_dir)
+    return expression.factor_values(p, _TREE).selectExpr(KEY, DATE, "factor", f"{evaluation.forward_returns()} AS forward")
+
+
+for _ranked in (False, True):
+    _n = "rank_ic" if _ranked else "ic"
+    _daily = evaluation.daily_ic_sql(_EVAL_BASE, "evaluated", _ranked)
+    query(f"eval_{_n}", f"SELECT {DATE}, floor(CAST(ic AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS ic, n FROM ({_daily})")(lambda s, d, r=_ranked: evaluation.daily_ic(_evaluated(s, d), r).selectExpr(DATE, "floor(CAST(ic AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS ic", "n"))
+    _summary = ", ".join(f"floor(CAST({e} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}" if n != "n_dates" else f"{e} AS {n}" for n, e in evaluation.SUMMARY.items())
+    query(f"eval_{_n}_summary", f"SELECT {_summary} FROM ({_daily})")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr(*(f"floor(CAST({n} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}" if n != "n_dates" else n for n in evaluation.SUMMARY)))
+query("eval_turnover", evaluation.turnover_sql(_EVAL_BASE, "evaluated"))(lambda s, d: evaluation.turnover(_evaluated(s, d)).selectExpr(DATE, "floor(CAST(turnover AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS turnover"))
+query("eval_groups", evaluation.groups_sql(_EVAL_BASE, "evaluated", "groups"))(lambda s, d: evaluation.group_returns(_evaluated(s, d)).selectExpr("bucket", "floor(CAST(mean_return AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS mean_return", "n"))
+query("eval_long_short", evaluation.groups_sql(_EVAL_BASE, "evaluated", "spread"))(lambda s, d: evaluation.long_short(_evaluated(s, d)).selectExpr(DATE, "floor(CAST(spread AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS spread"))
+
+
+@query("eval_report")
+def _report(spark, sf_dir):
+    return spark.createDataFrame([(evaluation.report(_evaluated(spark, sf_dir)),)], "report string")
+
+
+# --- screens, preparation, features, stocks ----------------------------------------------------------------------
+
+for _module in (screen, prepare, features, stocks):
+    for _name, (_f, _sql) in _module.QUERIES.items():
+        query(_name, _sql)(_f)
+
+
+def explain(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The formatted physical plan of a query."""
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def count_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return QUERIES[name](spark, sf_dir).agg(F.count("*")).first()[0]
