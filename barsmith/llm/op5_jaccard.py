@@ -40,13 +40,15 @@ from .common import release, small_batches, stage, table
 from .components import components
 from .words import slices
 
-#: log2 of the counters in the sketch, and counters in one row of it: 4 MB in all, whatever the input.
-SKETCH, CHUNK = 20, 1 << 16
+#: log2 of the counters in the sketch, and counters in one row of it: 32 MB in all, whatever the input.
+SKETCH, CHUNK = 23, 1 << 17
 #: log2 of the bits that tell which documents' texts are read again.
 FILTER_BITS = 23
 RANGES = 256
 #: Rounds with one pairing row a shingle, before the round with all; rows of a shingle that are paired at once there.
 STAR_ROUNDS, BLOCK = 2, 2048
+#: Rows of one shingle up to which such groups are paired side by side.
+SMALL = 8
 A, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -114,7 +116,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
     def each(batches):
         import zstandard
 
-        counts = np.zeros(1 << SKETCH, dtype=np.int64)
+        counts = np.zeros(1 << SKETCH, dtype=np.uint32)
         for batch in batches:
             cls, sizes, spread = [], [], []
             for s in shingle_sets(batch.column(1), k):
@@ -156,7 +158,7 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
     parts = rows.where("chunk is not null").select("chunk", "counts")
-    got = parts.repartition((1 << SKETCH) // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").collect()  # 4 MB
+    got = parts.repartition((1 << SKETCH) // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").collect()  # 32 MB
     out = np.zeros(1 << SKETCH, dtype=np.uint32)
     for r in got:
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype="<u4")
@@ -210,42 +212,55 @@ def _all_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
     dealt = dealt.withColumn("side", F.explode(sides)).select("token", F.col("side.i").alias("i"), F.col("side.j").alias("j"), "own", "cls", "n", "pos", "root", "ranges")
 
-    def pairs_of(t: pa.Table):
-        n, pos, root, cls, own = (t.column(c).to_numpy() for c in ("n", "pos", "root", "cls", "own"))
-        n, pos = n.astype(np.int64), pos.astype(np.int64)
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right = (np.arange(len(n)), np.arange(len(n))) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        for lo in range(0, len(left), 256):
-            x, y = left[lo : lo + 256, None], right[None, :]
-            ok = root[x] != root[y]
-            if i == j:
-                ok &= x < y
-            ok &= np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
-            ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) + np.minimum(pos[x], pos[y]) >= least_overlap(n[x], n[y], num, den)
-            p, q = np.nonzero(ok)
-            if len(p):
-                a, b = left[lo + p], right[q]
-                sig = t.column("ranges").combine_chunks()
-                keep = may_link(sig.take(pa.array(a)), sig.take(pa.array(b)), n[a], n[b], num, den)
-                a, b = a[keep], b[keep]
-                swap = cls[a] > cls[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(n[a].astype(np.int32)), pa.array(n[b].astype(np.int32))], ["a", "b", "n", "m"])
+    def made(t: dict, a: np.ndarray, b: np.ndarray):
+        """The pairs of rows a and b that pass all filters, if any."""
+        root, n, pos, cls = t["root"], t["n"], t["pos"], t["cls"]
+        ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
+        ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b]) >= least_overlap(n[a], n[b], num, den)
+        a, b = a[ok], b[ok]
+        if len(a):
+            keep = may_link(t["ranges"].take(pa.array(a)), t["ranges"].take(pa.array(b)), n[a], n[b], num, den)
+            a, b = a[keep], b[keep]
+        if len(a):
+            swap = cls[a] > cls[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b]), pa.array(n[a].astype(np.int32)), pa.array(n[b].astype(np.int32))], ["a", "b", "n", "m"])
 
     def each(batches):
         held: list[pa.RecordBatch] = []
+
+        def work(table_: pa.Table, starts: np.ndarray, ends: np.ndarray):
+            t = {c: table_.column(c).to_numpy() for c in ("i", "j", "own", "cls", "root")} | {c: table_.column(c).to_numpy().astype(np.int64) for c in ("n", "pos")}
+            t["ranges"] = table_.column("ranges").combine_chunks()
+            sizes = ends - starts
+            few = sizes <= SMALL
+            for size in range(2, SMALL + 1):  # groups of one small size all at once
+                at = starts[sizes == size]
+                for x in range(size - 1 if len(at) else 0):
+                    for y in range(x + 1, size):
+                        side = (t["i"][at] == t["j"][at]) | (t["own"][at + x] != t["own"][at + y])
+                        yield from made(t, at[side] + x, at[side] + y)
+            for lo, hi in zip(starts[~few].tolist(), ends[~few].tolist()):
+                rows_ = np.arange(lo, hi)
+                own, i, j = t["own"][lo:hi], t["i"][lo], t["j"][lo]
+                left, right = (rows_, rows_) if i == j else (rows_[own == i], rows_[own == j])
+                for k in range(0, len(left), 256):
+                    x, y = np.repeat(left[k : k + 256], len(right)), np.tile(right, len(left[k : k + 256]))
+                    if i == j:
+                        x, y = x[x < y], y[x < y]
+                    yield from made(t, x, y)
+
         for batch in batches:
             held.append(batch)
             t = pa.Table.from_batches(held).combine_chunks()
             keys = [t.column(c).to_numpy() for c in ("token", "i", "j")]
-            new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-            cuts = [0, *new.tolist()]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b - a > 1:
-                    yield from pairs_of(t.slice(a, b - a))
-            held = t.slice(cuts[-1]).to_batches()  # its group may go on
+            cuts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1])
+            if len(cuts) > 1:  # the last group may go on
+                yield from work(t, cuts[:-1], cuts[1:])
+            held = t.slice(int(cuts[-1])).to_batches()
         if held:
-            yield from pairs_of(pa.Table.from_batches(held).combine_chunks())
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from work(t, np.array([0]), np.array([len(t)]))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "cls")
