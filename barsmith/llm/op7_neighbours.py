@@ -167,13 +167,14 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
                 turn = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1, kind="stable")
                 early = turn < FIRST_LEAVES
                 reach = np.full(len(v), np.inf) if first else batch.column(2).to_numpy(zero_copy_only=False)
+                least = np.full(len(v), -np.inf) if first else batch.column(3).to_numpy(zero_copy_only=False)
                 q, at = np.nonzero(early if first else ~early & (far <= reach[:, None]))
                 if len(q):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[at].astype(np.int32)), batch.column(0).take(pa.array(q)), _lists(v[q].astype(np.float32), pa.float32()), pa.array(reach[q])], ["leaf", "qid", "q", "reach"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at].astype(np.int32)), batch.column(0).take(pa.array(q)), _lists(v[q].astype(np.float32), pa.float32()), pa.array(reach[q]), pa.array(least[q])], ["leaf", "qid", "q", "reach", "least"])
 
         return each
 
-    visit_schema = "leaf int, qid long, q array<float>, reach double"
+    visit_schema = "leaf int, qid long, q array<float>, reach double, least double"
     keep = k + 1
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -182,6 +183,7 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
             x, p, cid = matrix(left.column("v")), matrix(left.column("p")), left.column("cid").to_numpy()
             ids = left.column("ids").combine_chunks()
             all_q, reach, qid = matrix(right.column("q")), right.column("reach").to_numpy(), right.column("qid").to_numpy()
+            least = right.column("least").to_numpy()  # what has been found already: less is of no use
             for lo_ in range(0, len(qid), 256):
                 q, near = all_q[lo_ : lo_ + 256], reach[lo_ : lo_ + 256]
                 pq = project_query(q)
@@ -194,6 +196,7 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
                     t = top[i][np.isfinite(got[i, top[i]])]
                     exact = (q[i][None, :] * x[t]).sum(axis=1)
                     order = np.lexsort((cid[t], -exact))[:keep]
+                    order = order[exact[order] >= least[lo_ + i]]
                     t = t[order]
                     out["qid"].append(np.full(len(t), qid[lo_ + i]))
                     out["cid"].append(cid[t])
@@ -219,7 +222,8 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     d2 = F.lit(2 * most) - 2 * F.col("s") * F.lit(math.sqrt(most)) / length
     reach = F.when(F.col("n") < keep, F.lit(float("inf"))).otherwise(F.greatest(d2, F.lit(0.0)) * F.lit(limit))
-    again = queries.join(last, "qid").select("qid", "v", reach.alias("reach"))
+    least = F.when(F.col("n") < keep, F.lit(float("-inf"))).otherwise(F.col("s"))
+    again = queries.join(last, "qid").select("qid", "v", reach.alias("reach"), least.alias("least"))
     late = wave(again, False)
     found = early.drop("i").union(late).withColumn("i", F.row_number().over(best)).where(F.col("i") <= keep)
     flat = found.select("qid", "score", F.explode("ids").alias("vec_id"))
