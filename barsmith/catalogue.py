@@ -81,12 +81,14 @@ def _rolling_long(spark, sf_dir):
 
 # --- period metrics ----------------------------------------------------------------------------------------------
 
+#: All metrics but a by-product whose yearly power of a short window's return overflows.
+_PERIOD_METRICS = tuple(m for m in period.METRICS if m != "AnnReturnDrawDownRatio")
 for _period, _kind in (("5d", "events"), ("10d", "events"), ("2w", "events"), ("5m", "lineitem"), ("1y", "lineitem"), ("mtd", "lineitem")):
-    _sql = period.period_metrics_sql(bars.panel_sql(_kind), _period, digits=3)
+    _sql = period.period_metrics_sql(bars.panel_sql(_kind), _period, _PERIOD_METRICS, digits=3)
 
     def _run(s, d, p=_period, k=_kind):
-        out = period.period_metrics(bars.panel(s, d, k), p)
-        return out.selectExpr(KEY, period.END, *(f"floor(CAST({m} AS DOUBLE) * 1000 + 0.500001) / CAST(1000 AS DOUBLE) AS {m}" for m in period.METRICS))
+        out = period.period_metrics(bars.panel(s, d, k), p, _PERIOD_METRICS)
+        return out.selectExpr(KEY, period.END, *(f"floor(CAST({m} AS DOUBLE) * 1000 + 0.500001) / CAST(1000 AS DOUBLE) AS {m}" for m in _PERIOD_METRICS))
 
     query(f"period_{_period}", _sql)(_run)
 

@@ -185,7 +185,7 @@ def optimised_benchmark(panel: DataFrame, method: str = "min_var", window: int =
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="no", columns=KEY, values="r", aggfunc="first").sort_index()
         if len(wide) < share * window:
-            return pd.DataFrame({KEY: [], "month_end": [], "weight": []})
+            return pd.DataFrame({KEY: pd.Series(dtype=str), "month_end": pd.Series(dtype=object), "weight": pd.Series(dtype=float)})
         w = solve(np.atleast_2d(np.cov(wide.fillna(0e0).to_numpy(), rowvar=False)))
         return pd.DataFrame({KEY: wide.columns, "month_end": pdf["month_end"].iloc[0], "weight": w})
 

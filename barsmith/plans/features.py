@@ -138,7 +138,7 @@ def replay(actions: DataFrame, cash: float = 10_000.0, fee: float = 0.001, slipp
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
         money, shares, equity = cash, 0.0, []
-        for price, share in zip(pdf["close"], pdf["action"]):
+        for price, share in zip(pdf["close"].to_numpy(float), pdf["action"].to_numpy(float)):
             if price == price and price > 0 and share == share:
                 wealth = money + shares * price
                 change = share * wealth / price - shares
@@ -202,7 +202,7 @@ def _model(s, d):
 
 
 def _replayed(s, d):
-    p = source.panel(s, d).selectExpr(KEY, DATE, "close", "CASE WHEN log_return > 0 THEN 1.0 WHEN log_return <= 0 THEN 0.0 END AS action")
+    p = source.panel(s, d).selectExpr(KEY, DATE, "close", "CASE WHEN log_return > 0 THEN 1e0 WHEN log_return <= 0 THEN 0e0 END AS action")
     return episode_stats(replay(p)).selectExpr(KEY, "floor(CAST(total_return AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS total_return", "floor(CAST(volatility AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS volatility", "floor(CAST(sharpe AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS sharpe")
 
 
