@@ -167,7 +167,7 @@ def optimal_threshold(scored: DataFrame, label: str = "label", score: str = "sco
     total = by.agg(F.sum("p").alias("all_p"))
     down = Window.orderBy(F.desc(score))  # a row a distinct score
     rows = by.join(F.broadcast(total)).withColumns({"hit": F.sum("p").over(down), "said": F.sum("n").over(down)})
-    rows = rows.withColumn("f1", F.expr("2.0 * hit / nullif(said + all_p, 0)"))
+    rows = rows.withColumn("f1", F.expr("2e0 * hit / nullif(said + all_p, 0)"))
     return rows.agg(F.max(F.struct("f1", score)).alias("m")).selectExpr(f"m.{score} AS threshold", "m.f1")
 
 
