@@ -64,6 +64,7 @@ def row_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n = len(bounds) - 1
     if not len(values):
         return np.zeros((n, *values.shape[1:]))
-    out = np.add.reduceat(values, np.minimum(bounds[:-1], len(values) - 1), axis=0)
+    padded = np.concatenate([values, np.zeros((1, *values.shape[1:]), values.dtype)])  # empty rows may begin at the end
+    out = np.add.reduceat(padded, bounds[:-1], axis=0)
     out[bounds[:-1] == bounds[1:]] = 0
     return out

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 
 from barsmith.llm import op1_urls, op4_mixing
@@ -73,7 +74,7 @@ def rows_of(spark, sf, name, sql):
 
 
 def norm_rows(d):
-    return [tuple(None if x is None or x != x else x if isinstance(x, str) else round(float(x), 6) for x in r) for r in d[sorted(d)].itertuples(index=False)]
+    return [tuple(None if pd.isna(x) else x if isinstance(x, str) else round(float(x), 6) for x in r) for r in d[sorted(d)].itertuples(index=False)]
 
 
 def test_queries_equal_sql(spark, sf):
