@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, table
-from .words import row_sums, slices
+from .words import claim, row_sums, slices
 
 DOCS_A_LANGUAGE = 1000
 KEEP = 5000
@@ -54,10 +54,13 @@ class Model:
     #: by length (0: whole words): entry -> -log10 frequency in each language
     known: list[dict[str, np.ndarray]]
     cache: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+    sums: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"langs": self.langs, "known": self.known, "cache": {}, "rows": []}
+        return {"langs": self.langs, "known": self.known, "cache": {}, "sums": None}
+
+    def forget(self) -> None:
+        self.cache, self.sums = {}, None
 
     def word(self, word: str) -> np.ndarray:
         """Score of a lower-case word for each language."""
@@ -77,19 +80,24 @@ class Model:
         return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        claim(f"langid-{id(self)}", self.forget)
         names, sure = [], []
         for t in slices(column):
             if len(self.cache) > CACHE_CHUNKS:
-                self.cache.clear()
-                self.rows.clear()
-            at = []
-            for c in t.vocab.to_numpy(zero_copy_only=False).tolist():
-                k = self.cache.get(c)
-                if k is None:
-                    k = self.cache[c] = len(self.rows)
-                    self.rows.append(self.chunk(c))
-                at.append(k)
-            table_ = np.stack([self.rows[k] for k in at]).astype(np.float64) if at else np.zeros((0, len(self.langs) + 1))
+                self.forget()
+            chunks = t.vocab.to_numpy(zero_copy_only=False).tolist()
+            at = list(map(self.cache.get, chunks))
+            new = [i for i, k in enumerate(at) if k is None]
+            have, need = 0 if self.sums is None else len(self.sums), len(self.cache) + len(new)
+            if need > have:  # grow by half at least
+                more = np.zeros((max(need, have * 3 // 2), len(self.langs) + 1), dtype=np.float32)
+                if have:
+                    more[:have] = self.sums
+                self.sums = more
+            for i in new:
+                k = at[i] = self.cache[chunks[i]] = len(self.cache)
+                self.sums[k] = self.chunk(chunks[i])
+            table_ = self.sums[at].astype(np.float64) if at else np.zeros((0, len(self.langs) + 1))
             sums = row_sums(table_[t.codes], t.bounds) if len(t.codes) else np.zeros((len(t.bounds) - 1, len(self.langs) + 1))
             words = sums[:, -1]
             if not self.langs:

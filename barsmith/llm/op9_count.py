@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
-from .words import row_sums, slices
+from .words import claim, row_sums, slices
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -100,6 +100,7 @@ def counter(path: str) -> Counter:
 
 
 def count_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    claim("counts", counter.cache_clear)
     words, pieces = [], []
     for t in slices(column):
         each = counter(path).words(t.vocab.to_numpy(zero_copy_only=False).tolist())

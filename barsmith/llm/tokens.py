@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .words import claim
+
 #: Remembered chunks a worker holds: up to so many new ones beside the last so many old ones.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 400_000
 #: Characters of text that are gathered at once.
 SLICE_CHARS = 8_000_000
 _TAIL = re.compile(r"([.,!?;:]+)$")
@@ -120,6 +122,7 @@ def encode_texts(texts: pa.Array, path: str, end_id: int | None = None):
     """Yield (first row, ids u4, bounds) for runs of rows: row i of a run has ids[bounds[i]:bounds[i + 1]].
 
     Null texts count as empty; end_id, if given, follows each row's own ids."""
+    claim("tokens", encoder.cache_clear)
     enc = encoder(path)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,19 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8_000_000
 
 
+_holder: list = [None, None]
+
+
+def claim(owner: str, drop: Callable[[], None]) -> None:
+    """Let an operator remember words in this Python worker; what another one remembered before goes.
+
+    Workers serve one stage after another, so their memories would add up."""
+    if _holder[0] != owner:
+        if _holder[1] is not None:
+            _holder[1]()
+        _holder[:] = [owner, drop]
+
+
 @dataclass
 class Texts:
     """Some rows of a batch. starts/ends: each text's bytes in raw; codes: each word's place in vocab,
