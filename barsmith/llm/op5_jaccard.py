@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import release, small_batches, stage, table
 from .components import components
-from .words import slices
+from .words import claim, slices
 
 #: log2 of the counters in the sketch, and counters in one row of it: 32 MB in all, whatever the input.
 SKETCH, CHUNK = 23, 1 << 17
@@ -60,6 +60,7 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, k: int):
     """The sorted distinct shingle hashes of each text of a column."""
+    claim("shingles", lambda: None)
     lowered = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
     for t in slices(lowered):
         vocab = pd.util.hash_array(t.vocab.to_numpy(zero_copy_only=False), categorize=False) if len(t.vocab) else np.empty(0, np.uint64)
@@ -324,22 +325,16 @@ class _Verifier:
                 h = batch.column(2).to_numpy(zero_copy_only=False)
                 place = h & ((1 << FILTER_BITS) - 1)
                 hit = (bits[place >> 5] >> (h & 31).astype(np.uint32)) & 1
-                got = batch.filter(pa.array(hit.astype(bool)))
-                if got.num_rows:
-                    yield got.select(["doc_id", "text"])
-
-        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-        texts = rows.mapInArrow(likely, "doc_id long, text string")
-
-        def each(batches):
-            for batch in batches:
+                some = batch.filter(pa.array(hit.astype(bool)))
                 sets, cls = [], []
-                for s in shingle_sets(batch.column(1), k):
+                for s in shingle_sets(some.column(1), k):
                     sets.append(s.tobytes())
                     cls.append(class_of(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "cls", "s"])
+                if sets:
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "cls", "s"])
 
-        got = texts.mapInArrow(each, "doc_id long, cls long, s binary")
+        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
+        got = rows.mapInArrow(likely, "doc_id long, cls long, s binary")
         # a repeated doc_id may have several texts: only its rows of the class count, and one of them
         want = needed.select(F.col("doc_id").alias("w_doc"), F.col("cls").alias("w_cls"))
         got = got.join(want, F.expr("doc_id <=> w_doc and cls = w_cls"), "left_semi").dropDuplicates(["cls"])
