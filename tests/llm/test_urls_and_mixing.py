@@ -128,30 +128,70 @@ def test_tree_keeps_quotas(spark):
 
 
 def test_hypergeometric_law(spark):
-    """Means over many seeds are those of the law."""
+    """Every value's share is that of the law."""
+    import math
+
     from pyspark.sql import functions as F
 
-    df = spark.range(4000).select(op4_mixing.hypergeometric(F.lit(30), F.lit(100), F.lit(40), F.col("id").cast("string")).alias("x"))
-    m, v = df.agg(F.avg("x"), F.var_samp("x")).first()
-    assert abs(m - 12) < 0.15 and abs(v - 40 * 0.3 * 0.7 * 60 / 99) < 0.6
+    n = 20_000
+    for marked, total, drawn in ((30, 100, 40), (1, 9, 3), (60, 70, 50), (0, 5, 2), (5, 5, 5), (400, 100_000, 250)):
+        u = (F.col("id") + 0.5) / n
+        got = spark.range(n).select(op4_mixing.hypergeometric(F.lit(marked), F.lit(total), F.lit(drawn), u).alias("x")).groupBy("x").count().collect()
+        for r in got:
+            law = math.comb(marked, r["x"]) * math.comb(total - marked, drawn - r["x"]) / math.comb(total, drawn)
+            assert abs(r["count"] / n - law) < 2 / n
+    one = spark.range(1).select(op4_mixing.hypergeometric(F.lit(10**7), F.lit(3 * 10**8), F.lit(15 * 10**7), F.lit(0.5)).alias("x")).first()["x"]
+    assert abs(one - 5 * 10**6) < 5
+
+
+def names_inside():
+    """Every name that the operators' modules give a column."""
+    import re
+    from pathlib import Path
+
+    found = set()
+    for p in Path(op4_mixing.__file__).parent.glob("*.py"):
+        found |= set(re.findall(r'(?:alias|withColumn)\("(\w+)"', p.read_text()))
+    return sorted(found - {"doc_id", "text", "lang", "source", "n_chars"})
 
 
 def test_mix_of_odd_rows(spark, odd, wide, empty):
-    for docs in (odd, wide):
+    from pyspark.sql import functions as F
+
+    clash = odd.select("*", *(F.lit("clash").alias(n) for n in names_inside()))
+    for docs in (odd, wide, clash):
         m = op4_mixing.mix(docs, shards=3, block_words=20)
-        got = m.copies(docs).toPandas() if "copies" not in docs.columns else m.copies(docs.drop("copies")).toPandas()
-        assert len(got) == docs.count() and got["copies"].between(0, 3).all()
+        taken = m.dealt(docs).selectExpr("row.doc_id", "size(places) AS n").toPandas()
+        assert len(taken) == docs.count() and taken["n"].between(0, 3).all()
         again = op4_mixing.mix(docs, shards=3, block_words=20)
-        assert sorted(r["doc_id"] or -1 for r in again.rows().collect()) == sorted(r["doc_id"] or -1 for r in m.rows().collect())
-        assert m.rows().count() == got["copies"].sum() == op4_mixing.repeat(docs, m).count()
-    assert op4_mixing.mix(empty).rows().count() == 0
+        assert sorted(map(str, again.dealt(docs).select("places").collect())) == sorted(map(str, m.dealt(docs).select("places").collect()))
+        out = op4_mixing.mixed(docs, m)
+        assert out.columns == docs.columns and out.count() == taken["n"].sum()
+    assert op4_mixing.mixed(empty, op4_mixing.mix(empty)).count() == 0
+
+
+def test_mix_follows_its_tree(spark):
+    """Shards hold what the leaves say, positions are a permutation, and partitions hold them in order."""
+    rows = [(i, "w " * (1 + i % 37), None, "xyz"[i % 3], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    m = op4_mixing.mix(docs, shards=5, block_words=500)
+    quotas = m.draws.selectExpr("source", "size(draws) AS n").groupBy("source").agg({"n": "sum"}).toDF("source", "quota")
+    leaves = {(r["source"], r["shard"]): r["n"] for r in op4_mixing.split_tree(quotas, 5).collect()}
+    held = m.draws.selectExpr("source", "explode(draws) AS d").groupBy("source", "d.shard").count().collect()
+    assert {(r["source"], r["shard"]): r["count"] for r in held} == {k: n for k, n in leaves.items() if n}
+    of_shard = m.rows(docs).select("row.doc_id", "shard", "position").toPandas()
+    assert set(of_shard["shard"]) == set(range(5))
+    order = of_shard.sort_values(["shard", "position"])["doc_id"].tolist()
+    assert order != sorted(order)
+    got = [r["doc_id"] for r in op4_mixing.mixed(docs, m).select("doc_id").collect()]
+    assert got == order
 
 
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, "w " * (1 + i % 37), None, "xyz"[i % 3], 0) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     m = op4_mixing.mix(docs, block_words=500)
-    got = m.copies(m.docs.select("doc_id", "source", "size")).selectExpr("source", "size * copies AS t").groupBy("source").sum("t").collect()
+    got = m.rows(docs).selectExpr("row.source", "size(split(trim(row.text), ' ')) AS t").groupBy("source").sum("t").collect()
     plan = {r["source"]: r["target"] for r in m.plan.collect()}
     for r in got:
         assert abs(r[1] - plan[r["source"]]) <= 40
