@@ -38,8 +38,17 @@ PENALTY = 7.0
 #: Words from which on more do not make the score more certain.
 SURE_WORDS = 20
 #: Chunks a worker remembers, and counts a task holds before it passes them on.
-CACHE_CHUNKS, HELD_WORDS = 600_000, 50_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+CACHE_CHUNKS, HELD_WORDS = 200_000, 50_000
+#: Words for a language: runs of letters; the pattern also takes number signs, which ``words_of`` leaves out.
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Maximal runs of Unicode letters."""
+    found = _WORDS.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -74,7 +83,7 @@ class Model:
     def chunk(self, chunk: str) -> np.ndarray:
         """Sum over the words in a chunk, and their number."""
         out = np.zeros(len(self.langs) + 1, dtype=np.float32)
-        for w in _LETTERS.findall(chunk.lower()):
+        for w in words_of(chunk.lower()):
             out[:-1] += self.word(w)
             out[-1] += 1
         return out
@@ -141,7 +150,7 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, keep: int = KEE
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(lang, Counter()).update(_LETTERS.findall((text or "").lower()))
+                held.setdefault(lang, Counter()).update(words_of((text or "").lower()))
                 if sum(map(len, held.values())) > HELD_WORDS:
                     yield out()
         yield out()
