@@ -403,8 +403,8 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 
     Rows that repeat a doc_id count as one document."""
     found = link(docs, k, num, den)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct().alias("jaccard_gone")
+    return docs.alias("jaccard_docs").join(gone, F.expr("cast(jaccard_docs.doc_id AS bigint) = jaccard_gone.gone"), "left_anti")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
