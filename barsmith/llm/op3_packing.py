@@ -3,14 +3,15 @@
 A piece goes where the sum, over residual gaps, of the squared number of open
 sequences with that gap becomes smallest, be it an open sequence with room or a
 new one; of equals, the one that leaves the smallest gap.  Pieces come longest first, so short
-ones fill what long ones leave.  Groups of pieces, dealt by a hash, are packed
-side by side; a group has so many pieces that the few sequences it leaves
-unfilled do not count.
+ones fill what long ones leave.  Groups of pieces, dealt in turn and so of one
+size whatever the rows hold, are packed side by side; a group has so many pieces
+that the few sequences it leaves unfilled do not count.
 
 Edge cases: a null or empty text is its end id alone; null or repeated doc_ids
-are packed like any other; documents over the length are cut and their last
-piece may be shorter; an empty table gives an empty one; further columns are
-ignored.
+and wholly equal rows are packed like any other, each in a place of its own;
+documents over the length are cut and their last piece may be shorter; an empty
+table gives an empty one; ``pieces`` ignores further columns, ``pack`` keeps them
+but for those named like its result's (``sequence_id``, ``offset``), which give way.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from . import tokens
 from .common import small_batches, stage, table
 
 MAX_IDS = 4096
-#: Pieces that one task packs, about.
-GROUP_PIECES = 100_000
+#: Pieces that one task packs, about; fewer where rows carry ids or other values without a fixed size.
+GROUP_PIECES, GROUP_WIDE = 100_000, 4_000
 
 
 def pieces(docs: DataFrame, path: str | None = None, end_id: int = 1, max_ids: int = MAX_IDS, with_ids: bool = False) -> DataFrame:
@@ -89,11 +90,14 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return where, offset
 
 
-def pack(items: DataFrame, max_ids: int = MAX_IDS, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(items: DataFrame, max_ids: int = MAX_IDS, group_pieces: int | None = None) -> DataFrame:
     """Add sequence_id and offset to rows with doc_id, piece and length (1 to max_ids); other columns stay.
 
-    Each row is read by one task; the result depends on the rows alone, so a task that runs again gives the same."""
-    groups = max(1, -(-items.count() // group_pieces))
+    Each row is read by one task, and the rows are dealt in turn: no value of theirs gathers them.  Read from
+    files they are dealt alike again, so a task that runs again gives the same."""
+    items = items.select(*(c for c in items.columns if c.lower() not in ("sequence_id", "offset")))
+    fixed = all(kind in ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp") for _, kind in items.dtypes)
+    groups = max(1, -(-items.count() // (group_pieces or (GROUP_PIECES if fixed else GROUP_WIDE))))
     order = [F.desc("length"), "doc_id", "piece", *[c for c, kind in items.dtypes if c not in ("doc_id", "piece", "length") and kind in ("bigint", "int")]]
 
     def each(batches):
@@ -107,13 +111,13 @@ def pack(items: DataFrame, max_ids: int = MAX_IDS, group_pieces: int = GROUP_PIE
             rows = rows.append_column("sequence_id", pa.array(where + (group << 40))).append_column("offset", pa.array(offset))
             yield from rows.to_batches()
 
-    dealt = items.repartition(groups, F.xxhash64("doc_id", "piece")).sortWithinPartitions(*order)
+    dealt = items.repartition(groups).sortWithinPartitions(*order)
     kind = ", ".join(f"`{c}` {k}" for c, k in items.dtypes)
     return dealt.mapInArrow(each, f"{kind}, sequence_id long, offset long")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(stage(pieces(table(spark, sf_dir, "documents")), "pieces"))
+    return pack(stage(pieces(table(spark, sf_dir, "documents")), "pieces"))  # staged: counted, then packed
 
 
 def sequences(packed: DataFrame) -> DataFrame:
