@@ -26,7 +26,8 @@ from .words import claim, row_sums, slices
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers, and characters of a word that is worth it.
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
 
 def default_path() -> str:
@@ -53,35 +54,36 @@ class Counter:
         for p, score in pieces:
             self.automaton.add_word(p, (len(p), float(score)))
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_COST
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         if len(pieces):
             self.automaton.make_automaton()
         self.cache: dict[str, int] = {}
 
     def count(self, text: str) -> int:
         """Pieces of the best segmentation of text."""
-        n = len(text)
-        ends: list[list] = [[] for _ in range(n)]
-        if len(self.automaton):
-            for end, match in self.automaton.iter(text):
-                ends[end].append(match)
-        score, pieces, open_unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for e in range(n):
+        # a ring of as many ends as the longest piece has characters: a text without blanks may be very long
+        ring = self.longest + 1
+        score, pieces, open_unknown = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(text) if len(self.automaton) else iter(())
+        match = next(matches, None)
+        for e in range(len(text)):
             best = None
             single = False
-            for length, s in ends[e]:  # longest first, which is the order of their starts
-                here = s + score[e + 1 - length]
+            while match is not None and match[0] == e:  # longest first, which is the order of their starts
+                length, s = match[1]
+                here = s + score[(e + 1 - length) % ring]
                 if best is None or here > best:
-                    best, start = here, e + 1 - length
+                    best, start = here, (e + 1 - length) % ring
                 single = single or length == 1
+                match = next(matches, None)
             unknown = False
             if not single:
-                here = self.unknown + score[e]
+                here = self.unknown + score[e % ring]
                 if best is None or here > best:
-                    best, start, unknown = here, e, True
-            score[e + 1] = best
-            pieces[e + 1] = pieces[start] + (not (unknown and open_unknown[start]))
-            open_unknown[e + 1] = unknown
-        return pieces[n]
+                    best, start, unknown = here, e % ring, True
+            at = (e + 1) % ring
+            score[at], pieces[at], open_unknown[at] = best, pieces[start] + (not (unknown and open_unknown[start])), unknown
+        return pieces[len(text) % ring]
 
     def words(self, words: list[str]) -> np.ndarray:
         cache = self.cache
@@ -90,7 +92,9 @@ class Counter:
         out = list(map(cache.get, words))
         for i, known in enumerate(out):
             if known is None:
-                out[i] = cache[words[i]] = self.count(MARK + words[i])
+                out[i] = self.count(MARK + words[i])
+                if len(words[i]) <= CACHE_CHARS:
+                    cache[words[i]] = out[i]
         return np.array(out, dtype=np.int64)
 
 
