@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0 to 3 times."""
-    return op4_mixing.repeat(docs, op4_mixing.mix(docs))
+    """Documents as often as the mix takes them, 0 to 3 times, laid out shard after shard in shuffled order."""
+    return op4_mixing.mixed(docs, op4_mixing.mix(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
