@@ -2,11 +2,13 @@
 
 One frequency table, counted over all ids of the corpus, serves every block.
 A block interleaves many lanes (each a 64-bit state that renormalises by 32-bit
-words), so NumPy codes one id of every lane at a time; checkpoints hold all
-states and the word position every so many steps, so parts of a block decode in
-parallel, and a checksum guards its ids.  Blocks lie in containers of whole
-documents; a container is one row of a Parquet table that Spark's own committer
-writes, so a lost executor's containers are simply written again.
+words), so NumPy codes one id of every lane at a time.  Every so many steps a
+checkpoint holds all states; the words between two checkpoints and the states at
+the first make a part, which decodes by itself and has a checksum of its own.
+Blocks lie in containers of whole documents; a container is one row of a Parquet
+table that Spark's own committer writes, so a lost executor's containers are
+simply written again.  ``read_ids`` takes a container part by part, ``read_parts``
+deals all parts to tasks, however large a document is.
 
 Edge cases: a null or empty text has no ids but the end id; null doc_ids come
 first and repeated ones in a fixed order; an empty table gives an empty one;
@@ -34,8 +36,9 @@ SCALE = 20
 BLOCK_IDS, CONTAINER_IDS, CHECKPOINT_STEPS = 1 << 20, 1 << 20, 128
 MAX_LANES, IDS_A_LANE = 4096, 64
 LOW = np.uint64(1 << 31)
+#: Of a part: magic, checksum of the table, ids, lanes, words, scale, checksum of the coded bytes and the ids, whether its block ends with it.
 HEAD = struct.Struct("<4sIIIIIII")
-MAGIC = b"RNS1"
+MAGIC = b"RNS2"
 
 
 def quantise(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -73,7 +76,8 @@ class Coder:
         self.table_crc = zlib.crc32(freq)
         self.slots: np.ndarray | None = None
 
-    def encode(self, ids: np.ndarray) -> bytes:
+    def encode(self, ids: np.ndarray) -> list[bytes]:
+        """The parts of one block."""
         n = len(ids)
         lanes = max(1, min(MAX_LANES, n // IDS_A_LANE))
         steps = -(-n // lanes)
@@ -84,29 +88,24 @@ class Coder:
         scale, low32, half = np.uint64(self.scale), np.uint64(0xFFFFFFFF), np.uint64(32)
         limit_shift = np.uint64(63 - self.scale)
         words: list[np.ndarray] = []
-        marks: list[tuple[int, int, np.ndarray]] = []
-        done = 0
+        parts: list[bytes] = []
+        last = steps  # the step at which the part under way ends
         for t in range(steps - 1, -1, -1):
             lo = t * lanes
             f, c = freq[lo : lo + lanes], start[lo : lo + lanes]
             x = state[: len(f)]
             full = x >= (f << limit_shift)
             if full.any():
-                out = (x[full] & low32).astype("<u4")
-                words.append(out)
-                done += len(out)
+                words.append((x[full] & low32).astype("<u4"))
                 x = np.where(full, x >> half, x)
             q = x // f
             state[: len(f)] = (q << scale) + (x - q * f) + c
-            if t and t % CHECKPOINT_STEPS == 0:
-                marks.append((t, done, state.copy()))
-        marks.reverse()
-        head = HEAD.pack(MAGIC, self.table_crc, n, lanes, done, len(marks), self.scale, zlib.crc32(ids.astype("<u4").tobytes()))
-        parts = [head, state.astype("<u8").tobytes()]
-        for t, emitted, s in marks:
-            parts += [struct.pack("<II", t, done - emitted), s.astype("<u8").tobytes()]
-        parts += [w.tobytes() for w in reversed(words)]
-        return b"".join(parts)
+            if t % CHECKPOINT_STEPS == 0:
+                own = ids[lo : min(n, last * lanes)]
+                body = b"".join([state.astype("<u8").tobytes(), *(w.tobytes() for w in reversed(words))])
+                parts.append(HEAD.pack(MAGIC, self.table_crc, len(own), lanes, sum(map(len, words)), self.scale, zlib.crc32(own.astype("<u4").tobytes(), zlib.crc32(body)), last == steps) + body)
+                words, last = [], t
+        return parts[::-1]
 
     def _slots(self) -> np.ndarray:
         if self.slots is None:
@@ -114,39 +113,22 @@ class Coder:
             self.slots = np.repeat(np.arange(len(self.freq), dtype=kind), self.freq.astype(np.int64))
         return self.slots
 
-    def decode(self, buf: memoryview | bytes, part: int | None = None) -> tuple[np.ndarray, int]:
-        """Ids of the block at the start of buf, and its size in bytes.
-
-        part: only the ids between two checkpoints, from the part-th (0: the block's start) on."""
-        magic, table_crc, n, lanes, n_words, n_marks, scale, crc = HEAD.unpack_from(buf)
-        if magic != MAGIC or table_crc != self.table_crc or scale != self.scale:
-            raise ValueError("not a block of this table")
-        at = HEAD.size
-        state = np.frombuffer(buf, "<u8", lanes, at).copy()
-        at += 8 * lanes
-        marks = []
-        for _ in range(n_marks):
-            t, pos = struct.unpack_from("<II", buf, at)
-            marks.append((t, pos, at + 8))
-            at += 8 + 8 * lanes
-        words = np.frombuffer(buf, "<u4", n_words, at).astype(np.uint64)
-        size = at + 4 * n_words
-        steps = -(-n // lanes)
-        first, last, pos = 0, steps, 0
-        if part is not None:
-            if part:
-                first, pos, where = marks[part - 1]
-                state = np.frombuffer(buf, "<u8", lanes, where).copy()
-            last = marks[part][0] if part < n_marks else steps
+    def decode(self, buf: bytes | memoryview) -> np.ndarray:
+        """The ids of one part, which needs no other."""
+        magic, table_crc, n, lanes, n_words, scale, crc, ends = HEAD.unpack_from(buf)
+        if magic != MAGIC or table_crc != self.table_crc or scale != self.scale or len(buf) != HEAD.size + 8 * lanes + 4 * n_words:
+            raise ValueError("not a part of a block of this table")
+        state = np.frombuffer(buf, "<u8", lanes, HEAD.size).copy()
+        words = np.frombuffer(buf, "<u4", n_words, HEAD.size + 8 * lanes).astype(np.uint64)
         slots, freq, start = self._slots(), self.freq, self.start
         mask, scale_, half = np.uint64((1 << self.scale) - 1), np.uint64(self.scale), np.uint64(32)
-        out = np.empty(min(n, last * lanes) - min(n, first * lanes), dtype=np.uint32)
-        for t in range(first, last):
-            k = min(lanes, n - t * lanes)
+        out, pos = np.empty(n, dtype=np.uint32), 0
+        for lo in range(0, n, lanes):
+            k = min(lanes, n - lo)
             x = state[:k]
             slot = x & mask
             s = slots[slot]
-            out[(t - first) * lanes : (t - first) * lanes + k] = s
+            out[lo : lo + k] = s
             x = freq[s] * (x >> scale_) + slot - start[s]
             need = x < LOW
             m = int(np.count_nonzero(need))
@@ -154,10 +136,10 @@ class Coder:
                 x[need] = (x[need] << half) | words[pos : pos + m]
                 pos += m
             state[:k] = x
-        # a whole block ends in the states that its encoder began with
-        if part is None and ((state != LOW).any() or pos != n_words or zlib.crc32(out.astype("<u4").tobytes()) != crc):
-            raise ValueError("a block's checksum does not hold")
-        return out, size
+        # a block ends in the states that its encoder began with
+        if pos != n_words or (ends and (state != LOW).any()) or zlib.crc32(out.astype("<u4").tobytes(), zlib.crc32(memoryview(buf)[HEAD.size :])) != crc:
+            raise ValueError("a part's checksum does not hold")
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -165,19 +147,10 @@ def coder(freq: bytes) -> Coder:
     return Coder(freq)
 
 
-def pack_blocks(ids: np.ndarray, freq: bytes) -> bytes:
-    """Independent blocks, one after another."""
+def pack_blocks(ids: np.ndarray, freq: bytes) -> list[bytes]:
+    """The parts of independent blocks, one after another."""
     c = coder(freq)
-    return b"".join(c.encode(ids[lo : lo + BLOCK_IDS]) for lo in range(0, len(ids), BLOCK_IDS))
-
-
-def unpack_blocks(payload: bytes, freq: bytes) -> np.ndarray:
-    c, at, out, view = coder(freq), 0, [], memoryview(payload)
-    while at < len(view):
-        ids, size = c.decode(view[at:])
-        out.append(ids)
-        at += size
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
+    return [p for lo in range(0, len(ids), BLOCK_IDS) for p in c.encode(ids[lo : lo + BLOCK_IDS])]
 
 
 def id_rows(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -223,7 +196,7 @@ def id_counts(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-CONTAINER = "shard int, container int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+CONTAINER = "shard int, container int, first_id long, n_ids long, doc_ids array<long>, lengths array<long>, parts array<binary>"
 
 
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, partitions: int | None = None) -> tuple[DataFrame, bytes]:
@@ -258,7 +231,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, partiti
             row = [[shard], [number], [first], [len(data)], [doc_ids], [lengths], [pack_blocks(data, freq)]]
             number, first = number + 1, first + len(data)
             ids, doc_ids, lengths = [], [], []
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], [c.split()[0] for c in CONTAINER.split(", ")])
 
         held = 0
@@ -280,26 +253,59 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, partiti
     return written, freq
 
 
+def _bases(written: DataFrame) -> DataFrame:
+    """(shard, base): ids of all shards before; a row a shard, and as many shards as the writer had partitions."""
+    shards = written.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    return shards.select("shard", (F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
+
+
 def read_ids(written: DataFrame, freq: bytes) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, from the coded containers."""
+    """(doc_id, start, n_tokens, ids) of every document, from the coded containers.
+
+    A container's parts follow one another into its task, which holds one part and the document under way."""
+    rows = written.select("shard", "first_id", "doc_ids", "lengths", F.posexplode("parts").alias("part", "payload"))
+    first = F.col("part") == 0
+    rows = rows.select("shard", "first_id", F.when(first, F.col("doc_ids")).alias("doc_ids"), F.when(first, F.col("lengths")).alias("lengths"), "payload")
 
     def each(batches):
+        c = coder(freq)
+        ends = lens = keys = np.empty(0, np.int64)
+        held, seen, done, shard, base = np.empty(0, np.uint32), 0, 0, 0, 0  # seen: ids decoded, done: documents given
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = unpack_blocks(r["payload"], freq).astype("<u4")
-                lens = np.array(r["lengths"], dtype=np.int64)
-                ends = np.cumsum(lens)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["shard"]] * len(lens), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["first_id"] + ends - lens), pa.array(lens),
-                     pa.array([ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), lens.tolist())], pa.binary())],
-                    ["shard", "doc_id", "local", "n_tokens", "ids"],
-                )
-
-    docs = written.mapInArrow(each, "shard int, doc_id long, local long, n_tokens long, ids binary")
-    # one row a shard, and as many shards as the writer had partitions
-    shards = written.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    base = shards.select("shard", (F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
-    return docs.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+            for i in range(batch.num_rows):
+                if batch.column(2)[i].is_valid:
+                    shard, base = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    keys, lens = batch.column(2)[i].values, batch.column(3)[i].values.to_numpy().astype(np.int64)
+                    ends, held, seen, done = np.cumsum(lens), np.empty(0, np.uint32), 0, 0
+                ids = c.decode(batch.column(4)[i].as_buffer())
+                held, seen = np.concatenate([held, ids]), seen + len(ids)
+                whole = int(np.searchsorted(ends, seen, side="right"))
+                if whole > done:
+                    at = seen - len(held)  # where held begins
+                    raw = memoryview(held.astype("<u4").tobytes())
+                    e, n = ends[done:whole], lens[done:whole]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(whole - done, shard, np.int32)), keys.slice(done, whole - done), pa.array(base + e - n), pa.array(n), pa.array([raw[4 * (b - k - at) : 4 * (b - at)] for b, k in zip(e.tolist(), n.tolist())], pa.binary())],
+                        ["shard", "doc_id", "local", "n_tokens", "ids"],
+                    )
+                    held, done = held[ends[whole - 1] - at :], whole
+
+    docs = rows.mapInArrow(each, "shard int, doc_id long, local long, n_tokens long, ids binary")
+    return docs.join(F.broadcast(_bases(written)), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+
+
+def read_parts(written: DataFrame, freq: bytes) -> DataFrame:
+    """(shard, container, part, n_ids, ids) of every part, each decoded by itself in whatever task it is dealt to."""
+    rows = written.select("shard", "container", F.posexplode("parts").alias("part", "payload"))
+
+    def each(batches):
+        c = coder(freq)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = c.decode(batch.column(3)[i].as_buffer())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(3)), pa.array([len(ids)], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["shard", "container", "part", "n_ids", "ids"])
+
+    return rows.mapInArrow(each, "shard int, container int, part int, n_ids long, ids binary")
 
 
 def op2_rans(spark: SparkSession, sf_dir: str) -> DataFrame:

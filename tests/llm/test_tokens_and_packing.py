@@ -35,29 +35,32 @@ def test_ids_equal_the_library(texts):
 def test_round_trip(ids, times):
     ids = np.array(ids * times, dtype=np.int64)
     freq = op2_rans.quantise(np.bincount(ids, minlength=501)).tobytes()
-    assert op2_rans.unpack_blocks(op2_rans.pack_blocks(ids, freq), freq).tolist() == ids.tolist()
+    c = op2_rans.coder(freq)
+    assert [i for part in op2_rans.pack_blocks(ids, freq) for i in c.decode(part).tolist()] == ids.tolist()
 
 
 def test_parts_and_checksums():
     ids = np.random.default_rng(0).zipf(1.4, 400_000) % 3000
     freq = op2_rans.quantise(np.bincount(ids, minlength=3000)).tobytes()
     c = op2_rans.coder(freq)
-    steps, lanes = -(-300_000 // op2_rans.MAX_LANES), op2_rans.MAX_LANES
+    lanes = op2_rans.MAX_LANES
     old, op2_rans.CHECKPOINT_STEPS = op2_rans.CHECKPOINT_STEPS, 16
     try:
-        block = c.encode(ids[:300_000])
+        parts = c.encode(ids[:300_000])
     finally:
         op2_rans.CHECKPOINT_STEPS = old
-    marks = op2_rans.HEAD.unpack_from(block)[5]
-    assert marks == (steps - 1) // 16 and lanes > 1
-    parts = [c.decode(block, k)[0] for k in range(marks + 1)]
-    assert np.concatenate(parts).tolist() == ids[:300_000].tolist()
-    broken = bytearray(block)
-    broken[-1] ^= 1
-    with pytest.raises(ValueError):
-        c.decode(bytes(broken))
+    assert len(parts) == -(-300_000 // (16 * lanes)) > 3
+    # every part decodes by itself, in any order
+    got = [c.decode(p).tolist() for p in reversed(parts)][::-1]
+    assert [i for p in got for i in p] == ids[:300_000].tolist() and len(got[0]) == 16 * lanes
+    for k in (0, 2, len(parts) - 1):
+        for at in (op2_rans.HEAD.size + 1, -1):
+            broken = bytearray(parts[k])
+            broken[at] ^= 1
+            with pytest.raises(ValueError):
+                c.decode(bytes(broken))
     with pytest.raises(ValueError):
-        c.decode(struct.pack("<4s", b"none") + block[4:])
+        c.decode(struct.pack("<4s", b"none") + parts[0][4:])
 
 
 def test_quantised_frequencies():
@@ -80,10 +83,32 @@ def test_written_ids(spark, odd, wide, empty, tokenizer):
             want = plain(tokenizer, texts[r["doc_id"]], 2)
             assert (r["start"], r["n_tokens"], bytes(r["ids"])) == (at, len(want), want.tobytes())
             at += len(want)
+        # parts dealt to other tasks hold the same ids
+        parts = op2_rans.read_parts(written.repartition(4), freq).orderBy("shard", "container", "part").collect()
+        assert b"".join(bytes(p["ids"]) for p in parts) == b"".join(bytes(r["ids"]) for r in got)
     written, freq = op2_rans.write_ids(empty, partitions=2)
     assert op2_rans.read_ids(written, freq).count() == 0
 
 
+def test_documents_over_many_parts(spark, tokenizer, monkeypatch):
+    """Documents that span checkpoints and blocks, several containers a task."""
+    for name, value in (("BLOCK_IDS", 700), ("CONTAINER_IDS", 1500), ("CHECKPOINT_STEPS", 4), ("MAX_LANES", 16)):
+        monkeypatch.setattr(op2_rans, name, value)
+    texts = ["the cat sat on the mat " * k for k in (1, 300, 2, 0, 90, 40, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenised = [plain(tokenizer, t, 2) for t in texts]
+    freq = op2_rans.quantise(np.bincount(np.concatenate(tokenised))).tobytes()
+    rows, first = [], 0
+    for lo, hi in ((0, 2), (2, 7)):
+        ids = np.concatenate(tokenised[lo:hi]).astype(np.int64)
+        rows.append((0, lo, first, len(ids), list(range(lo, hi)), [len(x) for x in tokenised[lo:hi]], op2_rans.pack_blocks(ids, freq)))
+        first += len(ids)
+    written = spark.createDataFrame(rows, op2_rans.CONTAINER).coalesce(1)
+    assert len(rows[0][-1]) > 8
+    got = op2_rans.read_ids(written, freq).orderBy("start").collect()
+    assert [bytes(r["ids"]) for r in got] == [x.astype("<u4").tobytes() for x in tokenised]
+
+
 def test_query_2(spark, sf, tokenizer):
     got = {r["doc_id"]: r for r in op2_rans.op2_rans(spark, sf).collect()}
     at = 0
@@ -143,6 +168,17 @@ def test_packed_pieces(spark, odd, wide, empty, tokenizer):
     assert op3_packing.pack(op3_packing.pieces(empty)).count() == 0
 
 
+def test_equal_rows_and_clashing_columns(spark):
+    """A third of all rows alike, with no id: each has a place of its own, and groups stay even."""
+    rows = [(None, 0, 10, "x", "y")] * 300 + [(i, 0, 1 + i % 40, "x", "y") for i in range(600)]
+    items = spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id string, offset string")
+    got = op3_packing.pack(items, 40, group_pieces=100)
+    assert got.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    assert check_packing(got.collect(), 40) < 1.1 * sum(r[2] for r in rows) / 40 + 9
+    sizes = [r["n"] for r in got.groupBy((got["sequence_id"] / 2**40).cast("long").alias("g")).agg({"length": "count"}).toDF("g", "n").collect()]
+    assert len(sizes) == 9 and max(sizes) <= 140
+
+
 def test_sequences_hold_their_pieces(odd):
     packed = op3_packing.pack(op3_packing.pieces(odd, max_ids=64, with_ids=True), 64)
     made = {r["sequence_id"]: bytes(r["ids"]) for r in op3_packing.sequences(packed).collect()}
@@ -150,7 +186,14 @@ def test_sequences_hold_their_pieces(odd):
         assert made[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == bytes(r["ids"])
 
 
-def test_query_3(spark, sf):
+def test_query_3(spark, sf, tokenizer):
     rows = op3_packing.op3_packing(spark, sf).collect()
     n = check_packing(rows, 4096)
+    pieces = {}
+    for r in rows:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids, own = plain(tokenizer, d["text"], 1), sorted(pieces.pop(d["doc_id"]), key=lambda r: r["piece"])
+        assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in own] == [(k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    assert not pieces
     assert n <= -(-sum(r["length"] for r in rows) // 4096) * 1.05 + 1
