@@ -122,8 +122,10 @@ def test_neighbours(spark):
     centres = rng.normal(size=(12, 16))
     rows = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(3000)]
     rows += [(3000 + i, rows[7][1]) for i in range(60)]  # one very common vector
-    bad = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [None] + [1.0] * 15), (9004, [1.0] * 3), (None, [1.0] * 16), (9005, [float("inf")] + [0.0] * 15)]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows + bad], "vec_id long, embedding array<float>, label int")
+    bad = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] + [1.0] * 15), (9003, [None] + [1.0] * 15), (9004, []), (None, [1.0] * 16), (9005, [float("inf")] + [0.0] * 15)]
+    rows.append((9010, [1.0] * 3 + [0.0] * 13))
+    short = [(9010, [1.0] * 3), (9010, [1.0] * 3)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows[:-1] + short + bad], "vec_id long, embedding array<float>, label int")
     got = {}
     for r in op7_neighbours.search(df, lambda i: i % 20 == 0, leaf=128).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
