@@ -35,7 +35,7 @@ def held(i):
 
 def test_quality_on_held_out_rows(corpus):
     docs, labels = corpus
-    got = {r["doc_id"]: r["score"] for r in op8_quality.scores(docs, op8_quality.fit(docs, labels)).collect()}
+    got = {r["doc_id"]: r["score"] for r in op8_quality.scores(op8_quality.feature_rows(docs), op8_quality.learn(docs, labels)).collect()}
     rows = [(i, i % 5 > 0) for i in got if held(i)]
     right = sum((got[i] >= op8_quality.THRESHOLD) == good for i, good in rows)
     assert right / len(rows) > 0.97
@@ -44,30 +44,87 @@ def test_quality_on_held_out_rows(corpus):
 def test_quality_never_learns_from_held_out_labels(corpus):
     docs, labels = corpus
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = (op8_quality.fit(docs, x) for x in (labels, turned))
+    a, b = (op8_quality.learn(docs, x) for x in (labels, turned))
     np.testing.assert_array_equal(a.weights, b.weights)
 
 
+def moments(x):
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    return x.T @ x / len(x)
+
+
 def test_nnpu_with_a_known_prior():
     rng = np.random.default_rng(0)
     pos, unl = rng.normal(1.5, 1, (500, 2)), np.concatenate([rng.normal(1.5, 1, (300, 2)), rng.normal(-1.5, 1, (300, 2))])
-    w, b = op8_quality.fit_nnpu(pos.astype(np.float32), unl.astype(np.float32), 0.5)
-    z = unl @ w + b
-    assert ((z > 0) == (np.arange(600) < 300)).mean() > 0.95
+    w = op8_quality.fit_nnpu(moments(pos), moments(unl), 0.5)
+    assert ((unl @ w[:2] + w[2] > 0) == (np.arange(600) < 300)).mean() > 0.95
+    # few positives in many dimensions overfit: the estimator does not let the second term fall below zero
+    pos, unl = rng.normal(0.3, 1, (12, 60)), rng.normal(0, 1, (400, 60))
+    free = np.linalg.solve(moments(unl) + 1e-9 * np.eye(61), 2 * 0.9 * moments(pos)[-1] - moments(unl)[-1])
+    held = op8_quality.fit_nnpu(moments(pos), moments(unl), 0.9, ridge=0.0)
+    assert op8_quality.negative_risk(free, 0.9, moments(unl), moments(pos)) < 0
+    risk = lambda w: 0.9 * np.mean((1 - pos @ w[:-1] - w[-1]) ** 2) + max(0, op8_quality.negative_risk(w, 0.9, moments(unl), moments(pos)))
+    assert risk(held) < risk(free)
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.6, 0.9):
+        n = 40_000
+        good = rng.random(n) < share
+        h = lambda x: np.histogram(x, bins=op8_quality.BINS, range=(-4, 4))[0].astype(float)
+        pos, unl = rng.normal(1, 0.5, 4000), np.where(good, rng.normal(1, 0.5, n), rng.normal(-1, 0.5, n))
+        assert abs(op8_quality.best_bin_prior(h(pos), h(unl), 4000, n) - share) < 0.06
+        a, b = op8_quality.calibrate(pos, h(unl), share)
+        p = 1 / (1 + np.exp(-(a * unl + b)))
+        assert abs(p.mean() - share) < 0.06 and ((p > 0.5) == good).mean() > 0.95
+
+
+def test_sums_over_all_rows_are_those_of_numpy(corpus):
+    docs, labels = corpus
+    rows = docs.select("doc_id", "text").collect()
+    x = op8_quality.features(pa.array([r["text"] for r in rows]))
+    free = np.array([not held(r["doc_id"]) for r in rows])
+    m = op8_quality.learn(docs, labels)
+    np.testing.assert_allclose(m.mean, x[free].astype(float).mean(axis=0), rtol=1e-4, atol=1e-6)
+    np.testing.assert_allclose(m.spread, np.maximum(x[free].astype(float).std(axis=0), 1e-3), rtol=1e-3, atol=1e-5)
+
+
+def auc(score, good):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
+def test_query_8_on_held_out_labels(spark, sf):
+    """The whole query: scores follow from the model by hand, and rank held-out labels."""
+    big = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in op8_quality.op8_quality(spark, big).collect()}
+    assert len(got) == docs.count()
+    m = op8_quality.learn(docs, labels)
+    rows = docs.select("doc_id", "text").collect()
+    want = 1 / (1 + np.exp(-(m.slope * np.clip(m.raw(op8_quality.features(pa.array([r["text"] for r in rows]))).astype(float), -4, 4) + m.shift)))
+    np.testing.assert_allclose([got[r["doc_id"]]["score"] for r in rows], want, atol=1e-5)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == held(i) for i, r in got.items())
+    known = [(got[r["doc_id"]]["score"], r["quality"] == 1) for r in labels.where("quality is not null").collect() if held(r["doc_id"]) and r["doc_id"] in got]
+    s, good = (np.array(x) for x in zip(*known))
+    assert auc(s, good) > 0.95
 
 
 def test_quality_of_odd_rows(odd, wide, empty, corpus):
     docs, labels = corpus
-    model = op8_quality.fit(docs, labels)
+    model = op8_quality.learn(docs, labels)
     for rows in (odd, wide):
-        got = op8_quality.scores(rows, model).collect()
+        got = op8_quality.scores(op8_quality.feature_rows(rows), model).collect()
         assert len(got) == rows.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert op8_quality.scores(empty, model).count() == 0
-    assert op8_quality.fit(empty, labels) is None and op8_quality.fit(docs, labels.limit(0)) is None
-    assert {r["score"] for r in op8_quality.scores(odd, None).collect()} == {1.0}
+    assert op8_quality.scores(op8_quality.feature_rows(empty), model).count() == 0
+    assert op8_quality.learn(empty, labels) is None and op8_quality.learn(docs, labels.limit(0)) is None
+    assert {r["score"] for r in op8_quality.scores(op8_quality.feature_rows(odd), None).collect()} == {1.0}
     kept = op8_quality.keep_good(wide, model)
     assert kept.columns == wide.columns
-    positives = op8_quality.fit(docs, labels.where("quality = 1"))
+    positives = op8_quality.learn(docs, labels.where("quality = 1"))
     assert 0.01 <= positives.prior <= 0.99
 
 
