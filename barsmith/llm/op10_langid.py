@@ -19,12 +19,12 @@ read whole, in bounded slices of a batch; an empty table gives an empty one.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +37,15 @@ LONGEST = 5
 PENALTY = 7.0
 #: Words from which on more do not make the score more certain.
 SURE_WORDS = 20
-#: Chunks a worker remembers, and counts a task holds before it passes them on.
-CACHE_CHUNKS, HELD_WORDS = 200_000, 50_000
-#: Words for a language: runs of letters; the pattern also takes number signs, which ``words_of`` leaves out.
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Words that fell back to n-grams a worker remembers, twice over, and counts a task holds before it passes them on.
+CACHE_WORDS, HELD_WORDS = 60_000, 50_000
+#: Words are maximal runs of Unicode letters in lower case.
+_OTHER = r"[^\p{L}]+"
 
 
-def words_of(text: str) -> list[str]:
-    """Maximal runs of Unicode letters."""
-    found = _WORDS.findall(text)
-    if all(map(str.isalpha, found)):
-        return found
-    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+def letters(column: pa.Array) -> pa.Array:
+    """Texts in lower case with a blank for all that is no letter; null stays."""
+    return pc.replace_substring_regex(pc.utf8_lower(column.cast(pa.large_string())), _OTHER, " ")
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -62,14 +59,33 @@ class Model:
     langs: list[str]
     #: by length (0: whole words): entry -> -log10 frequency in each language
     known: list[dict[str, np.ndarray]]
-    cache: dict[str, int] = field(default_factory=dict)
-    sums: np.ndarray | None = None
+    #: rows of words met lately, and of those met before them
+    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    old: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"langs": self.langs, "known": self.known, "cache": {}, "sums": None}
+        return {"langs": self.langs, "known": self.known, "cache": {}, "old": {}}
 
     def forget(self) -> None:
-        self.cache, self.sums = {}, None
+        self.cache, self.old = {}, {}
+
+    def known_rows(self, words: list[str]) -> np.ndarray:
+        """The scores of words, a row each; worked out once while a worker remembers a word."""
+        if len(self.cache) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
+        cache, old, out = self.cache, self.old, np.zeros((len(words), len(self.langs)))
+        for i, w in enumerate(words):
+            row = cache.get(w)
+            if row is None:
+                row = self.known[0].get(w)
+                if row is None:
+                    row = old.get(w)
+                    if row is None:
+                        row = self.word(w)
+                    if len(w) <= 64:
+                        cache[w] = row
+            out[i] = row
+        return out
 
     def word(self, word: str) -> np.ndarray:
         """Score of a lower-case word for each language."""
@@ -80,40 +96,18 @@ class Model:
                 return sum(hits) / len(hits)
         return np.full(len(self.langs), PENALTY, dtype=np.float32)
 
-    def chunk(self, chunk: str) -> np.ndarray:
-        """Sum over the words in a chunk, and their number."""
-        out = np.zeros(len(self.langs) + 1, dtype=np.float32)
-        for w in words_of(chunk.lower()):
-            out[:-1] += self.word(w)
-            out[-1] += 1
-        return out
-
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         claim(f"langid-{id(self)}", self.forget)
         names, sure = [], []
-        for t in slices(column):
-            if len(self.cache) > CACHE_CHUNKS:
-                self.forget()
-            chunks = t.vocab.to_numpy(zero_copy_only=False).tolist()
-            at = list(map(self.cache.get, chunks))
-            new = [i for i, k in enumerate(at) if k is None]
-            have, need = 0 if self.sums is None else len(self.sums), len(self.cache) + len(new)
-            if need > have:  # grow by half at least
-                more = np.zeros((max(need, have * 3 // 2), len(self.langs) + 1), dtype=np.float32)
-                if have:
-                    more[:have] = self.sums
-                self.sums = more
-            for i in new:
-                k = at[i] = self.cache[chunks[i]] = len(self.cache)
-                self.sums[k] = self.chunk(chunks[i])
-            table_ = self.sums[at].astype(np.float64) if at else np.zeros((0, len(self.langs) + 1))
-            sums = row_sums(table_[t.codes], t.bounds) if len(t.codes) else np.zeros((len(t.bounds) - 1, len(self.langs) + 1))
-            words = sums[:, -1]
+        for t in slices(letters(column)):
+            vocab = t.vocab.to_numpy(zero_copy_only=False).tolist()
+            sums = row_sums(self.known_rows(vocab)[t.codes], t.bounds) if len(t.codes) else np.zeros((len(t.bounds) - 1, len(self.langs)))
+            words = np.diff(t.bounds)
             if not self.langs:
                 names += ["und"] * len(words)
                 sure.append(np.zeros(len(words)))
                 continue
-            mean = sums[:, :-1] / np.maximum(words, 1)[:, None]
+            mean = sums / np.maximum(words, 1)[:, None]
             best = mean.argmin(axis=1)
             odds = np.exp(-math.log(10) * (mean - mean.min(axis=1)[:, None]) * np.minimum(words, SURE_WORDS)[:, None])
             names += [self.langs[b] if w else "und" for b, w in zip(best.tolist(), words.tolist())]
@@ -125,11 +119,14 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, keep: int = KEE
     """Learn from text and non-null lang of documents that are not held out."""
     small_batches(docs.sparkSession)
     ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # of n documents the least hashes lie below a share of their range that only the count sets: the window of a
+    # language then orders little more than it keeps, however large the language
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.lit(docs_a_language + 8 * math.sqrt(docs_a_language)) / F.col("n")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # a language's candidates are first cut in salted parts, so that the largest language is not one task's
-    part = Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64))).withColumn("k", F.row_number().over(part)).where(F.col("k") <= docs_a_language)
-    some = some.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= docs_a_language).select("doc_id").distinct()
+    near = ids.withColumn("place", place).join(F.broadcast(sizes), "lang").where(F.col("place") < share)  # a row a language
+    some = near.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= docs_a_language).select("doc_id").distinct()
     chosen = some.toArrow().column(0).to_pylist()  # at most docs_a_language for each language
     few = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
 
@@ -149,8 +146,8 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, keep: int = KEE
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "n", "gram", "c"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(lang, Counter()).update(words_of((text or "").lower()))
+            for lang, text in zip(batch.column(0).to_pylist(), letters(batch.column(1)).to_pylist()):
+                held.setdefault(lang, Counter()).update((text or "").split())
                 if sum(map(len, held.values())) > HELD_WORDS:
                     yield out()
         yield out()
