@@ -13,7 +13,7 @@ from barsmith.llm.common import stage, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold go."""
-    return op8_quality.keep_good(docs, op8_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return op8_quality.keep_good(docs, op8_quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
