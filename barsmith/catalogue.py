@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
-from barsmith.operators import factor, period, prepare, rolling, screen, stocks
+from barsmith.operators import factor, period, prepare, relative, rolling, screen, stocks
 from barsmith.plans import evaluation, expression, features
-from barsmith.plans.staged import apply, needed, rounded, select, to_sql
+from barsmith.plans.staged import apply, needed, rounded, select, significant, to_sql
 from barsmith.sources import bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,21 +27,21 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _columns(names, digits: int = 4, keys=(KEY, DATE)) -> dict:
-    return {**{k: k for k in keys}, **{n: rounded(n, digits) for n in names}}
+def _columns(names, keys=(KEY, DATE)) -> dict:
+    return {**{k: k for k in keys}, **{n: significant(n) for n in names}}
 
 
 # --- bars and panels ---------------------------------------------------------------------------------------------
 
 for _kind in ("events", "lineitem"):
     _names = ["open", "high", "low", "close", "vol", "amount", "log_return"]
-    query(f"panel_{_kind}", to_sql(bars.panel_sql(_kind), "panel", [], _columns(_names, 3)))(lambda s, d, k=_kind, n=_names: select(bars.panel(s, d, k), _columns(n, 3)))
+    query(f"panel_{_kind}", to_sql(bars.panel_sql(_kind), "panel", [], _columns(_names)))(lambda s, d, k=_kind, n=_names: select(bars.panel(s, d, k), _columns(n)))
 
 # --- rolling indicators ------------------------------------------------------------------------------------------
 
 
-def _rolling(name: str, kind: str, window: int, metrics: tuple[str, ...], digits: int = 3) -> None:
-    stages, columns = needed(rolling.stages(window), metrics), _columns(metrics, digits)
+def _rolling(name: str, kind: str, window: int, metrics: tuple[str, ...]) -> None:
+    stages, columns = needed(rolling.stages(window), metrics), _columns(metrics)
     query(name, to_sql(bars.panel_sql(kind), "panel", stages, columns))(lambda s, d: select(apply(bars.panel(s, d, kind), stages), columns))
 
 
@@ -68,34 +68,82 @@ def _state_sql(window: int) -> str:
     line = lambda x: f"list_reduce(list_prepend(50.0, coalesce(list({x}) FILTER (WHERE {x} IS NOT NULL AND row_no > 1 AND RSV IS NOT NULL) OVER ({far}), [])), lambda a, v: v / 3 + a * (1 - 1 / 3.0))"
     extra = [{"EMA": ema("close"), "KDJ_K_3": line("RSV")}, {"ema_two": ema("EMA"), "KDJ_D_3": line("KDJ_K_3")}, {"ema_three": ema("ema_two")}]
     extra += [{"ema_prev": f"lag(ema_three, 1) OVER (PARTITION BY {KEY} ORDER BY {DATE})"}, {"TRIX": "(ema_three - ema_prev) / nullif(ema_prev, 0) * 100"}]
-    return to_sql(bars.panel_sql(), "panel", needed(rolling.stages(window), ["RSV", "row_no"]) + extra + rolling.state_stages(), _columns(_STATE, 3))
+    return to_sql(bars.panel_sql(), "panel", needed(rolling.stages(window), ["RSV", "row_no"]) + extra + rolling.state_stages(), _columns(_STATE))
 
 
-query("rolling_state_5", _state_sql(5))(lambda s, d: select(rolling.with_state(bars.panel(s, d), 5), _columns(_STATE, 3)))
+query("rolling_state_5", _state_sql(5))(lambda s, d: select(rolling.with_state(bars.panel(s, d), 5), _columns(_STATE)))
 
 
 @query("rolling_long")
 def _rolling_long(spark, sf_dir):
-    return rolling.long_table(bars.panel(spark, sf_dir), ["CloseMA", "RSI", "PSY", "OBV"], (3, 5, 10)).selectExpr(KEY, DATE, "metric", "window", "floor(CAST(value AS DOUBLE) * 1000 + 0.500001) / CAST(1000 AS DOUBLE) AS value")
+    return rolling.long_table(bars.panel(spark, sf_dir), ["CloseMA", "RSI", "PSY", "OBV"], (3, 5, 10)).selectExpr(KEY, DATE, "metric", "window", f"{significant('value')} AS value")
 
 
+# --- the present against the past, long-short lines --------------------------------------------------------------
+
+
+def _relative_sql(current: int, months: int, history: str) -> str:
+    """Written out with a join of each day's history, apart from the engine's sliding frames.  current: trading days."""
+    now = f"PARTITION BY {KEY} ORDER BY {DATE} ROWS BETWEEN {current - 1} PRECEDING AND CURRENT ROW"
+    names = {
+        "ReturnZScore": "(any_value(e.lvl) - avg(p.r)) / nullif(stddev_samp(p.r), 0)",
+        "ReturnPercentile": "CASE WHEN any_value(e.ret) IS NOT NULL THEN count(*) FILTER (WHERE p.ret <= e.ret)::DOUBLE / nullif(count(p.ret), 0) END",
+        "AverageDeviationReturn": "(any_value(e.lvl) - avg(p.r)) / nullif(avg(p.r), 0)",
+        "VolatilityRollingRatio": "any_value(e.dev) / nullif(stddev_samp(p.r), 0)",
+        "VolatilityPercentile": "CASE WHEN any_value(e.vol_) IS NOT NULL THEN count(*) FILTER (WHERE p.vol_ <= e.vol_)::DOUBLE / nullif(count(p.vol_), 0) END",
+    }
+    return f"""WITH {bars.panel_sql('lineitem')},
+c0 AS (SELECT {KEY}, {DATE}, log_return AS r, row_number() OVER (PARTITION BY {KEY} ORDER BY {DATE}) > {current} AS whole, sum(log_return) OVER ({now}) AS s, avg(log_return) OVER ({now}) AS m, stddev_samp(log_return) OVER ({now}) AS sd,
+  greatest(min({DATE}) OVER (PARTITION BY {KEY}), min(CASE WHEN log_return IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY})) AS since FROM panel),
+c AS (SELECT *, CASE WHEN whole THEN round(s, 10) END AS ret, CASE WHEN whole THEN m END AS lvl, CASE WHEN whole THEN sd END AS dev, CASE WHEN whole THEN round(sd, 10) END AS vol_ FROM c0),
+h AS (SELECT e.{KEY}, e.{DATE}, {', '.join(f'CASE WHEN any_value(e.{DATE} - INTERVAL {months} MONTH >= e.since) THEN {x} END AS {n}_{history}' for n, x in names.items())}
+  FROM c e JOIN c p ON p.{KEY} = e.{KEY} AND p.{DATE} <= e.{DATE} AND p.{DATE} > e.{DATE} - INTERVAL {months} MONTH GROUP BY e.{KEY}, e.{DATE})
+SELECT {KEY}, {DATE}, {', '.join(f'{significant(f"{n}_{history}")} AS {n}_{history}' for n in names)} FROM h"""
+
+
+for _history, _months in (("2m", 2), ("6m", 6), ("1y", 12), ("2y", 24)):
+    for _days in (5, 25):
+        _names = [f"{b}_{_history}" for b in relative.BASES]
+
+        def _run_relative(s, d, days=_days, history=_history, names=_names):
+            return select(relative.relative_metrics(bars.panel(s, d, "lineitem"), f"{days}d", history), _columns(names))
+
+        query(f"relative_{_history}_{_days}d", _relative_sql(_days, _months, _history))(_run_relative)
+
+
+@query("relative_2y_6m")
+def _relative_calendar(spark, sf_dir):
+    return select(relative.relative_metrics(bars.panel(spark, sf_dir, "lineitem"), "6m", "2y"), _columns([f"{b}_2y" for b in relative.BASES]))
+
+
+_MEAN = lambda n, x="close": f"CASE WHEN row_number() OVER w >= {n} THEN avg({x}) OVER (w ROWS {n - 1} PRECEDING) END"
+_ADX_SQL = to_sql(bars.panel_sql("lineitem"), "panel", needed(rolling.stages(14), ["ADX_6", "row_no"]), {KEY: KEY, DATE: DATE, "close": "close", "ADX_6": "ADX_6", "row_no": "row_no"})
+query("lines_long_short", f"""WITH a AS ({_ADX_SQL}), b AS (SELECT *, ({_MEAN(3)} + {_MEAN(6)} + {_MEAN(12)} + {_MEAN(24)}) / 4 AS BBI, {_MEAN(10)} - {_MEAN(50)} AS gap,
+  CASE WHEN count(ADX_6) OVER (w ROWS 5 PRECEDING) = 6 THEN regr_slope(ADX_6, row_no) OVER (w ROWS 5 PRECEDING) END AS ADXSlop_6 FROM a WINDOW w AS (PARTITION BY {KEY} ORDER BY {DATE})),
+c AS (SELECT *, CASE WHEN row_number() OVER w >= 59 THEN avg(gap) OVER (w ROWS 9 PRECEDING) END AS DMA FROM b WINDOW w AS (PARTITION BY {KEY} ORDER BY {DATE}))
+SELECT {KEY}, {DATE}, {', '.join(f'{rounded(x)} AS {x}' for x in ('BBI', 'DMA', 'ADXSlop_6'))} FROM c""")(
+    lambda s, d: select(relative.long_short_lines(bars.panel(s, d, "lineitem"), ("BBI", "DMA", "ADXSlop_6")), {KEY: KEY, DATE: DATE, **{x: rounded(x) for x in ("BBI", "DMA", "ADXSlop_6")}})
+)
+_EMA = lambda x, span: f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) OVER (PARTITION BY {KEY} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING), lambda a, v: v * 2.0 / ({span} + 1) + a * ({span} - 1.0) / ({span} + 1))"
+query("lines_macd", f"""WITH {bars.panel_sql()}, a AS (SELECT {KEY}, {DATE}, {_EMA('close', 12)} - {_EMA('close', 26)} AS DIF FROM panel), b AS (SELECT *, {_EMA('DIF', 9)} AS DEA FROM a)
+SELECT {KEY}, {DATE}, {rounded('DIF')} AS DIF, {rounded('DEA')} AS DEA, {rounded('2 * (DIF - DEA)')} AS MACD FROM b""")(
+    lambda s, d: select(relative.long_short_lines(bars.panel(s, d), ("DIF", "DEA", "MACD")), {KEY: KEY, DATE: DATE, **{x: rounded(x) for x in ("DIF", "DEA", "MACD")}})
+)
+
 # --- period metrics ----------------------------------------------------------------------------------------------
 
-#: All metrics but a by-product whose yearly power of a short window's return overflows.
-_PERIOD_METRICS = tuple(m for m in period.METRICS if m != "AnnReturnDrawDownRatio")
-for _period, _kind in (("5d", "events"), ("10d", "events"), ("2w", "events"), ("5m", "lineitem"), ("1y", "lineitem"), ("mtd", "lineitem")):
-    _sql = period.period_metrics_sql(bars.panel_sql(_kind), _period, _PERIOD_METRICS, digits=3)
+for _period, _kind in (("5d", "events"), ("10d", "events"), ("2w", "events"), ("5m", "lineitem"), ("1y", "lineitem"), ("mtd", "lineitem"), ("qtd", "lineitem"), ("ytd", "lineitem")):
+    _sql = period.period_metrics_sql(bars.panel_sql(_kind), _period)
 
     def _run(s, d, p=_period, k=_kind):
-        out = period.period_metrics(bars.panel(s, d, k), p, _PERIOD_METRICS)
-        return out.selectExpr(KEY, period.END, *(f"floor(CAST({m} AS DOUBLE) * 1000 + 0.500001) / CAST(1000 AS DOUBLE) AS {m}" for m in _PERIOD_METRICS))
+        return period.period_metrics(bars.panel(s, d, k), p).selectExpr(KEY, period.END, *(f"{significant(m)} AS {m}" for m in period.METRICS))
 
     query(f"period_{_period}", _sql)(_run)
 
 
 @query("period_hurst_5m")
 def _hurst(spark, sf_dir):
-    return period.hurst(bars.panel(spark, sf_dir, "lineitem"), "5m").selectExpr(KEY, period.END, "floor(CAST(HurstExponent AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS HurstExponent")
+    return period.hurst(bars.panel(spark, sf_dir, "lineitem"), "5m").selectExpr(KEY, period.END, f"{rounded('HurstExponent')} AS HurstExponent")
 
 
 # --- factor operators --------------------------------------------------------------------------------------------

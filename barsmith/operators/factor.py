@@ -8,15 +8,18 @@ window unless said otherwise; a window counts panel rows, so densify first.
 
 from __future__ import annotations
 
+import inspect
 import math
+import re
 from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barsmith.functions.decay import decay
 from barsmith.functions.dialect import BY_CODE, BY_DATE, DATE, KEY, Duck, Spark, finite, ratio, rows, so_far
 
 OPERATORS: dict[str, Callable] = {}
@@ -29,6 +32,12 @@ def register_operator(name: str, build: Callable) -> None:
     OPERATORS[name] = build
 
 
+def operator_docs(spark: SparkSession) -> DataFrame:
+    """(name, signature, doc) of every operator, for those who write expressions."""
+    rows_ = [(n, f"({', '.join(list(map(str, inspect.signature(f).parameters.values()))[1:])})", inspect.getdoc(f) or "") for n, f in sorted(OPERATORS.items())]
+    return spark.createDataFrame(rows_, "name string, signature string, doc string")
+
+
 def operator(f: Callable) -> Callable:
     register_operator(f.__name__, f)
     return f
@@ -50,14 +59,26 @@ class FactorPlan:
         return self.known[text]
 
     def apply(self, df: DataFrame) -> DataFrame:
+        waiting: dict[str, str] = {}  # statistics of the whole array: one aggregate gathers all that nothing has asked for yet
+
+        def gathered(df: DataFrame) -> DataFrame:
+            if not waiting:
+                return df
+            made = df.agg(*(F.expr(e).alias(n) for n, e in waiting.items()))
+            waiting.clear()
+            return df.join(F.broadcast(made))  # one row
+
         for kind, name, what in self.steps:
+            text = (what(Spark) if callable(what) else what) if kind != "fold" else what[0]
+            if kind == "fold" or set(re.findall(r"\w+", text)) & set(waiting):
+                df = gathered(df)
             if kind == "expr":
-                df = df.selectExpr("*", f"{what(Spark) if callable(what) else what} AS `{name}`")
-            elif kind == "whole":  # a statistic of the whole array, as a column
-                df = df.join(F.broadcast(df.agg(F.expr(what(Spark)).alias(name))))
+                df = df.selectExpr("*", f"{text} AS `{name}`")
+            elif kind == "whole":
+                waiting[name] = text
             else:
                 df = _fold(df, name, *what)
-        return df
+        return gathered(df)
 
     def sql(self, base: str, source: str, columns: list[str]) -> str:
         parts, prev = [base], source
@@ -78,19 +99,17 @@ def _fold(df: DataFrame, name: str, x: str, alpha: float, axis: int) -> DataFram
     """Exponential average of a column; a gap gives null but keeps the state."""
     by, along = (KEY, DATE) if axis == 0 else (DATE, KEY)
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(along)
-        out, state = np.full(len(pdf), np.nan), np.nan
-        for i, v in enumerate(pdf[x].to_numpy(float)):
-            if v == v:
-                state = v if state != state else alpha * v + (1 - alpha) * state
-                out[i] = state
-        return pdf.assign(**{name: out})
+    def each(t: pa.Table) -> pa.Table:
+        t = t.sort_by(along)
+        v = t.column(x).to_numpy().astype(float)
+        known = ~np.isnan(v)
+        out = np.full(len(v), np.nan)
+        if known.any():
+            out[known] = decay(v[known], alpha, v[known][0])
+        return t.append_column(name, pa.array(out, pa.float64(), mask=~known))
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    out = df.groupBy(by).applyInPandas(each, f"{kinds}, `{name}` double")
-    # pandas turns nulls into NaN on the way
-    return out.select(*(F.expr(f"nullif(`{n}`, CAST('NaN' AS DOUBLE))").alias(n) if t == "double" else F.col(n) for n, t in out.dtypes))
+    return df.groupBy(by).applyInArrow(each, f"{kinds}, `{name}` double")
 
 
 def _order(axis: int) -> str:

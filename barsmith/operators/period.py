@@ -1,9 +1,10 @@
 """Period metrics: risk and return of the window that ends on each date.
 
 A period is so many trading days ("20d") or a calendar span ("5m", "1y", "2w"),
-the half-open interval (start, end].  A code's rows of each window are laid out
-from a window frame, without a join, and aggregated; as the rows are already
-dealt by code, the grouping by code and end date needs no further shuffle.
+the half-open interval (start, end].  Rows are dealt by code once.  A code's
+windows are rows of matrices that NumPy views in its history, a bounded number
+at a time; the numbers of each window go back as one row, and the metrics are
+expressions over them.  The SQL that checks the metrics lays windows out by a join.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ from collections.abc import Iterable
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY, Duck, Spark, ratio
-from barsmith.plans.staged import Stage, apply
+from barsmith.plans.staged import Stage, apply, significant
 
 #: Yearly risk-free rate, and days a year for returns and for volatility.
 RISK_FREE, RETURN_DAYS, TRADING_DAYS = 0.015, 365, 252
@@ -47,20 +47,164 @@ def start_of(period: str, end: str, dialect) -> str:
     return dialect.minus_days(end, 7 * n) if unit == "w" else dialect.months(end, -n)
 
 
-def members(panel: DataFrame, period: str) -> DataFrame:
-    """Rows of each eligible window: (ts_code, end_date, natural_days, trade_date, r, close, high, low, vol)."""
-    row = f"named_struct('{DATE}', {DATE}, 'r', log_return, 'close', close, 'high', high, 'low', low, 'vol', vol)"
-    base = panel.selectExpr(KEY, DATE, f"{row} AS bar", f"min(CASE WHEN log_return IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY}) AS first_day", f"min({DATE}) OVER (PARTITION BY {KEY}) AS first_row")
+#: Elements of the window matrices that one step works on.
+_CELLS = 1 << 20
+
+
+def framed(panel: DataFrame, period: str) -> DataFrame:
+    """panel rows with the first day of the window that ends on them, null where the window is not eligible."""
     unit, n = ("m", 12) if period in ("mtd", "qtd", "ytd") else parse(period)
-    if unit == "d":
-        frame = f"PARTITION BY {KEY} ORDER BY {DATE} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
-        out = base.selectExpr(KEY, f"{DATE} AS {END}", f"lag({DATE}, {n}) OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS start", "first_day", "first_row", f"collect_list(bar) OVER ({frame}) AS bars")
-    else:
-        days = 7 * n if unit == "w" else 31 * n
-        frame = f"PARTITION BY {KEY} ORDER BY {DATE} RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND CURRENT ROW"
-        out = base.selectExpr(KEY, f"{DATE} AS {END}", f"{start_of(period, DATE, Spark)} AS start", "first_day", "first_row", f"collect_list(bar) OVER ({frame}) AS bars")
-    out = out.where("start IS NOT NULL AND start >= first_row AND first_day <= start")
-    return out.selectExpr(KEY, END, f"datediff({END}, start) AS natural_days", f"inline(filter(bars, b -> b.{DATE} > start))")
+    start = f"lag({DATE}, {n}) OVER (PARTITION BY {KEY} ORDER BY {DATE})" if unit == "d" else start_of(period, DATE, Spark)
+    base = panel.selectExpr(KEY, DATE, "log_return AS r", "close", "high", "low", "vol", f"{start} AS start", f"min(CASE WHEN log_return IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY}) AS first_day", f"min({DATE}) OVER (PARTITION BY {KEY}) AS first_row")
+    return base.selectExpr(KEY, DATE, "r", "close", "high", "low", "vol", "CASE WHEN start >= first_row AND first_day <= start THEN start END AS start")
+
+
+def windows(t: pa.Table):
+    """For runs of a code's rows (by date) with a window: (rows, inside, take), where take(x) lays a column out as a
+    row a window, its values at the right end and NaN before them."""
+    day = t.column(DATE).combine_chunks().cast(pa.int32()).to_numpy()
+    start = t.column("start").combine_chunks().cast(pa.int32())
+    ends = np.flatnonzero(np.asarray(start.is_valid()))
+    lows = np.searchsorted(day, start.to_numpy(zero_copy_only=False)[ends].astype(np.int64), side="right")
+    at = 0
+    while at < len(ends):
+        width = int((ends[at : at + 64] - lows[at : at + 64]).max()) + 1
+        many = max(1, min(len(ends) - at, _CELLS // width))
+        rows_, low = ends[at : at + many], lows[at : at + many]
+        width = int((rows_ - low).max()) + 1
+        place = rows_[:, None] + np.arange(1 - width, 1)[None, :]
+        inside = place >= low[:, None]
+        place = np.maximum(place, 0)
+        yield rows_, inside, lambda x, place=place, inside=inside: np.where(inside, x[place], np.nan)
+        at += many
+
+
+def _moments(x: np.ndarray):
+    """Number, mean and deviations from it (0 where a value is missing) of each row."""
+    known = ~np.isnan(x)
+    n = known.sum(axis=1)
+    mean = np.where(n > 0, np.where(known, x, 0).sum(axis=1) / np.maximum(n, 1), np.nan)
+    return known, n, mean, np.where(known, x - np.where(n > 0, mean, 0)[:, None], 0)
+
+
+def _deviation(x: np.ndarray, ddof: int) -> np.ndarray:
+    _, n, _, dev = _moments(x)
+    return np.where(n > ddof, np.sqrt((dev * dev).sum(axis=1) / np.maximum(n - ddof, 1)), np.nan)
+
+
+def _quantiles(x: np.ndarray, shares: Iterable[float]) -> list[np.ndarray]:
+    """Percentiles with linear interpolation of each row's values."""
+    x = np.sort(x, axis=1)  # missing ones last
+    n = (~np.isnan(x)).sum(axis=1)
+    rows_, out = np.arange(len(x)), []
+    for q in shares:
+        at = q * np.maximum(n - 1, 0)
+        low = np.floor(at).astype(int)
+        a, b = x[rows_, low], x[rows_, np.minimum(low + 1, np.maximum(n - 1, 0))]
+        out.append(np.where(n > 0, a + (b - a) * (at - low), np.nan))
+    return out
+
+
+def _regression(y: np.ndarray, idx: np.ndarray):
+    """Sums of squares and products about the means of idx and y, over rows where y is known."""
+    known, n, _, dev = _moments(y)
+    x = np.where(known, idx, np.nan)
+    _, _, _, dx = _moments(x)
+    some = n > 0
+    return [np.where(some, v, np.nan) for v in ((dx * dx).sum(axis=1), (dev * dev).sum(axis=1), (dx * dev).sum(axis=1))]
+
+
+def _last_known(x: np.ndarray) -> np.ndarray:
+    """The last value before each place of a row that is not missing."""
+    at = np.where(np.isnan(x), -1, np.arange(x.shape[1])[None, :])
+    at = np.maximum.accumulate(at, axis=1)
+    at = np.concatenate([np.full((len(x), 1), -1), at[:, :-1]], axis=1)
+    return np.where(at >= 0, np.take_along_axis(x, np.maximum(at, 0), axis=1), np.nan)
+
+
+def window_numbers(inside: np.ndarray, r: np.ndarray, close: np.ndarray, high: np.ndarray, low: np.ndarray, vol: np.ndarray) -> dict[str, np.ndarray]:
+    """What ``aggregates`` says of each window, a row of a matrix each."""
+    width = r.shape[1]
+    m = inside.sum(axis=1)
+    idx = (np.arange(width)[None, :] - (width - m)[:, None]).astype(float)
+    known, n, mu, dev = _moments(r)
+    z = np.where(known, r, 0)
+    count = np.maximum(n, 1)
+    mean_of = lambda x, k: np.where(k > 0, x.sum(axis=1) / np.maximum(k, 1), np.nan)
+    pos, neg = np.where(r > 0, r, np.nan), np.where(r < 0, r, np.nan)
+    n_pos, n_neg = (r > 0).sum(axis=1), (r < 0).sum(axis=1)
+    top = lambda x: np.where(np.isnan(x).all(axis=1), np.nan, np.where(np.isnan(x), -np.inf, x).max(axis=1))
+    out = {"n_rows": m, "n": n, "tot": z.sum(axis=1), "mu": mu, "sd": _deviation(r, 1), "hi": top(r), "lo": -top(-r)}
+    out |= {"pos": np.where(r > 0, r, 0).sum(axis=1), "neg": np.where(r < 0, r, 0).sum(axis=1), "n_pos": n_pos, "n_neg": n_neg}
+    for k in (2, 3, 4):
+        out[f"m{k}"] = np.where(n > 0, (dev**k).sum(axis=1) / count, np.nan)
+    out["mad"] = np.where(n > 0, np.abs(dev).sum(axis=1) / count, np.nan)
+    # drawdown of the close from its peak in the window
+    peak = np.maximum.accumulate(np.where(np.isnan(close), -np.inf, close), axis=1)
+    with np.errstate(all="ignore"):
+        dd = np.where(inside & ~np.isnan(close) & (peak != 0), close / peak - 1, 0.0)
+    worst = np.where(inside, dd, np.inf).min(axis=1)
+    worst_idx = np.where(inside & (dd == worst[:, None]), idx, -1).max(axis=1)
+    peak_idx = np.where(inside & (dd >= 0) & (idx <= worst_idx[:, None]), idx, -1).max(axis=1)
+    out |= {"mdd": worst, "mdd_idx": worst_idx, "peak_idx": np.where(peak_idx >= 0, peak_idx, np.nan), "dd2": (np.where(inside, dd, 0) ** 2).sum(axis=1) / np.maximum(m, 1)}
+    outside = lambda x: np.where(inside, x, np.nan)
+    out |= {"down": _deviation(outside(np.where(r < DAILY_RATE, r - DAILY_RATE, 0.0)), 1), "up": _deviation(outside(np.where(r > 0, r, 0.0)), 1)}
+    out |= {"pos_sd": _deviation(pos, 0), "pos_mu": _moments(pos)[2], "neg_sd": _deviation(neg, 0), "neg_mu": _moments(neg)[2]}
+    out |= {"gains": np.where(r > DAILY_RATE, r - DAILY_RATE, 0).sum(axis=1), "losses": np.where(r < DAILY_RATE, DAILY_RATE - r, 0).sum(axis=1)}
+    out["sxx"], out["syy"], out["sxy"] = _regression(np.where(known, np.cumsum(z, axis=1), np.nan), idx)
+    with np.errstate(all="ignore"):
+        out["pxx"], out["pyy"], out["pxy"] = _regression(np.where(close > 0, np.log(close), np.nan), idx)
+    _, n_low, _, low_dev = _moments(np.where(r < DAILY_RATE, r, np.nan))
+    out["low3"] = mean_of(low_dev**3, n_low)
+    out |= {"v_mu": _moments(vol)[2], "v_sd": _deviation(vol, 1)}
+    out["vxx"], _, out["vxy"] = _regression(vol, idx)
+    out |= {"max_high": top(high), "min_low": -top(-low), "avg_high": _moments(high)[2], "avg_low": _moments(low)[2], "n_close": (~np.isnan(close)).sum(axis=1)}
+    before = np.concatenate([np.full((len(r), 1), -np.inf), peak[:, :-1]], axis=1)
+    out["highs"] = (close > before).sum(axis=1)
+    out["med"], *rest = _quantiles(r, (0.5, 0.01, 0.05, 0.1, 0.9, 0.95, 0.99))
+    out |= dict(zip(("q1", "q5", "q10", "q90", "q95", "q99"), rest))
+    out["win90"], out["win95"] = _quantiles(pos, (0.9, 0.95))
+    out["lose90"], out["lose95"] = _quantiles(-neg, (0.9, 0.95))
+    total = np.concatenate([np.zeros((len(r), 1)), np.cumsum(z, axis=1)], axis=1)
+    some = np.concatenate([np.zeros((len(r), 1)), np.cumsum(known, axis=1)], axis=1)
+    for k in (1, 5, 10):
+        x = r
+        if k > 1:  # sums of whole blocks of rows, at their last row
+            ends = inside & (idx % k == k - 1)
+            x = np.full(r.shape, np.nan)
+            x[:, k - 1 :] = np.where(ends[:, k - 1 :] & (some[:, k:] > some[:, :-k]), total[:, k:] - total[:, :-k], np.nan)
+        was = _last_known(x)
+        for name, a, b in (("ww", was >= 0, x >= 0), ("ll", was < 0, x < 0), ("wl", was >= 0, x < 0), ("lw", was < 0, x >= 0)):
+            out[f"{name}{k}"] = (a & b).sum(axis=1)
+    return out
+
+
+def window_aggregates(panel: DataFrame, period: str) -> DataFrame:
+    """(ts_code, end_date, the columns of aggregates) of each eligible window.
+
+    A code's history is one Arrow table; its windows are views of it, so many at a time that a step's matrices
+    have a bounded size, and no row is copied into the windows that hold it."""
+    names = [n for n in aggregates() if n != "days"]
+    whole = {"n_rows", "n", "n_pos", "n_neg", "n_close", "highs", *(f"{a}{k}" for a in ("ww", "ll", "wl", "lw") for k in (1, 5, 10))}
+    kind = {n: "long" if n in whole else "double" for n in names}
+
+    def each(t: pa.Table) -> pa.Table:
+        t = t.sort_by(DATE)
+        cols = {c: t.column(c).to_numpy().astype(float) for c in ("r", "close", "high", "low", "vol")}
+        day = t.column(DATE).combine_chunks().cast(pa.int32()).to_numpy()
+        start = t.column("start").combine_chunks().cast(pa.int32()).to_numpy(zero_copy_only=False)
+        parts = []
+        for rows_, inside, take in windows(t):
+            got = window_numbers(inside, *(take(cols[c]) for c in ("r", "close", "high", "low", "vol")))
+            made = [t.column(KEY).take(pa.array(rows_)), t.column(DATE).take(pa.array(rows_)), pa.array((day[rows_] - start[rows_]).astype(np.int32))]
+            for n in names:
+                x = got[n]
+                made.append(pa.array(x.astype(np.int64)) if kind[n] == "long" else pa.array(x.astype(float), mask=np.isnan(x)))
+            parts.append(pa.table(made, names=[KEY, END, "days", *names]))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], k) for k in (pa.string(), pa.date32(), pa.int32(), *(pa.int64() if kind[n] == "long" else pa.float64() for n in names))], names=[KEY, END, "days", *names])
+
+    schema = f"{KEY} string, {END} date, days int, " + ", ".join(f"{n} {kind[n]}" for n in names)
+    return framed(panel, period).groupBy(KEY).applyInArrow(each, schema)
 
 
 def members_sql(period: str) -> str:
@@ -73,7 +217,7 @@ members AS (SELECT e.{KEY}, e.{END}, (e.{END} - e.start)::INT AS natural_days, p
 
 
 def row_stages() -> list[Stage]:
-    """What a row needs to know of its window."""
+    """What a row needs to know of its window, in the SQL that checks the window matrices."""
     pair = lambda x: {f"was_{x}": lambda d, x=x: d.last(x, _BEFORE)}
     block = lambda n: f"CASE WHEN idx % {n} = {n - 1} THEN sum(r) OVER (PARTITION BY {KEY}, {END}, CAST(floor(idx / {n}) AS INT)) END"
     return [
@@ -177,7 +321,8 @@ def result_stages() -> list[Stage]:
         "MaxDrawDown": "mdd",
         "MaxDrawDownDays": "mdd_idx - peak_idx",
         "ReturnDrawDownRatio": _or0("exp(tot) - 1", "abs(mdd)"),
-        "AnnReturnDrawDownRatio": ratio(f"power(exp(tot), {float(RETURN_DAYS)} / days) - 1", "abs(mdd)"),
+        # a yearly return beyond e^700 is no number
+        "AnnReturnDrawDownRatio": f"CASE WHEN tot * {float(RETURN_DAYS)} / days < 700 THEN {ratio(f'exp(tot * {float(RETURN_DAYS)} / days) - 1', 'abs(mdd)')} END",
         "DrawDownSlope": _or0("abs(mdd)", "mdd_idx - peak_idx"),
         "UlcerIndex": "sqrt(dd2)",
         "SharpeRatio": _or0(f"tot - {rf}", "sd"),
@@ -236,13 +381,22 @@ METRICS = tuple(n for stage in result_stages() for n in stage)
 def period_metrics(panel: DataFrame, period: str, metrics: Iterable[str] = METRICS) -> DataFrame:
     """(ts_code, end_date, metrics): null where a window has fewer than two returns; windows of one row are left out."""
     metrics = [m.replace("-", "_") for m in metrics]
-    rows = apply(members(panel, period), row_stages())
-    made = rows.groupBy(KEY, END).agg(*(F.expr(e(Spark) if callable(e) else e).alias(n) for n, e in aggregates().items())).where("n_rows >= 2")
-    out = apply(made, result_stages())
-    return out.selectExpr(KEY, END, *(f"CASE WHEN n >= 2 THEN CAST({m} AS DOUBLE) END AS {m}" for m in metrics))
+    made = window_aggregates(panel, period).where("n_rows >= 2")
+    return apply(made, result_stages() + REGISTERED).selectExpr(KEY, END, *(f"CASE WHEN n >= 2 THEN CAST({m} AS DOUBLE) END AS {m}" for m in metrics))
+
 
+#: Metrics that users add: expressions over the columns of ``aggregates`` and over other metrics.
+REGISTERED: list[Stage] = []
 
-def period_metrics_sql(base: str, period: str, metrics: Iterable[str] = METRICS, digits: int = 4) -> str:
+
+def register_metric(name: str, expression: str) -> None:
+    """Make an expression over a window's numbers and metrics available to period_metrics under a name."""
+    if any(name in stage for stage in result_stages() + REGISTERED):
+        raise ValueError(f"there is a metric {name} already")
+    REGISTERED.append({name: expression})
+
+
+def period_metrics_sql(base: str, period: str, metrics: Iterable[str] = METRICS) -> str:
     parts, prev = [base, members_sql(period)], "members"
     for i, s in enumerate(row_stages()):
         parts.append(f"pr{i} AS (SELECT *, {', '.join(f'{e(Duck) if callable(e) else e} AS {n}' for n, e in s.items())} FROM {prev})")
@@ -253,7 +407,7 @@ def period_metrics_sql(base: str, period: str, metrics: Iterable[str] = METRICS,
     for i, s in enumerate(result_stages()):
         parts.append(f"pz{i} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in s.items())} FROM {prev})")
         prev = f"pz{i}"
-    picked = ", ".join(f"floor(CAST(CASE WHEN n >= 2 THEN CAST({m} AS DOUBLE) END AS DOUBLE) * {10**digits} + 0.500001) / CAST({10**digits} AS DOUBLE) AS {m}" for m in metrics)
+    picked = ", ".join(f"{significant(f'(CASE WHEN n >= 2 THEN CAST({m} AS DOUBLE) END)')} AS {m}" for m in metrics)
     return f"WITH {', '.join(parts)} SELECT {KEY}, {END}, {picked} FROM {prev}"
 
 
@@ -276,9 +430,14 @@ def hurst(panel: DataFrame, period: str) -> DataFrame:
         x = x - x.mean()
         return float((x * (y - y.mean())).sum() / max((x * x).sum(), 1e-5))
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"HurstExponent": [exponent(v) for v in pdf["rs"].map(lambda a: np.array(a, dtype=float))]}).assign(**{KEY: pdf[KEY].values, END: pdf[END].values})[[KEY, END, "HurstExponent"]]
-
-    sets = members(panel, period).groupBy(KEY, END).agg(F.expr(f"transform(array_sort(collect_list(struct({DATE}, r))), x -> x.r)").alias("rs"))
-    out = sets.mapInPandas(lambda it: (each(p) for p in it), f"{KEY} string, {END} date, HurstExponent double")
-    return out.selectExpr(KEY, END, "nullif(HurstExponent, CAST('NaN' AS DOUBLE)) AS HurstExponent")
+    def each(t: pa.Table) -> pa.Table:
+        t = t.sort_by(DATE)
+        r, at, got = t.column("r").to_numpy().astype(float), [], []
+        for rows_, inside, _ in windows(t):
+            at.append(rows_)
+            got.append(np.array([exponent(r[i + 1 - k : i + 1]) for i, k in zip(rows_, inside.sum(axis=1))]))
+        at, x = (np.concatenate(v) if v else np.empty(0) for v in (at, got))
+        places = pa.array(at.astype(np.int64))
+        return pa.table([t.column(KEY).take(places), t.column(DATE).take(places), pa.array(x.astype(float), mask=np.isnan(x))], names=[KEY, END, "HurstExponent"])
+
+    return framed(panel, period).groupBy(KEY).applyInArrow(each, f"{KEY} string, {END} date, HurstExponent double")

@@ -62,6 +62,12 @@ def common_start(bars: DataFrame, column: str = "close") -> DataFrame:
     return bars.join(F.broadcast(first)).where(F.col(DATE) >= F.col("_start")).drop("_start")
 
 
+def common_end(bars: DataFrame, column: str = "close") -> DataFrame:
+    """Rows up to the earliest of the codes' last days with a value."""
+    last = bars.where(F.col(column).isNotNull()).groupBy(KEY).agg(F.max(DATE).alias("_last")).agg(F.min("_last").alias("_end"))
+    return bars.join(F.broadcast(last)).where(F.col(DATE) <= F.col("_end")).drop("_end")
+
+
 def pct_change(x: str, n: int = 1) -> str:
     """Change over n rows of a series whose gaps are filled forward first, as an expression over a column <x>_filled."""
     return f"{x}_filled / nullif(lag({x}_filled, {n}) OVER (PARTITION BY {KEY} ORDER BY {DATE}), 0) - 1"
@@ -206,7 +212,7 @@ def pipeline(bars: DataFrame, start: str | None = None) -> DataFrame:
 
 # --- queries -----------------------------------------------------------------------------------------------------
 
-_R = lambda c, n=4: f"{rounded(c, n)} AS {c}"
+_R = lambda c, n=6: f"{rounded(c, n)} AS {c}"
 
 
 def _duplicated(s, d):
@@ -233,15 +239,15 @@ def _upserted(s, d):
 _P = source.panel_sql()
 _FAR = f"PARTITION BY {KEY} ORDER BY {DATE}"
 QUERIES = {
-    "prep_keep_last": (_duplicated, f"WITH t AS (SELECT 'U' || lpad(user_id::VARCHAR, 6, '0') AS {KEY}, ts::DATE AS {DATE}, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT {KEY}, {DATE}, floor(CAST(value AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS close FROM t WHERE k = 1 AND {KEY} IS NOT NULL"),
-    "prep_min_history": (lambda s, d: min_history(source.events_bars(s, d), 27).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS close FROM bars QUALIFY count(*) OVER (PARTITION BY {KEY}) >= 27"),
+    "prep_keep_last": (_duplicated, f"WITH t AS (SELECT 'U' || lpad(user_id::VARCHAR, 6, '0') AS {KEY}, ts::DATE AS {DATE}, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT {KEY}, {DATE}, floor(CAST(value AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM t WHERE k = 1 AND {KEY} IS NOT NULL"),
+    "prep_min_history": (lambda s, d: min_history(source.events_bars(s, d), 27).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars QUALIFY count(*) OVER (PARTITION BY {KEY}) >= 27"),
     "prep_liquid": (lambda s, d: liquid_codes(source.events_bars(s, d), 20), f"WITH {source.EVENTS_BARS}, r AS (SELECT * FROM bars WHERE {DATE} >= (SELECT max({DATE}) FROM bars) - 20), c AS (SELECT {KEY}, count(DISTINCT {DATE}) AS n, avg(amount) AS m FROM r GROUP BY 1) SELECT {KEY} FROM c WHERE n >= (SELECT max(n) FROM c) * 0.9 AND m > (SELECT quantile_cont(m, 0.25) FROM c)"),
     "prep_filled": (_filled, f"WITH {_P}, f AS (SELECT {KEY}, {DATE}, last_value(close IGNORE NULLS) OVER ({_FAR} ROWS UNBOUNDED PRECEDING) AS close, last_value(vol IGNORE NULLS) OVER ({_FAR} ROWS UNBOUNDED PRECEDING) AS vol, CASE WHEN count(log_return) OVER ({_FAR} ROWS UNBOUNDED PRECEDING) > 0 THEN coalesce(log_return, 0e0) END AS log_return FROM panel) SELECT {KEY}, {DATE}, {', '.join(_R(c) for c in ('close', 'vol', 'log_return'))} FROM f"),
     "prep_winsorized": (_winsorized, f"WITH {_P}, f AS (SELECT {KEY}, {DATE}, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, quantile_cont({c}, 0.99) OVER (PARTITION BY {DATE})), quantile_cont({c}, 0.01) OVER (PARTITION BY {DATE})) END AS {c}' for c in ('vol', 'amount', 'log_return'))} FROM panel) SELECT {KEY}, {DATE}, {', '.join(_R(c) for c in ('vol', 'amount', 'log_return'))} FROM f"),
-    "prep_survivors": (lambda s, d: survivors(source.lineitem_bars(s, d)).selectExpr(KEY, DATE, _R("close")), f"WITH {source.LINEITEM_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS close FROM bars WHERE {KEY} IN (SELECT {KEY} FROM bars GROUP BY 1 HAVING max({DATE}) >= (SELECT max({DATE}) FROM bars) - 10)"),
-    "prep_common_start": (lambda s, d: common_start(source.events_bars(s, d)).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS close FROM bars WHERE {DATE} >= (SELECT max(f) FROM (SELECT min({DATE}) AS f FROM bars WHERE close IS NOT NULL GROUP BY {KEY}))"),
-    "prep_upsert": (_upserted, f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(CASE WHEN {DATE} >= DATE '2024-01-15' THEN close + 1 ELSE close END AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS close FROM bars"),
-    "prep_expand_daily": (lambda s, d: expand_daily(source.events_bars(s, d).select(KEY, DATE, "close")).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS}, days AS (SELECT {KEY}, unnest(generate_series(min({DATE}), max({DATE}), INTERVAL 1 DAY))::DATE AS {DATE} FROM bars GROUP BY {KEY}) SELECT d.{KEY}, d.{DATE}, floor(CAST(last_value(b.close IGNORE NULLS) OVER (PARTITION BY d.{KEY} ORDER BY d.{DATE} ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS close FROM days d LEFT JOIN bars b ON b.{KEY} = d.{KEY} AND b.{DATE} = d.{DATE}"),
+    "prep_survivors": (lambda s, d: survivors(source.lineitem_bars(s, d)).selectExpr(KEY, DATE, _R("close")), f"WITH {source.LINEITEM_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars WHERE {KEY} IN (SELECT {KEY} FROM bars GROUP BY 1 HAVING max({DATE}) >= (SELECT max({DATE}) FROM bars) - 10)"),
+    "prep_common_start": (lambda s, d: common_start(source.events_bars(s, d)).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars WHERE {DATE} >= (SELECT max(f) FROM (SELECT min({DATE}) AS f FROM bars WHERE close IS NOT NULL GROUP BY {KEY}))"),
+    "prep_upsert": (_upserted, f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(CASE WHEN {DATE} >= DATE '2024-01-15' THEN close + 1 ELSE close END AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars"),
+    "prep_expand_daily": (lambda s, d: expand_daily(source.events_bars(s, d).select(KEY, DATE, "close")).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS}, days AS (SELECT {KEY}, unnest(generate_series(min({DATE}), max({DATE}), INTERVAL 1 DAY))::DATE AS {DATE} FROM bars GROUP BY {KEY}) SELECT d.{KEY}, d.{DATE}, floor(CAST(last_value(b.close IGNORE NULLS) OVER (PARTITION BY d.{KEY} ORDER BY d.{DATE} ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM days d LEFT JOIN bars b ON b.{KEY} = d.{KEY} AND b.{DATE} = d.{DATE}"),
     "benchmark_ew": (lambda s, d: equal_weight_benchmark(source.panel(s, d)).selectExpr(DATE, _R("benchmark", 6)), f"WITH {_P} SELECT {DATE}, floor(CAST(sum(log_return) / (SELECT count(DISTINCT {KEY}) FROM panel) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS benchmark FROM panel GROUP BY {DATE}"),
     "benchmark_min_var": (lambda s, d: optimised_benchmark(source.panel(s, d, "lineitem"), "min_var").selectExpr(DATE, _R("benchmark", 6)), None),
     "benchmark_erc": (lambda s, d: optimised_benchmark(source.panel(s, d, "lineitem"), "erc").selectExpr(DATE, _R("benchmark", 6)), None),

@@ -9,12 +9,14 @@ they run over Arrow batches, a code's history at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barsmith.functions.decay import decay
 from barsmith.functions.dialect import BY_CODE, DATE, KEY, ratio, rows, so_far
 from barsmith.plans.staged import Stage, apply, needed
 
@@ -156,6 +158,32 @@ _HELPERS = {"row_no", "prev_close", "prev_high", "prev_low", "then_close", "move
 PLAIN = tuple(n for stage in stages(5) for n in stage if n not in _HELPERS)
 
 
+def windowed(metrics: Iterable[str], windows: Iterable[int]) -> list[Stage]:
+    """Stages of plain indicators of several windows in one plan: metric_window columns."""
+    out: list[Stage] = []
+    for w in windows:
+        own = needed(stages(w), metrics)
+        names = {n for stage in own for n in stage}
+        for i, stage in enumerate(own):
+            if i == len(out):
+                out.append({})
+            out[i] |= {f"{n}_{w}": re.sub(r"\w+", lambda m, w=w, names=names: f"{m[0]}_{w}" if m[0] in names else m[0], e) for n, e in stage.items()}
+    return out
+
+
+def wide(panel: DataFrame, metrics: Iterable[str], windows: Iterable[int] = WINDOWS) -> DataFrame:
+    """(ts_code, trade_date, metric_window columns): all windows are frames of one exchange and sort by code;
+    metrics with state add one pass a window."""
+    names, windows = [column(m) for m in metrics], list(windows)
+    plain = [n for n in names if n in PLAIN]
+    out = apply(panel, windowed(plain, windows)).select(*panel.columns, *(f"{n}_{w}" for w in windows for n in plain))
+    state = [n for n in names if n not in PLAIN]
+    for w in windows if state else ():
+        more = with_state(out, w)
+        out = more.select(*out.columns, *(more[n].alias(f"{n}_{w}") for n in state))
+    return out.select(KEY, DATE, *(f"{n}_{w}" for w in windows for n in names))
+
+
 def indicators(panel: DataFrame, metrics: Iterable[str], window: int) -> DataFrame:
     """panel with the columns of some indicators for one window."""
     names = [column(m) for m in metrics]
@@ -166,47 +194,49 @@ def indicators(panel: DataFrame, metrics: Iterable[str], window: int) -> DataFra
     return out.select(*panel.columns[: len(panel.columns)], *(n for n in plain if n not in panel.columns))
 
 
-def _ema(x: np.ndarray, span: int) -> np.ndarray:
+def _spread(known: np.ndarray, values: np.ndarray, before: float) -> np.ndarray:
+    """One value for each known row, repeated over the rows that follow; `before` ahead of the first."""
+    return np.concatenate([[before], values])[np.cumsum(known)]
+
+
+def ema(x: np.ndarray, span: int) -> np.ndarray:
     """Exponential average that starts at the first value and stands still over gaps."""
-    alpha, state, out = 2 / (span + 1), np.nan, np.empty(len(x))
-    for i, v in enumerate(x):
-        if v == v:
-            state = v if state != state else alpha * v + (1 - alpha) * state
-        out[i] = state
-    return out
+    known = ~np.isnan(x)
+    some = x[known]
+    return _spread(known, decay(some, 2 / (span + 1), some[0]) if len(some) else some, np.nan)
 
 
 def _lines(rsv: np.ndarray, m: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The K and D lines, 50 on the first row; a missing RSV repeats them."""
-    k, d = np.full(len(rsv), 50e0), np.full(len(rsv), 50e0)
-    for i in range(1, len(rsv)):
-        if np.isfinite(rsv[i]):
-            k[i] = rsv[i] / m + (1 - 1 / m) * k[i - 1]
-            d[i] = k[i] / m + (1 - 1 / m) * d[i - 1]
-        else:
-            k[i], d[i] = k[i - 1], d[i - 1]
-    return k, d
+    known = np.isfinite(rsv)
+    known[:1] = False
+    k = decay(rsv[known], 1 / m, 50e0)
+    return _spread(known, k, 50e0), _spread(known, decay(k, 1 / m, 50e0), 50e0)
 
 
 def with_state(panel: DataFrame, window: int) -> DataFrame:
-    """panel with EMA, TRIX and the stochastic lines of one window and what follows from them."""
+    """panel with EMA, TRIX and the stochastic lines of one window and what follows from them.
+
+    Only what the lines need passes through Arrow, a code's history at a time; the windows before and after
+    and this grouping share one exchange by code."""
     base = apply(panel, needed(stages(window), ["RSV", "row_no"])).select(*panel.columns, "RSV", "row_no")
+    names = ("EMA", "TRIX", "KDJ_K_3", "KDJ_D_3")
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DATE)
-        one = _ema(pdf["close"].to_numpy(float), window)
-        three = _ema(_ema(one, window), window)
+    def each(t: pa.Table) -> pa.Table:
+        t = t.sort_by(DATE)
+        one = ema(t.column("close").to_numpy().astype(float), window)
+        three = ema(ema(one, window), window)
         prev = np.concatenate([[np.nan], three[:-1]])
         with np.errstate(all="ignore"):
             trix = (three - prev) / np.where(prev == 0, np.nan, prev) * 100
-        k, d = _lines(pdf["RSV"].to_numpy(float))
-        return pdf.assign(EMA=one, TRIX=trix, KDJ_K_3=k, KDJ_D_3=d)
+        lines = _lines(t.column("RSV").to_numpy().astype(float))
+        for name, x in zip(names, (one, trix, *lines)):
+            t = t.append_column(name, pa.array(x, pa.float64(), mask=np.isnan(x)))
+        return t
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    out = base.groupBy(KEY).applyInPandas(each, f"{kinds}, EMA double, TRIX double, KDJ_K_3 double, KDJ_D_3 double")
-    nulls = [f"nullif({c}, CAST('NaN' AS DOUBLE)) AS {c}" for c in ("EMA", "TRIX", "KDJ_K_3", "KDJ_D_3")]
-    out = out.selectExpr(*panel.columns, "row_no", *nulls)
-    return apply(out, state_stages()).drop("row_no")
+    out = base.groupBy(KEY).applyInArrow(each, f"{kinds}, " + ", ".join(f"{n} double" for n in names))
+    return apply(out.select(*panel.columns, "row_no", *names), state_stages()).drop("row_no")
 
 
 def state_stages() -> list[Stage]:
@@ -218,13 +248,9 @@ def state_stages() -> list[Stage]:
 
 def long_table(panel: DataFrame, metrics: Iterable[str], windows: Iterable[int] = WINDOWS) -> DataFrame:
     """(ts_code, trade_date, metric, window, value) for indicators of many windows, nulls left out."""
-    metrics, out = list(metrics), None
-    for w in windows:
-        wide = indicators(panel, metrics, w)
-        pairs = ", ".join(f"'{m}', cast({column(m)} as double)" for m in metrics)
-        part = wide.selectExpr(KEY, DATE, f"stack({len(metrics)}, {pairs}) as (metric, value)", f"{w} as window").where("value is not null")
-        out = part if out is None else out.union(part)
-    return out
+    metrics, windows = list(metrics), list(windows)
+    pairs = ", ".join(f"'{m}', {w}, cast({column(m)}_{w} as double)" for m in metrics for w in windows)
+    return wide(panel, metrics, windows).selectExpr(KEY, DATE, f"stack({len(metrics) * len(windows)}, {pairs}) as (metric, window, value)").where("value is not null")
 
 
 def wide_table(long: DataFrame) -> DataFrame:

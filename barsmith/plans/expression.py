@@ -9,6 +9,7 @@ others; sizes given as whole floats become integers.
 from __future__ import annotations
 
 import inspect
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -49,6 +50,14 @@ def normalise(node: Any) -> Any:
     return {"func": name, "args": out}
 
 
+def from_json(text: str) -> Any:
+    """The checked tree of an expression written as JSON."""
+    try:
+        return normalise(json.loads(text))
+    except json.JSONDecodeError as e:
+        raise ValueError(f"not a JSON expression: {e}") from e
+
+
 def compile_node(plan: FactorPlan, node: Any, variables: set[str]) -> Any:
     if not isinstance(node, dict):
         return node
@@ -70,6 +79,7 @@ def compile_factor(tree: Any, variables: set[str]) -> tuple[FactorPlan, str]:
 
 
 def factor_values(panel: DataFrame, tree: Any, name: str = "factor") -> DataFrame:
-    """panel with the value of a factor expression over its columns."""
+    """panel with the value of a factor expression (a tree, or its JSON text) over its columns."""
+    tree = from_json(tree) if isinstance(tree, str) else tree
     plan, out = compile_factor(tree, set(panel.columns))
     return plan.apply(panel).selectExpr(*(f"`{c}`" for c in panel.columns), f"`{out}` AS `{name}`")

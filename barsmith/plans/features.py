@@ -14,6 +14,8 @@ from barsmith.operators import rolling
 from barsmith.sources import bars as source
 
 _TIME = f"PARTITION BY {KEY} ORDER BY {DATE}"
+#: Ranges of scores in the search for a threshold.
+SCORE_BINS = 4096
 
 
 def future_log_return(days: int) -> str:
@@ -29,13 +31,9 @@ def label(returns: str, threshold: float = 0.0, classes: int = 2) -> str:
 
 
 def assemble(panel: DataFrame, metrics: Iterable[str] = ("CloseMA", "RSI", "BIAS", "PSY"), windows: Iterable[int] = (3, 5, 10)) -> DataFrame:
-    """(ts_code, trade_date, metric:window columns) in one shuffle by code."""
-    out = panel.select(KEY, DATE, "close", "open", "high", "low", "vol")
-    for w in windows:
-        wide = rolling.indicators(panel, metrics, w)
-        named = wide.select(KEY, DATE, *(F.col(rolling.column(m)).alias(f"{rolling.column(m)}_{w}") for m in metrics))
-        out = out.join(named, [KEY, DATE])
-    return out
+    """(ts_code, trade_date, bars, metric_window columns) of plain indicators: one exchange and sort by code."""
+    names = [f"{rolling.column(m)}_{w}" for w in windows for m in metrics]
+    return rolling.apply(panel, rolling.windowed([rolling.column(m) for m in metrics], windows)).select(KEY, DATE, "close", "open", "high", "low", "vol", *names)
 
 
 def index_features(dates: DataFrame, series: DataFrame) -> DataFrame:
@@ -56,7 +54,7 @@ def impute(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
 
 
 def scale(df: DataFrame, columns: list[str], how: str = "both") -> DataFrame:
-    """minmax, zscore (population deviation), none, or both: by sign of a column's values minmax, minmax of the absolute value, or z-score."""
+    """By the numbers of the frame itself (modelling.fit takes them from a training part): minmax, zscore (population deviation), none, or both: by sign of a column's values minmax, minmax of the absolute value, or z-score."""
     if how == "none":
         return df
     stats = df.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("mu", F.avg), ("sd", F.stddev_pop))))
@@ -103,12 +101,13 @@ def forest(train: DataFrame, test: DataFrame, columns: list[str], target: str =
 
 
 def important_features(train: DataFrame, columns: list[str], target: str = "label", top: int = 10) -> list[str]:
-    """Union of the most important columns of a forest, boosted trees and a lasso regression."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+    """Union of the most important columns of a forest, a forest of extremely random splits (all columns, no
+    sampling of rows), boosted trees, a lasso regression and a linear support vector machine."""
+    from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows, found = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(train), []
-    for model in (RandomForestClassifier(featuresCol="_v", labelCol=target, seed=42), GBTClassifier(featuresCol="_v", labelCol=target, maxIter=10, seed=42), LogisticRegression(featuresCol="_v", labelCol=target, elasticNetParam=1.0, regParam=0.01)):
+    for model in (RandomForestClassifier(featuresCol="_v", labelCol=target, seed=42), RandomForestClassifier(featuresCol="_v", labelCol=target, seed=43, bootstrap=False, featureSubsetStrategy="onethird", maxBins=8), GBTClassifier(featuresCol="_v", labelCol=target, maxIter=10, seed=42), LogisticRegression(featuresCol="_v", labelCol=target, elasticNetParam=1.0, regParam=0.01), LinearSVC(featuresCol="_v", labelCol=target, regParam=0.01, maxIter=50)):
         fitted = model.fit(rows)
         weight = np.abs(fitted.featureImportances.toArray() if hasattr(fitted, "featureImportances") else fitted.coefficients.toArray())
         found += [columns[i] for i in np.argsort(-weight)[:top] if columns[i] not in found]
@@ -130,6 +129,11 @@ def future_volatility(days: int) -> str:
     return f"CASE WHEN count(log_return) OVER ({w}) >= {days} THEN stddev_samp(log_return) OVER ({w}) END"
 
 
+def future_trend(days: int) -> str:
+    """1 where the price so many rows on is above today's, 0 where not, null where there is none."""
+    return f"CASE WHEN {future_log_return(days)} > 0 THEN 1 WHEN {future_log_return(days)} <= 0 THEN 0 END"
+
+
 def replay(actions: DataFrame, cash: float = 10_000.0, fee: float = 0.001, slippage: float = 0.0005) -> DataFrame:
     """(ts_code, trade_date, equity) of a strategy that holds the share of its wealth that `action` (0 to 1) says.
 
@@ -162,35 +166,44 @@ def episode_stats(equity: DataFrame, periods: int = 252) -> DataFrame:
 
 
 def optimal_threshold(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row: the score at which predicting 1 from it on gives the best F1, and that F1."""
+    """One row: the score at which predicting 1 from it on gives the best F1, and that F1.
+
+    Scores are counted in so many ranges first; a score's rank is the sum over the ranges above its own (a
+    window over SCORE_BINS rows) and over the scores above it in its range, so no task orders all scores."""
     by = scored.groupBy(score).agg(F.sum(label).alias("p"), F.count("*").alias("n"))
-    total = by.agg(F.sum("p").alias("all_p"))
-    down = Window.orderBy(F.desc(score))  # a row a distinct score
-    rows = by.join(F.broadcast(total)).withColumns({"hit": F.sum("p").over(down), "said": F.sum("n").over(down)})
-    rows = rows.withColumn("f1", F.expr("2e0 * hit / nullif(said + all_p, 0)"))
+    lo, hi, all_p = by.agg(F.min(score), F.max(score), F.sum("p")).first()
+    if lo is None:
+        return by.select(F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("f1")).limit(0)
+    by = by.withColumn("_bin", F.least(F.lit(SCORE_BINS - 1), F.floor((F.col(score) - lo) * (SCORE_BINS / ((hi - lo) or 1.0)))).cast("int"))
+    above = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = by.groupBy("_bin").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    bins = bins.select("_bin", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
+    inside = Window.partitionBy("_bin").orderBy(F.desc(score))
+    rows = by.join(F.broadcast(bins), "_bin").withColumns({"hit": F.col("_p") + F.sum("p").over(inside), "said": F.col("_n") + F.sum("n").over(inside)})
+    rows = rows.withColumn("f1", F.expr("2e0 * hit") / F.nullif(F.col("said") + F.lit(all_p), F.lit(0)))
     return rows.agg(F.max(F.struct("f1", score)).alias("m")).selectExpr(f"m.{score} AS threshold", "m.f1")
 
 
 # --- queries -----------------------------------------------------------------------------------------------------
 
-_LABELS = {"future": future_log_return(3), "next_volatility": future_volatility(4), "z": rolling_zscore("close", 5), "relative": price_relative("close")}
+_LABELS = {"future": future_log_return(3), "next_volatility": future_volatility(4), "z": rolling_zscore("close", 5), "relative": price_relative("close"), "trend": future_trend(3)}
 
 
 def _labels(s, d):
     rows = source.panel(s, d).selectExpr(KEY, DATE, *(f"{e} AS {n}" for n, e in _LABELS.items()))
-    return rows.selectExpr(KEY, DATE, *(f"floor(CAST({n} AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS {n}" for n in _LABELS), f"{label('future')} AS label", f"{label('future', 0.2, 3)} AS label3")
+    return rows.selectExpr(KEY, DATE, *(f"floor(CAST({n} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}" for n in _LABELS), f"{label('future')} AS label", f"{label('future', 0.2, 3)} AS label3")
 
 
-_LABELS_SQL = f"WITH {source.panel_sql()}, l AS (SELECT {KEY}, {DATE}, {', '.join(f'{e} AS {n}' for n, e in _LABELS.items())} FROM panel) SELECT {KEY}, {DATE}, {', '.join(f'floor(CAST({n} AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS {n}' for n in _LABELS)}, {label('future')} AS label, {label('future', 0.2, 3)} AS label3 FROM l"
+_LABELS_SQL = f"WITH {source.panel_sql()}, l AS (SELECT {KEY}, {DATE}, {', '.join(f'{e} AS {n}' for n, e in _LABELS.items())} FROM panel) SELECT {KEY}, {DATE}, {', '.join(f'floor(CAST({n} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}' for n in _LABELS)}, {label('future')} AS label, {label('future', 0.2, 3)} AS label3 FROM l"
 
 
 def _scaled(s, d):
     cols = ["close", "vol", "log_return"]
-    return scale(impute(source.panel(s, d), cols), cols).selectExpr(KEY, DATE, *(f"floor(CAST({c} AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS {c}" for c in cols))
+    return scale(impute(source.panel(s, d), cols), cols).selectExpr(KEY, DATE, *(f"floor(CAST({c} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {c}" for c in cols))
 
 
 _SCALED_SQL = f"""WITH {source.panel_sql()}, i AS (SELECT {KEY}, {DATE}, {', '.join(f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM panel)) AS {c}' for c in ('close', 'vol', 'log_return'))} FROM panel)
-SELECT {KEY}, {DATE}, {', '.join(f'floor(CAST(CASE WHEN min({c}) OVER () >= 0 THEN ({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) WHEN max({c}) OVER () <= 0 THEN (max({c}) OVER () - {c}) / nullif(max({c}) OVER () - min({c}) OVER (), 0) ELSE ({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0) END AS DOUBLE) * 10000 + 0.500001) / CAST(10000 AS DOUBLE) AS {c}' for c in ('close', 'vol', 'log_return'))} FROM i"""
+SELECT {KEY}, {DATE}, {', '.join(f'floor(CAST(CASE WHEN min({c}) OVER () >= 0 THEN ({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) WHEN max({c}) OVER () <= 0 THEN (max({c}) OVER () - {c}) / nullif(max({c}) OVER () - min({c}) OVER (), 0) ELSE ({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0) END AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {c}' for c in ('close', 'vol', 'log_return'))} FROM i"""
 
 
 def _model(s, d):

@@ -59,6 +59,16 @@ def to_sql(base: str, source: str, stages: list[Stage], columns: dict[str, str |
     return f"WITH {', '.join(parts)} SELECT {picked} FROM {prev} {tail}"
 
 
-def rounded(x: str, digits: int = 4) -> str:
+def rounded(x: str, digits: int = 6) -> str:
     """A number rounded for comparison: halves go up, also where a float lies a hair below one, and no zero is negative."""
     return f"floor(CAST({x} AS DOUBLE) * {10**digits} + 0.500001) / CAST({10**digits} AS DOUBLE)"
+
+
+def significant(x: str, digits: int = 6) -> str:
+    """As rounded below 1, from 1 on to so many digits in all, from 1e15 on the logarithm: for columns whose sizes differ widely."""
+    x = f"CAST({x} AS DOUBLE)"
+    large = f"WHEN abs({x}) >= 1e15 THEN sign({x}) * (1e15 + floor(log10(abs({x})) * 1e6 + 0.5))"
+    over = f"ceil(log10(abs({x}))) - {digits}"
+    # powers of ten are whole numbers, which engines agree on
+    up, down = f"power(CAST(10 AS DOUBLE), CAST({digits} AS DOUBLE) - greatest(CAST(0 AS DOUBLE), ceil(log10(abs({x})))))", f"power(CAST(10 AS DOUBLE), {over})"
+    return f"CASE WHEN {x} = 0 THEN CAST(0 AS DOUBLE) {large} WHEN {over} > 0 THEN floor({x} / {down} + 0.500001) * {down} ELSE floor({x} * {up} + 0.500001) / {up} END"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,13 +42,25 @@ def read_many(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> Da
     return out
 
 
+def read_dir(spark: SparkSession, folder: str, names: str = "*.parquet", without: tuple[str, ...] = (), fmt: str = "parquet") -> DataFrame:
+    """Bars of all files of a folder whose names match a pattern and hold none of some texts.
+
+    Patterns reach the file listing; one scan reads all files, whose columns are merged by name."""
+    df = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", True).option("mergeSchema", True).format(fmt).load(folder)
+    df = df.withColumn("source_file", F.col("_metadata.file_name"))
+    for part in without:
+        df = df.where(~F.col("source_file").contains(part))
+    return df
+
+
 def write(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None, fmt: str = "parquet") -> None:
     w = df.write.mode(mode).format(fmt)
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
 def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
+    """A number, null where it is not one or not finite."""
+    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
 def normalise(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -70,6 +83,39 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = (KEY, DATE))
     return both.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "_seq")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def replace_table(df: DataFrame, path: str, backup: bool = True, partition_by: list[str] | None = None) -> str | None:
+    """Write df beside a table and put it in the table's place; returns where the old table stays, if it does.
+
+    df may read from the very table: its files stand until the new ones are whole, and what breaks off before
+    the two renames leaves the table as it was.  Renames are single steps on HDFS and local file systems."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    write(df, fresh, "errorifexists", partition_by)
+    fs, target = _hadoop(spark, path)
+    there = fs.exists(target)
+    if there and not fs.rename(target, _hadoop(spark, old)[1]):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(_hadoop(spark, fresh)[1], target):
+        if there:
+            fs.rename(_hadoop(spark, old)[1], target)
+        raise OSError(f"{path} could not be replaced; it stands as before")
+    if there and not backup:
+        fs.delete(_hadoop(spark, old)[1], True)
+    spark.catalog.refreshByPath(path)
+    return old if there and backup else None
+
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: tuple[str, ...] = (KEY, DATE), backup: bool = True) -> str | None:
+    """Upsert rows into a stored table, with a backup of what it held before."""
+    fs, target = _hadoop(spark, path)
+    return replace_table(upsert(spark.read.parquet(path), new, keys) if fs.exists(target) else new, path, backup)
+
+
 def fetch_window(last: date | None, last_trading_day: date, start: date, overlap_days: int = 5, force: bool = False) -> tuple[str, date | None]:
     """What an incremental fetch of one code has to ask for: ('skip' | 'incremental' | 'full', first day)."""
     if force or last is None:
@@ -138,16 +184,31 @@ def with_returns(bars: DataFrame) -> DataFrame:
 def densify(bars: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """A row for each code and trading date, null where a code has no bar.
 
-    The calendar is one array of days (thousands at most), so no join of codes and days is shuffled."""
+    A bar lays out the dates up to its code's next bar (the first one those before it as well), from one
+    array of days (thousands at most) that is sent to every task: bars are dealt by code once, as for any
+    other window, and no grid of codes and dates is made or joined.  Rows whose date is not in the
+    calendar go; repeated rows stay."""
     days = (bars if dates is None else dates).agg(F.array_sort(F.collect_set(DATE)).alias("_days"))
-    grid = bars.select(KEY).distinct().join(F.broadcast(days)).select(KEY, F.explode("_days").alias(DATE))
-    return grid.join(bars, [KEY, DATE], "left")
+    places = days.select(F.posexplode("_days").alias("_at", "_day"))
+    own = [c for c in bars.columns if c not in (KEY, DATE)]
+    w = Window.partitionBy(KEY).orderBy(DATE)
+    rows = bars.join(F.broadcast(places), F.col(DATE) == F.col("_day")).drop("_day")
+    rows = rows.withColumn("_next", F.lead("_at").over(w)).withColumn("_first", F.lag("_at").over(w).isNull())
+    rows = rows.crossJoin(F.broadcast(days))  # one row
+    start = F.when(F.col("_first"), 1).otherwise(F.col("_at") + 1)
+    until = F.greatest(F.coalesce(F.col("_next") + 1, F.size("_days") + 1), F.col("_at") + 2)
+    rows = rows.select(KEY, F.col(DATE).alias("_own"), *own, F.explode(F.slice("_days", start, until - start)).alias(DATE))
+    here = F.col(DATE) == F.col("_own")
+    return rows.select(KEY, DATE, *(F.when(here, F.col(c)).alias(c) for c in own))
 
 
 def panel(spark: SparkSession, sf_dir: str, kind: str = "events") -> DataFrame:
     """Dense panel with returns of one of the derived bar tables."""
-    bars = events_bars(spark, sf_dir) if kind == "events" else lineitem_bars(spark, sf_dir)
-    return densify(with_returns(bars)).select(KEY, DATE, *FIELDS, "pre_close", "log_return")
+    if kind == "events":
+        bars, days = events_bars(spark, sf_dir), spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts").alias(DATE))
+    else:
+        bars, days = lineitem_bars(spark, sf_dir), spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias(DATE))
+    return densify(with_returns(bars), days).select(KEY, DATE, *FIELDS, "pre_close", "log_return")
 
 
 def panel_sql(kind: str = "events") -> str:

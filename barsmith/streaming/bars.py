@@ -51,10 +51,13 @@ def moving_ema(bars: DataFrame, span: int, price: str = "close") -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str, days: int = 5):
-    """Start a query that writes each batch's bars to a table partitioned by month, replacing a month as a whole."""
+    """Start a query that writes each batch's bars to a table partitioned by month, replacing a month as a whole.
+
+    The rows to be written are whole files in the stream's own checkpoint folder before they replace any, since
+    they are read from the files that go: an executor that is lost on the way loses none."""
     from barsmith.sources.bars import upsert
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("month", F.date_format(DATE, "yyyy-MM")).persist()
         months = [r["month"] for r in new.select("month").distinct().collect()]  # few: a batch spans days
@@ -62,10 +65,11 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str, days: int = 5)
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
             both = upsert(spark.read.parquet(path).where(F.col("month").isin(months)), new) if there else new
-            # rows are read from the very files that are replaced, so they are first kept apart
-            kept = both.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else both.persist()
-            kept.count()
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+            aside = f"{checkpoint.rstrip('/')}/batches/{number}"
+            both.write.mode("overwrite").parquet(aside)
+            spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+            kept = spark._jvm.org.apache.hadoop.fs.Path(aside)
+            kept.getFileSystem(spark._jsc.hadoopConfiguration()).delete(kept, True)
         new.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()

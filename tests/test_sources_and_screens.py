@@ -117,6 +117,68 @@ def test_a_screen_against_row_by_row(bars):
     assert got.notna().all().all()
 
 
+def rising(v, days, up=True):
+    """Row by row: whether the last so many steps all went one way."""
+    step = [False] + [bool(b > a if up else b < a) for a, b in zip(v, v[1:])]
+    return [days <= 0 or (i + 1 >= days and all(step[i + 1 - days : i + 1])) for i in range(len(v))]
+
+
+def b_and_c_points(one, a, b, c, long):
+    """Rules of B and C of one code, row by row, over its A points."""
+    n, ma = len(one), lambda x, k: one[x].rolling(k).mean()
+    seg, start, b_out, c_out, last_b = 0, 0, [], [], None
+    mas, mal = ma("close", b["short"]), ma("close", long)
+    dry_s, dry_l, top = ma("vol", b["dry_short"]), ma("vol", b["dry_long"]), one["vol"].shift(1).rolling(a["surge_rows"], min_periods=1).max()
+    prev = one["close"].shift(1)
+    tr = np.fmax(one["high"] - one["low"], np.fmax((one["high"] - prev).abs(), (one["low"] - prev).abs()))
+    atr = tr.rolling(b["atr_rows"]).mean()
+    over = (mas >= mal).tolist()
+    down = rising(one["vol"].tolist(), b["dry_falling_days"], up=False)
+    dry = []
+    for t in range(n):
+        x = one.iloc[t]
+        ok = (not b["use_dry_ratio"] or dry_s[t] <= b["dry_ratio"] * dry_l[t]) and (not b["use_dry_vol"] or x.vol <= dry_l[t]) and (not b["use_dry_means"] or dry_s[t] <= dry_l[t])
+        dry.append(bool(ok and (not b["use_dry_falling"] or down[t]) and (not b["use_dry_surge"] or x.vol / top[t] <= b["dry_surge_max"])))
+    vma_s, vma_l, ctop, trend, up = ma("vol", c["vma_short"]), ma("vol", c["vma_long"]), one["vol"].shift(1).rolling(c["surge_rows"], min_periods=1).max(), ma("close", c["trend_ma"]), rising(one["vol"].tolist(), c["rising_days"] - 1)
+    for t in range(n):
+        x = one.iloc[t]
+        if x.a_point:
+            seg, start = seg + 1, t
+        days = t - start
+        since = over[start + 1 : t]
+        run = 0
+        while run < t - start and over[t - 1 - run]:
+            run += 1
+        above = {"count": sum(since) >= b["above_at_least"] and (b["below_at_most"] is None or max(0, days - 1) - sum(since) <= b["below_at_most"]), "ratio": days > 0 and sum(over[start + 1 : t + 1]) / days >= b["above_ratio"], "run": run >= b["above_at_least"]}[b["above"]]
+        low = one["low"][t - 1] if t > start else np.nan
+        stable = x.low >= {"ratio": (1 - b["stable"]) * low, "low": low, "atr": low - b["atr_buffer"] * atr[t]}[b["stable_mode"]]
+        touch = x[b["touch"]] < mal[t] if b["touch_strict"] else x[b["touch"]] <= mal[t]
+        quiet = sum(dry[max(0, t + 1 - b["dry_window"]) : t + 1]) >= b["dry_recent"] if b["dry_recent"] else dry[t]
+        point = seg > 0 and b["min_days"] <= days and (b["max_days"] is None or days <= b["max_days"]) and above and (not b["use_touch"] or touch) and (not b["use_vr1"] or x.vol / top[t] <= b["vr1_max"]) and quiet and stable
+        volume = (not c["use_surge"] or x.vol >= c["surge"] * ctop[t]) and (not c["use_compare"] or vma_s[t] > vma_l[t]) and (not c["use_rising"] or up[t])
+        high = x[c["trend_price"]] > trend[t] if c["trend_strict"] else x[c["trend_price"]] >= trend[t]
+        c_out.append(bool(last_b is not None and 1 <= t - last_b <= c["max_days"] and volume and high))
+        b_out.append(bool(point))
+        if point:
+            last_b = t
+    return b_out, c_out
+
+
+@pytest.mark.parametrize("name", ["plain", *screen.VARIANTS])
+def test_b_and_c_screens_against_row_by_row(bars, name):
+    extra = screen.VARIANTS.get(name, ({}, {}, {}))
+    a, b, c = (d | s | e for d, s, e in zip((screen.A_RULES, screen.B_RULES, screen.C_RULES), screen.SHORT, extra))
+    loose = a | {"use_falling": False, "use_confirm": False, "require_all": False}  # more segments
+    marked = screen.points(bars, loose, b, c).toPandas().sort_values(["ts_code", "trade_date"])
+    hits = 0
+    for _, one in marked.groupby("ts_code"):
+        one = one.reset_index(drop=True)
+        want_b, want_c = b_and_c_points(one, loose, b, c, a["long"])
+        assert one["b_point"].tolist() == want_b and one["c_point"].tolist() == want_c
+        hits += sum(want_b)
+    assert hits and marked["a_point"].sum() > 2
+
+
 def test_segments_do_not_mix_codes(bars):
     marked = screen.points(bars, *screen.SHORT)
     assert marked.where("segment = 0 and b_point").count() == 0
