@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.operators import factor, period, prepare, relative, rolling, screen, stocks
-from barsmith.plans import evaluation, expression, features
+from barsmith.plans import evaluation, expression, features, modelling, portfolio
 from barsmith.plans.staged import apply, needed, rounded, select, significant, to_sql
 from barsmith.sources import bars
 
@@ -74,7 +74,15 @@ def _state_sql(window: int) -> str:
 query("rolling_state_5", _state_sql(5))(lambda s, d: select(rolling.with_state(bars.panel(s, d), 5), _columns(_STATE)))
 
 
-@query("rolling_long")
+def _long_sql(metrics: tuple[str, ...], windows: tuple[int, ...]) -> str:
+    parts = []
+    for w in windows:
+        one = to_sql(bars.panel_sql(), "panel", needed(rolling.stages(w), metrics), {KEY: KEY, DATE: DATE, **{m: m for m in metrics}})
+        parts += [f"SELECT {KEY}, {DATE}, '{m}' AS metric, {w} AS \"window\", {significant(m)} AS value FROM ({one}) WHERE {m} IS NOT NULL" for m in metrics]
+    return " UNION ALL ".join(parts)
+
+
+@query("rolling_long", _long_sql(("CloseMA", "RSI", "PSY", "OBV"), (3, 5, 10)))
 def _rolling_long(spark, sf_dir):
     return rolling.long_table(bars.panel(spark, sf_dir), ["CloseMA", "RSI", "PSY", "OBV"], (3, 5, 10)).selectExpr(KEY, DATE, "metric", "window", f"{significant('value')} AS value")
 
@@ -223,11 +231,83 @@ query("eval_groups", evaluation.groups_sql(_EVAL_BASE, "evaluated", "groups"))(l
 query("eval_long_short", evaluation.groups_sql(_EVAL_BASE, "evaluated", "spread"))(lambda s, d: evaluation.long_short(_evaluated(s, d)).selectExpr(DATE, "floor(CAST(spread AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS spread"))
 
 
+_GROUPS = evaluation.groups_sql(_EVAL_BASE, "evaluated", "groups")
+query("eval_monotonic", f"SELECT coalesce(bool_and(up), true) OR coalesce(bool_and(down), true) AS monotonic FROM (SELECT mean_return >= lag(mean_return) OVER (ORDER BY bucket) AS up, mean_return <= lag(mean_return) OVER (ORDER BY bucket) AS down FROM ({_GROUPS}))")(
+    lambda s, d: evaluation.is_monotonic(_evaluated(s, d))
+)
+_SPREAD = evaluation.groups_sql(_EVAL_BASE, "evaluated", "raw")
+query("eval_long_short_summary", f"SELECT {significant('(product(1 + spread) - 1)')} AS total_return, {rounded('avg(spread)', 5)} AS mean, {rounded('stddev_samp(spread)', 5)} AS std, {rounded('(avg(spread) / nullif(stddev_samp(spread), 0) * sqrt(252))', 4)} AS sharpe FROM ({_SPREAD})")(
+    lambda s, d: evaluation.long_short_summary(evaluation.long_short(_evaluated(s, d))).selectExpr(f"{significant('total_return')} AS total_return", *(f"{rounded(c, k)} AS {c}" for c, k in (("mean", 5), ("std", 5), ("sharpe", 4))))
+)
+for _ranked in (False, True):
+    _n = "rank_ic" if _ranked else "ic"
+    query(f"eval_{_n}_p_value")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr("n_dates", f"{rounded('t_stat')} AS t_stat", f"{rounded('p_value')} AS p_value"))
+
+
 @query("eval_report")
 def _report(spark, sf_dir):
     return spark.createDataFrame([(evaluation.report(_evaluated(spark, sf_dir)),)], "report string")
 
 
+# --- feature preparation and portfolios --------------------------------------------------------------------------
+
+_TRAIN_END, _PREPARED = "2024-01-20", ("vol", "log_return")
+
+
+def _prepared(spark, sf_dir):
+    rows = bars.panel(spark, sf_dir).select(KEY, DATE, "close", *_PREPARED)
+    train, test = modelling.prepare(rows, list(_PREPARED), 3, 0.0, _TRAIN_END, "2024-01-21", "2024-01-30", fill="median")
+    return train.unionByName(test).selectExpr(KEY, DATE, "label", *(f"{rounded(c)} AS {c}" for c in _PREPARED))
+
+
+def _prepared_sql() -> str:
+    """Numbers of the training part alone, written out apart from the engine."""
+    fill = ", ".join(f"quantile_cont({c}, 0.5) AS f_{c}" for c in _PREPARED)
+    stats = ", ".join(f"min(coalesce({c}, f_{c})) AS lo_{c}, max(coalesce({c}, f_{c})) AS hi_{c}, avg(coalesce({c}, f_{c})) AS mu_{c}, stddev_pop(coalesce({c}, f_{c})) AS sd_{c}" for c in _PREPARED)
+    one = lambda c: rounded(f"(CASE WHEN lo_{c} >= 0 THEN (coalesce({c}, f_{c}) - lo_{c}) / (hi_{c} - lo_{c}) WHEN hi_{c} <= 0 THEN (hi_{c} - coalesce({c}, f_{c})) / (hi_{c} - lo_{c}) ELSE (coalesce({c}, f_{c}) - mu_{c}) / sd_{c} END)")
+    return f"""WITH {bars.panel_sql()}, l AS (SELECT *, lead(close, 3) OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS later FROM panel),
+t AS (SELECT * FROM l WHERE {DATE} <= DATE '{_TRAIN_END}'), f AS (SELECT {fill} FROM t), s AS (SELECT {stats} FROM t, f)
+SELECT {KEY}, {DATE}, CASE WHEN close > 0 AND later > close THEN 1 ELSE 0 END AS label, {', '.join(f'{one(c)} AS {c}' for c in _PREPARED)} FROM l, f, s WHERE {DATE} <= DATE '2024-01-30'"""
+
+
+query("features_prepared", _prepared_sql())(_prepared)
+
+
+@query("features_sequence")
+def _sequence(spark, sf_dir):
+    train, test = modelling.prepare_sequence(bars.panel(spark, sf_dir), ["vol", "log_return"])
+    part = F.lit("train").alias("part"), F.lit("test").alias("part")
+    return train.select("*", part[0]).unionByName(test.select("*", part[1])).selectExpr(KEY, DATE, "part", *(f"{rounded(c)} AS {c}" for c in ("close", "vol", "log_return")))
+
+
+@query("features_cross")
+def _cross(spark, sf_dir):
+    rows = features.assemble(bars.panel(spark, sf_dir), ("RSI", "BIAS"), (3,)).selectExpr("*", f"{features.future_log_return(3)} AS forward")
+    chosen = modelling.cross_features(rows, ["RSI_3", "BIAS_3"], "forward", 3)
+    return modelling.with_cross_features(rows, chosen).select(KEY, DATE, *chosen)
+
+
+_PAIRS = ("RSI", "PSY"), (3, 5)
+
+
+@query("features_merged", to_sql(bars.panel_sql(), "panel", rolling.windowed(*_PAIRS), _columns(["close", *(f"{m}_{w}" for w in _PAIRS[1] for m in _PAIRS[0])])))
+def _merged(spark, sf_dir):
+    rows = modelling.assemble(bars.panel(spark, sf_dir), *_PAIRS)
+    return select(rows, _columns(["close", *(f"{m}_{w}" for w in _PAIRS[1] for m in _PAIRS[0])]))
+
+
+query("portfolio_max_sharpe")(lambda s, d: portfolio.max_sharpe(bars.panel(s, d), 2000).selectExpr(KEY, f"{rounded('weight')} AS weight", f"{rounded('sharpe', 4)} AS sharpe"))
+
+
+def _portfolios(spark, sf_dir):
+    """Three portfolios: a market's codes by the hash of their names, tilted to what rose."""
+    p = bars.panel(spark, sf_dir).selectExpr("concat('P', pmod(crc32(ts_code), 3)) AS portfolio", KEY, DATE, "close", "log_return")
+    return p.selectExpr("*", "coalesce(log_return, 0D) AS action", "0D AS cash_action")
+
+
+query("portfolio_replay")(lambda s, d: portfolio.replay_weights(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{rounded('value', 4)} AS value"))
+query("portfolio_allocations")(lambda s, d: portfolio.replay_allocations(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{rounded('value')} AS value", f"{rounded('reward')} AS reward"))
+
 # --- screens, preparation, features, stocks ----------------------------------------------------------------------
 
 for _module in (screen, prepare, features, stocks):

@@ -237,6 +237,17 @@ def _upserted(s, d):
 
 
 _P = source.panel_sql()
+_SO_FAR = f"PARTITION BY {KEY} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING"
+_CLIPPED = lambda c: f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, quantile_cont({c}, 0.99) OVER (PARTITION BY {DATE})), quantile_cont({c}, 0.01) OVER (PARTITION BY {DATE})) END AS {c}"
+_PIPELINE_SQL = f"""WITH {source.EVENTS_BARS}, r AS (SELECT *, lag(close) OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS p FROM bars WHERE {KEY} IS NOT NULL AND {DATE} IS NOT NULL),
+c AS (SELECT *, CASE WHEN close > 0 AND p > 0 THEN ln(close / p) END AS log_return FROM r WHERE {DATE} >= (SELECT max(f) FROM (SELECT min({DATE}) AS f FROM r WHERE close IS NOT NULL GROUP BY {KEY}))),
+k AS (SELECT {KEY} FROM c WHERE close IS NOT NULL GROUP BY {KEY} HAVING max({DATE}) >= (SELECT max({DATE}) FROM c) - 10), s AS (SELECT c.* FROM c SEMI JOIN k USING ({KEY})),
+g AS (SELECT a.{KEY}, d.{DATE}, close, vol, amount, log_return FROM (SELECT DISTINCT {KEY} FROM s) a CROSS JOIN (SELECT DISTINCT {DATE} FROM s) d LEFT JOIN s ON s.{KEY} = a.{KEY} AND s.{DATE} = d.{DATE}),
+f AS (SELECT {KEY}, {DATE}, {', '.join(f'last_value({c} IGNORE NULLS) OVER ({_SO_FAR}) AS {c}' for c in ('close', 'vol', 'amount'))}, CASE WHEN count(log_return) OVER ({_SO_FAR}) > 0 THEN coalesce(log_return, 0e0) END AS log_return FROM g),
+w AS (SELECT {KEY}, {DATE}, close, {', '.join(map(_CLIPPED, ('vol', 'amount', 'log_return')))} FROM f) SELECT {KEY}, {DATE}, {', '.join(_R(c) for c in ('close', 'vol', 'amount', 'log_return'))} FROM w"""
+_LINE_SQL = f"""WITH {_P}, a AS (SELECT {KEY}, {DATE}, close, max(CASE WHEN close IS NOT NULL THEN {DATE} END) OVER ({_SO_FAR}) AS a_day, min(CASE WHEN close IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY} ORDER BY {DATE} DESC ROWS UNBOUNDED PRECEDING) AS b_day FROM panel),
+l AS (SELECT x.{KEY}, x.{DATE}, coalesce(x.close, p.close + (n.close - p.close) * (x.{DATE} - a_day) / nullif(b_day - a_day, 0), p.close) AS close FROM a x LEFT JOIN panel p ON p.{KEY} = x.{KEY} AND p.{DATE} = a_day LEFT JOIN panel n ON n.{KEY} = x.{KEY} AND n.{DATE} = b_day)
+SELECT {KEY}, {DATE}, {_R('close')} FROM l"""
 _FAR = f"PARTITION BY {KEY} ORDER BY {DATE}"
 QUERIES = {
     "prep_keep_last": (_duplicated, f"WITH t AS (SELECT 'U' || lpad(user_id::VARCHAR, 6, '0') AS {KEY}, ts::DATE AS {DATE}, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT {KEY}, {DATE}, floor(CAST(value AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM t WHERE k = 1 AND {KEY} IS NOT NULL"),
@@ -251,6 +262,6 @@ QUERIES = {
     "benchmark_ew": (lambda s, d: equal_weight_benchmark(source.panel(s, d)).selectExpr(DATE, _R("benchmark", 6)), f"WITH {_P} SELECT {DATE}, floor(CAST(sum(log_return) / (SELECT count(DISTINCT {KEY}) FROM panel) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS benchmark FROM panel GROUP BY {DATE}"),
     "benchmark_min_var": (lambda s, d: optimised_benchmark(source.panel(s, d, "lineitem"), "min_var").selectExpr(DATE, _R("benchmark", 6)), None),
     "benchmark_erc": (lambda s, d: optimised_benchmark(source.panel(s, d, "lineitem"), "erc").selectExpr(DATE, _R("benchmark", 6)), None),
-    "prep_pipeline": (lambda s, d: pipeline(source.events_bars(s, d)).selectExpr(KEY, DATE, *(_R(c) for c in ("close", "vol", "amount", "log_return"))), None),
-    "prep_interpolate": (lambda s, d: interpolate(source.densify(source.events_bars(s, d).select(KEY, DATE, "close"))).selectExpr(KEY, DATE, _R("close")), None),
+    "prep_pipeline": (lambda s, d: pipeline(source.events_bars(s, d)).selectExpr(KEY, DATE, *(_R(c) for c in ("close", "vol", "amount", "log_return"))), _PIPELINE_SQL),
+    "prep_interpolate": (lambda s, d: interpolate(source.densify(source.events_bars(s, d).select(KEY, DATE, "close"))).selectExpr(KEY, DATE, _R("close")), _LINE_SQL),
 }

@@ -137,6 +137,8 @@ def groups_sql(base: str, source: str, what: str, groups: int = 5) -> str:
     if what == "groups":
         return f"WITH {', '.join(parts)} SELECT bucket, floor(CAST(avg(forward) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS mean_return, count(*) AS n FROM {prev} GROUP BY bucket"
     top = SIDES["top"].replace("high_bucket", str(groups - 1))
+    if what == "raw":
+        return f"WITH {', '.join(parts)} SELECT {DATE}, coalesce({top}, 0e0) - coalesce({SIDES['bottom']}, 0e0) AS spread FROM {prev} GROUP BY {DATE}"
     return f"WITH {', '.join(parts)} SELECT {DATE}, floor(CAST(coalesce({top}, 0e0) - coalesce({SIDES['bottom']}, 0e0) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS spread FROM {prev} GROUP BY {DATE}"
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.operators import rolling
+from barsmith.plans.staged import select, significant, to_sql
 from barsmith.sources import bars as source
 
 _TIME = f"PARTITION BY {KEY} ORDER BY {DATE}"
@@ -206,6 +207,14 @@ _SCALED_SQL = f"""WITH {source.panel_sql()}, i AS (SELECT {KEY}, {DATE}, {', '.j
 SELECT {KEY}, {DATE}, {', '.join(f'floor(CAST(CASE WHEN min({c}) OVER () >= 0 THEN ({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) WHEN max({c}) OVER () <= 0 THEN (max({c}) OVER () - {c}) / nullif(max({c}) OVER () - min({c}) OVER (), 0) ELSE ({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0) END AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {c}' for c in ('close', 'vol', 'log_return'))} FROM i"""
 
 
+_ASSEMBLED = {KEY: KEY, DATE: DATE, **{n: significant(n) for n in ("close", *(f"{m}_{w}" for w in (3, 5, 10) for m in ("CloseMA", "RSI", "BIAS", "PSY")))}}
+_ASSEMBLED_SQL = to_sql(source.panel_sql(), "panel", rolling.windowed(("CloseMA", "RSI", "BIAS", "PSY"), (3, 5, 10)), _ASSEMBLED)
+
+
+def _assembled(s, d):
+    return select(assemble(source.panel(s, d)), _ASSEMBLED)
+
+
 def _model(s, d):
     p = source.panel(s, d)
     rows = assemble(p, ("RSI", "BIAS"), (3, 5)).selectExpr("*", f"{label(future_log_return(3))} AS label")
@@ -219,4 +228,4 @@ def _replayed(s, d):
     return episode_stats(replay(p)).selectExpr(KEY, "floor(CAST(total_return AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS total_return", "floor(CAST(volatility AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS volatility", "floor(CAST(sharpe AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS sharpe")
 
 
-QUERIES = {"features_labels": (_labels, _LABELS_SQL), "features_scaled": (_scaled, _SCALED_SQL), "features_forest": (_model, None), "features_replay": (_replayed, None), "features_assembled": (lambda s, d: assemble(source.panel(s, d)), None)}
+QUERIES = {"features_labels": (_labels, _LABELS_SQL), "features_scaled": (_scaled, _SCALED_SQL), "features_forest": (_model, None), "features_replay": (_replayed, None), "features_assembled": (_assembled, _ASSEMBLED_SQL)}
