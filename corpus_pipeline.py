@@ -1,6 +1,13 @@
 """Training-data pipeline over the documents table: classify, identify, deduplicate, mix and pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+
+Edge cases, by stage: null and empty texts get the classifier's score of a text without features, and have no
+language, so they go at the second stage at the latest.  Rows without doc_id are never learnt from; they are
+classified and identified like others, stay apart in the join and are mixed and packed.  Rows that repeat a
+doc_id come through together; after mixing, a document that is taken twice is two equal rows, each packed in a
+place of its own.  Ties go to the smallest doc_id.  Very long texts are read whole.  Further columns pass through
+all stages but the last, whatever their names; an empty table gives empty ones.
 """
 
 from __future__ import annotations
