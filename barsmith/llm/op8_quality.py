@@ -146,6 +146,8 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, ridge: float = 0.02
         else:
             move = -below
         w = w - rate / 2 * move
+        if not np.abs(w).max() < 1e6:  # too few rows to hold it
+            break
         if (now := risk(w)) < least:
             best, least = w, now
     return best
