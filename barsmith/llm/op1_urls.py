@@ -14,6 +14,9 @@ is an equality on (key, bucket) and the range test only picks among the few
 intervals of one key in one bucket.  A list of known small size is broadcast; a
 larger one meets the keys in a sort-merge join, whose hot keys Spark splits.
 
+Paths are compared in lower case and without their query string and fragment, on both sides: an
+entry that names a query string matches nothing.
+
 Edge cases: a null or unusable url matches nothing and is kept; a null fetch
 time is evaluated at no time, so it is kept too; log rows with a null in kind,
 value, action or time are void; of several rows of an entry at one time the

@@ -252,6 +252,7 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
         reach = F.when(full, F.greatest(d2, F.lit(0.0)) * F.lit(limit)).otherwise(F.lit(float("inf")))
         least = F.when(full, F.col("s")).otherwise(F.lit(float("-inf")))
         asking = queries.join(worst, "qid", "left").select("qid", "v", reach.alias("reach"), least.alias("least"))
+    release(placed)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     flat = found.join(ids, "cid", "left").select("qid", "score", F.explode(F.coalesce("ids", F.array("cid"))).alias("vec_id"))
