@@ -59,26 +59,27 @@ class FactorPlan:
         return self.known[text]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        waiting: dict[str, str] = {}  # statistics of the whole array: one aggregate gathers all that nothing has asked for yet
-
-        def gathered(df: DataFrame) -> DataFrame:
-            if not waiting:
-                return df
-            made = df.agg(*(F.expr(e).alias(n) for n, e in waiting.items()))
-            waiting.clear()
-            return df.join(F.broadcast(made))  # one row
-
-        for kind, name, what in self.steps:
-            text = (what(Spark) if callable(what) else what) if kind != "fold" else what[0]
-            if kind == "fold" or set(re.findall(r"\w+", text)) & set(waiting):
-                df = gathered(df)
-            if kind == "expr":
-                df = df.selectExpr("*", f"{text} AS `{name}`")
-            elif kind == "whole":
-                waiting[name] = text
-            else:
-                df = _fold(df, name, *what)
-        return gathered(df)
+        left = self.steps
+        while left:
+            # statistics of the whole array that can be worked out by now share one aggregate; what needs them comes after it
+            waiting: dict[str, str] = {}
+            later, unknown = [], set()
+            for kind, name, what in left:
+                text = what[0] if kind == "fold" else what(Spark) if callable(what) else what
+                if set(re.findall(r"\w+", text)) & unknown:
+                    later.append((kind, name, what))
+                elif kind == "whole":
+                    waiting[name] = text
+                elif kind == "fold":
+                    df = _fold(df, name, *what)
+                else:
+                    df = df.selectExpr("*", f"{text} AS `{name}`")
+                if kind == "whole" or (later and later[-1][1] == name):
+                    unknown.add(name)
+            if waiting:
+                df = df.join(F.broadcast(df.agg(*(F.expr(e).alias(n) for n, e in waiting.items()))))  # one row
+            left = later
+        return df
 
     def sql(self, base: str, source: str, columns: list[str]) -> str:
         parts, prev = [base], source

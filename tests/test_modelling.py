@@ -234,9 +234,9 @@ def test_infinite_values_are_null(spark):
 
 
 def test_a_plan_gathers_its_statistics_at_once(panel):
-    calls = [{"func": f, "args": [{"var": "close"}]} for f in ("mean", "median", "max_val")]
     plan = factor.FactorPlan()
-    for c in calls:
-        expression.compile_node(plan, expression.normalise(c), {"close"})
-    text = plan.apply(panel)._jdf.queryExecution().optimizedPlan().toString()
-    assert text.count("Aggregate") == 1
+    for column in ("close", "vol", "high"):
+        expression.compile_node(plan, expression.normalise({"func": "winsorize", "args": [{"var": column}]}), {column})
+    whole = [name for kind, name, _ in plan.steps if kind == "whole"]
+    text = plan.apply(panel)._jdf.queryExecution().analyzed().toString()
+    assert len(whole) == 6 and text.count("Aggregate") == 1
