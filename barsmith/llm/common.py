@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a local folder is set."""
+    Only where the session has none and its executors are this machine's (tests) a local folder is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not known:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barsmith-"))
             known = spark.sparkContext.getCheckpointDir()
@@ -59,11 +61,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, as single texts can be very long, and let Python workers
-    find this package where they see the driver's files (elsewhere it is shipped with --py-files)."""
+#: Rows and bytes that close an Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+#: Workers serve many stages: memory that one has freed goes back to the system, not into a pool for the next.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_MMAP_THRESHOLD_": str(2 << 20)}
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the rows and bytes of an Arrow batch, as single texts can be very long, and let Python workers
+    find this package where they see the driver's files (elsewhere it is shipped with --py-files).
+
+    Both are settings of the session, which only ever come down: every later query keeps them."""
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if home not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), home]))
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not held.rstrip("bB").isdigit() or int(held.rstrip("bB")) > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

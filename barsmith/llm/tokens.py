@@ -17,10 +17,10 @@ import pyarrow.compute as pc
 
 from .words import claim
 
-#: Remembered chunks a worker holds: up to so many new ones beside the last so many old ones.
-CACHE_CHUNKS = 400_000
+#: Remembered chunks a worker holds: up to so many new ones beside the last so many old ones; longer chunks are not remembered.
+CACHE_CHUNKS, CHUNK_CHARS = 120_000, 64
 #: Characters of text that are gathered at once.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 1 << 20
 _TAIL = re.compile(r"([.,!?;:]+)$")
 
 
@@ -94,6 +94,10 @@ class ChunkEncoder:
             self._learn(list(new))
         for i, head, tail in pairs:
             out[i] = cache[chunks[i]] = cache[head] + cache[tail]
+        for i, head, _ in pairs:
+            if len(chunks[i]) > CHUNK_CHARS:
+                cache.pop(chunks[i], None)
+                cache.pop(head, None)
         return out
 
 

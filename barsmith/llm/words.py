@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are looked at together; a longer text stands alone.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 1 << 20
 
 
 _holder: list = [None, None]
