@@ -40,15 +40,18 @@ from .common import release, small_batches, stage, table
 from .components import components
 from .words import claim, slices
 
-#: log2 of the counters in the sketch, and counters in one row of it: 32 MB in all, whatever the input.
-SKETCH, CHUNK = 23, 1 << 17
+#: log2 of the counters in the sketch, and counters in one row of it: 32 MB sent to tasks, whatever the input.
+SKETCH, CHUNK = 25, 1 << 19
 #: log2 of the bits that tell which documents' texts are read again.
 FILTER_BITS = 23
-RANGES = 256
+#: Hash ranges in which shingles are counted for the suffix filter; sets up to FEW shingles have a quarter as many.
+RANGES, FEW = 256, 800
 #: Rounds with one pairing row a shingle, before the round with all; rows of a shingle that are paired at once there.
 STAR_ROUNDS, BLOCK = 2, 2048
 #: Rows of one shingle up to which such groups are paired side by side.
 SMALL = 8
+#: Counted classes up to which their names are broadcast.
+BROADCAST_ROWS = 500_000
 A, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -88,21 +91,26 @@ def class_of(s: np.ndarray) -> int:
 
 
 def ranges(s: np.ndarray) -> bytes | None:
-    """How many shingles lie in each range of hashes; None, which filters nothing, where a byte cannot say."""
-    found = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    """How many shingles lie in each range of hashes, a byte each: RANGES, or of small sets a quarter as many;
+    None, which filters nothing, where a byte cannot say."""
+    fine = len(s) > FEW
+    found = np.bincount((s >> np.uint64(56 if fine else 58)).astype(np.int64), minlength=RANGES if fine else RANGES // 4)
     return found.astype(np.uint8).tobytes() if found.max() <= 255 else None
 
 
 def may_link(a, b, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether pairs pass the suffix filter; a, b: binary columns of ranges, n, m: set sizes."""
     out = np.ones(len(n), dtype=bool)
-    none = b"\xff" * RANGES
     for lo in range(0, len(n), 20_000):
-        x = np.frombuffer(b"".join(v or none for v in a[lo : lo + 20_000].to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
-        y = np.frombuffer(b"".join(v or none for v in b[lo : lo + 20_000].to_pylist()), dtype=np.uint8).reshape(-1, RANGES)
-        some, other = n[lo : lo + 20_000], m[lo : lo + 20_000]
-        unknown = (x == 255).all(axis=1) | (y == 255).all(axis=1)
-        out[lo : lo + 20_000] = unknown | (np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(some, other, num, den))
+        some, other = (v[lo : lo + 20_000].to_pylist() for v in (a, b))
+        for fine in (True, False):  # pairs with ranges of both in full, and those whose full ones are added up in fours
+            at = [i for i, (v, w) in enumerate(zip(some, other)) if v and w and (len(v) == len(w) == RANGES) == fine]
+            if not at:
+                continue
+            width = RANGES if fine else RANGES // 4
+            x, y = (np.stack([np.frombuffer(side[i], np.uint8).astype(np.int32).reshape(width, -1).sum(axis=1) for i in at]) for side in (some, other))
+            at = np.array(at) + lo
+            out[at] = np.minimum(x, y).sum(axis=1) >= least_overlap(n[at], m[at], num, den)
     return out
 
 
@@ -112,27 +120,41 @@ def least_overlap(n, m, num: int, den: int):
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds from one pass: (doc_id, cls, n, ranges) a document, (chunk, counts) of the sketch."""
+    """Rows of two kinds from one pass: (doc_id, cls, n, ranges) a document, (chunk, counts) of the sketch.
+
+    A task counts a class once, as far as it remembers, and its counters stop at 65535.  Each task writes a
+    sketch of its own, so there are as many tasks as the cluster has cores, a few times over, not as many as files."""
 
     def each(batches):
         import zstandard
 
-        counts = np.zeros(1 << SKETCH, dtype=np.uint32)
+        counts = np.zeros(1 << SKETCH, dtype=np.uint16)
+        seen: set[int] = set()
+        mask = np.uint64((1 << SKETCH) - 1)
         for batch in batches:
-            cls, sizes, spread = [], [], []
+            cls, sizes, spread, new = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
                 cls.append(class_of(s) if len(s) else None)
                 spread.append(ranges(s))
-                np.add.at(counts, (s & np.uint64((1 << SKETCH) - 1)).astype(np.int64), 1)
+                if len(s) and cls[-1] not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(cls[-1])
+                    new.append((s & mask).astype(np.uint32))
+            if new:
+                cells, times = np.unique(np.concatenate(new), return_counts=True)
+                counts[cells] = np.minimum(counts[cells] + times, 65535)
             n = len(sizes)
             yield _profile_batch(batch.column(0), cls, sizes, spread, [None] * n, [None] * n)
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        chunks = [(i, squeeze(counts[i * CHUNK : (i + 1) * CHUNK].astype("<u4").tobytes())) for i in range((1 << SKETCH) // CHUNK)]
-        none = [None] * len(chunks)
-        yield _profile_batch(pa.nulls(len(chunks), pa.int64()), none, none, none, [c for c, _ in chunks], [b for _, b in chunks])
+        for i in range((1 << SKETCH) // CHUNK):
+            part = counts[i * CHUNK : (i + 1) * CHUNK]
+            if part.any():
+                yield _profile_batch(pa.nulls(1, pa.int64()), [None], [None], [None], [i], [squeeze(part.astype("<u2").tobytes())])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, cls long, n long, ranges binary, chunk int, counts binary")
+    few = max(1, 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").coalesce(few).mapInArrow(each, "doc_id long, cls long, n long, ranges binary, chunk int, counts binary")
 
 
 def _profile_batch(ids, cls, sizes, spread, chunk, counts):
@@ -143,7 +165,7 @@ def _profile_batch(ids, cls, sizes, spread, chunk, counts):
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """The summed sketch; parts are added up by chunk as they stream by."""
+    """The summed sketch on a scale of eighths of a doubling, a byte a counter; parts are added up by chunk as they stream by."""
 
     def add(batches):
         import zstandard
@@ -152,23 +174,23 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(opened(counts), dtype="<u4")
+                part = np.frombuffer(opened(counts), dtype="<u2")
                 if chunk not in sums:
                     sums[chunk] = np.zeros(CHUNK, dtype=np.int64)
                 sums[chunk] += part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
+        level = [np.minimum(255, np.round(8 * np.log2(v + 1.0))).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["chunk", "counts"])
 
     parts = rows.where("chunk is not null").select("chunk", "counts")
     got = parts.repartition((1 << SKETCH) // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").collect()  # 32 MB
-    out = np.zeros(1 << SKETCH, dtype=np.uint32)
+    out = np.zeros(1 << SKETCH, dtype=np.uint8)
     for r in got:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype="<u4")
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype=np.uint8)
     return out
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(token, cls, n, pos): each class's rarest shingles; a class is emitted once a task."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
+def _prefixes(docs: DataFrame, k: int, num: int, den: int, sent) -> DataFrame:
+    """(token, cls, n, pos): each class's rarest shingles by a broadcast sketch; a class is emitted once a task."""
 
     def each(batches):
         counts = sent.value
@@ -183,8 +205,8 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                     seen.clear()
                 seen.add(cls)
                 p = n - (num * n + den - 1) // den + 1
-                freq = np.minimum(counts[(s & np.uint64((1 << SKETCH) - 1)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
-                order = np.argsort((freq << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")[:p]
+                freq = counts[(s & np.uint64((1 << SKETCH) - 1)).astype(np.int64)].astype(np.uint64)
+                order = np.argsort((freq << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[:p]
                 tokens.append(s[order].view(np.int64))
                 owners.append(np.full(p, cls, dtype=np.int64))
                 sizes.append(np.full(p, n, dtype=np.int32))
@@ -195,12 +217,44 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     return docs.select("text").mapInArrow(each, "token long, cls long, n int, pos int")
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The distinct rows whose shingle some other class holds too.
+
+    Rows are dealt and sorted by shingle once and stream by: all that is held of a shingle is its last row."""
+
+    def each(batches):
+        last, known = None, False  # the row before, and whether its shingle is known to be shared
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            token, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            same = np.concatenate([[False], token[1:] == token[:-1]])
+            again = same & np.concatenate([[False], cls[1:] == cls[:-1]])  # one class twice
+            run = np.cumsum(~same) - 1
+            met = np.zeros(run[-1] + 1, dtype=bool)
+            met[run[same & ~again]] = True
+            take = ~again
+            if known:
+                met[0], take[0] = True, False  # the row before has been given
+            out = batch.filter(pa.array(met[run] & take))
+            if out.num_rows:
+                yield out
+            last, known = batch.slice(batch.num_rows - 1, 1), bool(met[-1])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token").sortWithinPartitions("token", "cls").mapInArrow(each, "token long, cls long, n int, pos int")
+
+
 def _possible(n: str, pos: str, m: str, mpos: str, num: int, den: int) -> Column:
     """Length and positional filter of a pair that shares a shingle at these places."""
     a, b = F.col(n).cast("long"), F.col(m).cast("long")
     lengths = (F.least(a, b) * den >= F.greatest(a, b) * num)
-    room = 1 + F.least(a - F.col(pos), b - F.col(mpos)) - 1 + F.least(F.col(pos), F.col(mpos))
-    return lengths & (room * (num + den) >= (a + b) * num)
+    room = F.least(a - F.col(pos), b - F.col(mpos)) + F.least(F.col(pos), F.col(mpos))
+    # a pair that links also shares a shingle that is so early in both that the rest alone could not hold the overlap
+    early = ((a - F.col(pos)) * (num + den) >= (a + b) * num) & ((b - F.col(mpos)) * (num + den) >= (a + b) * num)
+    return lengths & early & (room * (num + den) >= (a + b) * num)
 
 
 def _all_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -217,7 +271,9 @@ def _all_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
         """The pairs of rows a and b that pass all filters, if any."""
         root, n, pos, cls = t["root"], t["n"], t["pos"], t["cls"]
         ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
-        ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b]) >= least_overlap(n[a], n[b], num, den)
+        least = least_overlap(n[a], n[b], num, den)
+        ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) + np.minimum(pos[a], pos[b]) >= least
+        ok &= (n[a] - pos[a] >= least) & (n[b] - pos[b] >= least)  # as in _possible
         a, b = a[ok], b[ok]
         if len(a):
             keep = may_link(t["ranges"].take(pa.array(a)), t["ranges"].take(pa.array(b)), n[a], n[b], num, den)
@@ -273,6 +329,7 @@ class _Verifier:
 
     def __init__(self, docs: DataFrame, profiles: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs, k, num, den
+        self.sent: list = []
         some = profiles.where("cls is not null")
         self.classes = stage(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("ranges").alias("ranges")), "classes")
 
@@ -304,8 +361,10 @@ class _Verifier:
                 yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
         found = both.select(F.col("a").alias("u"), F.col("b").alias("v"), "s_a", "s_b").mapInArrow(verify, "u long, v long")
-        out = stage(found, "links")
+        out = stage(found.distinct(), "links")
         release(sets, left)
+        sent = self.sent.pop()
+        sent.unpersist()
         return out
 
     def _sets(self, needed: DataFrame) -> DataFrame:
@@ -318,27 +377,35 @@ class _Verifier:
         table_ = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
         table_[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
         sent = self.docs.sparkSession.sparkContext.broadcast(table_)
+        self.sent.append(sent)
 
         def likely(batches):
             bits = sent.value
+            given: set[int] = set()  # repeated rows give a class once, as far as a task remembers
             for batch in batches:
                 h = batch.column(2).to_numpy(zero_copy_only=False)
                 place = h & ((1 << FILTER_BITS) - 1)
                 hit = (bits[place >> 5] >> (h & 31).astype(np.uint32)) & 1
                 some = batch.filter(pa.array(hit.astype(bool)))
-                sets, cls = [], []
-                for s in shingle_sets(some.column(1), k):
-                    sets.append(s.tobytes())
-                    cls.append(class_of(s) if len(s) else None)
+                rows_, sets, cls = [], [], []
+                for i, s in enumerate(shingle_sets(some.column(1), k)):
+                    if len(s) and (c := class_of(s)) not in given:
+                        if len(given) > 200_000:
+                            given.clear()
+                        given.add(c)
+                        rows_.append(i)
+                        sets.append(s.tobytes())
+                        cls.append(c)
                 if sets:
-                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "cls", "s"])
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(rows_)), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "cls", "s"])
 
         rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
         got = rows.mapInArrow(likely, "doc_id long, cls long, s binary")
-        # a repeated doc_id may have several texts: only its rows of the class count, and one of them
-        want = needed.select(F.col("doc_id").alias("w_doc"), F.col("cls").alias("w_cls"))
-        got = got.join(want, F.expr("doc_id <=> w_doc and cls = w_cls"), "left_semi").dropDuplicates(["cls"])
-        return stage(got.select("cls", "s"), "sets", compression="none")
+        # the bits let some others pass, and a repeated doc_id may have several texts: only the classes asked for stay;
+        # one that is given twice only makes a link twice
+        want = needed.select(F.col("cls").alias("w_cls"))
+        want = F.broadcast(want) if needed.count() <= BROADCAST_ROWS else want
+        return stage(got.join(want, F.col("cls") == F.col("w_cls"), "left_semi").select("cls", "s"), "sets", compression="none")
 
 
 def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -346,13 +413,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, star_rounds
     small_batches(docs.sparkSession)
     both = stage(_profiles(docs, k), "profiles")
     profiles = both.where("chunk is null").select("doc_id", "cls", "n", "ranges")
-    rows = _prefixes(docs, k, num, den, _sketch(both))
-    # rows whose shingle some other class holds too
-    from pyspark.sql import Window
-
-    alike = Window.partitionBy("token")
-    rows = rows.withColumn("lo", F.min("cls").over(alike)).withColumn("hi", F.max("cls").over(alike)).where("lo <> hi")
-    rows = stage(rows.select("token", "cls", "n", "pos").distinct(), "shared")
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(both))  # of fixed size
+    rows = _prefixes(docs, k, num, den, sketch)
+    rows = stage(_shared(rows), "shared")
+    sketch.unpersist()
     staged = [both, rows]
     verifier = _Verifier(docs, profiles, k, num, den)
     links: DataFrame | None = None

@@ -85,8 +85,8 @@ def test_blocks_of_a_hot_shingle(spark, monkeypatch):
 def test_suffix_filter_never_drops_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, rng.integers(0, 9)).astype(np.uint64)]))
+        a = np.unique((rng.integers(0, 2**63, rng.integers(1, 1600)) * 2).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], (rng.integers(0, 2**63, rng.integers(0, 9)) * 2).astype(np.uint64)]))
         if len(b):
             common = len(np.intersect1d(a, b))
             link = 100 * common >= 85 * (len(a) + len(b) - common)
