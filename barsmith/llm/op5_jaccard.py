@@ -151,7 +151,8 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         for i in range((1 << SKETCH) // CHUNK):
             part = counts[i * CHUNK : (i + 1) * CHUNK]
             if part.any():
-                yield _profile_batch(pa.nulls(1, pa.int64()), [None], [None], [None], [i], [squeeze(part.astype("<u2").tobytes())])
+                bits = squeeze(np.packbits(part > 0).tobytes())
+                yield _profile_batch(pa.nulls(1, pa.int64()), [None], [None], [None], [i], [len(bits).to_bytes(4, "little") + bits + squeeze(part[part > 0].astype("<u2").tobytes())])
 
     few = max(1, 4 * docs.sparkSession.sparkContext.defaultParallelism)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").coalesce(few).mapInArrow(each, "doc_id long, cls long, n long, ranges binary, chunk int, counts binary")
@@ -174,7 +175,9 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(opened(counts), dtype="<u2")
+                size = 4 + int.from_bytes(counts[:4], "little")
+                part = np.unpackbits(np.frombuffer(opened(counts[4:size]), np.uint8)).astype(np.uint16)
+                part[part > 0] = np.frombuffer(opened(counts[size:]), dtype="<u2")
                 if chunk not in sums:
                     sums[chunk] = np.zeros(CHUNK, dtype=np.int64)
                 sums[chunk] += part
@@ -218,12 +221,12 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sent) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The distinct rows whose shingle some other class holds too.
+    """The distinct rows whose shingle some other class holds too, each with the shingle's head: the row that has it earliest.
 
-    Rows are dealt and sorted by shingle once and stream by: all that is held of a shingle is its last row."""
+    Rows are dealt and sorted by shingle once and stream by: all that is held of a shingle is its head and its last row."""
 
     def each(batches):
-        last, known = None, False  # the row before, and whether its shingle is known to be shared
+        last, known, head = None, False, None  # the row before, whether its shingle is known to be shared, and its head
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -238,13 +241,19 @@ def _shared(rows: DataFrame) -> DataFrame:
             take = ~again
             if known:
                 met[0], take[0] = True, False  # the row before has been given
-            out = batch.filter(pa.array(met[run] & take))
-            if out.num_rows:
-                yield out
-            last, known = batch.slice(batch.num_rows - 1, 1), bool(met[-1])
+            starts = np.flatnonzero(~same)
+            heads = [batch.column(i).to_numpy()[starts] for i in (1, 2, 3)]
+            if head is not None:
+                heads = [np.concatenate([[first], rest[1:]]).astype(rest.dtype) for first, rest in zip(head, heads)]
+            keep = met[run] & take
+            if keep.any():
+                own = batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(h[run[keep]]) for h in heads)], [*own.schema.names, "head", "head_n", "head_pos"])
+            last, known, head = batch.slice(batch.num_rows - 1, 1), bool(met[-1]), [h[-1] for h in heads]
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "token").sortWithinPartitions("token", "cls").mapInArrow(each, "token long, cls long, n int, pos int")
+    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "pos", "cls")
+    return ordered.mapInArrow(each, "token long, cls long, n int, pos int, head long, head_n int, head_pos int")
 
 
 def _possible(n: str, pos: str, m: str, mpos: str, num: int, den: int) -> Column:
@@ -257,15 +266,16 @@ def _possible(n: str, pos: str, m: str, mpos: str, num: int, den: int) -> Column
     return lengths & early & (room * (num + den) >= (a + b) * num)
 
 
-def _all_pairs(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+def _all_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """(a, b, n, m): pairs of rows with one token and different roots that pass all filters.
 
-    rows: (token, cls, n, pos, root, ranges).  A token's rows are dealt to blocks, and each pair of blocks is one
+    rows: (token, cls, n, pos, root), classes: (cls, ranges).  A token's rows are dealt to blocks, and each pair of blocks is one
     piece of work of bounded size, in which only the pairs that pass are ever made rows."""
     counts = rows.groupBy("token").agg(F.count("*").alias("rows"))
     dealt = rows.join(counts, "token").withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = dealt.withColumn("side", F.explode(sides)).select("token", F.col("side.i").alias("i"), F.col("side.j").alias("j"), "own", "cls", "n", "pos", "root", "ranges")
+    dealt = dealt.withColumn("side", F.explode(sides)).select("token", F.col("side.i").alias("i"), F.col("side.j").alias("j"), "own", "cls", "n", "pos", "root")
+    dealt = dealt.join(classes.select("cls", "ranges"), "cls").select("token", "i", "j", "own", "cls", "n", "pos", "root", "ranges")
 
     def made(t: dict, a: np.ndarray, b: np.ndarray):
         """The pairs of rows a and b that pass all filters, if any."""
@@ -415,9 +425,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, star_rounds
     profiles = both.where("chunk is null").select("doc_id", "cls", "n", "ranges")
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(both))  # of fixed size
     rows = _prefixes(docs, k, num, den, sketch)
-    rows = stage(_shared(rows), "shared")
+    headed = stage(_shared(rows), "shared")
+    rows = headed.select("token", "cls", "n", "pos")
     sketch.unpersist()
-    staged = [both, rows]
+    staged = [both, headed]
     verifier = _Verifier(docs, profiles, k, num, den)
     links: DataFrame | None = None
     tried: DataFrame | None = None
@@ -431,13 +442,16 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, star_rounds
         one = at.select("token", F.col("cls").alias("a"), F.col("n").alias("n"), F.col("pos").alias("pos"), F.col("root").alias("root_a"))
         two = at.select("token", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("root").alias("root_b"))
         if turn == star_rounds:
-            at = at.join(verifier.classes.select("cls", "ranges"), "cls")
-            pairs = _all_pairs(at, num, den, BLOCK)
+            pairs = _all_pairs(at, verifier.classes, num, den, BLOCK)
         else:
-            key = F.struct("pos", "a") if turn == 0 else F.struct(F.xxhash64("root_a", F.lit(turn)), "pos", "a")
-            head = one.groupBy("token").agg(F.min(F.struct(key.alias("key"), "a", "n", "pos", "root_a")).alias("h"))
-            one = head.select("token", "h.a", "h.n", "h.pos", "h.root_a")
-            pairs = two.join(one, "token").where("root_a <> root_b").where(_possible("n", "pos", "m", "mpos", num, den))
+            if turn:
+                key = F.struct(F.xxhash64("root_a", F.lit(turn)), "pos", "a")
+                head = one.groupBy("token").agg(F.min(F.struct(key.alias("key"), "a", "n", "pos", "root_a")).alias("h"))
+                one = head.select("token", "h.a", "h.n", "h.pos", "h.root_a")
+                pairs = two.join(one, "token").where("root_a <> root_b")
+            else:  # each row knows its shingle's head
+                pairs = headed.select(F.col("head").alias("a"), F.col("head_n").alias("n"), F.col("head_pos").alias("pos"), F.col("cls").alias("b"), F.col("n").alias("m"), F.col("pos").alias("mpos")).where("a <> b")
+            pairs = pairs.where(_possible("n", "pos", "m", "mpos", num, den))
             first = F.col("a") < F.col("b")
             turned = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(first, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(first, F.col("m")).otherwise(F.col("n")).alias("m")]
             pairs = pairs.select(*turned).distinct()
