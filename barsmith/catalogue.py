@@ -144,11 +144,21 @@ for _period, _kind in (("5d", "events"), ("10d", "events"), ("2w", "events"), ("
     _sql = period.period_metrics_sql(bars.panel_sql(_kind), _period)
 
     def _run(s, d, p=_period, k=_kind):
-        return period.period_metrics(bars.panel(s, d, k), p).selectExpr(KEY, period.END, *(f"{significant(m)} AS {m}" for m in period.METRICS))
+        return period.period_metrics(bars.panel(s, d, k), p, digits=6)
 
     query(f"period_{_period}", _sql)(_run)
 
 
+def _catalogue_sql(kind: str, periods: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT *, '{p}' AS period FROM ({period.period_metrics_sql(bars.panel_sql(kind), p)})" for p in periods)
+
+
+@query("period_catalogue", _catalogue_sql("lineitem", period.PERIODS))
+def _catalogue(spark, sf_dir):
+    """Every metric of every period of the default catalogue."""
+    return period.period_catalogue(bars.panel(spark, sf_dir, "lineitem"), digits=6)
+
+
 @query("period_hurst_5m")
 def _hurst(spark, sf_dir):
     return period.hurst(bars.panel(spark, sf_dir, "lineitem"), "5m").selectExpr(KEY, period.END, f"{rounded('HurstExponent')} AS HurstExponent")

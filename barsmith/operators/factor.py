@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.decay import decay
 from barsmith.functions.dialect import BY_CODE, BY_DATE, DATE, KEY, Duck, Spark, finite, ratio, rows, so_far
+from barsmith.functions.histories import Groups, along
+from barsmith.functions.spans import Series
 
 OPERATORS: dict[str, Callable] = {}
 #: Operators that prepare or finish a factor; a factor itself may not use them.
@@ -65,13 +67,13 @@ class FactorPlan:
             waiting: dict[str, str] = {}
             later, unknown = [], set()
             for kind, name, what in left:
-                text = what[0] if kind == "fold" else what(Spark) if callable(what) else what
+                text = what[0] if kind in ("fold", "order") else what(Spark) if callable(what) else what
                 if set(re.findall(r"\w+", text)) & unknown:
                     later.append((kind, name, what))
                 elif kind == "whole":
                     waiting[name] = text
-                elif kind == "fold":
-                    df = _fold(df, name, *what)
+                elif kind in ("fold", "order"):
+                    df = (_fold if kind == "fold" else _order_statistic)(df, name, *what)
                 else:
                     df = df.selectExpr("*", f"{text} AS `{name}`")
                 if kind == "whole" or (later and later[-1][1] == name):
@@ -88,6 +90,8 @@ class FactorPlan:
                 parts.append(f'fs{i} AS (SELECT *, {what(Duck) if callable(what) else what} AS "{name}" FROM {prev})')
             elif kind == "whole":
                 parts.append(f'fs{i} AS (SELECT * FROM {prev} CROSS JOIN (SELECT {what(Duck)} AS "{name}" FROM {prev}))')
+            elif kind == "order":
+                parts.append(f'fs{i} AS (SELECT *, {_order_statistic_sql(*what)} AS "{name}" FROM {prev})')
             else:
                 x, alpha, axis = what
                 order = _order(axis)
@@ -113,6 +117,32 @@ def _fold(df: DataFrame, name: str, x: str, alpha: float, axis: int) -> DataFram
     return df.groupBy(by).applyInArrow(each, f"{kinds}, `{name}` double")
 
 
+def _order_statistic(df: DataFrame, name: str, x: str, window: int, share: float | None, axis: int) -> DataFrame:
+    """A quantile of the last rows of a column, or its own rank among them from 0 to 1 with ties at their mean."""
+    by, along_ = (KEY, DATE) if axis == 0 else (DATE, KEY)
+
+    def made(groups: Groups) -> dict[str, np.ndarray]:
+        series, (lo, hi) = Series(groups.values(x)), groups.last_rows(window)
+        if share is not None:
+            got = series.quantiles(lo, hi, [share])[0]
+        else:
+            a, b = series.inner(lo, hi)
+            own = np.where(series.known, series.x, 0)
+            less, upto = (series.ranks.up_to(a, b, own, strict)[0] for strict in (True, False))
+            got = np.where(series.known & (b - a > 1), (less + (upto - less - 1) / 2) / np.maximum(b - a - 1, 1), np.nan)
+        return {name: np.where(groups.no >= window, got, np.nan)}
+
+    return along(df, [name], made, by, along_)
+
+
+def _order_statistic_sql(x: str, window: int, share: float | None, axis: int) -> str:
+    if share is not None:
+        return _full(Duck.pct(x, share), window, axis)
+    values = Duck.values(x, rows(window, _order(axis)))
+    less, same, n = (Duck.count_in(values, t) for t in (f"v < {x}", f"v = {x}", "true"))
+    return f"CASE WHEN row_number() OVER ({_order(axis)}) >= {window} AND {x} IS NOT NULL AND {n} > 1 THEN ({less} + ({same} - 1) / 2e0) / ({n} - 1) END"
+
+
 def _order(axis: int) -> str:
     return BY_CODE if axis == 0 else BY_DATE
 
@@ -343,7 +373,7 @@ def rolling_kurt(p, data, window, axis=0):
 
 @operator
 def rolling_quantile(p, data, window, quantile_level, axis=0):
-    return p.let(lambda d: _full(d.pct(data, quantile_level), window, axis))
+    return p.let((data, int(window), float(quantile_level), axis), "order")
 
 
 def _pairs(p, expr, a, b, window, axis, least=2):
@@ -365,10 +395,7 @@ def rolling_cov(p, a, b, window, axis=0):
 
 @operator
 def ts_rank(p, data, window, axis=0):
-    order = _order(axis)
-    values = p.let(lambda d: d.values(data, rows(window, order)))
-    less, same, n = (p.let(lambda d, t=t: d.count_in(values, t.format(x=data))) for t in ("v < {x}", "v = {x}", "v = v"))
-    return p.let(f"CASE WHEN row_number() OVER ({order}) >= {window} AND {data} IS NOT NULL AND {n} > 1 THEN ({less} + ({same} - 1) / 2e0) / ({n} - 1) END")
+    return p.let((data, int(window), None, axis), "order")
 
 
 @operator

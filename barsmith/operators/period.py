@@ -1,10 +1,11 @@
 """Period metrics: risk and return of the window that ends on each date.
 
 A period is so many trading days ("20d") or a calendar span ("5m", "1y", "2w"),
-the half-open interval (start, end].  Rows are dealt by code once.  A code's
-windows are rows of matrices that NumPy views in its history, a bounded number
-at a time; the numbers of each window go back as one row, and the metrics are
-expressions over them.  The SQL that checks the metrics lays windows out by a join.
+the half-open interval (start, end].  Rows are dealt by code once, for all periods
+together.  A window is a span of its code's history, whose numbers are looked up
+in prefix sums, tables of extremes, a tree of ranks and chains of highs, so its
+length does not matter, and the metrics are arrays of formulas over them.  The SQL
+that checks the metrics lays windows out by a join and has formulas of its own.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barsmith.functions.dialect import DATE, KEY, Duck, Spark, ratio
+from barsmith.functions.histories import Groups, numbered, whole_groups
+from barsmith.functions.spans import Drawdowns, Series, prefix, significant_digits
 from barsmith.plans.staged import Stage, apply, significant
 
 #: Yearly risk-free rate, and days a year for returns and for volatility.
@@ -47,164 +50,185 @@ def start_of(period: str, end: str, dialect) -> str:
     return dialect.minus_days(end, 7 * n) if unit == "w" else dialect.months(end, -n)
 
 
-#: Elements of the window matrices that one step works on.
-_CELLS = 1 << 20
-
-
-def framed(panel: DataFrame, period: str) -> DataFrame:
-    """panel rows with the first day of the window that ends on them, null where the window is not eligible."""
-    unit, n = ("m", 12) if period in ("mtd", "qtd", "ytd") else parse(period)
-    start = f"lag({DATE}, {n}) OVER (PARTITION BY {KEY} ORDER BY {DATE})" if unit == "d" else start_of(period, DATE, Spark)
-    base = panel.selectExpr(KEY, DATE, "log_return AS r", "close", "high", "low", "vol", f"{start} AS start", f"min(CASE WHEN log_return IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY}) AS first_day", f"min({DATE}) OVER (PARTITION BY {KEY}) AS first_row")
-    return base.selectExpr(KEY, DATE, "r", "close", "high", "low", "vol", "CASE WHEN start >= first_row AND first_day <= start THEN start END AS start")
-
-
-def windows(t: pa.Table):
-    """For runs of a code's rows (by date) with a window: (rows, inside, take), where take(x) lays a column out as a
-    row a window, its values at the right end and NaN before them."""
-    day = t.column(DATE).combine_chunks().cast(pa.int32()).to_numpy()
-    start = t.column("start").combine_chunks().cast(pa.int32())
-    ends = np.flatnonzero(np.asarray(start.is_valid()))
-    lows = np.searchsorted(day, start.to_numpy(zero_copy_only=False)[ends].astype(np.int64), side="right")
-    at = 0
-    while at < len(ends):
-        width = int((ends[at : at + 64] - lows[at : at + 64]).max()) + 1
-        many = max(1, min(len(ends) - at, _CELLS // width))
-        rows_, low = ends[at : at + many], lows[at : at + many]
-        width = int((rows_ - low).max()) + 1
-        place = rows_[:, None] + np.arange(1 - width, 1)[None, :]
-        inside = place >= low[:, None]
-        place = np.maximum(place, 0)
-        yield rows_, inside, lambda x, place=place, inside=inside: np.where(inside, x[place], np.nan)
-        at += many
-
-
-def _moments(x: np.ndarray):
-    """Number, mean and deviations from it (0 where a value is missing) of each row."""
+#: Days of a window of each share that percentiles are taken at, of all, positive and negative returns.
+_SHARES, _TAILS = (0.5, 0.01, 0.05, 0.1, 0.9, 0.95, 0.99), (0.9, 0.95)
+_COLUMNS = ("r", "close", "high", "low", "vol")
+
+
+def _calendar(period: str) -> bool:
+    return period in ("mtd", "qtd", "ytd") or parse(period)[0] != "d"
+
+
+def framed(panel: DataFrame, periods: Iterable[str]) -> DataFrame:
+    """panel rows, each code's together and by date, with their number in it and the first day of each calendar period
+    that ends on them (trading days are counted later)."""
+    starts = (f"{start_of(p, DATE, Spark)} AS start_{p}" for p in periods if _calendar(p))
+    return panel.selectExpr(KEY, DATE, numbered(), "log_return AS r", "close", "high", "low", "vol", *starts)
+
+
+class Codes(Groups):
+    """Whole histories of some codes, one after the other."""
+
+    def __init__(self, t: pa.Table):
+        super().__init__(t)
+        self.day = self.days(DATE)
+        self.columns = {c: self.values(c) for c in _COLUMNS}
+        known = np.where(np.isnan(self.columns["r"]), len(self), np.arange(len(self)))
+        self.known = np.minimum.reduceat(known, self.first)
+
+    def spans(self, period: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lo, hi, days) of the eligible windows: rows [lo, hi), and calendar days from the start to the end.
+
+        A window is eligible if it starts on or after its code's first row, and some return is known by then."""
+        if _calendar(period):
+            ends, start = np.arange(len(self)), self.days(f"start_{period}")
+        else:
+            n = parse(period)[1]
+            ends = np.flatnonzero(self.no > n)
+            start = self.day[ends - n]
+        code = self.code[ends]
+        at = self.known[code]
+        fits = (start >= self.day[self.first][code]) & (at < len(self)) & (self.day[np.minimum(at, len(self) - 1)] <= start)
+        ends, start = ends[fits], start[fits]
+        return self.since(ends, start), ends + 1, self.day[ends] - start
+
+
+def _runs(r: np.ndarray, k: int):
+    """A function of spans that counts how often gains and losses of blocks of k rows follow each other in them.
+
+    Blocks are counted from a span's first row, so there are k ways to cut the history; in each, counts of
+    neighbours add up, and a span's first known block has none before it."""
+    if k == 1:
+        x = r[~np.isnan(r)][:, None]
+        seen = np.concatenate([[0], np.cumsum(~np.isnan(r))])
+    else:
+        rows = max(len(r) // k, 0) + 1
+        x = np.full((rows, k), np.nan)
+        if len(r) >= k:
+            parts = np.lib.stride_tricks.sliding_window_view(r, k)
+            sums = np.where(np.isnan(parts).all(axis=1), np.nan, np.nansum(parts, axis=1))
+            x.ravel()[: len(sums)] = sums
+    m = len(x)
     known = ~np.isnan(x)
-    n = known.sum(axis=1)
-    mean = np.where(n > 0, np.where(known, x, 0).sum(axis=1) / np.maximum(n, 1), np.nan)
-    return known, n, mean, np.where(known, x - np.where(n > 0, mean, 0)[:, None], 0)
-
-
-def _deviation(x: np.ndarray, ddof: int) -> np.ndarray:
-    _, n, _, dev = _moments(x)
-    return np.where(n > ddof, np.sqrt((dev * dev).sum(axis=1) / np.maximum(n - ddof, 1)), np.nan)
-
-
-def _quantiles(x: np.ndarray, shares: Iterable[float]) -> list[np.ndarray]:
-    """Percentiles with linear interpolation of each row's values."""
-    x = np.sort(x, axis=1)  # missing ones last
-    n = (~np.isnan(x)).sum(axis=1)
-    rows_, out = np.arange(len(x)), []
-    for q in shares:
-        at = q * np.maximum(n - 1, 0)
-        low = np.floor(at).astype(int)
-        a, b = x[rows_, low], x[rows_, np.minimum(low + 1, np.maximum(n - 1, 0))]
-        out.append(np.where(n > 0, a + (b - a) * (at - low), np.nan))
-    return out
-
-
-def _regression(y: np.ndarray, idx: np.ndarray):
-    """Sums of squares and products about the means of idx and y, over rows where y is known."""
-    known, n, _, dev = _moments(y)
-    x = np.where(known, idx, np.nan)
-    _, _, _, dx = _moments(x)
-    some = n > 0
-    return [np.where(some, v, np.nan) for v in ((dx * dx).sum(axis=1), (dev * dev).sum(axis=1), (dx * dev).sum(axis=1))]
-
-
-def _last_known(x: np.ndarray) -> np.ndarray:
-    """The last value before each place of a row that is not missing."""
-    at = np.where(np.isnan(x), -1, np.arange(x.shape[1])[None, :])
-    at = np.maximum.accumulate(at, axis=1)
-    at = np.concatenate([np.full((len(x), 1), -1), at[:, :-1]], axis=1)
-    return np.where(at >= 0, np.take_along_axis(x, np.maximum(at, 0), axis=1), np.nan)
-
-
-def window_numbers(inside: np.ndarray, r: np.ndarray, close: np.ndarray, high: np.ndarray, low: np.ndarray, vol: np.ndarray) -> dict[str, np.ndarray]:
-    """What ``aggregates`` says of each window, a row of a matrix each."""
-    width = r.shape[1]
-    m = inside.sum(axis=1)
-    idx = (np.arange(width)[None, :] - (width - m)[:, None]).astype(float)
-    known, n, mu, dev = _moments(r)
-    z = np.where(known, r, 0)
-    count = np.maximum(n, 1)
-    mean_of = lambda x, k: np.where(k > 0, x.sum(axis=1) / np.maximum(k, 1), np.nan)
-    pos, neg = np.where(r > 0, r, np.nan), np.where(r < 0, r, np.nan)
-    n_pos, n_neg = (r > 0).sum(axis=1), (r < 0).sum(axis=1)
-    top = lambda x: np.where(np.isnan(x).all(axis=1), np.nan, np.where(np.isnan(x), -np.inf, x).max(axis=1))
-    out = {"n_rows": m, "n": n, "tot": z.sum(axis=1), "mu": mu, "sd": _deviation(r, 1), "hi": top(r), "lo": -top(-r)}
-    out |= {"pos": np.where(r > 0, r, 0).sum(axis=1), "neg": np.where(r < 0, r, 0).sum(axis=1), "n_pos": n_pos, "n_neg": n_neg}
-    for k in (2, 3, 4):
-        out[f"m{k}"] = np.where(n > 0, (dev**k).sum(axis=1) / count, np.nan)
-    out["mad"] = np.where(n > 0, np.abs(dev).sum(axis=1) / count, np.nan)
-    # drawdown of the close from its peak in the window
-    peak = np.maximum.accumulate(np.where(np.isnan(close), -np.inf, close), axis=1)
-    with np.errstate(all="ignore"):
-        dd = np.where(inside & ~np.isnan(close) & (peak != 0), close / peak - 1, 0.0)
-    worst = np.where(inside, dd, np.inf).min(axis=1)
-    worst_idx = np.where(inside & (dd == worst[:, None]), idx, -1).max(axis=1)
-    peak_idx = np.where(inside & (dd >= 0) & (idx <= worst_idx[:, None]), idx, -1).max(axis=1)
-    out |= {"mdd": worst, "mdd_idx": worst_idx, "peak_idx": np.where(peak_idx >= 0, peak_idx, np.nan), "dd2": (np.where(inside, dd, 0) ** 2).sum(axis=1) / np.maximum(m, 1)}
-    outside = lambda x: np.where(inside, x, np.nan)
-    out |= {"down": _deviation(outside(np.where(r < DAILY_RATE, r - DAILY_RATE, 0.0)), 1), "up": _deviation(outside(np.where(r > 0, r, 0.0)), 1)}
-    out |= {"pos_sd": _deviation(pos, 0), "pos_mu": _moments(pos)[2], "neg_sd": _deviation(neg, 0), "neg_mu": _moments(neg)[2]}
-    out |= {"gains": np.where(r > DAILY_RATE, r - DAILY_RATE, 0).sum(axis=1), "losses": np.where(r < DAILY_RATE, DAILY_RATE - r, 0).sum(axis=1)}
-    out["sxx"], out["syy"], out["sxy"] = _regression(np.where(known, np.cumsum(z, axis=1), np.nan), idx)
-    with np.errstate(all="ignore"):
-        out["pxx"], out["pyy"], out["pxy"] = _regression(np.where(close > 0, np.log(close), np.nan), idx)
-    _, n_low, _, low_dev = _moments(np.where(r < DAILY_RATE, r, np.nan))
-    out["low3"] = mean_of(low_dev**3, n_low)
-    out |= {"v_mu": _moments(vol)[2], "v_sd": _deviation(vol, 1)}
-    out["vxx"], _, out["vxy"] = _regression(vol, idx)
-    out |= {"max_high": top(high), "min_low": -top(-low), "avg_high": _moments(high)[2], "avg_low": _moments(low)[2], "n_close": (~np.isnan(close)).sum(axis=1)}
-    before = np.concatenate([np.full((len(r), 1), -np.inf), peak[:, :-1]], axis=1)
-    out["highs"] = (close > before).sum(axis=1)
-    out["med"], *rest = _quantiles(r, (0.5, 0.01, 0.05, 0.1, 0.9, 0.95, 0.99))
-    out |= dict(zip(("q1", "q5", "q10", "q90", "q95", "q99"), rest))
-    out["win90"], out["win95"] = _quantiles(pos, (0.9, 0.95))
-    out["lose90"], out["lose95"] = _quantiles(-neg, (0.9, 0.95))
-    total = np.concatenate([np.zeros((len(r), 1)), np.cumsum(z, axis=1)], axis=1)
-    some = np.concatenate([np.zeros((len(r), 1)), np.cumsum(known, axis=1)], axis=1)
-    for k in (1, 5, 10):
-        x = r
-        if k > 1:  # sums of whole blocks of rows, at their last row
-            ends = inside & (idx % k == k - 1)
-            x = np.full(r.shape, np.nan)
-            x[:, k - 1 :] = np.where(ends[:, k - 1 :] & (some[:, k:] > some[:, :-k]), total[:, k:] - total[:, :-k], np.nan)
-        was = _last_known(x)
-        for name, a, b in (("ww", was >= 0, x >= 0), ("ll", was < 0, x < 0), ("wl", was >= 0, x < 0), ("lw", was < 0, x >= 0)):
-            out[f"{name}{k}"] = (a & b).sum(axis=1)
-    return out
-
-
-def window_aggregates(panel: DataFrame, period: str) -> DataFrame:
-    """(ts_code, end_date, the columns of aggregates) of each eligible window.
-
-    A code's history is one Arrow table; its windows are views of it, so many at a time that a step's matrices
-    have a bounded size, and no row is copied into the windows that hold it."""
+    at = np.maximum.accumulate(np.where(known, np.arange(m)[:, None], -1), axis=0)
+    before = np.concatenate([np.full((1, x.shape[1]), -1), at[:-1]]) if m else at
+    was = np.where(before >= 0, np.take_along_axis(x, np.maximum(before, 0), axis=0), np.nan) if m else x
+    first = np.concatenate([np.minimum.accumulate(np.where(known, np.arange(m)[:, None], m)[::-1], axis=0)[::-1], np.full((1, x.shape[1]), m)])
+    pairs = {"ww": (was >= 0) & (x >= 0), "ll": (was < 0) & (x < 0), "wl": (was >= 0) & (x < 0), "lw": (was < 0) & (x >= 0)}
+    sums = {n: np.concatenate([np.zeros((1, x.shape[1]), np.int64), np.cumsum(v, axis=0)]) for n, v in pairs.items()}
+
+    def count(lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+        row, column, end = (seen[lo], 0, seen[hi]) if k == 1 else (lo // k, lo % k, lo // k + (hi - lo) // k)
+        begin = np.minimum(first[row, column] + 1, end)
+        return {f"{n}{k}": s[end, column] - s[begin, column] for n, s in sums.items()}
+
+    return count
+
+
+class History:
+    """Rows of whole codes: what all their windows of all periods look up.
+
+    Volumes and closes are measured by their code's largest one, and returns add up from a code's first row on, so
+    that codes of any size can stand side by side."""
+
+    def __init__(self, codes: Codes):
+        r, close, high, low, vol = (codes.columns[c] for c in _COLUMNS)
+        self.unit = codes.scale(vol)
+        self.r, self.high, self.low, self.vol = map(Series, (r, high, low, vol / self.unit))
+        self.plain, self.close = close, Series(close / codes.scale(close))
+        self.pos, self.neg = Series(np.where(r > 0, r, np.nan)), Series(np.where(r < 0, -r, np.nan))
+        self.poor = Series(np.where(r < DAILY_RATE, r, np.nan))
+        self.under, self.over = Series(np.where(r < DAILY_RATE, r - DAILY_RATE, 0.0)), Series(np.where(r > 0, r, 0.0))
+        run = np.cumsum(np.where(self.r.known, r, 0))
+        self.run = Series(np.where(self.r.known, run - run[codes.first][codes.code], np.nan))
+        with np.errstate(all="ignore"):
+            self.log_close = Series(np.where(close > 0, np.log(close), np.nan))
+        # plain sums, so that nothing adds up to exactly 0
+        some = lambda x: prefix(np.where(np.isnan(x), 0, x))
+        self.sums = {"tot": some(r), "pos": some(self.pos.x), "neg": some(-self.neg.x), "gains": prefix(np.where(r > DAILY_RATE, r - DAILY_RATE, 0.0)), "losses": prefix(np.where(r < DAILY_RATE, DAILY_RATE - r, 0.0))}
+        self.runs = [_runs(r, k) for k in (1, 5, 10)]
+        self.falls = Drawdowns(self.close) if (self.close.values > 0).all() else None
+
+    def _falls(self, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+        if self.falls is not None:
+            return self.falls.at(lo, hi)
+        # prices of 0 and below have no order of falls: window by window
+        out = {n: np.zeros(len(lo), np.int64 if n in ("mdd_row", "peak_row", "highs") else float) for n in ("mdd", "mdd_row", "peak_row", "dd2", "highs")}
+        for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
+            c = self.plain[a:b]
+            peak = np.maximum.accumulate(np.where(np.isnan(c), -np.inf, c))
+            with np.errstate(all="ignore"):
+                dd = np.where(~np.isnan(c) & (peak != 0), c / peak - 1, 0.0)
+            at = np.flatnonzero(dd == dd.min())[-1]
+            top = np.flatnonzero(dd[: at + 1] >= 0)
+            out["mdd"][i], out["mdd_row"][i], out["peak_row"][i], out["dd2"][i] = dd[at], a + at, a + top[-1] if len(top) else -1, (dd * dd).sum()
+            out["highs"][i] = (c > np.concatenate([[-np.inf], peak[:-1]])).sum()
+        return out
+
+    def numbers(self, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+        """What ``aggregates`` says of each window."""
+        r, rows = self.r, hi - lo
+        n, mu = r.n(lo, hi), r.mean(lo, hi)
+        some = np.maximum(n, 1)
+        out = {"n_rows": rows, "n": n, "mu": mu, "sd": r.deviation(lo, hi, 1), "hi": r.maximum(lo, hi), "lo": r.minimum(lo, hi), "mad": r.spread(lo, hi, mu)}
+        out |= {k: (s[hi] - s[lo]).astype(float) for k, s in self.sums.items()}
+        out |= {"n_pos": self.pos.n(lo, hi), "n_neg": self.neg.n(lo, hi)}
+        out |= {f"m{k}": np.where(n > 0, v / some, np.nan) for k, v in zip((2, 3, 4), r.central(lo, hi, 4))}
+        falls = self._falls(lo, hi)
+        out |= {"mdd": falls["mdd"], "mdd_idx": (falls["mdd_row"] - lo).astype(float), "peak_idx": np.where(falls["peak_row"] >= 0, falls["peak_row"] - lo, np.nan), "dd2": falls["dd2"] / np.maximum(rows, 1), "highs": falls["highs"]}
+        out |= {"down": self.under.deviation(lo, hi, 1), "up": self.over.deviation(lo, hi, 1)}
+        out |= {"pos_sd": self.pos.deviation(lo, hi, 0), "pos_mu": self.pos.mean(lo, hi), "neg_sd": self.neg.deviation(lo, hi, 0), "neg_mu": -self.neg.mean(lo, hi)}
+        out["sxx"], out["syy"], out["sxy"] = self.run.regression(lo, hi)
+        out["pxx"], out["pyy"], out["pxy"] = self.log_close.regression(lo, hi)
+        n_low = self.poor.n(lo, hi)
+        out["low3"] = np.where(n_low > 0, self.poor.central(lo, hi, 3)[1] / np.maximum(n_low, 1), np.nan)
+        unit = self.unit[lo]
+        out |= {"v_mu": self.vol.mean(lo, hi) * unit, "v_sd": self.vol.deviation(lo, hi, 1) * unit}
+        out["vxx"], _, vxy = self.vol.regression(lo, hi)
+        out["vxy"] = vxy * unit
+        out |= {"max_high": self.high.maximum(lo, hi), "min_low": self.low.minimum(lo, hi), "avg_high": self.high.mean(lo, hi), "avg_low": self.low.mean(lo, hi), "n_close": self.close.n(lo, hi)}
+        out |= dict(zip(("med", "q1", "q5", "q10", "q90", "q95", "q99"), r.quantiles(lo, hi, _SHARES)))
+        out["win90"], out["win95"] = self.pos.quantiles(lo, hi, _TAILS)
+        out["lose90"], out["lose95"] = self.neg.quantiles(lo, hi, _TAILS)
+        for count in self.runs:
+            out |= count(lo, hi)
+        return out
+
+
+#: Numbers of a window that count something.
+_COUNTS = {"n_rows", "n", "n_pos", "n_neg", "n_close", "highs", *(f"{a}{k}" for a in ("ww", "ll", "wl", "lw") for k in (1, 5, 10))}
+
+
+def _histories(panel: DataFrame, periods: list[str], names: list[str], numbers) -> DataFrame:
+    """(ts_code, end_date, period, days, names): one exchange and one pass over each code for its windows of all periods.
+
+    numbers(codes) gives a function of spans (lo, hi) and their days that returns the named arrays."""
+    kinds = [(KEY, "string"), (END, "date"), ("period", "string"), ("days", "int"), *((n, "long" if n in _COUNTS else "double") for n in names)]
+
+    def each(batches):
+        for t in whole_groups(batches):
+            codes = Codes(t)
+            look = numbers(codes)
+            for p in periods:
+                lo, hi, days = codes.spans(p)
+                if len(lo):
+                    got, at = look(lo, hi, days), pa.array(hi - 1)
+                    made = [codes.table.column(KEY).combine_chunks().take(at), codes.table.column(DATE).combine_chunks().take(at), pa.array([p] * len(lo), pa.string()), pa.array(days.astype(np.int32))]
+                    made += [pa.array(got[n].astype(np.int64)) if n in _COUNTS else pa.array(got[n].astype(float), mask=np.isnan(got[n])) for n in names]
+                    yield pa.RecordBatch.from_arrays(made, names=[n for n, _ in kinds])
+
+    return framed(panel, periods).mapInArrow(each, ", ".join(f"{n} {k}" for n, k in kinds))
+
+
+def _lookup(codes: Codes):
+    history = History(codes)
+    return lambda lo, hi, days: history.numbers(lo, hi)
+
+
+def window_aggregates(panel: DataFrame, periods: Iterable[str]) -> DataFrame:
+    """(ts_code, end_date, period, the columns of aggregates) of each eligible window of each period."""
     names = [n for n in aggregates() if n != "days"]
-    whole = {"n_rows", "n", "n_pos", "n_neg", "n_close", "highs", *(f"{a}{k}" for a in ("ww", "ll", "wl", "lw") for k in (1, 5, 10))}
-    kind = {n: "long" if n in whole else "double" for n in names}
-
-    def each(t: pa.Table) -> pa.Table:
-        t = t.sort_by(DATE)
-        cols = {c: t.column(c).to_numpy().astype(float) for c in ("r", "close", "high", "low", "vol")}
-        day = t.column(DATE).combine_chunks().cast(pa.int32()).to_numpy()
-        start = t.column("start").combine_chunks().cast(pa.int32()).to_numpy(zero_copy_only=False)
-        parts = []
-        for rows_, inside, take in windows(t):
-            got = window_numbers(inside, *(take(cols[c]) for c in ("r", "close", "high", "low", "vol")))
-            made = [t.column(KEY).take(pa.array(rows_)), t.column(DATE).take(pa.array(rows_)), pa.array((day[rows_] - start[rows_]).astype(np.int32))]
-            for n in names:
-                x = got[n]
-                made.append(pa.array(x.astype(np.int64)) if kind[n] == "long" else pa.array(x.astype(float), mask=np.isnan(x)))
-            parts.append(pa.table(made, names=[KEY, END, "days", *names]))
-        return pa.concat_tables(parts) if parts else pa.table([pa.array([], k) for k in (pa.string(), pa.date32(), pa.int32(), *(pa.int64() if kind[n] == "long" else pa.float64() for n in names))], names=[KEY, END, "days", *names])
-
-    schema = f"{KEY} string, {END} date, days int, " + ", ".join(f"{n} {kind[n]}" for n in names)
-    return framed(panel, period).groupBy(KEY).applyInArrow(each, schema)
+    return _histories(panel, list(periods), names, _lookup)
 
 
 def members_sql(period: str) -> str:
@@ -290,7 +314,7 @@ def aggregates() -> Stage:
     return out
 
 
-def _or0(a: str, b: str) -> str:
+def _ratio0(a: str, b: str) -> str:
     return f"coalesce({ratio(a, b)}, 0e0)"
 
 
@@ -306,10 +330,10 @@ def result_stages() -> list[Stage]:
         "AverageDailyReturn": "mu",
         "AvgPositiveReturn": "pos / n_rows",
         "AvgNegativeReturn": "neg / n_rows",
-        "AvgReturnRatio": _or0("pos", "neg"),
+        "AvgReturnRatio": _ratio0("pos", "neg"),
         "TotalPositiveReturn": "pos",
         "TotalNegativeReturn": "neg",
-        "TotalReturnRatio": _or0("pos", "abs(neg)"),
+        "TotalReturnRatio": _ratio0("pos", "abs(neg)"),
         "MedianDailyReturn": "med",
         "Volatility": "sd",
         "AnnualizedVolatility": f"sd * {math.sqrt(TRADING_DAYS)!r}",
@@ -320,20 +344,20 @@ def result_stages() -> list[Stage]:
         "MaxLoss": "lo",
         "MaxDrawDown": "mdd",
         "MaxDrawDownDays": "mdd_idx - peak_idx",
-        "ReturnDrawDownRatio": _or0("exp(tot) - 1", "abs(mdd)"),
+        "ReturnDrawDownRatio": _ratio0("exp(tot) - 1", "abs(mdd)"),
         # a yearly return beyond e^700 is no number
         "AnnReturnDrawDownRatio": f"CASE WHEN tot * {float(RETURN_DAYS)} / days < 700 THEN {ratio(f'exp(tot * {float(RETURN_DAYS)} / days) - 1', 'abs(mdd)')} END",
-        "DrawDownSlope": _or0("abs(mdd)", "mdd_idx - peak_idx"),
+        "DrawDownSlope": _ratio0("abs(mdd)", "mdd_idx - peak_idx"),
         "UlcerIndex": "sqrt(dd2)",
-        "SharpeRatio": _or0(f"tot - {rf}", "sd"),
-        "ReturnVolatilityRatio": _or0("tot", "sd"),
+        "SharpeRatio": _ratio0(f"tot - {rf}", "sd"),
+        "ReturnVolatilityRatio": _ratio0("tot", "sd"),
         "DownsideVolatility": "down",
         "UpsideVolatility": "up",
-        "VolatilitySkew": _or0("up - down", "sd"),
-        "VolatilityRatio": _or0("up", "down"),
-        "SortinoRatio": _or0(f"tot - {rf}", "down"),
-        "GainConsistency": _or0("pos_sd", "pos_mu"),
-        "LossConsistency": _or0("neg_sd", "abs(neg_mu)"),
+        "VolatilitySkew": _ratio0("up - down", "sd"),
+        "VolatilityRatio": _ratio0("up", "down"),
+        "SortinoRatio": _ratio0(f"tot - {rf}", "down"),
+        "GainConsistency": _ratio0("pos_sd", "pos_mu"),
+        "LossConsistency": _ratio0("neg_sd", "abs(neg_mu)"),
         "WinningRatio": ratio("n_pos * 1e0", "n"),
         "LosingRatio": ratio("n_neg * 1e0", "n"),
         "ReturnSkewness": f"CASE WHEN n > 2 THEN {ratio('m3', 'power(m2, 1.5)')} * sqrt(CAST(n AS DOUBLE) * (n - 1)) / (n - 2) END",
@@ -345,12 +369,12 @@ def result_stages() -> list[Stage]:
         **{f"PercentileLoss_{q}": f"coalesce(lose{q}, 0e0)" for q in (95, 90)},
         **{f"TailRatio_{q}": f"coalesce(win{q}, 0e0) / greatest(coalesce(lose{q}, 0e0), 1e-6)" for q in (90, 95)},
         "NewHighRatio": "highs * 1e0 / greatest(n_close, 1)",
-        **{f"CrossProductRatio_{k}": _or0(f"ww{k} * 1e0 * ll{k}", f"wl{k} * 1e0 * lw{k}") for k in (1, 5, 10)},
+        **{f"CrossProductRatio_{k}": _ratio0(f"ww{k} * 1e0 * ll{k}", f"wl{k} * 1e0 * lw{k}") for k in (1, 5, 10)},
         "OmegaRatio": f"coalesce({ratio('gains', 'n')} / ({ratio('losses', 'n')} + 1e-8), 0e0)",
         "ReturnDistributionIntegral": ratio("gains", "n"),
         "ReturnSlope": ratio("sxy", "sxx"),
         "KRatio": f"CASE WHEN n > 2 AND syy - {ratio('sxy * sxy', 'sxx')} > 1e-18 THEN {ratio('sxy', 'sxx')} / (sqrt((syy - {ratio('sxy * sxy', 'sxx')}) / (n - 2)) / sqrt(sxx)) END",
-        "SortinoSkewness": _or0("low3", "down * down * down"),
+        "SortinoSkewness": _ratio0("low3", "down * down * down"),
         "NetEquitySlope": ratio("pxy", "pxx"),
         "EquitySmoothness": ratio("pxy * pxy", "pxx * pyy"),
         "VolAvg": "v_mu",
@@ -364,13 +388,13 @@ def result_stages() -> list[Stage]:
     }
     second: Stage = {
         "MartinRatio": ratio("AnnualizedReturn", "UlcerIndex"),
-        "AnnualizedSharpeRatio": _or0(f"AnnualizedReturn - {YEARLY_RATE!r}", "AnnualizedVolatility"),
-        "VaRSharpe_95": _or0(f"tot - {rf}", "VaR_95"),
-        "CVaRSharpe_95": _or0(f"tot - {rf}", "CVaR_95"),
+        "AnnualizedSharpeRatio": _ratio0(f"AnnualizedReturn - {YEARLY_RATE!r}", "AnnualizedVolatility"),
+        "VaRSharpe_95": _ratio0(f"tot - {rf}", "VaR_95"),
+        "CVaRSharpe_95": _ratio0(f"tot - {rf}", "CVaR_95"),
         **{f"VaRModified_{c}": least0(f"- (mu + {mod(v)} * sd)") for c, v in z.items()},
         **{f"CVaRModified_{c}": least0(f"- (mu - sd * {phi(mod(v))} / {1 - c / 100!r})") for c, v in z.items()},
     }
-    third: Stage = {"VaRModifiedSharpe_95": _or0(f"tot - {rf}", "VaRModified_95"), "CVaRModifiedSharpe_95": _or0(f"tot - {rf}", "CVaRModified_95")}
+    third: Stage = {"VaRModifiedSharpe_95": _ratio0(f"tot - {rf}", "VaRModified_95"), "CVaRModifiedSharpe_95": _ratio0(f"tot - {rf}", "CVaRModified_95")}
     return [first, second, third]
 
 
@@ -378,11 +402,84 @@ def result_stages() -> list[Stage]:
 METRICS = tuple(n for stage in result_stages() for n in stage)
 
 
-def period_metrics(panel: DataFrame, period: str, metrics: Iterable[str] = METRICS) -> DataFrame:
-    """(ts_code, end_date, metrics): null where a window has fewer than two returns; windows of one row are left out."""
-    metrics = [m.replace("-", "_") for m in metrics]
-    made = window_aggregates(panel, period).where("n_rows >= 2")
-    return apply(made, result_stages() + REGISTERED).selectExpr(KEY, END, *(f"CASE WHEN n >= 2 THEN CAST({m} AS DOUBLE) END AS {m}" for m in metrics))
+def _over(a, b) -> np.ndarray:
+    """a / b, NaN where b is 0 or unknown."""
+    return np.where(b == 0, np.nan, a / np.where(b == 0, 1, b))
+
+
+def _or0(a, b) -> np.ndarray:
+    return np.nan_to_num(_over(a, b), nan=0.0, posinf=np.inf, neginf=-np.inf)
+
+
+def results(x: dict[str, np.ndarray], days: np.ndarray) -> dict[str, np.ndarray]:
+    """The metrics of windows from their numbers; ``result_stages`` says the same in SQL."""
+    x = {k: v.astype(float) for k, v in x.items()}
+    n, tot, mu, sd, mdd, down = (x[k] for k in ("n", "tot", "mu", "sd", "mdd", "down"))
+    known = lambda v: np.nan_to_num(v, nan=0.0)
+    z = {c: NormalDist().inv_cdf(1 - c / 100) for c in (99, 95, 90)}
+    excess, fall, fell = tot - DAILY_RATE * days, np.abs(mdd), x["mdd_idx"] - x["peak_idx"]
+    year = tot / days * RETURN_DAYS
+    out = {"TotalReturn": tot, "AnnualizedReturn": year, "AverageDailyReturn": mu, "AvgPositiveReturn": x["pos"] / x["n_rows"], "AvgNegativeReturn": x["neg"] / x["n_rows"]}
+    out |= {"AvgReturnRatio": _or0(x["pos"], x["neg"]), "TotalPositiveReturn": x["pos"], "TotalNegativeReturn": x["neg"], "TotalReturnRatio": _or0(x["pos"], np.abs(x["neg"]))}
+    out |= {"MedianDailyReturn": x["med"], "Volatility": sd, "AnnualizedVolatility": sd * math.sqrt(TRADING_DAYS), "MeanAbsoluteDeviation": x["mad"]}
+    out |= {"ReturnRange": x["hi"] - x["lo"], "RescaledRange": _over(x["hi"] - x["lo"], sd), "MaxGain": x["hi"], "MaxLoss": x["lo"]}
+    out |= {"MaxDrawDown": mdd, "MaxDrawDownDays": fell, "ReturnDrawDownRatio": _or0(np.expm1(tot), fall), "DrawDownSlope": _or0(fall, fell), "UlcerIndex": np.sqrt(x["dd2"])}
+    out["AnnReturnDrawDownRatio"] = np.where(year < 700, _over(np.expm1(np.minimum(year, 700)), fall), np.nan)
+    out |= {"SharpeRatio": _or0(excess, sd), "ReturnVolatilityRatio": _or0(tot, sd), "DownsideVolatility": down, "UpsideVolatility": x["up"]}
+    out |= {"VolatilitySkew": _or0(x["up"] - down, sd), "VolatilityRatio": _or0(x["up"], down), "SortinoRatio": _or0(excess, down)}
+    out |= {"GainConsistency": _or0(x["pos_sd"], x["pos_mu"]), "LossConsistency": _or0(x["neg_sd"], np.abs(x["neg_mu"])), "WinningRatio": _over(x["n_pos"], n), "LosingRatio": _over(x["n_neg"], n)}
+    skew = np.where(n > 2, _over(x["m3"], x["m2"] ** 1.5) * np.sqrt(n * (n - 1)) / np.maximum(n - 2, 1), np.nan)
+    kurt = np.where(n > 3, ((n + 1) * (_over(x["m4"], x["m2"] ** 2) - 3) + 6) * (n - 1) / np.maximum((n - 2) * (n - 3), 1), np.nan)
+    out |= {"ReturnSkewness": skew, "ReturnKurtosis": kurt}
+    for c, v in z.items():
+        bent = v + (v * v - 1) * skew / 6 + (v**3 - 3 * v) * kurt / 24 - (2 * v**3 - 5 * v) * skew * skew / 36
+        out |= {f"VaR_{c}": np.maximum(-(mu + v * sd), 0), f"CVaR_{c}": np.maximum(-(mu - sd * NormalDist().pdf(v) / (1 - c / 100)), 0)}
+        density = np.exp(-bent * bent / 2) / math.sqrt(2 * math.pi)
+        out |= {f"VaRModified_{c}": np.maximum(-(mu + bent * sd), 0), f"CVaRModified_{c}": np.maximum(-(mu - sd * density / (1 - c / 100)), 0)}
+    out |= {f"Percentile_{q}": x[f"q{q}"] for q in (1, 99, 5, 95, 10, 90)}
+    for q in (95, 90):
+        win, lose = known(x[f"win{q}"]), known(x[f"lose{q}"])
+        out |= {f"PercentileWin_{q}": win, f"PercentileLoss_{q}": lose, f"TailRatio_{q}": win / np.maximum(lose, 1e-6)}
+    out["NewHighRatio"] = x["highs"] / np.maximum(x["n_close"], 1)
+    out |= {f"CrossProductRatio_{k}": _or0(x[f"ww{k}"] * x[f"ll{k}"], x[f"wl{k}"] * x[f"lw{k}"]) for k in (1, 5, 10)}
+    out |= {"OmegaRatio": known(_over(x["gains"], n) / (_over(x["losses"], n) + 1e-8)), "ReturnDistributionIntegral": _over(x["gains"], n), "ReturnSlope": _over(x["sxy"], x["sxx"])}
+    rest = x["syy"] - _over(x["sxy"] ** 2, x["sxx"])
+    out["KRatio"] = np.where((n > 2) & (rest > 1e-18), _over(x["sxy"], x["sxx"]) / (np.sqrt(np.maximum(rest, 1e-18) / np.maximum(n - 2, 1)) / np.sqrt(np.where(x["sxx"] > 0, x["sxx"], np.nan))), np.nan)
+    out |= {"SortinoSkewness": _or0(x["low3"], down**3), "NetEquitySlope": _over(x["pxy"], x["pxx"]), "EquitySmoothness": _over(x["pxy"] ** 2, x["pxx"] * x["pyy"])}
+    out |= {"VolAvg": x["v_mu"], "VolSlope": _over(x["vxy"], x["vxx"]), "VolVolatility": x["v_sd"]}
+    out |= {"MaxHigh": x["max_high"], "MinLow": x["min_low"], "HLDiff": x["max_high"] - x["min_low"], "AvgHigh": x["avg_high"], "AvgLow": x["avg_low"]}
+    out |= {"MartinRatio": _over(year, out["UlcerIndex"]), "AnnualizedSharpeRatio": _or0(year - YEARLY_RATE, out["AnnualizedVolatility"])}
+    return out | {f"{v}Sharpe_95": _or0(excess, out[f"{v}_95"]) for v in ("VaR", "CVaR", "VaRModified", "CVaRModified")}
+
+
+def period_catalogue(panel: DataFrame, periods: Iterable[str] = PERIODS, metrics: Iterable[str] = METRICS, digits: int | None = None) -> DataFrame:
+    """(ts_code, end_date, period, metrics): null where a window has fewer than two returns; windows of one row are left out.
+
+    digits rounds as ``staged.significant`` does."""
+    metrics, periods = [m.replace("-", "_") for m in metrics], list(periods)
+    if REGISTERED:
+        made = window_aggregates(panel, periods).where("n_rows >= 2")
+        out = apply(made, result_stages() + REGISTERED).selectExpr(KEY, END, "period", *(f"CASE WHEN n >= 2 THEN CAST({m} AS DOUBLE) END AS {m}" for m in metrics))
+        return out if digits is None else out.selectExpr(KEY, END, "period", *(f"{significant(m, digits)} AS {m}" for m in metrics))
+
+    def numbers(codes):
+        history = History(codes)
+
+        def look(lo, hi, days):
+            got = history.numbers(lo, hi)
+            with np.errstate(all="ignore"):
+                made = results(got, days)
+            made = {m: np.where(got["n"] >= 2, made[m], np.nan) for m in metrics}
+            return {"n_rows": got["n_rows"], **(made if digits is None else {m: significant_digits(v, digits) for m, v in made.items()})}
+
+        return look
+
+    return _histories(panel, periods, ["n_rows", *metrics], numbers).where("n_rows >= 2").drop("days", "n_rows")
+
+
+def period_metrics(panel: DataFrame, period: str, metrics: Iterable[str] = METRICS, digits: int | None = None) -> DataFrame:
+    """(ts_code, end_date, metrics) of one period."""
+    return period_catalogue(panel, [period], metrics, digits).drop("period")
 
 
 #: Metrics that users add: expressions over the columns of ``aggregates`` and over other metrics.
@@ -430,14 +527,8 @@ def hurst(panel: DataFrame, period: str) -> DataFrame:
         x = x - x.mean()
         return float((x * (y - y.mean())).sum() / max((x * x).sum(), 1e-5))
 
-    def each(t: pa.Table) -> pa.Table:
-        t = t.sort_by(DATE)
-        r, at, got = t.column("r").to_numpy().astype(float), [], []
-        for rows_, inside, _ in windows(t):
-            at.append(rows_)
-            got.append(np.array([exponent(r[i + 1 - k : i + 1]) for i, k in zip(rows_, inside.sum(axis=1))]))
-        at, x = (np.concatenate(v) if v else np.empty(0) for v in (at, got))
-        places = pa.array(at.astype(np.int64))
-        return pa.table([t.column(KEY).take(places), t.column(DATE).take(places), pa.array(x.astype(float), mask=np.isnan(x))], names=[KEY, END, "HurstExponent"])
-
-    return framed(panel, period).groupBy(KEY).applyInArrow(each, f"{KEY} string, {END} date, HurstExponent double")
+    def numbers(codes):
+        r = codes.columns["r"]
+        return lambda lo, hi, days: {"HurstExponent": np.array([exponent(r[a:b]) for a, b in zip(lo, hi)])}
+
+    return _histories(panel, [period], ["HurstExponent"], numbers).drop("period", "days")

@@ -5,7 +5,8 @@ compared with a *history* window, a calendar span named by a metric's suffix.
 Calendar windows are open at their start, as for period metrics.  All sums and
 moments slide over window frames of one exchange and sort by code; a frame that
 holds its start day as well drops that day's value from them, so no row of a
-window is ever laid out.  Only the two percentiles look at a frame's values.
+window is ever laid out.  The two percentiles are order statistics of a code's
+history, some steps a bit of its length for each row.
 
 A value is null until the history window lies within the code's returns, where a
 window is too short for a deviation, and where a denominator is 0.
@@ -13,6 +14,7 @@ window is too short for a deviation, and where a denominator is 0.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barsmith.functions.dialect import BY_CODE, DATE, KEY, ratio, rows
+from barsmith.functions.histories import Groups, along
+from barsmith.functions.spans import Series
 from barsmith.operators import rolling
 from barsmith.operators.period import parse
 from barsmith.plans.staged import Stage, apply, needed
@@ -70,13 +74,6 @@ def moments(name: str, period: str) -> list[Stage]:
     ]
 
 
-def _share_below(x: str, months: int) -> str:
-    """Share of a span's values of x that are not above today's."""
-    within = f"(size(filter(collect_list({x}) OVER ({_span(months)}), v -> v <= {x})) - CASE WHEN {x}_out <= {x} THEN 1 ELSE 0 END)"
-    known = f"(count({x}) OVER ({_span(months)}) - CASE WHEN {x}_out IS NULL THEN 0 ELSE 1 END)"
-    return f"CASE WHEN {x} IS NOT NULL THEN {within} * 1e0 / nullif({known}, 0) END"
-
-
 def stages(current: str, history: str) -> list[Stage]:
     months = parse(history)[1]
     reach = f"min({DATE}) OVER (PARTITION BY {KEY})", f"min(CASE WHEN log_return IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY})"
@@ -88,21 +85,40 @@ def stages(current: str, history: str) -> list[Stage]:
         {"first_row": reach[0], "first_day": reach[1]},
         *joined,
         {"now_return": f"CASE WHEN {whole} AND now_n > 0 THEN round(now_sum, {TIES}) END", "now_level": f"CASE WHEN {whole} THEN now_mean END", "now_dev": f"CASE WHEN {whole} AND now_n > 1 THEN now_std END", "now_vol": f"CASE WHEN {whole} AND now_n > 1 THEN round(now_std, {TIES}) END", "known": f"{_start(months)} >= first_row AND first_day <= {_start(months)}"},
-        {"now_return_out": _first("now_return", months), "now_vol_out": _first("now_vol", months)},
         {
             f"ReturnZScore_{history}": f"CASE WHEN known THEN {ratio('now_level - past_mean', 'past_std')} END",
-            f"ReturnPercentile_{history}": f"CASE WHEN known THEN {_share_below('now_return', months)} END",
+            f"ReturnPercentile_{history}": f"CASE WHEN known THEN now_return_share END",
             f"AverageDeviationReturn_{history}": f"CASE WHEN known THEN {ratio('now_level - past_mean', 'past_mean')} END",
             f"VolatilityRollingRatio_{history}": f"CASE WHEN known THEN {ratio('now_dev', 'past_std')} END",
-            f"VolatilityPercentile_{history}": f"CASE WHEN known THEN {_share_below('now_vol', months)} END",
+            f"VolatilityPercentile_{history}": f"CASE WHEN known THEN now_vol_share END",
         },
     ]
 
 
+def _shares(groups: Groups, columns: list[str]) -> dict[str, np.ndarray]:
+    """Share of the values since the history began that are not above the row's own, by order statistics of the code."""
+    hi = np.arange(len(groups)) + 1
+    lo = groups.since(hi - 1, groups.days("_since"))
+    out = {}
+    for c in columns:
+        x = Series(groups.values(c))
+        a, b = x.inner(lo, hi)
+        count, _ = x.ranks.up_to(a, b, np.where(x.known, x.x, 0))
+        out[f"{c}_share"] = np.where(x.known, count / np.maximum(b - a, 1), np.nan)
+    return out
+
+
 def relative_metrics(panel: DataFrame, current: str, history: str, metrics: Iterable[str] | None = None) -> DataFrame:
     """(ts_code, trade_date, metrics): the current window of each date against one history."""
     names = list(metrics or (f"{b}_{history}" for b in BASES))
-    return apply(panel, needed(stages(current, history), names)).select(KEY, DATE, *names)
+    *before, last = stages(current, history)
+    last = {n: e for n, e in last.items() if n in names}
+    words = set(re.findall(r"\w+", " ".join(last.values())))
+    ranked = [c for c in ("now_return", "now_vol") if f"{c}_share" in words]
+    out = apply(panel.select(KEY, DATE, "log_return"), needed(before, words | set(ranked)))
+    if ranked:
+        out = along(out.selectExpr("*", f"{_start(parse(history)[1])} AS _since"), [f"{c}_share" for c in ranked], lambda g: _shares(g, ranked))
+    return apply(out, [last]).select(KEY, DATE, *names)
 
 
 # --- long-short lines --------------------------------------------------------------------------------------------

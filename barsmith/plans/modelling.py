@@ -39,9 +39,11 @@ def assemble(panel: DataFrame, rolling_metrics: Iterable[str] = (), windows: Ite
         tables.append(panel.select(KEY, DATE, *(c for c in BASIC if c in panel.columns)))
     if rolling_metrics and windows:
         tables.append(rolling.wide(panel, rolling_metrics, windows))
-    for p in periods:
-        wide = period.period_metrics(panel, p, period_metrics)
-        tables.append(wide.select(KEY, F.col(period.END).alias(DATE), *(F.col(m.replace("-", "_")).alias(f"{m.replace('-', '_')}_{p}") for m in period_metrics)))
+    names, periods = [m.replace("-", "_") for m in period_metrics], list(periods)
+    if names and periods:  # one pass over each code for all periods; a row a period then becomes columns
+        long = period.period_catalogue(panel, periods, names)
+        one = [F.max(F.when(F.col("period") == p, F.col(m))).alias(f"{m}_{p}") for p in periods for m in names]
+        tables.append(long.groupBy(KEY, F.col(period.END).alias(DATE)).agg(*one))
     for current, history in relatives:
         wide = relative.relative_metrics(panel, current, history)
         tables.append(wide.select(KEY, DATE, *(F.col(c).alias(f"{c}_{current}") for c in wide.columns if c not in (KEY, DATE))))

@@ -5,7 +5,6 @@ from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import pytest
 
 from barsmith.operators import factor, period, rolling
@@ -171,23 +170,11 @@ def test_period_metrics(panel, wide):
 
 
 def test_calendar_period_is_open_at_its_start(panel, wide):
-    rows = period.window_aggregates(panel, "2w").select("ts_code", "end_date", "n_rows", "days").toPandas()
+    rows = period.window_aggregates(panel, ["2w"]).select("ts_code", "end_date", "n_rows", "days").toPandas()
     one = rows[(rows.ts_code == "A") & (rows.end_date.astype(str) == str(wide.index[30]))].iloc[0]
     assert one["n_rows"] == 14 and one["days"] == 14
 
 
-def test_windows_are_worked_on_in_bounded_steps(panel, monkeypatch):
-    whole = period.period_metrics(panel, "10d").orderBy("ts_code", "end_date").toPandas()
-    small = period._CELLS
-    try:
-        period._CELLS = 30
-        t = pa.Table.from_pandas(period.framed(panel.where("ts_code = 'B'"), "10d").orderBy("trade_date").toPandas())
-        steps = [r for r, _, _ in period.windows(t)]
-    finally:
-        period._CELLS = small
-    assert max(map(len, steps)) <= 3 and sum(map(len, steps)) == (whole["ts_code"] == "B").sum()
-
-
 def test_register_metric(panel):
     period.register_metric("TwiceReturn", "2 * TotalReturn")
     try:
