@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
+from barsmith.functions.student import two_sided_p_sql
 from barsmith.operators import factor, period, prepare, relative, rolling, screen, stocks
 from barsmith.plans import evaluation, expression, features, modelling, portfolio
 from barsmith.plans.staged import apply, needed, rounded, select, significant, to_sql
@@ -251,7 +252,9 @@ query("eval_long_short_summary", f"SELECT {significant('(product(1 + spread) - 1
 )
 for _ranked in (False, True):
     _n = "rank_ic" if _ranked else "ic"
-    query(f"eval_{_n}_p_value")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr("n_dates", f"{rounded('t_stat')} AS t_stat", f"{rounded('p_value')} AS p_value"))
+    _daily = evaluation.daily_ic_sql(_EVAL_BASE, "evaluated", _ranked)
+    _summary = f"SELECT {', '.join(f'{evaluation.SUMMARY[c]} AS {c}' for c in ('t_stat', 'n_dates'))} FROM ({_daily})"
+    query(f"eval_{_n}_p_value", f"SELECT n_dates, {rounded('t_stat')} AS t_stat, {rounded(two_sided_p_sql('t_stat', 'n_dates'))} AS p_value FROM ({_summary})")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr("n_dates", f"{rounded('t_stat')} AS t_stat", f"{rounded('p_value')} AS p_value"))
 
 
 @query("eval_report")

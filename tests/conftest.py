@@ -10,6 +10,10 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+def pytest_configure(config):
+    config.addinivalue_line("markers", "heavy: checking SQL that takes some seconds")
+
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession

@@ -9,7 +9,7 @@ import pytest
 
 from barsmith.operators import factor, period, rolling
 from barsmith.plans import evaluation, expression
-from barsmith.functions.student import p_value
+from barsmith.functions.student import two_sided_p
 
 N = 40
 
@@ -203,7 +203,13 @@ def test_ic(panel, wide):
     assert 0 <= s["p_value"] <= 1
 
 
-def test_student_tail():
-    assert math.isclose(p_value(2.0, 11), 0.07338803477074052, rel_tol=1e-9)
-    assert math.isclose(p_value(0.0, 5), 1.0)
-    assert p_value(1.0, 1) is None
+def test_student_tail(spark):
+    """Known values, the closed forms of 1, 2 and 4 degrees of freedom, and the normal limit; a tail keeps its digits."""
+    pairs = [(2.0, 11, 0.07338803477074052), (0.0, 5, 1.0), (1.0, 1, None), (None, 9, None), (float("nan"), 9, None), (float("inf"), 9, 0.0)]
+    for t in (0.01, 0.7, 1.3, 4.0, 30.0, -2.5, 1e4):
+        x = abs(t)
+        pairs += [(t, 2, 1 - 2 / math.pi * math.atan(x)), (t, 3, 1 - x / math.sqrt(2 + x * x)), (t, 5, 1 - x / math.sqrt(4 + x * x) * (1 + 2 / (4 + x * x)))]
+    pairs += [(1.959963984540054, 100_001, 0.0500027730), (5.0, 60_001, 5.74986e-07)]
+    got = spark.createDataFrame([p[:2] for p in pairs], "t double, n long").select("t", "n", two_sided_p("t", "n").alias("p")).collect()
+    for r, (t, n, want) in zip(got, pairs):
+        assert r["p"] is want is None or math.isclose(r["p"], want, rel_tol=1e-6 if n > 1000 else 1e-9, abs_tol=1e-13), (t, n, r["p"], want)
