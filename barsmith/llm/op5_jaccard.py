@@ -42,6 +42,8 @@ from .words import claim, slices
 
 #: log2 of the counters in the sketch, and counters in one row of it: 32 MB sent to tasks, whatever the input.
 SKETCH, CHUNK = 25, 1 << 19
+#: Bits of a shingle's hash that its rows are dealt without.
+DROPPED = np.uint64(16)
 #: log2 of the bits that tell which documents' texts are read again.
 FILTER_BITS = 23
 #: Hash ranges in which shingles are counted for the suffix filter; sets up to FEW shingles have a quarter as many.
@@ -193,7 +195,9 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, sent) -> DataFrame:
-    """(token, cls, n, pos): each class's rarest shingles by a broadcast sketch; a class is emitted once a task."""
+    """(token, cls, n, pos): each class's rarest shingles by a broadcast sketch; a class is emitted once a task.
+
+    A token is the upper part of a shingle's hash: rows that meet by it alone are candidates like others."""
 
     def each(batches):
         counts = sent.value
@@ -210,7 +214,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sent) -> DataFrame:
                 p = n - (num * n + den - 1) // den + 1
                 freq = counts[(s & np.uint64((1 << SKETCH) - 1)).astype(np.int64)].astype(np.uint64)
                 order = np.argsort((freq << np.uint64(56)) | (s >> np.uint64(8)), kind="stable")[:p]
-                tokens.append(s[order].view(np.int64))
+                tokens.append((s[order] >> DROPPED).view(np.int64))
                 owners.append(np.full(p, cls, dtype=np.int64))
                 sizes.append(np.full(p, n, dtype=np.int32))
                 places.append(np.arange(p, dtype=np.int32))
@@ -232,9 +236,9 @@ def _shared(rows: DataFrame) -> DataFrame:
                 continue
             if last is not None:
                 batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            token, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            token, cls, pos = (batch.column(i).to_numpy() for i in (0, 1, 3))
             same = np.concatenate([[False], token[1:] == token[:-1]])
-            again = same & np.concatenate([[False], cls[1:] == cls[:-1]])  # one class twice
+            again = same & np.concatenate([[False], (cls[1:] == cls[:-1]) & (pos[1:] == pos[:-1])])  # one row of a class twice
             run = np.cumsum(~same) - 1
             met = np.zeros(run[-1] + 1, dtype=bool)
             met[run[same & ~again]] = True
