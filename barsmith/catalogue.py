@@ -196,8 +196,7 @@ _WITH_BENCHMARK = bars.panel_sql() + f", marked AS (SELECT *, sum(log_return) OV
 
 
 def _marked(spark, sf_dir):
-    p = bars.panel(spark, sf_dir)
-    return prepare.with_benchmark(p, prepare.equal_weight_benchmark(p))
+    return prepare.mark_equal_weight(bars.panel(spark, sf_dir))
 
 
 def _factors(trees: dict) -> tuple[factor.FactorPlan, dict[str, str]]:

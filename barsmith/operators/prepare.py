@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +136,12 @@ def with_benchmark(panel: DataFrame, benchmark: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(benchmark), DATE, "left")
 
 
+def mark_equal_weight(panel: DataFrame) -> DataFrame:
+    """A dense panel with its equal-weight benchmark beside each row: a date's rows are its codes, so no second panel is built."""
+    w = Window.partitionBy(DATE)
+    return panel.withColumn("benchmark", F.sum("log_return").over(w) / F.count("*").over(w))
+
+
 def rebalance_dates(panel: DataFrame) -> DataFrame:
     """(month_end): last trading date of each month."""
     return panel.groupBy(F.last_day(DATE).alias("_m")).agg(F.max(DATE).alias("month_end")).select("month_end")
@@ -147,59 +153,113 @@ def _to_simplex(v: np.ndarray) -> np.ndarray:
     return np.maximum(v - cut[np.flatnonzero(u > cut)[-1]], 0)
 
 
-def min_variance_weights(cov: np.ndarray, steps: int = 5000, tolerance: float = 1e-12) -> np.ndarray:
-    """Long-only weights of least variance by accelerated projected gradients."""
-    n = len(cov)
-    w = y = np.full(n, 1 / n)
-    rate, t = 1 / max(2 * np.linalg.norm(cov, 2), 1e-300), 1e0
+class Covariance:
+    """The covariance of the columns of a matrix of days, which is never laid out: its products with weights are
+    products with the days, so memory and time grow with the number of codes and not with its square."""
+
+    def __init__(self, days: np.ndarray):
+        self.x = (days - days.mean(axis=0)) / np.sqrt(max(len(days) - 1, 1))
+        self.n = self.x.shape[1]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return self.x.T @ (self.x @ w)
+
+    def variances(self) -> np.ndarray:
+        return (self.x * self.x).sum(axis=0)
+
+    def largest(self) -> float:
+        return float(np.linalg.norm(self.x, 2)) ** 2
+
+    def part(self, chosen: np.ndarray) -> np.ndarray:
+        return self.x[:, chosen].T @ self.x[:, chosen]
+
+
+def min_variance_weights(cov: Covariance, start: np.ndarray | None = None, steps: int = 5000, tolerance: float = 1e-12) -> np.ndarray:
+    """Long-only weights of least variance: accelerated projected gradients find the codes that are held, and one linear
+    system over those (where it has one solution) the weights themselves."""
+    w = y = np.full(cov.n, 1 / cov.n) if start is None else start
+    rate, t = 1 / max(2 * cov.largest(), 1e-300), 1e0
     for _ in range(steps):
-        new = _to_simplex(y - rate * 2 * cov @ y)
+        new = _to_simplex(y - rate * 2 * (cov @ y))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - w)
-        if np.abs(new - w).max() < tolerance:
-            return new
+        done = np.abs(new - w).max() < tolerance
         w, t = new, t_new
+        if done:
+            break
+    held = np.flatnonzero(w > 1e-9)
+    if len(held) < len(cov.x):
+        exact = np.linalg.lstsq(cov.part(held), np.ones(len(held)), rcond=None)[0]
+        if exact.sum() > 0 and (exact >= 0).all() and np.abs(exact / exact.sum() - w[held]).max() < 1e-4:
+            w = np.zeros(cov.n)
+            w[held] = exact / exact.sum()
     return w
 
 
-def equal_risk_weights(cov: np.ndarray, steps: int = 2000, tolerance: float = 1e-12) -> np.ndarray:
+def equal_risk_weights(cov: Covariance, start: np.ndarray | None = None, steps: int = 2000, tolerance: float = 1e-14) -> np.ndarray:
     """Weights whose risk contributions are equal, by cyclic coordinate descent on the log-barrier form."""
-    n = len(cov)
-    w = 1 / np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    size = cov.variances()
+    w = 1 / np.sqrt(np.maximum(size, 1e-300)) if start is None else start / np.sqrt(max(start @ (cov @ start), 1e-300))
+    own = cov.x @ w
     for _ in range(steps):
         old = w.copy()
-        for i in range(n):
-            a = cov[i, i]
-            b = cov[i] @ w - a * w[i]
-            w[i] = (-b + np.sqrt(b * b + 4 * a / n)) / (2 * a) if a > 0 else w[i]
+        for i in np.flatnonzero(size > 0):
+            b = cov.x[:, i] @ own - size[i] * w[i]
+            new = (-b + np.sqrt(b * b + 4 * size[i] / cov.n)) / (2 * size[i])
+            own += cov.x[:, i] * (new - w[i])
+            w[i] = new
         if np.abs(w - old).max() < tolerance * np.abs(w).max():
             break
+        own = cov.x @ w
     return w / w.sum()
 
 
-def optimised_benchmark(panel: DataFrame, method: str = "min_var", window: int = 252, share: float = 0.8) -> DataFrame:
+#: Rebalance dates that one task works through, each from the weights of the one before.
+CHUNK = 12
+
+
+def optimised_benchmark(panel: DataFrame, method: str = "min_var", window: int = 252, share: float = 0.8, days: list | None = None) -> DataFrame:
     """(trade_date, benchmark): weights set at each month's last date from the covariance of the last rows hold from
     the next date on; before the first it is 0.
 
-    One task solves one rebalance date: its input is window rows of a bounded number of codes."""
+    Bars are dealt once to runs of CHUNK rebalance dates with the window before the first of them: about two copies of
+    a bar, not one for each window that holds it.  A task holds these rows of all codes, some 4 KB a code, and no
+    matrix of codes by codes.  days is the panel's calendar, worked out if not given."""
+    spark = panel.sparkSession
     solve = {"min_var": min_variance_weights, "erc": equal_risk_weights}[method]
-    days = panel.select(DATE).distinct().withColumn("no", F.row_number().over(Window.orderBy(DATE)))  # a row a trading date
-    ends = rebalance_dates(panel).join(days, F.col("month_end") == F.col(DATE)).select("month_end", F.col("no").alias("end_no"))
-    numbered = panel.select(KEY, DATE, F.coalesce("log_return", F.lit(0e0)).alias("r")).join(F.broadcast(days), DATE)
-    sets = numbered.join(F.broadcast(ends), (F.col("no") <= F.col("end_no")) & (F.col("no") > F.col("end_no") - window))
-
-    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="no", columns=KEY, values="r", aggfunc="first").sort_index()
-        if len(wide) < share * window:
-            return pd.DataFrame({KEY: pd.Series(dtype=str), "month_end": pd.Series(dtype=object), "weight": pd.Series(dtype=float)})
-        w = solve(np.atleast_2d(np.cov(wide.fillna(0e0).to_numpy(), rowvar=False)))
-        return pd.DataFrame({KEY: wide.columns, "month_end": pdf["month_end"].iloc[0], "weight": w})
-
-    weights = sets.groupBy("month_end").applyInPandas(weigh, f"{KEY} string, month_end date, weight double")
-    span = ends.join(weights.select("month_end").distinct(), "month_end", "left_semi").withColumn("until", F.lead("end_no").over(Window.orderBy("month_end")))
-    held = numbered.join(F.broadcast(span), (F.col("no") > F.col("end_no")) & (F.col("until").isNull() | (F.col("no") <= F.col("until"))))
-    made = held.join(weights, [KEY, "month_end"]).groupBy(DATE).agg(F.sum(F.col("r") * F.col("weight")).alias("benchmark"))
-    return days.select(DATE).join(made, DATE, "left").select(DATE, F.coalesce("benchmark", F.lit(0e0)).alias("benchmark"))
+    days = source.trading_days(panel) if days is None else days
+    ends = [i for i, d in enumerate(days) if i + 1 == len(days) or (d.year, d.month) != (days[i + 1].year, days[i + 1].month)]
+    ends = [i for i in ends if min(i + 1, window) >= share * window]
+    if not ends:
+        return spark.createDataFrame([(d, 0.0) for d in days], f"{DATE} date, benchmark double")
+    runs = [ends[i : i + CHUNK] for i in range(0, len(ends), CHUNK)]
+    until = [run[0] for run in runs[1:]] + [len(days) - 1]
+    places = [(d, i, [c for c, run in enumerate(runs) if run[0] - window < i <= until[c]]) for i, d in enumerate(days)]
+    known = F.broadcast(spark.createDataFrame(places, f"{DATE} date, no int, runs array<int>"))  # a row a trading date
+    rows = panel.select(KEY, DATE, F.coalesce("log_return", F.lit(0e0)).alias("r")).join(known, DATE).select(KEY, "no", "r", F.explode("runs").alias("run"))
+
+    def each(t: pa.Table) -> pa.Table:
+        run, no = t.column("run")[0].as_py(), t.column("no").to_numpy()
+        codes = t.column(KEY).combine_chunks().dictionary_encode()
+        first, last = max(0, runs[run][0] - window + 1), until[run]
+        x, there = np.zeros((last - first + 1, len(codes.dictionary))), np.zeros((last - first + 1, len(codes.dictionary)), bool)
+        at = no - first, codes.indices.to_numpy()
+        x[at], there[at] = t.column("r").to_numpy(), True
+        made, before = np.zeros(last - first + 1), None
+        for k, end in enumerate(runs[run]):
+            part = slice(max(0, end - window + 1) - first, end + 1 - first)
+            held = np.flatnonzero(there[part].any(axis=0))
+            start = None if before is None or not before[held].all() else before[held] / before[held].sum()
+            w = np.zeros(x.shape[1])
+            w[held] = solve(Covariance(x[part][:, held]), start)
+            before = w
+            stop = runs[run][k + 1] if k + 1 < len(runs[run]) else last
+            made[end + 1 - first : stop + 1 - first] = x[end + 1 - first : stop + 1 - first] @ w
+        own = np.arange(runs[run][0] + 1, last + 1)
+        return pa.table([pa.array([days[i] for i in own], pa.date32()), pa.array(made[own - first])], names=[DATE, "made"])
+
+    made = rows.groupBy("run").applyInArrow(each, f"{DATE} date, made double")
+    return known.select(DATE).join(made, DATE, "left").select(DATE, F.coalesce("made", F.lit(0e0)).alias("benchmark"))
 
 
 def pipeline(bars: DataFrame, start: str | None = None) -> DataFrame:
@@ -236,6 +296,11 @@ def _upserted(s, d):
     return source.upsert(old, new).selectExpr(KEY, DATE, _R("close"))
 
 
+def _optimised(s, d, method):
+    days = source.trading_days(s.read.parquet(f"{d}/lineitem.parquet").select(F.to_date("l_shipdate").alias(DATE)))
+    return optimised_benchmark(source.panel(s, d, "lineitem"), method, days=days).selectExpr(DATE, _R("benchmark", 6))
+
+
 _P = source.panel_sql()
 _SO_FAR = f"PARTITION BY {KEY} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING"
 _CLIPPED = lambda c: f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, quantile_cont({c}, 0.99) OVER (PARTITION BY {DATE})), quantile_cont({c}, 0.01) OVER (PARTITION BY {DATE})) END AS {c}"
@@ -248,6 +313,22 @@ w AS (SELECT {KEY}, {DATE}, close, {', '.join(map(_CLIPPED, ('vol', 'amount', 'l
 _LINE_SQL = f"""WITH {_P}, a AS (SELECT {KEY}, {DATE}, close, max(CASE WHEN close IS NOT NULL THEN {DATE} END) OVER ({_SO_FAR}) AS a_day, min(CASE WHEN close IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY} ORDER BY {DATE} DESC ROWS UNBOUNDED PRECEDING) AS b_day FROM panel),
 l AS (SELECT x.{KEY}, x.{DATE}, coalesce(x.close, p.close + (n.close - p.close) * (x.{DATE} - a_day) / nullif(b_day - a_day, 0), p.close) AS close FROM a x LEFT JOIN panel p ON p.{KEY} = x.{KEY} AND p.{DATE} = a_day LEFT JOIN panel n ON n.{KEY} = x.{KEY} AND n.{DATE} = b_day)
 SELECT {KEY}, {DATE}, {_R('close')} FROM l"""
+#: Three codes, so that weights of least variance are the best of seven formulas, and equal risks a short recursion.
+_THREE = f"""WITH RECURSIVE {source.panel_sql('lineitem')}, d AS (SELECT {DATE}, row_number() OVER (ORDER BY {DATE}) AS no FROM (SELECT DISTINCT {DATE} FROM panel)),
+x AS (SELECT {DATE}, no, {', '.join(f"coalesce(sum(CASE WHEN {KEY} = '{c}' THEN log_return END), 0) AS r{i}" for i, c in enumerate('ANR', 1))} FROM panel JOIN d USING ({DATE}) GROUP BY ALL),
+e AS (SELECT max(no) AS end_no FROM d GROUP BY date_trunc('month', {DATE}) HAVING least(max(no), 252) >= 0.8 * 252), w AS (SELECT end_no, lead(end_no) OVER (ORDER BY end_no) AS until FROM e),
+c AS (SELECT end_no, until, {', '.join(f'covar_samp(r{i}, r{j}) AS c{i}{j}' for i, j in ((1, 1), (2, 2), (3, 3), (1, 2), (1, 3), (2, 3)))} FROM w JOIN x ON no BETWEEN end_no - 251 AND end_no GROUP BY ALL)"""
+_HELD = f"""SELECT {DATE}, {_R('coalesce(r1 * w1 + r2 * w2 + r3 * w3, 0)').replace(' AS coalesce(r1 * w1 + r2 * w2 + r3 * w3, 0)', '')} AS benchmark FROM x LEFT JOIN best ON no > end_no AND (until IS NULL OR no <= until)"""
+_TWO = lambda i, j: f"(c{j}{j} - c{min(i, j)}{max(i, j)}) / (c{i}{i} + c{j}{j} - 2 * c{min(i, j)}{max(i, j)})"
+_TRIPLE = ("(c22 * c33 - c23 * c23) + (c13 * c23 - c12 * c33) + (c12 * c23 - c13 * c22)", "(c13 * c23 - c12 * c33) + (c11 * c33 - c13 * c13) + (c12 * c13 - c11 * c23)", "(c12 * c23 - c13 * c22) + (c12 * c13 - c11 * c23) + (c11 * c22 - c12 * c12)")
+_CHOICES = [("1.0", "0.0", "0.0"), ("0.0", "1.0", "0.0"), ("0.0", "0.0", "1.0"), (_TWO(1, 2), _TWO(2, 1), "0.0"), (_TWO(1, 3), "0.0", _TWO(3, 1)), ("0.0", _TWO(2, 3), _TWO(3, 2)), tuple(f"({t}) / ({' + '.join(_TRIPLE)})" for t in _TRIPLE)]
+_MIN_VAR_SQL = f"""{_THREE}, v AS ({' UNION ALL '.join(f'SELECT *, {a} AS w1, {b} AS w2, {c} AS w3 FROM c' for a, b, c in _CHOICES)}),
+best AS (SELECT * FROM v WHERE w1 >= 0 AND w2 >= 0 AND w3 >= 0 QUALIFY row_number() OVER (PARTITION BY end_no ORDER BY w1 * w1 * c11 + w2 * w2 * c22 + w3 * w3 * c33 + 2 * (w1 * w2 * c12 + w1 * w3 * c13 + w2 * w3 * c23)) = 1) {_HELD}"""
+_ROOT = lambda b, a: f"(- ({b}) + sqrt(({b}) * ({b}) + 4 * {a} / 3)) / (2 * {a})"
+_ONE = "end_no, until, c11, c22, c33, c12, c13, c23"
+_ERC_SQL = f"""{_THREE}, s AS (SELECT {_ONE}, 0 AS k, 1 / sqrt(c11) AS w1, 1 / sqrt(c22) AS w2, 1 / sqrt(c33) AS w3 FROM c UNION ALL
+  SELECT {_ONE}, k, w1, w2, {_ROOT('c13 * w1 + c23 * w2', 'c33')} AS w3 FROM (SELECT {_ONE}, k, w1, {_ROOT('c12 * w1 + c23 * w3', 'c22')} AS w2, w3 FROM (SELECT {_ONE}, k + 1 AS k, {_ROOT('c12 * w2 + c13 * w3', 'c11')} AS w1, w2, w3 FROM s WHERE k < 200))),
+best AS (SELECT end_no, until, w1 / (w1 + w2 + w3) AS w1, w2 / (w1 + w2 + w3) AS w2, w3 / (w1 + w2 + w3) AS w3 FROM s WHERE k = 200) {_HELD}"""
 _FAR = f"PARTITION BY {KEY} ORDER BY {DATE}"
 QUERIES = {
     "prep_keep_last": (_duplicated, f"WITH t AS (SELECT 'U' || lpad(user_id::VARCHAR, 6, '0') AS {KEY}, ts::DATE AS {DATE}, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT {KEY}, {DATE}, floor(CAST(value AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM t WHERE k = 1 AND {KEY} IS NOT NULL"),
@@ -260,8 +341,8 @@ QUERIES = {
     "prep_upsert": (_upserted, f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(CASE WHEN {DATE} >= DATE '2024-01-15' THEN close + 1 ELSE close END AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars"),
     "prep_expand_daily": (lambda s, d: expand_daily(source.events_bars(s, d).select(KEY, DATE, "close")).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS}, days AS (SELECT {KEY}, unnest(generate_series(min({DATE}), max({DATE}), INTERVAL 1 DAY))::DATE AS {DATE} FROM bars GROUP BY {KEY}) SELECT d.{KEY}, d.{DATE}, floor(CAST(last_value(b.close IGNORE NULLS) OVER (PARTITION BY d.{KEY} ORDER BY d.{DATE} ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM days d LEFT JOIN bars b ON b.{KEY} = d.{KEY} AND b.{DATE} = d.{DATE}"),
     "benchmark_ew": (lambda s, d: equal_weight_benchmark(source.panel(s, d)).selectExpr(DATE, _R("benchmark", 6)), f"WITH {_P} SELECT {DATE}, floor(CAST(sum(log_return) / (SELECT count(DISTINCT {KEY}) FROM panel) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS benchmark FROM panel GROUP BY {DATE}"),
-    "benchmark_min_var": (lambda s, d: optimised_benchmark(source.panel(s, d, "lineitem"), "min_var").selectExpr(DATE, _R("benchmark", 6)), None),
-    "benchmark_erc": (lambda s, d: optimised_benchmark(source.panel(s, d, "lineitem"), "erc").selectExpr(DATE, _R("benchmark", 6)), None),
+    "benchmark_min_var": (lambda s, d: _optimised(s, d, "min_var"), _MIN_VAR_SQL),
+    "benchmark_erc": (lambda s, d: _optimised(s, d, "erc"), _ERC_SQL),
     "prep_pipeline": (lambda s, d: pipeline(source.events_bars(s, d)).selectExpr(KEY, DATE, *(_R(c) for c in ("close", "vol", "amount", "log_return"))), _PIPELINE_SQL),
     "prep_interpolate": (lambda s, d: interpolate(source.densify(source.events_bars(s, d).select(KEY, DATE, "close"))).selectExpr(KEY, DATE, _R("close")), _LINE_SQL),
 }

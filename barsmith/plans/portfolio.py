@@ -8,52 +8,87 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
 
 DAYS = 252
-#: Codes of one search at most: their covariances are one matrix.
-MOST_CODES = 2000
+#: Codes of one tile of the covariance matrix, on average.
+TILE = 128
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
-def moments(panel: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Codes, yearly means and yearly covariances of log returns over the dates that both codes have."""
+def draw_weights(codes: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """A number from 0 to 1 for each draw (rows) and code hash (columns), by themselves: no draw knows the other codes."""
+    x = codes.astype(np.uint64)[None, :] + (draws.astype(np.uint64)[:, None] + np.uint64(1)) * _MIX[2]
+    for add in (np.uint64(seed), np.uint64(0)):
+        x = x + add
+        x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+        x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+        x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def covariance_tile(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Covariances of the columns of two (values, known) matrices over the days that both columns have; 0 below two days."""
+    (x, m), (y, k) = a, b
+    n = m.T @ k
+    mean = (x.T @ k) * (m.T @ y) / np.maximum(n, 1)
+    return np.where(n > 1, (x.T @ y - mean) / np.maximum(n - 1, 1), 0.0)
+
+
+def search(panel: DataFrame, draws: int = 10_000, seed: int = 42, tile: int = TILE) -> DataFrame:
+    """(draw, gain, risk): yearly mean and variance of so many random portfolios, their weights up to a factor.
+
+    The covariance matrix exists in tiles only: each pair of tiles of codes is one task, which has the two tiles' returns,
+    works out their covariances over common days and adds what they give each draw.  A return goes to as many tasks as
+    there are tiles, and one row a draw comes out of each."""
     rows = panel.where("log_return IS NOT NULL").select(KEY, DATE, "log_return")
-    codes = [r[0] for r in rows.select(KEY).distinct().orderBy(KEY).limit(MOST_CODES + 1).collect()]
-    if len(codes) > MOST_CODES:
-        raise ValueError(f"a search takes {MOST_CODES} codes at most; choose some first")
-    mean = {r[0]: r[1] for r in rows.groupBy(KEY).agg(F.avg("log_return")).collect()}
-    # a date's codes pair up within the date: MOST_CODES squared pairs at most
-    days = rows.groupBy(DATE).agg(F.array_sort(F.collect_list(F.struct(KEY, "log_return"))).alias("x"))
-    left = days.select("x", F.posexplode("x").alias("i", "a")).select("a", F.explode(F.expr(f"slice(x, i + 1, {MOST_CODES})")).alias("b"))
-    got = left.groupBy(F.col(f"a.{KEY}").alias("a"), F.col(f"b.{KEY}").alias("b")).agg(F.expr("covar_samp(a.log_return, b.log_return)").alias("c")).collect()
-    at, cov = {c: i for i, c in enumerate(codes)}, np.zeros((len(codes), len(codes)))
-    for r in got:
-        cov[at[r["a"]], at[r["b"]]] = cov[at[r["b"]], at[r["a"]]] = r["c"] if r["c"] is not None else 0.0
-    return codes, np.array([mean[c] for c in codes]) * DAYS, cov * DAYS
-
-
-def max_sharpe(panel: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
+    tiles = max(1, -(-rows.agg(F.count_distinct(KEY)).first()[0] // tile))
+    rows = rows.withColumn("hash", F.xxhash64(KEY)).withColumn("i", F.pmod("hash", F.lit(tiles)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    rows = rows.select("hash", DATE, "log_return", "i", F.least("i", "other").alias("a"), F.greatest("i", "other").alias("b"))
+
+    def each(t: pa.Table) -> pa.Table:
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        days = t.column(DATE).combine_chunks().dictionary_encode()
+        i, day, value, code = t.column("i").to_numpy(), days.indices.to_numpy(), t.column("log_return").to_numpy(), t.column("hash").to_numpy()
+        parts = []
+        for tile_ in (a, b):
+            own = i == tile_
+            names, at = np.unique(code[own], return_inverse=True)
+            x, m = np.zeros((len(days.dictionary), len(names))), np.zeros((len(days.dictionary), len(names)))
+            x[day[own], at], m[day[own], at] = value[own], 1
+            parts.append((names.view(np.uint64), x, m))
+        (left, x, m), (right, y, k) = parts
+        if not len(left) or not len(right):  # a tile without codes
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["draw", "gain", "risk"])
+        cov, number = covariance_tile((x, m), (y, k)), np.arange(draws)
+        w, v = draw_weights(left, number, seed), draw_weights(right, number, seed)
+        risk = ((w @ cov) * v).sum(axis=1) * (1 if a == b else 2)
+        gain = w @ (x.sum(axis=0) / m.sum(axis=0)) if a == b else np.zeros(draws)
+        return pa.table([pa.array(number), pa.array(gain), pa.array(risk)], names=["draw", "gain", "risk"])
+
+    made = rows.groupBy("a", "b").applyInArrow(each, "draw long, gain double, risk double")
+    return made.groupBy("draw").agg((F.sum("gain") * DAYS).alias("gain"), (F.sum("risk") * DAYS).alias("risk"))
+
+
+def max_sharpe(panel: DataFrame, draws: int = 10_000, seed: int = 42, tile: int = TILE) -> DataFrame:
     """(ts_code, weight, sharpe): of so many random portfolios, each drawn by its own number, the one of greatest Sharpe ratio."""
-    spark = panel.sparkSession
-    codes, mu, cov = moments(panel)
-    if not codes:
-        return spark.createDataFrame([], f"{KEY} string, weight double, sharpe double")
-
-    def weights(i: int) -> np.ndarray:
-        w = np.random.default_rng([seed, i]).random(len(codes))
-        return w / w.sum()
-
-    def each(frames):
-        for pdf in frames:
-            w = np.stack([weights(int(i)) for i in pdf["id"]]) if len(pdf) else np.zeros((0, len(codes)))
-            spread = np.sqrt(np.maximum(((w @ cov) * w).sum(axis=1), 1e-300))
-            yield pd.DataFrame({"id": pdf["id"], "sharpe": (w @ mu) / spread})
-
-    best = spark.range(draws).mapInPandas(each, "id long, sharpe double").orderBy(F.desc("sharpe"), "id").first()
-    return spark.createDataFrame([(c, float(x), best["sharpe"]) for c, x in zip(codes, weights(best["id"]))], f"{KEY} string, weight double, sharpe double")
+    best = search(panel, draws, seed, tile).select("draw", (F.col("gain") / F.sqrt(F.greatest("risk", F.lit(1e-300)))).alias("sharpe")).orderBy(F.desc("sharpe"), "draw").first()
+    if best is None:
+        return panel.sparkSession.createDataFrame([], f"{KEY} string, weight double, sharpe double")
+    number = best["draw"]
+
+    @F.pandas_udf("double")
+    def weight(hashes: pd.Series) -> pd.Series:
+        return pd.Series(draw_weights(hashes.to_numpy().view(np.uint64), np.array([number]), seed)[0])
+
+    codes = panel.where("log_return IS NOT NULL").select(KEY).distinct().select(KEY, weight(F.xxhash64(KEY)).alias("w"))
+    total = codes.agg(F.sum("w").alias("total"))  # one row
+    return codes.join(F.broadcast(total)).select(KEY, (F.col("w") / F.col("total")).alias("weight"), F.lit(best["sharpe"]).alias("sharpe"))
 
 
 def remainder(before: np.ndarray, after: np.ndarray, fee: float) -> float:

@@ -181,23 +181,30 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("log_return", F.when(sound, F.ln(F.col("close") / F.col("pre_close")))).withColumn("simple_return", F.expr("close / nullif(pre_close, 0) - 1"))
 
 
-def densify(bars: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+def trading_days(rows: DataFrame) -> list[date]:
+    """The distinct days of a table, in order: one column is read, thousands of days at most come back."""
+    return [r[0] for r in rows.select(DATE).distinct().where(F.col(DATE).isNotNull()).orderBy(DATE).collect()]
+
+
+def densify(bars: DataFrame, dates: DataFrame | list[date] | None = None) -> DataFrame:
     """A row for each code and trading date, null where a code has no bar.
 
     A bar lays out the dates up to its code's next bar (the first one those before it as well), from one
-    array of days (thousands at most) that is sent to every task: bars are dealt by code once, as for any
-    other window, and no grid of codes and dates is made or joined.  Rows whose date is not in the
+    array of days (thousands at most) that is part of the plan: bars are read and dealt by code once, as for
+    any other window, and no grid of codes and dates is made or joined.  Rows whose date is not in the
     calendar go; repeated rows stay."""
-    days = (bars if dates is None else dates).agg(F.array_sort(F.collect_set(DATE)).alias("_days"))
-    places = days.select(F.posexplode("_days").alias("_at", "_day"))
+    spark = bars.sparkSession
+    days = dates if isinstance(dates, list) else trading_days(bars if dates is None else dates)
+    if not days:
+        return bars.limit(0)
+    places = spark.createDataFrame([(i + 1, d) for i, d in enumerate(days)], "_at int, _day date")
     own = [c for c in bars.columns if c not in (KEY, DATE)]
     w = Window.partitionBy(KEY).orderBy(DATE)
     rows = bars.join(F.broadcast(places), F.col(DATE) == F.col("_day")).drop("_day")
     rows = rows.withColumn("_next", F.lead("_at").over(w)).withColumn("_first", F.lag("_at").over(w).isNull())
-    rows = rows.crossJoin(F.broadcast(days))  # one row
-    start = F.when(F.col("_first"), 1).otherwise(F.col("_at") + 1)
-    until = F.greatest(F.coalesce(F.col("_next") + 1, F.size("_days") + 1), F.col("_at") + 2)
-    rows = rows.select(KEY, F.col(DATE).alias("_own"), *own, F.explode(F.slice("_days", start, until - start)).alias(DATE))
+    start = F.when(F.col("_first"), 1).otherwise(F.col("_at"))
+    until = F.greatest(F.coalesce(F.col("_next"), F.lit(len(days) + 1)), F.col("_at") + 1)
+    rows = rows.select(KEY, F.col(DATE).alias("_own"), *own, F.explode(F.slice(F.lit(days).cast("array<date>"), start, until - start)).alias(DATE))
     here = F.col(DATE) == F.col("_own")
     return rows.select(KEY, DATE, *(F.when(here, F.col(c)).alias(c) for c in own))
 
