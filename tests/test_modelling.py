@@ -176,6 +176,25 @@ def test_max_sharpe(panel, wide):
     assert [x.asDict() for x in got] == [x.asDict() for x in portfolio.max_sharpe(panel, 300).collect()]
 
 
+def test_search_over_tiles(spark):
+    """Tiles of any size give the risks of the whole matrix over common days; a code with one day has none with others."""
+    rng = np.random.default_rng(9)
+    r = pd.DataFrame(rng.normal(0.001, 0.02, (60, 9)), index=pd.bdate_range(FIRST, periods=60), columns=list("ABCDEFGHI"))
+    r = r.mask(rng.random(r.shape) < 0.2)
+    r.loc[r.index[1:], "I"] = np.nan
+    r.loc[r.index[0], "I"] = 0.01
+    panel = spark.createDataFrame([(c, d.date(), float(v)) for c in r for d, v in r[c].items() if v == v], "ts_code string, trade_date date, log_return double")
+    hashes = np.array([x[0] for x in spark.createDataFrame([(c,) for c in r], "c string").select(F.xxhash64("c")).collect()]).view(np.uint64)
+    w = portfolio.draw_weights(hashes, np.arange(40), 5)
+    cov, mu = r.cov().fillna(0).to_numpy() * 252, r.mean().to_numpy() * 252
+    for tile in (1, 4, 100):
+        got = portfolio.search(panel, 40, 5, tile).orderBy("draw").toPandas()
+        np.testing.assert_allclose(got["risk"], ((w @ cov) * w).sum(axis=1), rtol=1e-9)
+        np.testing.assert_allclose(got["gain"], w @ mu, rtol=1e-9)
+    assert 0 <= w.min() and w.max() < 1 and abs(w.mean() - 0.5) < 0.05
+    assert portfolio.max_sharpe(panel.limit(0), 10).collect() == []
+
+
 def test_replay_of_weights(spark):
     days = [FIRST + dt.timedelta(days=i) for i in range(4)]
     price = {"A": [10.0, 11.0, 12.1, 12.1], "B": [20.0, 20.0, 18.0, 18.0]}

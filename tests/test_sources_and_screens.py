@@ -1,4 +1,6 @@
 import datetime as dt
+import itertools
+import math
 import subprocess
 import sys
 from pathlib import Path
@@ -80,17 +82,70 @@ def test_keep_last_takes_the_last(spark):
     assert [r["close"] for r in prepare.keep_last(prepare.drop_null_keys(df), "seq").collect()] == [2.0]
 
 
-def test_weights():
-    rng = np.random.default_rng(0)
-    cov = np.cov(rng.normal(size=(300, 5)) * [1, 2, 3, 4, 5], rowvar=False)
-    w = prepare.min_variance_weights(cov)
-    inv = np.linalg.solve(cov, np.ones(5))
-    if (inv > 0).all():
-        np.testing.assert_allclose(w, inv / inv.sum(), atol=1e-5)
-    e = prepare.equal_risk_weights(cov)
-    share = e * (cov @ e) / (e @ cov @ e)
-    np.testing.assert_allclose(share, 0.2, atol=1e-8)
-    assert abs(w.sum() - 1) < 1e-9 and abs(e.sum() - 1) < 1e-9
+def best_by_supports(cov):
+    """Long-only weights of least variance: the best of all sets of held codes."""
+    best = (math.inf, None)
+    for k in range(1, len(cov) + 1):
+        for held in map(list, itertools.combinations(range(len(cov)), k)):
+            x = np.linalg.solve(cov[np.ix_(held, held)], np.ones(k))
+            w = np.zeros(len(cov))
+            w[held] = x / x.sum()
+            if (w >= 0).all() and w @ cov @ w < best[0]:
+                best = (w @ cov @ w, w)
+    return best[1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_weights(seed):
+    rng = np.random.default_rng(seed)
+    days = rng.normal(size=(300, 6)) * [1, 2, 3, 4, 5, 6] + seed * rng.normal(size=(300, 1))
+    cov = np.cov(days, rowvar=False)
+    product = prepare.Covariance(days)
+    np.testing.assert_allclose(product @ np.arange(6.0), cov @ np.arange(6.0), rtol=1e-10)
+    start = np.full(6, 1 / 6)
+    for s in (None, start):
+        np.testing.assert_allclose(prepare.min_variance_weights(product, s), best_by_supports(cov), atol=1e-12)
+        e = prepare.equal_risk_weights(product, s)
+        np.testing.assert_allclose(e * (cov @ e) / (e @ cov @ e), 1 / 6, atol=1e-10)
+        assert abs(e.sum() - 1) < 1e-12
+
+
+def test_more_codes_than_days():
+    """The covariance has no inverse: the weights are still feasible and no feasible direction lowers the variance."""
+    days = np.random.default_rng(7).normal(size=(20, 60)) + 0.5 * np.random.default_rng(8).normal(size=(20, 1))
+    cov = np.cov(days, rowvar=False)
+    w = prepare.min_variance_weights(prepare.Covariance(days))
+    assert abs(w.sum() - 1) < 1e-9 and (w >= 0).all()
+    slope = cov @ w
+    assert slope.min() >= w @ slope - 1e-6
+
+
+def benchmark_by_hand(rows, window, share, pick):
+    """rows: day -> code -> return; weights at month ends from the last rows, held until the next."""
+    days = sorted(rows)
+    out, held = {}, None
+    for i, d in enumerate(days):
+        out[d] = sum(held.get(c, 0) * r for c, r in rows[d].items()) if held else 0.0
+        if (i + 1 == len(days) or days[i + 1].month != d.month) and min(i + 1, window) >= share * window:
+            part = days[max(0, i + 1 - window) : i + 1]
+            codes = sorted({c for p in part for c in rows[p]})
+            x = np.array([[rows[p].get(c, 0.0) for c in codes] for p in part])
+            held = dict(zip(codes, pick(np.atleast_2d(np.cov(x, rowvar=False)))))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 12])
+def test_optimised_benchmark(spark, chunk, monkeypatch):
+    """Any dealing of rebalance dates gives the benchmark of a plain loop; one code comes late, one goes early."""
+    rng = np.random.default_rng(3)
+    days = [day(i) for i in range(200)]
+    rows = {d: {c: float(v) for c, v in zip("ABCD", rng.normal(size=4) * [1, 2, 0.7, 1.5]) if not (c == "C" and i < 90) and not (c == "D" and i > 110)} for i, d in enumerate(days)}
+    panel = spark.createDataFrame([(c, d, None if r > 2.5 else r) for d, v in rows.items() for c, r in v.items()], "ts_code string, trade_date date, log_return double")
+    plain = {d: {c: 0.0 if r > 2.5 else r for c, r in v.items()} for d, v in rows.items()}
+    monkeypatch.setattr(prepare, "CHUNK", chunk)
+    got = {r["trade_date"]: r["benchmark"] for r in prepare.optimised_benchmark(panel, "min_var", 40, 0.8).collect()}
+    want = benchmark_by_hand(plain, 40, 0.8, best_by_supports)
+    assert set(got) == set(want) and max(abs(got[d] - want[d]) for d in got) < 1e-9 and any(want.values())
 
 
 def a_points(df, r):
