@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.operators import rolling
+from barsmith.plans import selection
 from barsmith.plans.staged import select, significant, to_sql
 from barsmith.sources import bars as source
 
@@ -102,15 +103,18 @@ def forest(train: DataFrame, test: DataFrame, columns: list[str], target: str =
 
 
 def important_features(train: DataFrame, columns: list[str], target: str = "label", top: int = 10) -> list[str]:
-    """Union of the most important columns of a forest, a forest of extremely random splits (all columns, no
-    sampling of rows), boosted trees, a lasso regression and a linear support vector machine."""
+    """Union of the most important columns of a forest, of extremely randomised trees, boosted trees, a lasso
+    regression and a linear support vector machine."""
     from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows, found = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="skip").transform(train), []
-    for model in (RandomForestClassifier(featuresCol="_v", labelCol=target, seed=42), RandomForestClassifier(featuresCol="_v", labelCol=target, seed=43, bootstrap=False, featureSubsetStrategy="onethird", maxBins=8), GBTClassifier(featuresCol="_v", labelCol=target, maxIter=10, seed=42), LogisticRegression(featuresCol="_v", labelCol=target, elasticNetParam=1.0, regParam=0.01), LinearSVC(featuresCol="_v", labelCol=target, regParam=0.01, maxIter=50)):
+    weights = []
+    for model in (RandomForestClassifier(featuresCol="_v", labelCol=target, seed=42), GBTClassifier(featuresCol="_v", labelCol=target, maxIter=10, seed=42), LogisticRegression(featuresCol="_v", labelCol=target, elasticNetParam=1.0, regParam=0.01), LinearSVC(featuresCol="_v", labelCol=target, regParam=0.01, maxIter=50)):
         fitted = model.fit(rows)
-        weight = np.abs(fitted.featureImportances.toArray() if hasattr(fitted, "featureImportances") else fitted.coefficients.toArray())
+        weights.append(fitted.featureImportances.toArray() if hasattr(fitted, "featureImportances") else fitted.coefficients.toArray())
+    weights.insert(1, selection.extra_trees(train, columns, target, seed=43)[1])
+    for weight in map(np.abs, weights):
         found += [columns[i] for i in np.argsort(-weight)[:top] if columns[i] not in found]
     return found
 

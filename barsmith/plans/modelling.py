@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.operators import period, relative, rolling
-from barsmith.plans import features
+from barsmith.plans import features, selection
 
 BASIC = ("log_return", "open", "close", "high", "low", "vol", "amount")
 
@@ -138,13 +138,29 @@ def cross_candidates(columns: list[str], steps: int = 2) -> dict[str, str]:
     return out
 
 
+_ONE_OF = {"square": lambda x: x * x, "root": lambda x: np.sqrt(np.abs(x)), "log": lambda x: np.where(x != 0, np.log(np.abs(x)), np.nan), "inverse": lambda x: np.where(x != 0, 1 / x, np.nan)}
+_TWO_OF = {"product": lambda x, y: x * y, "ratio": lambda x, y: np.where(y != 0, x / y, np.nan), "sum": lambda x, y: x + y, "difference": lambda x, y: x - y}
+
+
+def cross_arrays(columns: list[str], steps: int = 2) -> selection.Candidates:
+    """The candidates of cross_candidates, in its order, as functions of the columns' values."""
+    made = {f"{k}_{c}": lambda x, f=f, i=i: f(x[i]) for i, c in enumerate(columns) for k, f in _ONE_OF.items()}
+    if steps > 1:
+        made |= {f"{k}_{a}_{b}": lambda x, f=f, i=i, j=j: f(x[i], x[j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j for k, f in _TWO_OF.items()}
+    return selection.Candidates(columns, made)
+
+
 def cross_features(train: DataFrame, columns: list[str], target: str, top: int = 10, steps: int = 2) -> dict[str, str]:
-    """The candidates that go with the target most closely (absolute correlation) on the training rows,
-    all weighed in one aggregate."""
+    """The candidates that a lasso of the target keeps on the training rows, at most so many, largest coefficient first.
+
+    They are chosen together: of candidates that say the same, one stays."""
     made = cross_candidates(columns, steps)
-    got = train.agg(*(F.expr(f"corr(nullif({e}, cast('NaN' as double)), cast(`{target}` as double))").alias(n) for n, e in made.items())).first().asDict()
-    best = sorted((n for n, v in got.items() if v is not None and v == v), key=lambda n: (-abs(got[n]), n))[:top]
-    return {n: made[n] for n in best}
+    rows = train.select(*(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, target]))).persist()
+    try:
+        chosen, _ = selection.lasso_path(rows, cross_arrays(columns, steps), target, top)
+    finally:
+        rows.unpersist()
+    return {n: made[n] for n in chosen}
 
 
 def with_cross_features(df: DataFrame, chosen: dict[str, str]) -> DataFrame:
