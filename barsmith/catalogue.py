@@ -188,7 +188,7 @@ FACTORS = {
     "ratios": {f: _call(f, _R, 6) for f in ("sharpe_ratio", "sortino_ratio", "calmar_ratio", "rolling_max_drawdown")},
     "decay": {"exponential_moving_average": _call("exponential_moving_average", _X, 5), "time_series_decay": _call("time_series_decay", _R, 3)},
     "cross_section": {"neutralize": _call("neutralize", _R, _Y), "winsorize": _call("winsorize", _X), "winsorize_across": _call("winsorize", _X, 0.05, 0.95, 1), "clip": _call("clip", _R, -0.5, 0.5), "cross_sectional_rank": _call("cross_sectional_rank", _R), "cross_sectional_scale": _call("cross_sectional_scale", _R)},
-    "filling": {f"fill_{m}": _call("fill_na", _X, m) for m in ("ffill", "bfill", "zero", "mean", "median")},
+    "filling": {f"fill_{m}": _call("fill_na", _X, m) for m in ("ffill", "bfill", "zero", "mean", "median")} | {"fill_value": _call("fill_na", _X, "value", 1.5)},
     "nested": {"nested": _call("divide", _call("ts_delta", _call("moving_average", _X, 3.0), 2), _call("rolling_std", _call("fill_na", _R, "zero"), 5))},
 }
 _VARIABLES = {KEY, DATE, "open", "high", "low", "close", "vol", "amount", "log_return", "benchmark"}
@@ -256,6 +256,11 @@ for _ranked in (False, True):
     query(f"eval_{_n}_p_value", f"SELECT n_dates, {rounded('t_stat')} AS t_stat, {rounded(two_sided_p_sql('t_stat', 'n_dates'))} AS p_value FROM ({_summary})")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr("n_dates", f"{rounded('t_stat')} AS t_stat", f"{rounded('p_value')} AS p_value"))
 
 
+query("eval_forward_log", f"WITH {bars.panel_sql()}, n AS (SELECT {KEY}, {DATE}, close, lead(close) OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS later FROM panel) SELECT {KEY}, {DATE}, CASE WHEN close > 0 AND later > 0 THEN {rounded('ln(later) - ln(close)')} END AS forward FROM n")(
+    lambda s, d: bars.panel(s, d).selectExpr(KEY, DATE, f"{evaluation.forward_returns('log')} AS f").selectExpr(KEY, DATE, f"{rounded('f')} AS forward")
+)
+
+
 @query("eval_report")
 def _report(spark, sf_dir):
     return spark.createDataFrame([(evaluation.report(_evaluated(spark, sf_dir)),)], "report string")

@@ -301,6 +301,19 @@ def _optimised(s, d, method):
     return optimised_benchmark(source.panel(s, d, "lineitem"), method, days=days).selectExpr(DATE, _R("benchmark", 6))
 
 
+def _members(s, d):
+    """Bars up to a day, without zero closes, of the codes that are traded enough."""
+    b = source.events_bars(s, d)
+    return keep_codes(until(drop_zero_close(b), "2024-01-25"), liquid_codes(b, 20)).selectExpr(KEY, DATE, _R("close"))
+
+
+def _coerced(s, d):
+    """Orders as a vendor's table: other names, numbers as text of which some are none, days as text."""
+    raw = s.read.parquet(f"{d}/orders.parquet").selectExpr("concat('C', o_custkey % 50) AS symbol", "cast(to_date(o_orderdate) as string) AS day", "CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 11 = 0 THEN 'NaN' ELSE cast(o_totalprice as string) END AS price", "CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE cast(o_orderkey as string) END AS number", "cast(null as string) AS nothing")
+    made = source.normalise(raw, {"symbol": KEY, "day": DATE, "price": "close", "number": "vol"})
+    return drop_empty_columns(made).selectExpr(KEY, DATE, _R("close"), _R("vol"))
+
+
 _P = source.panel_sql()
 _SO_FAR = f"PARTITION BY {KEY} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING"
 _CLIPPED = lambda c: f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, quantile_cont({c}, 0.99) OVER (PARTITION BY {DATE})), quantile_cont({c}, 0.01) OVER (PARTITION BY {DATE})) END AS {c}"
@@ -343,6 +356,8 @@ QUERIES = {
     "benchmark_ew": (lambda s, d: equal_weight_benchmark(source.panel(s, d)).selectExpr(DATE, _R("benchmark", 6)), f"WITH {_P} SELECT {DATE}, floor(CAST(sum(log_return) / (SELECT count(DISTINCT {KEY}) FROM panel) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS benchmark FROM panel GROUP BY {DATE}"),
     "benchmark_min_var": (lambda s, d: _optimised(s, d, "min_var"), _MIN_VAR_SQL),
     "benchmark_erc": (lambda s, d: _optimised(s, d, "erc"), _ERC_SQL),
+    "prep_members": (_members, f"WITH {source.EVENTS_BARS}, r AS (SELECT * FROM bars WHERE {DATE} >= (SELECT max({DATE}) FROM bars) - 20), c AS (SELECT {KEY}, count(DISTINCT {DATE}) AS n, avg(amount) AS m FROM r GROUP BY 1), k AS (SELECT {KEY} FROM c WHERE n >= (SELECT max(n) FROM c) * 0.9 AND m > (SELECT quantile_cont(m, 0.25) FROM c)) SELECT {KEY}, {DATE}, {_R('close')} FROM bars SEMI JOIN k USING ({KEY}) WHERE close <> 0 AND {DATE} <= DATE '2024-01-25'"),
+    "prep_coerced": (_coerced, f"SELECT 'C' || (o_custkey % 50) AS {KEY}, o_orderdate::DATE AS {DATE}, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN {rounded('o_totalprice')} END AS close, CASE WHEN o_orderkey % 13 <> 0 THEN {rounded('o_orderkey')} END AS vol FROM orders"),
     "prep_pipeline": (lambda s, d: pipeline(source.events_bars(s, d)).selectExpr(KEY, DATE, *(_R(c) for c in ("close", "vol", "amount", "log_return"))), _PIPELINE_SQL),
     "prep_interpolate": (lambda s, d: interpolate(source.densify(source.events_bars(s, d).select(KEY, DATE, "close"))).selectExpr(KEY, DATE, _R("close")), _LINE_SQL),
 }
