@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.plans.staged import rounded
 from barsmith.sources import bars as source
+from barsmith.sources import stored
 
 
 def drop_null_keys(bars: DataFrame) -> DataFrame:
@@ -314,6 +315,13 @@ def _coerced(s, d):
     return drop_empty_columns(made).selectExpr(KEY, DATE, _R("close"), _R("vol"))
 
 
+def _fetch_plan(s, d):
+    """What a fetch up to 2024-01-28 has to ask for: codes of all users, of which the odd ones are stored to the 20th, others in part."""
+    b = source.events_bars(s, d).selectExpr(KEY, DATE, f"cast(substr({KEY}, 2) as int) % 3 AS k")
+    held = stored.summarise(b.where(f"k = 0 OR k = 1 AND {DATE} <= '2024-01-20'"))
+    return stored.fetch_plan(b, held, "2024-01-28", "2024-01-05", 5)
+
+
 _P = source.panel_sql()
 _SO_FAR = f"PARTITION BY {KEY} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING"
 _CLIPPED = lambda c: f"CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, quantile_cont({c}, 0.99) OVER (PARTITION BY {DATE})), quantile_cont({c}, 0.01) OVER (PARTITION BY {DATE})) END AS {c}"
@@ -356,6 +364,7 @@ QUERIES = {
     "benchmark_ew": (lambda s, d: equal_weight_benchmark(source.panel(s, d)).selectExpr(DATE, _R("benchmark", 6)), f"WITH {_P} SELECT {DATE}, floor(CAST(sum(log_return) / (SELECT count(DISTINCT {KEY}) FROM panel) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS benchmark FROM panel GROUP BY {DATE}"),
     "benchmark_min_var": (lambda s, d: _optimised(s, d, "min_var"), _MIN_VAR_SQL),
     "benchmark_erc": (lambda s, d: _optimised(s, d, "erc"), _ERC_SQL),
+    "prep_fetch_plan": (_fetch_plan, f"WITH {source.EVENTS_BARS}, b AS (SELECT *, substr({KEY}, 2)::INT % 3 AS k FROM bars), h AS (SELECT {KEY}, max(CASE WHEN k = 0 OR (k = 1 AND {DATE} <= DATE '2024-01-20') THEN {DATE} END) AS l FROM b GROUP BY 1) SELECT {KEY}, CASE WHEN l IS NULL THEN 'full' WHEN l >= DATE '2024-01-28' THEN 'skip' ELSE 'incremental' END AS what, CASE WHEN l IS NULL THEN DATE '2024-01-05' WHEN l < DATE '2024-01-28' THEN greatest(DATE '2024-01-05', l - 5) END AS since FROM h"),
     "prep_members": (_members, f"WITH {source.EVENTS_BARS}, r AS (SELECT * FROM bars WHERE {DATE} >= (SELECT max({DATE}) FROM bars) - 20), c AS (SELECT {KEY}, count(DISTINCT {DATE}) AS n, avg(amount) AS m FROM r GROUP BY 1), k AS (SELECT {KEY} FROM c WHERE n >= (SELECT max(n) FROM c) * 0.9 AND m > (SELECT quantile_cont(m, 0.25) FROM c)) SELECT {KEY}, {DATE}, {_R('close')} FROM bars SEMI JOIN k USING ({KEY}) WHERE close <> 0 AND {DATE} <= DATE '2024-01-25'"),
     "prep_coerced": (_coerced, f"SELECT 'C' || (o_custkey % 50) AS {KEY}, o_orderdate::DATE AS {DATE}, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN {rounded('o_totalprice')} END AS close, CASE WHEN o_orderkey % 13 <> 0 THEN {rounded('o_orderkey')} END AS vol FROM orders"),
     "prep_pipeline": (lambda s, d: pipeline(source.events_bars(s, d)).selectExpr(KEY, DATE, *(_R(c) for c in ("close", "vol", "amount", "log_return"))), _PIPELINE_SQL),

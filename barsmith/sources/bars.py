@@ -83,6 +83,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = (KEY, DATE))
     return both.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "_seq")
 
 
+def keep_one(rows: DataFrame, keys: tuple[str, ...] = (KEY, DATE)) -> DataFrame:
+    """One row of each key: of several the one with the largest values, so that reruns agree."""
+    rest = [F.desc_nulls_last(c) for c in rows.columns if c not in keys]
+    one = Window.partitionBy(*keys).orderBy(*rest) if rest else Window.partitionBy(*keys).orderBy(*keys)
+    return rows.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+
+
 def _hadoop(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
@@ -92,7 +99,8 @@ def replace_table(df: DataFrame, path: str, backup: bool = True, partition_by: l
     """Write df beside a table and put it in the table's place; returns where the old table stays, if it does.
 
     df may read from the very table: its files stand until the new ones are whole, and what breaks off before
-    the two renames leaves the table as it was.  Renames are single steps on HDFS and local file systems."""
+    the two renames leaves the table as it was.  Between them there is a moment without a table; ``stored`` keeps
+    tables that are whole at every moment."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
     fresh, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
     write(df, fresh, "errorifexists", partition_by)
