@@ -91,8 +91,8 @@ def _rolling_long(spark, sf_dir):
 # --- the present against the past, long-short lines --------------------------------------------------------------
 
 
-def _relative_sql(current: int, months: int, history: str) -> str:
-    """Written out with a join of each day's history, apart from the engine's sliding frames.  current: trading days."""
+def _relative_sql(current: int, months: int, history: str, calendar: bool = False) -> str:
+    """Written out with a join of each day's history, apart from the engine's sliding frames.  current: trading days, or months."""
     now = f"PARTITION BY {KEY} ORDER BY {DATE} ROWS BETWEEN {current - 1} PRECEDING AND CURRENT ROW"
     names = {
         "ReturnZScore": "(any_value(e.lvl) - avg(p.r)) / nullif(stddev_samp(p.r), 0)",
@@ -101,9 +101,13 @@ def _relative_sql(current: int, months: int, history: str) -> str:
         "VolatilityRollingRatio": "any_value(e.dev) / nullif(stddev_samp(p.r), 0)",
         "VolatilityPercentile": "CASE WHEN any_value(e.vol_) IS NOT NULL THEN count(*) FILTER (WHERE p.vol_ <= e.vol_)::DOUBLE / nullif(count(p.vol_), 0) END",
     }
+    since = f"greatest(min({DATE}) OVER (PARTITION BY {KEY}), min(CASE WHEN log_return IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY}))"
+    own = f"""c0 AS (SELECT e.{KEY}, e.{DATE}, any_value(e.log_return) AS r, bool_or(e.{DATE} - INTERVAL {current} MONTH >= e.first_row) AS whole, sum(p.log_return) AS s, avg(p.log_return) AS m, stddev_samp(p.log_return) AS sd, any_value(e.since) AS since
+  FROM (SELECT *, min({DATE}) OVER (PARTITION BY {KEY}) AS first_row, {since} AS since FROM panel) e JOIN panel p ON p.{KEY} = e.{KEY} AND p.{DATE} <= e.{DATE} AND p.{DATE} > e.{DATE} - INTERVAL {current} MONTH GROUP BY e.{KEY}, e.{DATE}),"""
+    rows = f"""c0 AS (SELECT {KEY}, {DATE}, log_return AS r, row_number() OVER (PARTITION BY {KEY} ORDER BY {DATE}) > {current} AS whole, sum(log_return) OVER ({now}) AS s, avg(log_return) OVER ({now}) AS m, stddev_samp(log_return) OVER ({now}) AS sd,
+  {since} AS since FROM panel),"""
     return f"""WITH {bars.panel_sql('lineitem')},
-c0 AS (SELECT {KEY}, {DATE}, log_return AS r, row_number() OVER (PARTITION BY {KEY} ORDER BY {DATE}) > {current} AS whole, sum(log_return) OVER ({now}) AS s, avg(log_return) OVER ({now}) AS m, stddev_samp(log_return) OVER ({now}) AS sd,
-  greatest(min({DATE}) OVER (PARTITION BY {KEY}), min(CASE WHEN log_return IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY})) AS since FROM panel),
+{own if calendar else rows}
 c AS (SELECT *, CASE WHEN whole THEN round(s, 10) END AS ret, CASE WHEN whole THEN m END AS lvl, CASE WHEN whole THEN sd END AS dev, CASE WHEN whole THEN round(sd, 10) END AS vol_ FROM c0),
 h AS (SELECT e.{KEY}, e.{DATE}, {', '.join(f'CASE WHEN any_value(e.{DATE} - INTERVAL {months} MONTH >= e.since) THEN {x} END AS {n}_{history}' for n, x in names.items())}
   FROM c e JOIN c p ON p.{KEY} = e.{KEY} AND p.{DATE} <= e.{DATE} AND p.{DATE} > e.{DATE} - INTERVAL {months} MONTH GROUP BY e.{KEY}, e.{DATE})
@@ -120,7 +124,7 @@ for _history, _months in (("2m", 2), ("6m", 6), ("1y", 12), ("2y", 24)):
         query(f"relative_{_history}_{_days}d", _relative_sql(_days, _months, _history))(_run_relative)
 
 
-@query("relative_2y_6m")
+@query("relative_2y_6m", _relative_sql(6, 24, "2y", True))
 def _relative_calendar(spark, sf_dir):
     return select(relative.relative_metrics(bars.panel(spark, sf_dir, "lineitem"), "6m", "2y"), _columns([f"{b}_2y" for b in relative.BASES]))
 
@@ -160,7 +164,15 @@ def _catalogue(spark, sf_dir):
     return period.period_catalogue(bars.panel(spark, sf_dir, "lineitem"), digits=6)
 
 
-@query("period_hurst_5m")
+_HURST_SQL = f"""WITH {bars.panel_sql('lineitem')}, {period.members_sql('5m')},
+v AS (SELECT {KEY}, {period.END}, r, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY {KEY}, {period.END}) AS n FROM members WHERE r IS NOT NULL WINDOW w AS (PARTITION BY {KEY}, {period.END} ORDER BY {DATE})),
+p AS (SELECT {KEY}, {period.END}, level, n // (1 << level) AS size, i // (n // (1 << level)) AS part, (max(r) - min(r)) / CASE WHEN stddev_pop(r) = 0 THEN 1e-5 ELSE stddev_pop(r) END AS spread
+  FROM v, (SELECT unnest(range(6))::INT AS level) WHERE n >= 64 AND i < (n // (1 << level)) * (1 << level) GROUP BY ALL),
+l AS (SELECT {KEY}, {period.END}, level, log10(any_value(size)) AS x, log10(avg(spread)) AS y FROM p GROUP BY ALL), h AS (SELECT {KEY}, {period.END}, regr_slope(y, x) AS HurstExponent FROM l GROUP BY ALL)
+SELECT e.{KEY}, e.{period.END}, {rounded('HurstExponent')} AS HurstExponent FROM (SELECT DISTINCT {KEY}, {period.END} FROM members) e LEFT JOIN h USING ({KEY}, {period.END})"""
+
+
+@query("period_hurst_5m", _HURST_SQL)
 def _hurst(spark, sf_dir):
     return period.hurst(bars.panel(spark, sf_dir, "lineitem"), "5m").selectExpr(KEY, period.END, f"{rounded('HurstExponent')} AS HurstExponent")
 
@@ -266,6 +278,29 @@ def _report(spark, sf_dir):
     return spark.createDataFrame([(evaluation.report(_evaluated(spark, sf_dir)),)], "report string")
 
 
+_LINE = {**{f"{n}_{c}": 4 for n in ("ic", "rank_ic") for c in ("ic_mean", "ic_std", "icir", "t_stat", "p_value")}, "turnover": 6, "mean": 5, "std": 5, "sharpe": 4}
+
+
+def _report_sql() -> str:
+    parts = []
+    for n, ranked in (("ic", False), ("rank_ic", True)):
+        one = f"SELECT {', '.join(f'{e} AS {c}' for c, e in evaluation.SUMMARY.items())} FROM ({evaluation.daily_ic_sql(_EVAL_BASE, 'evaluated', ranked)})"
+        parts.append(f"(SELECT {', '.join(f'{c} AS {n}_{c}' for c in evaluation.SUMMARY)}, {two_sided_p_sql('t_stat', 'n_dates')} AS {n}_p_value FROM ({one}))")
+    parts.append(f"(SELECT avg(turnover) AS turnover FROM ({evaluation.turnover_sql(_EVAL_BASE, 'evaluated')}))")
+    parts.append(f"(SELECT product(1 + spread) - 1 AS total_return, avg(spread) AS mean, stddev_samp(spread) AS std, avg(spread) / nullif(stddev_samp(spread), 0) * sqrt(252) AS sharpe FROM ({_SPREAD}))")
+    parts.append(f"({ORACLES['eval_monotonic']})")
+    return f"SELECT {', '.join(f'{rounded(c, k)} AS {c}' for c, k in _LINE.items())}, {significant('total_return')} AS total_return, ic_n_dates, rank_ic_n_dates, monotonic FROM {', '.join(parts)}"
+
+
+@query("eval_report_numbers", _report_sql())
+def _report_numbers(spark, sf_dir):
+    """The report as one row."""
+    got = evaluation.report_numbers(_evaluated(spark, sf_dir))
+    row = {f"{n}_{c}": v for n in ("ic", "rank_ic") for c, v in got[n].items()} | {"turnover": got["turnover"]["mean_turnover"], "monotonic": got["groups"]["monotonic"], **got["long_short"]}
+    kinds = ", ".join(f"{c} {'long' if c.endswith('n_dates') else 'boolean' if c == 'monotonic' else 'double'}" for c in row)
+    return spark.createDataFrame([tuple(row.values())], kinds).selectExpr(*(f"{rounded(c, k)} AS {c}" for c, k in _LINE.items()), f"{significant('total_return')} AS total_return", "ic_n_dates", "rank_ic_n_dates", "monotonic")
+
+
 # --- feature preparation and portfolios --------------------------------------------------------------------------
 
 _TRAIN_END, _PREPARED = "2024-01-20", ("vol", "log_return")

@@ -149,8 +149,24 @@ def long_short_summary(spread: DataFrame) -> DataFrame:
     return spread.agg((F.product(F.col("spread") + 1) - 1).alias("total_return"), F.avg("spread").alias("mean"), F.stddev_samp("spread").alias("std"), F.expr(f"avg(spread) / nullif(stddev_samp(spread), 0) * {math.sqrt(PERIODS)!r}").alias("sharpe"))
 
 
+def report_numbers(df: DataFrame, groups: int = 5) -> dict:
+    """All analyses of one factor: its values are worked out once and kept while the small aggregates run over them."""
+    rows = df.select(KEY, DATE, "factor", "forward").persist()
+    row = lambda d: d.first().asDict()
+    try:
+        means = [r.asDict() for r in group_returns(rows, groups).orderBy("bucket").collect()]
+        ups = [b["mean_return"] - a["mean_return"] for a, b in zip(means[:-1], means[1:])]
+        return {
+            "ic": row(ic_summary(daily_ic(rows))),
+            "rank_ic": row(ic_summary(daily_ic(rows, True))),
+            "turnover": row(turnover(rows).agg(*_exprs({"mean_turnover": "avg(turnover)"}))),
+            "groups": {"monotonic": all(u >= 0 for u in ups) or all(u <= 0 for u in ups), "mean_return": means},
+            "long_short": row(long_short_summary(long_short(rows, groups))),
+        }
+    finally:
+        rows.unpersist()
+
+
 def report(df: DataFrame, groups: int = 5) -> str:
     """Summary of all analyses as JSON text; a handful of numbers leave the cluster."""
-    row = lambda d: {k: v for k, v in d.first().asDict().items()}
-    out = {"ic": row(ic_summary(daily_ic(df))), "rank_ic": row(ic_summary(daily_ic(df, True))), "turnover": row(turnover(df).agg(*_exprs({"mean_turnover": "avg(turnover)"}))), "groups": {"monotonic": row(is_monotonic(df, groups))["monotonic"], "mean_return": [r.asDict() for r in group_returns(df, groups).orderBy("bucket").collect()]}, "long_short": row(long_short_summary(long_short(df, groups)))}
-    return json.dumps(out, default=float)
+    return json.dumps(report_numbers(df, groups), default=float)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.operators import rolling
 from barsmith.plans import selection
-from barsmith.plans.staged import select, significant, to_sql
+from barsmith.plans.staged import rounded, select, significant, to_sql
 from barsmith.sources import bars as source
 
 _TIME = f"PARTITION BY {KEY} ORDER BY {DATE}"
@@ -232,4 +232,12 @@ def _replayed(s, d):
     return episode_stats(replay(p)).selectExpr(KEY, "floor(CAST(total_return AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS total_return", "floor(CAST(volatility AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS volatility", "floor(CAST(sharpe AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS sharpe")
 
 
-QUERIES = {"features_labels": (_labels, _LABELS_SQL), "features_scaled": (_scaled, _SCALED_SQL), "features_forest": (_model, None), "features_replay": (_replayed, None), "features_assembled": (_assembled, _ASSEMBLED_SQL)}
+#: The replay as a recursion over a code's rows.
+_REPLAY_SQL = f"""WITH RECURSIVE {source.panel_sql()}, p AS (SELECT {KEY}, close, CASE WHEN log_return > 0 THEN 1.0 WHEN log_return <= 0 THEN 0.0 END AS share, row_number() OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS n FROM panel),
+s AS (SELECT DISTINCT {KEY}, 0::BIGINT AS n, 10000.0::DOUBLE AS money, 0.0::DOUBLE AS shares, 10000.0::DOUBLE AS equity FROM p UNION ALL
+  SELECT {KEY}, n, m, h, CASE WHEN close IS NOT NULL THEN m + h * close ELSE equity END FROM (SELECT *, shares + step AS h, money - step * coalesce(close, 0) * CASE WHEN step > 0 THEN 1.0005 * 1.001 ELSE 0.9995 * 0.999 END AS m
+    FROM (SELECT *, CASE WHEN close > 0 AND share IS NOT NULL THEN CASE WHEN wish > 0 THEN least(wish, money / (close * 1.0005 * 1.001)) ELSE wish END ELSE 0 END AS step
+      FROM (SELECT s.{KEY}, p.n, s.money, s.shares, s.equity, p.close, p.share, p.share * (s.money + s.shares * p.close) / p.close - s.shares AS wish FROM s JOIN p ON p.{KEY} = s.{KEY} AND p.n = s.n + 1)))),
+r AS (SELECT {KEY}, n, equity, equity / nullif(lag(equity) OVER (PARTITION BY {KEY} ORDER BY n), 0) - 1 AS r FROM s WHERE n > 0)
+SELECT {KEY}, {rounded('arg_max(equity, n) / arg_min(equity, n) - 1')} AS total_return, {rounded('stddev_samp(r) * sqrt(252)')} AS volatility, {rounded('avg(r) / nullif(stddev_samp(r), 0) * sqrt(252)')} AS sharpe FROM r GROUP BY {KEY}"""
+QUERIES = {"features_labels": (_labels, _LABELS_SQL), "features_scaled": (_scaled, _SCALED_SQL), "features_forest": (_model, None), "features_replay": (_replayed, _REPLAY_SQL), "features_assembled": (_assembled, _ASSEMBLED_SQL)}
