@@ -325,7 +325,15 @@ SELECT {KEY}, {DATE}, CASE WHEN close > 0 AND later > close THEN 1 ELSE 0 END AS
 query("features_prepared", _prepared_sql())(_prepared)
 
 
-@query("features_sequence")
+_KNOWN = ("close", "vol", "log_return")
+_SEQUENCE_SQL = f"""WITH {bars.panel_sql()}, b AS (SELECT *, greatest({', '.join(f'min(CASE WHEN {c} IS NOT NULL THEN {DATE} END) OVER (PARTITION BY {KEY})' for c in _KNOWN)}) AS begun FROM panel),
+f AS (SELECT {KEY}, {DATE}, {', '.join(f'last_value({c} IGNORE NULLS) OVER (PARTITION BY {KEY} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING) AS {c}' for c in _KNOWN)} FROM b WHERE {DATE} >= begun),
+k AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY {DATE}) <= floor(count(*) OVER (PARTITION BY {KEY}) * 0.8) AS early FROM f WHERE close IS NOT NULL AND vol IS NOT NULL AND log_return IS NOT NULL),
+t AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _KNOWN[1:])} FROM k WHERE early)
+SELECT {KEY}, {DATE}, CASE WHEN early THEN 'train' ELSE 'test' END AS part, {rounded('close')} AS close, {', '.join(f'{rounded(f"(({c} - m_{c}) / s_{c})")} AS {c}' for c in _KNOWN[1:])} FROM k, t"""
+
+
+@query("features_sequence", _SEQUENCE_SQL)
 def _sequence(spark, sf_dir):
     train, test = modelling.prepare_sequence(bars.panel(spark, sf_dir), ["vol", "log_return"])
     part = F.lit("train").alias("part"), F.lit("test").alias("part")
@@ -352,13 +360,19 @@ query("portfolio_max_sharpe")(lambda s, d: portfolio.max_sharpe(bars.panel(s, d)
 
 
 def _portfolios(spark, sf_dir):
-    """Three portfolios: a market's codes by the hash of their names, tilted to what rose."""
-    p = bars.panel(spark, sf_dir).selectExpr("concat('P', pmod(crc32(ts_code), 3)) AS portfolio", KEY, DATE, "close", "log_return")
+    """Three portfolios: a market's codes by the number in their names, tilted to what rose."""
+    p = bars.panel(spark, sf_dir).selectExpr(f"concat('P', cast(substr({KEY}, 2) as int) % 3) AS portfolio", KEY, DATE, "close", "log_return")
     return p.selectExpr("*", "coalesce(log_return, 0D) AS action", "0D AS cash_action")
 
 
 query("portfolio_replay")(lambda s, d: portfolio.replay_weights(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{rounded('value', 4)} AS value"))
-query("portfolio_allocations")(lambda s, d: portfolio.replay_allocations(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{rounded('value')} AS value", f"{rounded('reward')} AS reward"))
+_BUCKET_SQL = f"'P' || (substr({KEY}, 2)::INT % 3)"
+_ALLOCATED_SQL = f"""WITH {bars.panel_sql()},
+a AS (SELECT {_BUCKET_SQL} AS portfolio, {KEY}, {DATE}, coalesce(log_return, 0) AS r, lag(coalesce(log_return, 0)) OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS w FROM panel),
+g AS (SELECT portfolio, {DATE}, CASE WHEN any_value(w) IS NULL THEN avg(r) ELSE sum(w * r) END AS gain FROM a GROUP BY ALL),
+l AS (SELECT *, exp(sum(gain) OVER d) AS value, CASE WHEN row_number() OVER d >= 22 THEN 0.1 * stddev_pop(gain) OVER (d ROWS 21 PRECEDING) ELSE 0 END AS cost FROM g WINDOW d AS (PARTITION BY portfolio ORDER BY {DATE}))
+SELECT portfolio, {DATE}, {significant('value')} AS value, {rounded('(gain - cost)')} AS reward FROM l"""
+query("portfolio_allocations", _ALLOCATED_SQL)(lambda s, d: portfolio.replay_allocations(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{significant('value')} AS value", f"{rounded('reward')} AS reward"))
 
 # --- screens, preparation, features, stocks ----------------------------------------------------------------------
 
