@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext.getCheckpointDir()
-        if not known and not spark.sparkContext.master.startswith("local["):
+        if not known and not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not known:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barsmith-"))

@@ -112,13 +112,13 @@ def _lists(x: np.ndarray, kind) -> pa.Array:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part, one a vec_id, all of the greatest length."""
-    v = F.col("embedding")
+    """(vec_id, v) of the vectors that take part, one a vec_id, all of the greatest length, in floats or doubles as they are given."""
+    v, number = F.col("embedding"), "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(f"array<{number}>").alias("v"))
     sizes = rows.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     if sizes["least"] != sizes["most"]:
-        rows = rows.select("vec_id", F.concat("v", F.array_repeat(F.lit(0).cast("float"), sizes["most"] - F.size("v"))).alias("v"))
+        rows = rows.select("vec_id", F.concat("v", F.array_repeat(F.lit(0).cast(number), sizes["most"] - F.size("v"))).alias("v"))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -142,6 +142,8 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
     spark = vectors.sparkSession
     small_batches(spark)
     rows = stage(valid(vectors), "vectors")
+    kind = dict(rows.dtypes)["v"]
+    numbers = pa.float32() if kind == "array<float>" else pa.float64()
     points, ids, askers = index_points(rows, asked, k)
     size = points.agg(F.count("*").alias("n"), F.max("norm2").alias("m2"), F.max(F.size("v")).alias("d")).first()
     if not size["n"]:
@@ -165,7 +167,7 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
             p = project(matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(tree.leaf(p).astype(np.int32)), *batch.columns, _lists(p, pa.float64())], ["leaf", "cid", "v", "p"])
 
-    placed = stage(points.select("cid", "v").mapInArrow(place, "leaf int, cid long, v array<float>, p array<double>"), "leaves")
+    placed = stage(points.select("cid", "v").mapInArrow(place, f"leaf int, cid long, v {kind}, p array<double>"), "leaves")
     lows, highs = [F.min(F.element_at("p", i + 1)) for i in range(m)], [F.max(F.element_at("p", i + 1)) for i in range(m)]
     boxes = placed.groupBy("leaf").agg(F.array(*lows).alias("lo"), F.array(*highs).alias("hi"), F.count("*").alias("n")).orderBy("leaf").toArrow()  # MOST_LEAVES rows at most
     names, lo, hi = boxes.column("leaf").to_numpy(), matrix(boxes.column("lo")), matrix(boxes.column("hi"))
@@ -187,11 +189,11 @@ def search(vectors: DataFrame, asked, k: int = K, m: int = PROJECTIONS, confiden
                     at = np.argsort(far, axis=1, kind="stable")[:, first:last]
                     q, i = np.nonzero(np.take_along_axis(far, at, axis=1) <= reach[:, None])
                     if len(q):
-                        yield pa.RecordBatch.from_arrays([pa.array(names[at[q, i]].astype(np.int32)), batch.column(0).take(pa.array(q + s)), _lists(v[q].astype(np.float32), pa.float32()), pa.array(reach[q]), pa.array(least[q])], ["leaf", "qid", "q", "reach", "least"])
+                        yield pa.RecordBatch.from_arrays([pa.array(names[at[q, i]].astype(np.int32)), batch.column(0).take(pa.array(q + s)), _lists(v[q].astype(numbers.to_pandas_dtype()), numbers), pa.array(reach[q]), pa.array(least[q])], ["leaf", "qid", "q", "reach", "least"])
 
         return each
 
-    visit_schema = "leaf int, qid long, q array<float>, reach double, least double"
+    visit_schema = f"leaf int, qid long, q {kind}, reach double, least double"
     keep = k + 1
 
     def verify(left: pa.Table, right: pa.Table) -> pa.Table:

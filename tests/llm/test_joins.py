@@ -141,6 +141,21 @@ def test_neighbours(spark):
             assert abs(s - float(np.dot(np.float64(vectors[q]), np.float64(vectors[i])))) < 1e-12
 
 
+def test_vectors_of_doubles(spark):
+    """Doubles are searched as doubles: scores hold their last digits, and what no float holds takes part."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** rng.integers(-50, 50)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors, asked = dict(rows), lambda i: i % 20 == 0
+    got = op7_neighbours.search(df, asked, leaf=1000).collect()
+    assert {r["query_id"] for r in got} == {i for i in vectors if i % 20 == 0}
+    for r in got:
+        a, b = (np.array(vectors[r[c]]) for c in ("query_id", "vec_id"))
+        assert abs(r["score"] - a @ b) <= 1e-12 * np.abs(a * b).sum()
+    want = brute_neighbours(rows, asked, 1)
+    assert {r["query_id"]: [r["vec_id"]] for r in got if r["rank"] == 1} == want
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in op7_neighbours.search(df, lambda i: i % 20 == 0).orderBy("rank").collect()]
