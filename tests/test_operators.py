@@ -147,6 +147,40 @@ def test_indicators(panel, wide):
     assert (len(rolling.PLAIN) + len(rolling.RECURSIVE)) >= 96
 
 
+def test_rolling_families_in_pandas(panel):
+    """One value or more of every family of indicators, written out for a code without gaps."""
+    w, names = 5, ["PriceSigma", "BollUp_2", "L", "H", "RSV", "MTM", "MTMMA_3", "VolMA", "OBV", "MAOBV", "PVT", "VR", "MAVR_3", "PSY", "MAPSY_3", "CCI", "CR", "MACR_10_5", "AR", "BR", "BRARDiff", "BIAS", "MABIAS_5", "TR", "PDI", "MDI", "ADX_6", "ADXR_6_6", "DKX", "MADKX_5"]
+    got = rolling.indicators(panel.where("ts_code = 'A'"), names, w).orderBy("trade_date").toPandas()
+    o, h, lo, c, v = (got[x].astype(float) for x in ("open", "high", "low", "close", "vol"))
+    row = np.arange(1, len(got) + 1)
+    part = lambda x, n=w: x.rolling(n, min_periods=1).sum()
+    mean = lambda x, n=w: x.rolling(n, min_periods=1).mean().where(row >= n)
+    pos = lambda x: x.clip(lower=0)
+    pc, move = c.shift(), c.diff()
+    top, bottom, mid = h.rolling(w, min_periods=1).max(), lo.rolling(w, min_periods=1).min(), (h.shift() + lo.shift()) / 2
+    sigma = c.rolling(w, min_periods=1).std().fillna(0)
+    typical = (h + lo + c) / 3
+    tr = pd.concat([h - lo, (h - pc).abs(), (lo - pc).abs()], axis=1).max(axis=1)
+    up, down = h.diff(), -lo.diff()
+    pdi, mdi = (part(x.where((x > y) & (x > 0), 0.0)) / part(tr) * 100 for x, y in ((up, down), (down, up)))
+    even = part(v.where(move == 0, 0.0)) / 2
+    vr = (part(v.where(move > 0, 0.0)) + even) / (part(v.where(move < 0, 0.0)) + even).replace(0, np.nan) * 100
+    cr = part(pos(h - mid)) / part(pos(mid - lo)).replace(0, np.nan) * 100
+    ar, br = part(h - o) / part(o - lo) * 100, part(pos(h - pc)) / part(pos(pc - lo)).replace(0, np.nan) * 100
+    obv, pvt = (np.sign(move) * v).fillna(0).cumsum(), (move / pc * v).fillna(0).cumsum()
+    psy, bias = part((move > 0).astype(float)) / w * 100, (c - mean(c)) / mean(c) * 100
+    adx = mean((pdi - mdi).abs() / (pdi + mdi).replace(0, np.nan) * 100, 6)
+    base = (3 * c + h + lo + o) / 6
+    dkx = sum(base.shift(i) * (20 - i) for i in range(20)) / 210
+    want = {"PriceSigma": sigma, "BollUp_2": mean(c) + 2 * sigma, "L": bottom, "H": top, "RSV": (c - bottom) / (top - bottom) * 100, "MTM": c - c.shift(w), "MTMMA_3": mean(c - c.shift(w), 3), "VolMA": mean(v)}
+    want |= {"OBV": obv, "MAOBV": mean(obv), "PVT": pvt, "VR": vr, "MAVR_3": mean(vr, 3), "PSY": psy, "MAPSY_3": mean(psy, 3), "CCI": (typical - mean(typical)) / (0.015 * mean((typical - mean(typical)).abs()))}
+    want |= {"CR": cr, "MACR_10_5": mean(cr, 10).shift(5), "AR": ar, "BR": br, "BRARDiff": br - ar, "BIAS": bias, "MABIAS_5": mean(bias)}
+    want |= {"TR": tr, "PDI": pdi, "MDI": mdi, "ADX_6": adx, "ADXR_6_6": (adx + adx.shift(6)) / 2, "DKX": dkx, "MADKX_5": mean(dkx)}
+    assert set(want) == set(names)
+    for n in names:
+        np.testing.assert_allclose(got[n].astype(float), want[n], rtol=1e-9, atol=1e-9, err_msg=n)
+
+
 def test_long_table(panel):
     long = rolling.long_table(panel, ["CloseMA", "RSI"], (3, 5))
     assert long.select("metric", "window").distinct().count() == 4

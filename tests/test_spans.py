@@ -287,3 +287,24 @@ def test_order_statistics_of_rows(panel, wide):
         part = part[~np.isnan(part)]
         if x[i] == x[i] and len(part) > 1:
             assert math.isclose(mine["A"].iloc[i], ((part < x[i]).sum() + ((part == x[i]).sum() - 1) / 2) / (len(part) - 1))
+
+
+@pytest.mark.parametrize("name", ["screen_long", "screen_short", "screen_run_atr", "screen_ratio_low", "screen_below_streak", "screen_summary", "period_5d", "relative_2y_25d", "factor_moments"])
+def test_generated_code_compiles(spark, sf, name):
+    """No plan is so large that its generated code fails to compile and falls back."""
+    from barsmith.catalogue import QUERIES
+
+    kept = spark.conf.get("spark.sql.codegen.fallback")
+    try:
+        spark.conf.set("spark.sql.codegen.fallback", "false")
+        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", kept)
+
+
+@pytest.mark.parametrize("name,scans", [("panel_events", 1), ("panel_lineitem", 1), ("factor_cross_section", 2), ("eval_rank_ic", 1), ("period_catalogue", 1), ("benchmark_min_var", 1)])
+def test_tables_are_scanned_once(spark, sf, name, scans):
+    from barsmith.catalogue import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert 1 <= plan.count("Scan parquet ") <= scans
