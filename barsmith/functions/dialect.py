@@ -19,6 +19,12 @@ class Spark:
         """Exact percentile with linear interpolation."""
         return f"percentile({x}, {q})"
 
+    @staticmethod
+    def corr(x: str, y: str, over: str = "") -> str:
+        """Pearson's correlation, null where one side does not vary: the built-in one divides by 0 there, an error in ANSI mode."""
+        a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+        return f"(covar_pop({a}, {b}) {over} / nullif(sqrt(var_pop({a}) {over} * var_pop({b}) {over}), 0))"
+
     @staticmethod
     def skew(x: str) -> str:
         """Population skewness."""
@@ -70,6 +76,7 @@ class Duck:
     minus_days = staticmethod(lambda date, n: f"({date} - {n})")
     values = staticmethod(lambda x, over: f"list({x}) FILTER (WHERE {x} IS NOT NULL) OVER ({over})")
     count_in = staticmethod(lambda array, test: f"coalesce(len(list_filter({array}, lambda v: {test})), 0)")
+    corr = staticmethod(lambda x, y, over="": f"corr({x}, {y}) {over}")
     skew = None
     kurt = None
 

@@ -273,7 +273,7 @@ def _both(a: str, b: str) -> str:
 @operator
 def correlation(p, a, b, axis=0):
     g = f"OVER ({_group(axis)})"
-    return p.let(f"CASE WHEN count({_both(a, b)}) {g} >= 2 THEN {finite(f'corr({a}, {b}) {g}')} END")
+    return p.let(lambda d: f"CASE WHEN count({_both(a, b)}) {g} >= 2 THEN {finite(d.corr(a, b, g))} END")
 
 
 @operator
@@ -380,12 +380,13 @@ def _pairs(p, expr, a, b, window, axis, least=2):
     order = _order(axis)
     w = f"OVER ({rows(window, order)})"
     x, y = p.let(f"CASE WHEN {b} IS NOT NULL THEN {a} END"), p.let(f"CASE WHEN {a} IS NOT NULL THEN {b} END")
-    return p.let(f"CASE WHEN row_number() OVER ({order}) >= {window} AND count({x}) {w} >= {least} THEN {finite(f'{expr.format(x=x, y=y)} {w}')} END")
+    made = expr if callable(expr) else lambda d, x, y, w: f"{expr.format(x=x, y=y)} {w}"
+    return p.let(lambda d: f"CASE WHEN row_number() OVER ({order}) >= {window} AND count({x}) {w} >= {least} THEN {finite(made(d, x, y, w))} END")
 
 
 @operator
 def rolling_corr(p, a, b, window, axis=0):
-    return _pairs(p, "corr({x}, {y})", a, b, window, axis)
+    return _pairs(p, lambda d, x, y, w: d.corr(x, y, w), a, b, window, axis)
 
 
 @operator

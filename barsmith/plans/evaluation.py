@@ -35,7 +35,6 @@ def both(df: DataFrame) -> DataFrame:
     return df.where("factor IS NOT NULL AND forward IS NOT NULL")
 
 
-IC_DAILY = {"ic": finite("corr(factor, forward)"), "n": "count(*)"}
 RANK_STAGES: list[Stage] = [{"factor_rank": average_rank("factor"), "forward_rank": average_rank("forward")}]
 
 
@@ -45,7 +44,7 @@ def daily_ic(df: DataFrame, ranked: bool = False) -> DataFrame:
     x, y = ("factor_rank", "forward_rank") if ranked else ("factor", "forward")
     if ranked:
         rows = apply(rows, RANK_STAGES)
-    return rows.selectExpr(DATE, x, y).groupBy(DATE).agg(*_exprs({"ic": finite(f"corr({x}, {y})"), "n": "count(*)"})).where("n >= 2 AND ic IS NOT NULL")
+    return rows.selectExpr(DATE, x, y).groupBy(DATE).agg(*_exprs({"ic": finite(Spark.corr(x, y)), "n": "count(*)"})).where("n >= 2 AND ic IS NOT NULL")
 
 
 def _exprs(columns: dict):

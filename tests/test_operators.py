@@ -79,6 +79,88 @@ def test_moments(panel, wide):
     pd.testing.assert_frame_equal(got, roll(wide, 6, skew), check_names=False, rtol=1e-6)
 
 
+def clean(x, y=None):
+    return x[~np.isnan(x)] if y is None else (lambda k: (x[k], y[k]))(~np.isnan(x) & ~np.isnan(y))
+
+
+def _line(x, y):
+    """Slope and level of x over y."""
+    slope = ((x - x.mean()) * (y - y.mean())).sum() / ((y - y.mean()) ** 2).sum()
+    return slope, x.mean() - slope * y.mean()
+
+
+def _several(f, least=2):
+    """f of the rows that both have, if there are enough and they vary."""
+
+    def of(x, y):
+        x, y = clean(x, y)
+        return f(x, y) if len(x) >= least and np.ptp(x) > 0 and np.ptp(y) > 0 else np.nan
+
+    return of
+
+
+def _kurt(x):
+    m = clean(x) - clean(x).mean()
+    return (m**4).mean() / (m**2).mean() ** 2 - 3 if len(m) > 3 and (m**2).mean() > 1e-14 else np.nan
+
+
+def _sd(x, ddof=1):
+    return clean(x).std(ddof=ddof) if len(clean(x)) > ddof else np.nan
+
+
+_R, _V = {"var": "log_return"}, {"var": "vol"}
+TWINS = {
+    "rolling_min": ([_R, 6], lambda x, y: clean(x).min()),
+    "rolling_kurt": ([_R, 6], lambda x, y: _kurt(x)),
+    "rolling_corr": ([_R, _V, 6], _several(lambda x, y: np.corrcoef(x, y)[0, 1])),
+    "rolling_cov": ([_R, _V, 6], lambda x, y: np.cov(*clean(x, y))[0, 1] if len(clean(x, y)[0]) > 1 else np.nan),
+    "beta": ([_R, _V, 6], _several(lambda x, y: _line(x, y)[0])),
+    "alpha": ([_R, _V, 6], _several(lambda x, y: _line(x, y)[1])),
+    "downside_deviation": ([_R, 6], lambda x, y: _sd(np.where(x < 0, x, np.nan))),
+    "sharpe_ratio": ([_R, 6], lambda x, y: clean(x).mean() / _sd(x, 0) * np.sqrt(252) if _sd(x, 0) else np.nan),
+    "sortino_ratio": ([_R, 6], lambda x, y: clean(x).mean() / _sd(np.where(x < 0, x, np.nan)) * np.sqrt(252)),
+    "ts_delay": ([_R, 5], lambda x, y: x[0]),
+    "ts_delta": ([_R, 5], lambda x, y: x[-1] - x[0]),
+}
+
+
+@pytest.mark.parametrize("name", TWINS)
+def test_more_window_operators(panel, name):
+    args, f = TWINS[name]
+    got = values(expression.factor_values(panel, {"func": name, "args": args}), "factor")
+    r, v = values(panel, "log_return"), values(panel, "vol")
+    for c in "ABC":
+        for i in range(5, len(r)):
+            part = slice(i - 5, i + 1)
+            with np.errstate(all="ignore"):
+                want = f(r[c].iloc[part].to_numpy(), v[c].iloc[part].to_numpy())
+            assert (np.isnan(want) and np.isnan(got[c].iloc[i])) or math.isclose(got[c].iloc[i], want, rel_tol=1e-7, abs_tol=1e-10), (c, i, got[c].iloc[i], want)
+
+
+def test_series_that_stand_still(panel):
+    """Correlations with a constant are null, not an error; a date whose values agree has no coefficient."""
+    for tree in ({"func": "rolling_corr", "args": [_R, _V, 6]}, {"func": "correlation", "args": [_R, _V]}, {"func": "beta", "args": [_V, _R, 6]}):
+        assert values(expression.factor_values(panel, tree), "factor")["D"].isna().all()
+    same = panel.selectExpr("ts_code", "trade_date", "1e0 AS factor", "close AS forward")
+    assert evaluation.daily_ic(same).count() == evaluation.daily_ic(same, True).count() == 0
+
+
+def test_cross_section_operators(panel):
+    r, v = values(panel, "log_return"), values(panel, "vol")
+    rank = values(expression.factor_values(panel, {"func": "cross_sectional_rank", "args": [_R]}), "factor")
+    scale = values(expression.factor_values(panel, {"func": "cross_sectional_scale", "args": [_R]}), "factor")
+    rest = values(expression.factor_values(panel, {"func": "neutralize", "args": [_R, _V]}), "factor")
+    for d in r.index[1:]:
+        x = r.loc[d].dropna()
+        order = {c: i for i, c in enumerate(sorted(x.index, key=lambda c: (x[c], c)))}
+        np.testing.assert_allclose(rank.loc[d, x.index], [order[c] / max(len(x) - 1, 1) for c in x.index], rtol=1e-12)
+        np.testing.assert_allclose(scale.loc[d, x.index], (x - x.mean()) / x.std(ddof=0), rtol=1e-9)
+        y = v.loc[d, x.index]
+        if len(x) > 2 and np.ptp(y) > 0:
+            slope, level = _line(x, y)
+            np.testing.assert_allclose(rest.loc[d, x.index], x - slope * y - level, atol=1e-10)
+
+
 def test_drawdown_of_returns(panel):
     got = values(expression.factor_values(panel, {"func": "rolling_max_drawdown", "args": [{"var": "log_return"}, 6]}), "factor")
     r = values(panel, "log_return")
