@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.functions.student import two_sided_p_sql
 from barsmith.operators import factor, period, prepare, relative, rolling, screen, stocks
-from barsmith.plans import evaluation, expression, features, modelling, portfolio
+from barsmith.plans import evaluation, expression, features, modelling, orders, portfolio
 from barsmith.plans.staged import apply, needed, rounded, select, significant, to_sql
 from barsmith.sources import bars
 
@@ -376,7 +376,7 @@ query("portfolio_allocations", _ALLOCATED_SQL)(lambda s, d: portfolio.replay_all
 
 # --- screens, preparation, features, stocks ----------------------------------------------------------------------
 
-for _module in (screen, prepare, features, stocks):
+for _module in (screen, prepare, features, stocks, orders):
     for _name, (_f, _sql) in _module.QUERIES.items():
         query(_name, _sql)(_f)
 

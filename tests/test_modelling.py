@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barsmith.operators import factor, prepare, relative, rolling
-from barsmith.plans import expression, features, modelling, portfolio
+from barsmith.plans import expression, features, modelling, orders, portfolio
 from barsmith.sources import bars as source
 
 FIRST = dt.date(2020, 1, 1)
@@ -176,6 +176,25 @@ def test_max_sharpe(panel, wide):
     assert [x.asDict() for x in got] == [x.asDict() for x in portfolio.max_sharpe(panel, 300).collect()]
 
 
+def test_orders(spark):
+    """Orders are filled a day later, a loss beyond the limit sells, days without a price change nothing."""
+    close = [10.0, 10.0, 11.0, None, 10.0, 10.5, 12.0]
+    rows = [("A", FIRST + dt.timedelta(days=i), c, None if c is None else c + 1, None if c is None else c - 1, c, None if i in (0, 3) else 0.01 * (i - 3), o) for i, (c, o) in enumerate(zip(close, [1, 0, 0, 1, 0, 1, 0]))]
+    df = spark.createDataFrame(rows, "ts_code string, trade_date date, open double, high double, low double, close double, log_return double, order int")
+    got = orders.replay_orders(df, "plain", "trend", 1000.0, 0.01, 0.0, -0.05).orderBy("trade_date").collect()
+    held = 1000 * 0.99 / 10
+    assert [r["held"] for r in got] == [False, True, True, True, True, True, True]
+    assert [round(r["value"], 9) for r in got] == [1000.0, *(round(held * c, 9) for c in (10, 11, 11, 10, 10.5, 12))]
+    assert [r["executed"] for r in got] == [0, 1, 0, 0, 1, 0, 1] and math.isclose(got[1]["reward"], 0.02 - 0.05) and math.isclose(got[4]["reward"], 0.01 - 0.05)
+    stopped = orders.replay_orders(df, "extreme", "downside", 1000.0, 0.01, 0.5, -0.05).orderBy("trade_date").collect()
+    assert [r["executed"] for r in stopped][:3] == [0, 1, 0] and stopped[1]["value"] == 1000 * 0.99 / 11 * 10
+    assert stopped[4]["executed"] == -1 and math.isclose(stopped[4]["value"], 1000 * 0.99 / 11 * 9 * 0.99)
+    slips = orders.replay_orders(df, "open", "pnl", 1000.0, 0.0, 0.25, -0.9).orderBy("trade_date").collect()
+    assert math.isclose(slips[1]["value"], 800.0) and math.isclose(slips[1]["reward"], -20.05)
+    with pytest.raises(ValueError):
+        orders.replay_orders(df, reward="none")
+
+
 def test_search_over_tiles(spark):
     """Tiles of any size give the risks of the whole matrix over common days; a code with one day has none with others."""
     rng = np.random.default_rng(9)
