@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def tidy() -> None:
+    """Give memory that this process has freed back to the system: the driver serves one operator after another, and
+    what each collects for a while (a sketch, a sample) would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -44,6 +57,7 @@ def stage(df: DataFrame, tag: str, partition_by: list[str] | None = None, **opti
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barsmith_path = path
+    tidy()
     return out
 
 

@@ -187,10 +187,10 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["chunk", "counts"])
 
     parts = rows.where("chunk is not null").select("chunk", "counts")
-    got = parts.repartition((1 << SKETCH) // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").collect()  # 32 MB
+    got = parts.repartition((1 << SKETCH) // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").toArrow()  # 32 MB
     out = np.zeros(1 << SKETCH, dtype=np.uint8)
-    for r in got:
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype=np.uint8)
+    for chunk, counts in zip(got.column("chunk"), got.column("counts")):
+        out[chunk.as_py() * CHUNK : (chunk.as_py() + 1) * CHUNK] = np.frombuffer(counts.as_buffer(), dtype=np.uint8)
     return out
 
 
