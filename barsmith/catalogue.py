@@ -11,7 +11,7 @@ from barsmith.functions.dialect import DATE, KEY
 from barsmith.functions.student import two_sided_p_sql
 from barsmith.operators import factor, period, prepare, relative, rolling, screen, stocks
 from barsmith.plans import evaluation, expression, features, modelling, orders, portfolio
-from barsmith.plans.staged import apply, needed, rounded, select, significant, to_sql
+from barsmith.plans.staged import apply, needed, rounded, select, shown, significant, to_sql
 from barsmith.sources import bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,12 +135,12 @@ query("lines_long_short", f"""WITH a AS ({_ADX_SQL}), b AS (SELECT *, ({_MEAN(3)
   CASE WHEN count(ADX_6) OVER (w ROWS 5 PRECEDING) = 6 THEN regr_slope(ADX_6, row_no) OVER (w ROWS 5 PRECEDING) END AS ADXSlop_6 FROM a WINDOW w AS (PARTITION BY {KEY} ORDER BY {DATE})),
 c AS (SELECT *, CASE WHEN row_number() OVER w >= 59 THEN avg(gap) OVER (w ROWS 9 PRECEDING) END AS DMA FROM b WINDOW w AS (PARTITION BY {KEY} ORDER BY {DATE}))
 SELECT {KEY}, {DATE}, {', '.join(f'{rounded(x)} AS {x}' for x in ('BBI', 'DMA', 'ADXSlop_6'))} FROM c""")(
-    lambda s, d: select(relative.long_short_lines(bars.panel(s, d, "lineitem"), ("BBI", "DMA", "ADXSlop_6")), {KEY: KEY, DATE: DATE, **{x: rounded(x) for x in ("BBI", "DMA", "ADXSlop_6")}})
+    lambda s, d: select(relative.long_short_lines(bars.panel(s, d, "lineitem"), ("BBI", "DMA", "ADXSlop_6")), {KEY: KEY, DATE: DATE, **{x: shown(x) for x in ("BBI", "DMA", "ADXSlop_6")}})
 )
 _EMA = lambda x, span: f"list_reduce(list({x}) FILTER (WHERE {x} IS NOT NULL) OVER (PARTITION BY {KEY} ORDER BY {DATE} ROWS UNBOUNDED PRECEDING), lambda a, v: v * 2.0 / ({span} + 1) + a * ({span} - 1.0) / ({span} + 1))"
 query("lines_macd", f"""WITH {bars.panel_sql()}, a AS (SELECT {KEY}, {DATE}, {_EMA('close', 12)} - {_EMA('close', 26)} AS DIF FROM panel), b AS (SELECT *, {_EMA('DIF', 9)} AS DEA FROM a)
 SELECT {KEY}, {DATE}, {rounded('DIF')} AS DIF, {rounded('DEA')} AS DEA, {rounded('2 * (DIF - DEA)')} AS MACD FROM b""")(
-    lambda s, d: select(relative.long_short_lines(bars.panel(s, d), ("DIF", "DEA", "MACD")), {KEY: KEY, DATE: DATE, **{x: rounded(x) for x in ("DIF", "DEA", "MACD")}})
+    lambda s, d: select(relative.long_short_lines(bars.panel(s, d), ("DIF", "DEA", "MACD")), {KEY: KEY, DATE: DATE, **{x: shown(x) for x in ("DIF", "DEA", "MACD")}})
 )
 
 # --- period metrics ----------------------------------------------------------------------------------------------
@@ -174,7 +174,7 @@ SELECT e.{KEY}, e.{period.END}, {rounded('HurstExponent')} AS HurstExponent FROM
 
 @query("period_hurst_5m", _HURST_SQL)
 def _hurst(spark, sf_dir):
-    return period.hurst(bars.panel(spark, sf_dir, "lineitem"), "5m").selectExpr(KEY, period.END, f"{rounded('HurstExponent')} AS HurstExponent")
+    return period.hurst(bars.panel(spark, sf_dir, "lineitem"), "5m").selectExpr(KEY, period.END, f"{shown('HurstExponent')} AS HurstExponent")
 
 
 # --- factor operators --------------------------------------------------------------------------------------------
@@ -224,7 +224,7 @@ for _name, _trees in FACTORS.items():
 
     def _run_factors(s, d, trees=_trees):
         plan, out = _factors(trees)
-        return plan.apply(_marked(s, d)).selectExpr(KEY, DATE, *(f"{rounded(c)} AS `{n}`" for n, c in out.items()))
+        return plan.apply(_marked(s, d)).selectExpr(KEY, DATE, *(f"{shown(c)} AS `{n}`" for n, c in out.items()))
 
     query(f"factor_{_name}", _sql)(_run_factors)
 
@@ -245,12 +245,12 @@ def _evaluated(spark, sf_dir):
 for _ranked in (False, True):
     _n = "rank_ic" if _ranked else "ic"
     _daily = evaluation.daily_ic_sql(_EVAL_BASE, "evaluated", _ranked)
-    query(f"eval_{_n}", f"SELECT {DATE}, floor(CAST(ic AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS ic, n FROM ({_daily})")(lambda s, d, r=_ranked: evaluation.daily_ic(_evaluated(s, d), r).selectExpr(DATE, "floor(CAST(ic AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS ic", "n"))
+    query(f"eval_{_n}", f"SELECT {DATE}, floor(CAST(ic AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS ic, n FROM ({_daily})")(lambda s, d, r=_ranked: evaluation.daily_ic(_evaluated(s, d), r).selectExpr(DATE, f"{shown('ic')} AS ic", "n"))
     _summary = ", ".join(f"floor(CAST({e} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}" if n != "n_dates" else f"{e} AS {n}" for n, e in evaluation.SUMMARY.items())
-    query(f"eval_{_n}_summary", f"SELECT {_summary} FROM ({_daily})")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr(*(f"floor(CAST({n} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}" if n != "n_dates" else n for n in evaluation.SUMMARY)))
-query("eval_turnover", evaluation.turnover_sql(_EVAL_BASE, "evaluated"))(lambda s, d: evaluation.turnover(_evaluated(s, d)).selectExpr(DATE, "floor(CAST(turnover AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS turnover"))
-query("eval_groups", evaluation.groups_sql(_EVAL_BASE, "evaluated", "groups"))(lambda s, d: evaluation.group_returns(_evaluated(s, d)).selectExpr("bucket", "floor(CAST(mean_return AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS mean_return", "n"))
-query("eval_long_short", evaluation.groups_sql(_EVAL_BASE, "evaluated", "spread"))(lambda s, d: evaluation.long_short(_evaluated(s, d)).selectExpr(DATE, "floor(CAST(spread AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS spread"))
+    query(f"eval_{_n}_summary", f"SELECT {_summary} FROM ({_daily})")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr(*(f"{shown(n)} AS {n}" if n != "n_dates" else n for n in evaluation.SUMMARY)))
+query("eval_turnover", evaluation.turnover_sql(_EVAL_BASE, "evaluated"))(lambda s, d: evaluation.turnover(_evaluated(s, d)).selectExpr(DATE, f"{shown('turnover')} AS turnover"))
+query("eval_groups", evaluation.groups_sql(_EVAL_BASE, "evaluated", "groups"))(lambda s, d: evaluation.group_returns(_evaluated(s, d)).selectExpr("bucket", f"{shown('mean_return')} AS mean_return", "n"))
+query("eval_long_short", evaluation.groups_sql(_EVAL_BASE, "evaluated", "spread"))(lambda s, d: evaluation.long_short(_evaluated(s, d)).selectExpr(DATE, f"{shown('spread')} AS spread"))
 
 
 _GROUPS = evaluation.groups_sql(_EVAL_BASE, "evaluated", "groups")
@@ -259,17 +259,17 @@ query("eval_monotonic", f"SELECT coalesce(bool_and(up), true) OR coalesce(bool_a
 )
 _SPREAD = evaluation.groups_sql(_EVAL_BASE, "evaluated", "raw")
 query("eval_long_short_summary", f"SELECT {significant('(product(1 + spread) - 1)')} AS total_return, {rounded('avg(spread)', 5)} AS mean, {rounded('stddev_samp(spread)', 5)} AS std, {rounded('(avg(spread) / nullif(stddev_samp(spread), 0) * sqrt(252))', 4)} AS sharpe FROM ({_SPREAD})")(
-    lambda s, d: evaluation.long_short_summary(evaluation.long_short(_evaluated(s, d))).selectExpr(f"{significant('total_return')} AS total_return", *(f"{rounded(c, k)} AS {c}" for c, k in (("mean", 5), ("std", 5), ("sharpe", 4))))
+    lambda s, d: evaluation.long_short_summary(evaluation.long_short(_evaluated(s, d))).selectExpr(f"{significant('total_return')} AS total_return", *(f"{shown(c, k)} AS {c}" for c, k in (("mean", 5), ("std", 5), ("sharpe", 4))))
 )
 for _ranked in (False, True):
     _n = "rank_ic" if _ranked else "ic"
     _daily = evaluation.daily_ic_sql(_EVAL_BASE, "evaluated", _ranked)
     _summary = f"SELECT {', '.join(f'{evaluation.SUMMARY[c]} AS {c}' for c in ('t_stat', 'n_dates'))} FROM ({_daily})"
-    query(f"eval_{_n}_p_value", f"SELECT n_dates, {rounded('t_stat')} AS t_stat, {rounded(two_sided_p_sql('t_stat', 'n_dates'))} AS p_value FROM ({_summary})")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr("n_dates", f"{rounded('t_stat')} AS t_stat", f"{rounded('p_value')} AS p_value"))
+    query(f"eval_{_n}_p_value", f"SELECT n_dates, {rounded('t_stat')} AS t_stat, {rounded(two_sided_p_sql('t_stat', 'n_dates'))} AS p_value FROM ({_summary})")(lambda s, d, r=_ranked: evaluation.ic_summary(evaluation.daily_ic(_evaluated(s, d), r)).selectExpr("n_dates", f"{shown('t_stat')} AS t_stat", f"{shown('p_value')} AS p_value"))
 
 
 query("eval_forward_log", f"WITH {bars.panel_sql()}, n AS (SELECT {KEY}, {DATE}, close, lead(close) OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS later FROM panel) SELECT {KEY}, {DATE}, CASE WHEN close > 0 AND later > 0 THEN {rounded('ln(later) - ln(close)')} END AS forward FROM n")(
-    lambda s, d: bars.panel(s, d).selectExpr(KEY, DATE, f"{evaluation.forward_returns('log')} AS f").selectExpr(KEY, DATE, f"{rounded('f')} AS forward")
+    lambda s, d: bars.panel(s, d).selectExpr(KEY, DATE, f"{evaluation.forward_returns('log')} AS f").selectExpr(KEY, DATE, f"{shown('f')} AS forward")
 )
 
 
@@ -298,7 +298,7 @@ def _report_numbers(spark, sf_dir):
     got = evaluation.report_numbers(_evaluated(spark, sf_dir))
     row = {f"{n}_{c}": v for n in ("ic", "rank_ic") for c, v in got[n].items()} | {"turnover": got["turnover"]["mean_turnover"], "monotonic": got["groups"]["monotonic"], **got["long_short"]}
     kinds = ", ".join(f"{c} {'long' if c.endswith('n_dates') else 'boolean' if c == 'monotonic' else 'double'}" for c in row)
-    return spark.createDataFrame([tuple(row.values())], kinds).selectExpr(*(f"{rounded(c, k)} AS {c}" for c, k in _LINE.items()), f"{significant('total_return')} AS total_return", "ic_n_dates", "rank_ic_n_dates", "monotonic")
+    return spark.createDataFrame([tuple(row.values())], kinds).selectExpr(*(f"{shown(c, k)} AS {c}" for c, k in _LINE.items()), f"{significant('total_return')} AS total_return", "ic_n_dates", "rank_ic_n_dates", "monotonic")
 
 
 # --- feature preparation and portfolios --------------------------------------------------------------------------
@@ -309,7 +309,7 @@ _TRAIN_END, _PREPARED = "2024-01-20", ("vol", "log_return")
 def _prepared(spark, sf_dir):
     rows = bars.panel(spark, sf_dir).select(KEY, DATE, "close", *_PREPARED)
     train, test = modelling.prepare(rows, list(_PREPARED), 3, 0.0, _TRAIN_END, "2024-01-21", "2024-01-30", fill="median")
-    return train.unionByName(test).selectExpr(KEY, DATE, "label", *(f"{rounded(c)} AS {c}" for c in _PREPARED))
+    return train.unionByName(test).selectExpr(KEY, DATE, "label", *(f"{shown(c)} AS {c}" for c in _PREPARED))
 
 
 def _prepared_sql() -> str:
@@ -337,7 +337,7 @@ SELECT {KEY}, {DATE}, CASE WHEN early THEN 'train' ELSE 'test' END AS part, {rou
 def _sequence(spark, sf_dir):
     train, test = modelling.prepare_sequence(bars.panel(spark, sf_dir), ["vol", "log_return"])
     part = F.lit("train").alias("part"), F.lit("test").alias("part")
-    return train.select("*", part[0]).unionByName(test.select("*", part[1])).selectExpr(KEY, DATE, "part", *(f"{rounded(c)} AS {c}" for c in ("close", "vol", "log_return")))
+    return train.select("*", part[0]).unionByName(test.select("*", part[1])).selectExpr(KEY, DATE, "part", *(f"{shown(c)} AS {c}" for c in ("close", "vol", "log_return")))
 
 
 @query("features_cross")
@@ -356,7 +356,7 @@ def _merged(spark, sf_dir):
     return select(rows, _columns(["close", *(f"{m}_{w}" for w in _PAIRS[1] for m in _PAIRS[0])]))
 
 
-query("portfolio_max_sharpe")(lambda s, d: portfolio.max_sharpe(bars.panel(s, d), 2000).selectExpr(KEY, f"{rounded('weight')} AS weight", f"{rounded('sharpe', 4)} AS sharpe"))
+query("portfolio_max_sharpe")(lambda s, d: portfolio.max_sharpe(bars.panel(s, d), 2000).selectExpr(KEY, f"{shown('weight')} AS weight", f"{shown('sharpe', 4)} AS sharpe"))
 
 
 def _portfolios(spark, sf_dir):
@@ -365,14 +365,14 @@ def _portfolios(spark, sf_dir):
     return p.selectExpr("*", "coalesce(log_return, 0D) AS action", "0D AS cash_action")
 
 
-query("portfolio_replay")(lambda s, d: portfolio.replay_weights(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{rounded('value', 4)} AS value"))
+query("portfolio_replay")(lambda s, d: portfolio.replay_weights(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{shown('value', 4)} AS value"))
 _BUCKET_SQL = f"'P' || (substr({KEY}, 2)::INT % 3)"
 _ALLOCATED_SQL = f"""WITH {bars.panel_sql()},
 a AS (SELECT {_BUCKET_SQL} AS portfolio, {KEY}, {DATE}, coalesce(log_return, 0) AS r, lag(coalesce(log_return, 0)) OVER (PARTITION BY {KEY} ORDER BY {DATE}) AS w FROM panel),
 g AS (SELECT portfolio, {DATE}, CASE WHEN any_value(w) IS NULL THEN avg(r) ELSE sum(w * r) END AS gain FROM a GROUP BY ALL),
 l AS (SELECT *, exp(sum(gain) OVER d) AS value, CASE WHEN row_number() OVER d >= 22 THEN 0.1 * stddev_pop(gain) OVER (d ROWS 21 PRECEDING) ELSE 0 END AS cost FROM g WINDOW d AS (PARTITION BY portfolio ORDER BY {DATE}))
 SELECT portfolio, {DATE}, {significant('value')} AS value, {rounded('(gain - cost)')} AS reward FROM l"""
-query("portfolio_allocations", _ALLOCATED_SQL)(lambda s, d: portfolio.replay_allocations(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{significant('value')} AS value", f"{rounded('reward')} AS reward"))
+query("portfolio_allocations", _ALLOCATED_SQL)(lambda s, d: portfolio.replay_allocations(_portfolios(s, d)).selectExpr("portfolio", DATE, f"{significant('value')} AS value", f"{shown('reward')} AS reward"))
 
 # --- screens, preparation, features, stocks ----------------------------------------------------------------------
 

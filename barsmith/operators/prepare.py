@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
-from barsmith.plans.staged import rounded
+from barsmith.plans.staged import rounded, shown
 from barsmith.sources import bars as source
 from barsmith.sources import stored
 
@@ -274,45 +274,46 @@ def pipeline(bars: DataFrame, start: str | None = None) -> DataFrame:
 # --- queries -----------------------------------------------------------------------------------------------------
 
 _R = lambda c, n=6: f"{rounded(c, n)} AS {c}"
+_S = lambda c, n=6: f"{shown(c, n)} AS {c}"
 
 
 def _duplicated(s, d):
     """Events as raw ticks of one code and day, of which the last counts."""
     e = s.read.parquet(f"{d}/events.parquet")
     rows = e.selectExpr(f"concat('U', lpad(cast(user_id as string), 6, '0')) AS {KEY}", f"to_date(ts) AS {DATE}", "value AS close", "struct(ts, event_id) AS seq")
-    return keep_last(drop_null_keys(rows), "seq").selectExpr(KEY, DATE, _R("close"))
+    return keep_last(drop_null_keys(rows), "seq").selectExpr(KEY, DATE, _S("close"))
 
 
 def _filled(s, d):
-    return fill_panel(source.panel(s, d)).selectExpr(KEY, DATE, *(_R(c) for c in ("close", "vol", "log_return")))
+    return fill_panel(source.panel(s, d)).selectExpr(KEY, DATE, *(_S(c) for c in ("close", "vol", "log_return")))
 
 
 def _winsorized(s, d):
-    return winsorize(source.panel(s, d), ["vol", "amount", "log_return"]).selectExpr(KEY, DATE, *(_R(c) for c in ("vol", "amount", "log_return")))
+    return winsorize(source.panel(s, d), ["vol", "amount", "log_return"]).selectExpr(KEY, DATE, *(_S(c) for c in ("vol", "amount", "log_return")))
 
 
 def _upserted(s, d):
     b = source.events_bars(s, d)
     old, new = b.where(F.col(DATE) <= "2024-01-20"), b.where(F.col(DATE) >= "2024-01-15").withColumn("close", F.col("close") + 1)
-    return source.upsert(old, new).selectExpr(KEY, DATE, _R("close"))
+    return source.upsert(old, new).selectExpr(KEY, DATE, _S("close"))
 
 
 def _optimised(s, d, method):
     days = source.trading_days(s.read.parquet(f"{d}/lineitem.parquet").select(F.to_date("l_shipdate").alias(DATE)))
-    return optimised_benchmark(source.panel(s, d, "lineitem"), method, days=days).selectExpr(DATE, _R("benchmark", 6))
+    return optimised_benchmark(source.panel(s, d, "lineitem"), method, days=days).selectExpr(DATE, _S("benchmark", 6))
 
 
 def _members(s, d):
     """Bars up to a day, without zero closes, of the codes that are traded enough."""
     b = source.events_bars(s, d)
-    return keep_codes(until(drop_zero_close(b), "2024-01-25"), liquid_codes(b, 20)).selectExpr(KEY, DATE, _R("close"))
+    return keep_codes(until(drop_zero_close(b), "2024-01-25"), liquid_codes(b, 20)).selectExpr(KEY, DATE, _S("close"))
 
 
 def _coerced(s, d):
     """Orders as a vendor's table: other names, numbers as text of which some are none, days as text."""
     raw = s.read.parquet(f"{d}/orders.parquet").selectExpr("concat('C', o_custkey % 50) AS symbol", "cast(to_date(o_orderdate) as string) AS day", "CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 11 = 0 THEN 'NaN' ELSE cast(o_totalprice as string) END AS price", "CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE cast(o_orderkey as string) END AS number", "cast(null as string) AS nothing")
     made = source.normalise(raw, {"symbol": KEY, "day": DATE, "price": "close", "number": "vol"})
-    return drop_empty_columns(made).selectExpr(KEY, DATE, _R("close"), _R("vol"))
+    return drop_empty_columns(made).selectExpr(KEY, DATE, _S("close"), _S("vol"))
 
 
 def _fetch_plan(s, d):
@@ -353,20 +354,20 @@ best AS (SELECT end_no, until, w1 / (w1 + w2 + w3) AS w1, w2 / (w1 + w2 + w3) AS
 _FAR = f"PARTITION BY {KEY} ORDER BY {DATE}"
 QUERIES = {
     "prep_keep_last": (_duplicated, f"WITH t AS (SELECT 'U' || lpad(user_id::VARCHAR, 6, '0') AS {KEY}, ts::DATE AS {DATE}, value, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT {KEY}, {DATE}, floor(CAST(value AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM t WHERE k = 1 AND {KEY} IS NOT NULL"),
-    "prep_min_history": (lambda s, d: min_history(source.events_bars(s, d), 27).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars QUALIFY count(*) OVER (PARTITION BY {KEY}) >= 27"),
+    "prep_min_history": (lambda s, d: min_history(source.events_bars(s, d), 27).selectExpr(KEY, DATE, _S("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars QUALIFY count(*) OVER (PARTITION BY {KEY}) >= 27"),
     "prep_liquid": (lambda s, d: liquid_codes(source.events_bars(s, d), 20), f"WITH {source.EVENTS_BARS}, r AS (SELECT * FROM bars WHERE {DATE} >= (SELECT max({DATE}) FROM bars) - 20), c AS (SELECT {KEY}, count(DISTINCT {DATE}) AS n, avg(amount) AS m FROM r GROUP BY 1) SELECT {KEY} FROM c WHERE n >= (SELECT max(n) FROM c) * 0.9 AND m > (SELECT quantile_cont(m, 0.25) FROM c)"),
     "prep_filled": (_filled, f"WITH {_P}, f AS (SELECT {KEY}, {DATE}, last_value(close IGNORE NULLS) OVER ({_FAR} ROWS UNBOUNDED PRECEDING) AS close, last_value(vol IGNORE NULLS) OVER ({_FAR} ROWS UNBOUNDED PRECEDING) AS vol, CASE WHEN count(log_return) OVER ({_FAR} ROWS UNBOUNDED PRECEDING) > 0 THEN coalesce(log_return, 0e0) END AS log_return FROM panel) SELECT {KEY}, {DATE}, {', '.join(_R(c) for c in ('close', 'vol', 'log_return'))} FROM f"),
     "prep_winsorized": (_winsorized, f"WITH {_P}, f AS (SELECT {KEY}, {DATE}, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, quantile_cont({c}, 0.99) OVER (PARTITION BY {DATE})), quantile_cont({c}, 0.01) OVER (PARTITION BY {DATE})) END AS {c}' for c in ('vol', 'amount', 'log_return'))} FROM panel) SELECT {KEY}, {DATE}, {', '.join(_R(c) for c in ('vol', 'amount', 'log_return'))} FROM f"),
-    "prep_survivors": (lambda s, d: survivors(source.lineitem_bars(s, d)).selectExpr(KEY, DATE, _R("close")), f"WITH {source.LINEITEM_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars WHERE {KEY} IN (SELECT {KEY} FROM bars GROUP BY 1 HAVING max({DATE}) >= (SELECT max({DATE}) FROM bars) - 10)"),
-    "prep_common_start": (lambda s, d: common_start(source.events_bars(s, d)).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars WHERE {DATE} >= (SELECT max(f) FROM (SELECT min({DATE}) AS f FROM bars WHERE close IS NOT NULL GROUP BY {KEY}))"),
+    "prep_survivors": (lambda s, d: survivors(source.lineitem_bars(s, d)).selectExpr(KEY, DATE, _S("close")), f"WITH {source.LINEITEM_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars WHERE {KEY} IN (SELECT {KEY} FROM bars GROUP BY 1 HAVING max({DATE}) >= (SELECT max({DATE}) FROM bars) - 10)"),
+    "prep_common_start": (lambda s, d: common_start(source.events_bars(s, d)).selectExpr(KEY, DATE, _S("close")), f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(close AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars WHERE {DATE} >= (SELECT max(f) FROM (SELECT min({DATE}) AS f FROM bars WHERE close IS NOT NULL GROUP BY {KEY}))"),
     "prep_upsert": (_upserted, f"WITH {source.EVENTS_BARS} SELECT {KEY}, {DATE}, floor(CAST(CASE WHEN {DATE} >= DATE '2024-01-15' THEN close + 1 ELSE close END AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM bars"),
-    "prep_expand_daily": (lambda s, d: expand_daily(source.events_bars(s, d).select(KEY, DATE, "close")).selectExpr(KEY, DATE, _R("close")), f"WITH {source.EVENTS_BARS}, days AS (SELECT {KEY}, unnest(generate_series(min({DATE}), max({DATE}), INTERVAL 1 DAY))::DATE AS {DATE} FROM bars GROUP BY {KEY}) SELECT d.{KEY}, d.{DATE}, floor(CAST(last_value(b.close IGNORE NULLS) OVER (PARTITION BY d.{KEY} ORDER BY d.{DATE} ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM days d LEFT JOIN bars b ON b.{KEY} = d.{KEY} AND b.{DATE} = d.{DATE}"),
-    "benchmark_ew": (lambda s, d: equal_weight_benchmark(source.panel(s, d)).selectExpr(DATE, _R("benchmark", 6)), f"WITH {_P} SELECT {DATE}, floor(CAST(sum(log_return) / (SELECT count(DISTINCT {KEY}) FROM panel) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS benchmark FROM panel GROUP BY {DATE}"),
+    "prep_expand_daily": (lambda s, d: expand_daily(source.events_bars(s, d).select(KEY, DATE, "close")).selectExpr(KEY, DATE, _S("close")), f"WITH {source.EVENTS_BARS}, days AS (SELECT {KEY}, unnest(generate_series(min({DATE}), max({DATE}), INTERVAL 1 DAY))::DATE AS {DATE} FROM bars GROUP BY {KEY}) SELECT d.{KEY}, d.{DATE}, floor(CAST(last_value(b.close IGNORE NULLS) OVER (PARTITION BY d.{KEY} ORDER BY d.{DATE} ROWS UNBOUNDED PRECEDING) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS close FROM days d LEFT JOIN bars b ON b.{KEY} = d.{KEY} AND b.{DATE} = d.{DATE}"),
+    "benchmark_ew": (lambda s, d: equal_weight_benchmark(source.panel(s, d)).selectExpr(DATE, _S("benchmark", 6)), f"WITH {_P} SELECT {DATE}, floor(CAST(sum(log_return) / (SELECT count(DISTINCT {KEY}) FROM panel) AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS benchmark FROM panel GROUP BY {DATE}"),
     "benchmark_min_var": (lambda s, d: _optimised(s, d, "min_var"), _MIN_VAR_SQL),
     "benchmark_erc": (lambda s, d: _optimised(s, d, "erc"), _ERC_SQL),
     "prep_fetch_plan": (_fetch_plan, f"WITH {source.EVENTS_BARS}, b AS (SELECT *, substr({KEY}, 2)::INT % 3 AS k FROM bars), h AS (SELECT {KEY}, max(CASE WHEN k = 0 OR (k = 1 AND {DATE} <= DATE '2024-01-20') THEN {DATE} END) AS l FROM b GROUP BY 1) SELECT {KEY}, CASE WHEN l IS NULL THEN 'full' WHEN l >= DATE '2024-01-28' THEN 'skip' ELSE 'incremental' END AS what, CASE WHEN l IS NULL THEN DATE '2024-01-05' WHEN l < DATE '2024-01-28' THEN greatest(DATE '2024-01-05', l - 5) END AS since FROM h"),
     "prep_members": (_members, f"WITH {source.EVENTS_BARS}, r AS (SELECT * FROM bars WHERE {DATE} >= (SELECT max({DATE}) FROM bars) - 20), c AS (SELECT {KEY}, count(DISTINCT {DATE}) AS n, avg(amount) AS m FROM r GROUP BY 1), k AS (SELECT {KEY} FROM c WHERE n >= (SELECT max(n) FROM c) * 0.9 AND m > (SELECT quantile_cont(m, 0.25) FROM c)) SELECT {KEY}, {DATE}, {_R('close')} FROM bars SEMI JOIN k USING ({KEY}) WHERE close <> 0 AND {DATE} <= DATE '2024-01-25'"),
     "prep_coerced": (_coerced, f"SELECT 'C' || (o_custkey % 50) AS {KEY}, o_orderdate::DATE AS {DATE}, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN {rounded('o_totalprice')} END AS close, CASE WHEN o_orderkey % 13 <> 0 THEN {rounded('o_orderkey')} END AS vol FROM orders"),
-    "prep_pipeline": (lambda s, d: pipeline(source.events_bars(s, d)).selectExpr(KEY, DATE, *(_R(c) for c in ("close", "vol", "amount", "log_return"))), _PIPELINE_SQL),
-    "prep_interpolate": (lambda s, d: interpolate(source.densify(source.events_bars(s, d).select(KEY, DATE, "close"))).selectExpr(KEY, DATE, _R("close")), _LINE_SQL),
+    "prep_pipeline": (lambda s, d: pipeline(source.events_bars(s, d)).selectExpr(KEY, DATE, *(_S(c) for c in ("close", "vol", "amount", "log_return"))), _PIPELINE_SQL),
+    "prep_interpolate": (lambda s, d: interpolate(source.densify(source.events_bars(s, d).select(KEY, DATE, "close"))).selectExpr(KEY, DATE, _S("close")), _LINE_SQL),
 }

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from barsmith.functions.dialect import BY_CODE, DATE, KEY, rows
-from barsmith.plans.staged import Stage, apply, to_sql
+from barsmith.plans.staged import Stage, apply, shown, to_sql
 from barsmith.sources import bars as source
 
 A_RULES = {"long": 60, "fall": 30, "shorts": (5, 10), "cross_within": 3, "require_all": True, "confirm_rows": 10, "confirm_ma": 20, "confirm_price": "high", "use_falling": True, "use_cross": True, "use_confirm": True, "use_volume": False, "eps": 0e0}
@@ -236,5 +236,5 @@ QUERIES = {
     **{f"screen_{n}": _screen_query("events", tuple(a | b for a, b in zip(SHORT, r))) for n, r in VARIANTS.items()},
     "screen_loose_cross": _screen_query("events", SHORT, strict=False),
     "screen_summary": (lambda s, d: summary(points(source.events_bars(s, d), *SHORT)), _SUMMARY_SQL),
-    "screen_atr": (lambda s, d: apply(source.events_bars(s, d), _ATR).selectExpr(KEY, DATE, "floor(CAST(true_range AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS true_range", "floor(CAST(atr AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS atr"), to_sql(source.EVENTS_BARS, "bars", _ATR, {KEY: KEY, DATE: DATE, "true_range": "floor(CAST(true_range AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE)", "atr": "floor(CAST(atr AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE)"})),
+    "screen_atr": (lambda s, d: apply(source.events_bars(s, d), _ATR).selectExpr(KEY, DATE, f"{shown('true_range')} AS true_range", f"{shown('atr')} AS atr"), to_sql(source.EVENTS_BARS, "bars", _ATR, {KEY: KEY, DATE: DATE, "true_range": "floor(CAST(true_range AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE)", "atr": "floor(CAST(atr AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE)"})),
 }

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barsmith.plans.staged import rounded
+from barsmith.plans.staged import rounded, shown
 
 SORTABLE = ("symbol", "name", "market", "industry")
 
@@ -80,7 +80,7 @@ _LIST = "stocks AS (SELECT lpad(s_suppkey::VARCHAR, 6, '0') AS symbol, s_name AS
 def _bounded(spark, sf_dir: str) -> DataFrame:
     """Names that the bounds let through, and their number of all: the exact ratio sees no others."""
     rows = supplier_list(spark, sf_dir).select("symbol", "name", likeness_bound(F.col("name"), "suplier#000000001").alias("bound"))
-    return rows.selectExpr("symbol", f"{rounded('bound')} AS bound", "bound >= 0.9 AS open")
+    return rows.selectExpr("symbol", f"{shown('bound')} AS bound", "bound >= 0.9 AS open")
 
 
 _COMMON = " + ".join(f"least(len(lower(name)) - len(replace(lower(name), '{c}', '')), {'suplier#000000001'.count(c)})" for c in sorted(set("suplier#000000001")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barsmith.functions.dialect import DATE, KEY
 from barsmith.operators import rolling
 from barsmith.plans import selection
-from barsmith.plans.staged import rounded, select, significant, to_sql
+from barsmith.plans.staged import rounded, select, shown, significant, to_sql
 from barsmith.sources import bars as source
 
 _TIME = f"PARTITION BY {KEY} ORDER BY {DATE}"
@@ -147,15 +147,17 @@ def replay(actions: DataFrame, cash: float = 10_000.0, fee: float = 0.001, slipp
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(DATE)
         money, shares, equity = cash, 0.0, []
+        # one factor each: what a purchase of all leaves by rounding counts where a price falls to 0
+        bought, sold = (1 + slippage) * (1 + fee), (1 - slippage) * (1 - fee)
         for price, share in zip(pdf["close"].to_numpy(float), pdf["action"].to_numpy(float)):
             if price == price and price > 0 and share == share:
                 wealth = money + shares * price
                 change = share * wealth / price - shares
                 if change > 0:
                     change = min(change, money / (price * (1 + slippage) * (1 + fee)))
-                    money -= change * price * (1 + slippage) * (1 + fee)
+                    money -= change * price * bought
                 else:
-                    money -= change * price * (1 - slippage) * (1 - fee)
+                    money -= change * price * sold
                 shares += change
             equity.append(money + shares * price if price == price else (equity[-1] if equity else cash))
         return pd.DataFrame({KEY: pdf[KEY].values, DATE: pdf[DATE].values, "equity": equity})
@@ -163,11 +165,18 @@ def replay(actions: DataFrame, cash: float = 10_000.0, fee: float = 0.001, slipp
     return actions.select(KEY, DATE, "close", "action").groupBy(KEY).applyInPandas(each, f"{KEY} string, {DATE} date, equity double")
 
 
+#: Sample deviation of x over a code's days in their order (Welford's recursion).  Where a price falls to 0, returns of what is
+#: left reach 1e15, and the last digit of the built-in deviation depends on how partial results are merged.
+_SPREAD = f"""aggregate(filter(transform(sort_array(collect_list(struct({DATE}, r))), x -> x.r), x -> x IS NOT NULL), named_struct('n', 0D, 'mean', 0D, 'm2', 0D),
+  (a, x) -> named_struct('n', a.n + 1, 'mean', a.mean + (x - a.mean) / (a.n + 1), 'm2', a.m2 + (x - (a.mean + (x - a.mean) / (a.n + 1))) * (x - a.mean)), a -> CASE WHEN a.n > 1 THEN sqrt(a.m2 / (a.n - 1)) END)"""
+
+
 def episode_stats(equity: DataFrame, periods: int = 252) -> DataFrame:
     """(ts_code, total_return, volatility, sharpe) of replayed equity."""
     r = equity.selectExpr(KEY, DATE, "equity", f"equity / nullif(lag(equity) OVER ({_TIME}), 0) - 1 AS r")
     root = periods**0.5
-    return r.groupBy(KEY).agg((F.max_by("equity", DATE) / F.min_by("equity", DATE) - 1).alias("total_return"), (F.stddev_samp("r") * root).alias("volatility"), F.expr(f"avg(r) / nullif(stddev_samp(r), 0) * {root}").alias("sharpe"))
+    by = r.groupBy(KEY).agg((F.max_by("equity", DATE) / F.min_by("equity", DATE) - 1).alias("total_return"), F.expr(_SPREAD).alias("sd"), F.avg("r").alias("mean"))
+    return by.select(KEY, "total_return", (F.col("sd") * root).alias("volatility"), F.expr(f"mean / nullif(sd, 0) * {root}").alias("sharpe"))
 
 
 def optimal_threshold(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -196,7 +205,7 @@ _LABELS = {"future": future_log_return(3), "next_volatility": future_volatility(
 
 def _labels(s, d):
     rows = source.panel(s, d).selectExpr(KEY, DATE, *(f"{e} AS {n}" for n, e in _LABELS.items()))
-    return rows.selectExpr(KEY, DATE, *(f"floor(CAST({n} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}" for n in _LABELS), f"{label('future')} AS label", f"{label('future', 0.2, 3)} AS label3")
+    return rows.selectExpr(KEY, DATE, *(f"{shown(n)} AS {n}" for n in _LABELS), f"{label('future')} AS label", f"{label('future', 0.2, 3)} AS label3")
 
 
 _LABELS_SQL = f"WITH {source.panel_sql()}, l AS (SELECT {KEY}, {DATE}, {', '.join(f'{e} AS {n}' for n, e in _LABELS.items())} FROM panel) SELECT {KEY}, {DATE}, {', '.join(f'floor(CAST({n} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {n}' for n in _LABELS)}, {label('future')} AS label, {label('future', 0.2, 3)} AS label3 FROM l"
@@ -204,7 +213,7 @@ _LABELS_SQL = f"WITH {source.panel_sql()}, l AS (SELECT {KEY}, {DATE}, {', '.joi
 
 def _scaled(s, d):
     cols = ["close", "vol", "log_return"]
-    return scale(impute(source.panel(s, d), cols), cols).selectExpr(KEY, DATE, *(f"floor(CAST({c} AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS {c}" for c in cols))
+    return scale(impute(source.panel(s, d), cols), cols).selectExpr(KEY, DATE, *(f"{shown(c)} AS {c}" for c in cols))
 
 
 _SCALED_SQL = f"""WITH {source.panel_sql()}, i AS (SELECT {KEY}, {DATE}, {', '.join(f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM panel)) AS {c}' for c in ('close', 'vol', 'log_return'))} FROM panel)
@@ -229,7 +238,7 @@ def _model(s, d):
 
 def _replayed(s, d):
     p = source.panel(s, d).selectExpr(KEY, DATE, "close", "CASE WHEN log_return > 0 THEN 1e0 WHEN log_return <= 0 THEN 0e0 END AS action")
-    return episode_stats(replay(p)).selectExpr(KEY, "floor(CAST(total_return AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS total_return", "floor(CAST(volatility AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS volatility", "floor(CAST(sharpe AS DOUBLE) * 1000000 + 0.500001) / CAST(1000000 AS DOUBLE) AS sharpe")
+    return episode_stats(replay(p)).selectExpr(KEY, f"{shown('total_return')} AS total_return", f"{shown('volatility')} AS volatility", f"{shown('sharpe')} AS sharpe")
 
 
 #: The replay as a recursion over a code's rows.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barsmith.functions.dialect import DATE, KEY
-from barsmith.plans.staged import rounded, significant
+from barsmith.plans.staged import rounded, shown, significant
 from barsmith.sources import bars as source
 
 #: Where orders are filled: columns of the price to buy and to sell at, and whether it slips.
@@ -94,7 +94,7 @@ def replay_orders(orders: DataFrame, fill: str = "close", reward: str = "pnl", c
 def _orders(s, d):
     """Bought after a rise, sold after a fall."""
     p = source.panel(s, d).selectExpr("*", "CASE WHEN log_return > 0 THEN 1 WHEN log_return < 0 THEN -1 ELSE 0 END AS order")
-    return replay_orders(p).selectExpr(KEY, DATE, f"{significant('value')} AS value", "CAST(held AS INT) AS held", "executed", f"{rounded('reward', 5)} AS reward")
+    return replay_orders(p).selectExpr(KEY, DATE, f"{significant('value')} AS value", "CAST(held AS INT) AS held", "executed", f"{shown('reward', 5)} AS reward")
 
 
 #: The same as a recursion over a code's rows.

@@ -64,6 +64,12 @@ def rounded(x: str, digits: int = 6) -> str:
     return f"floor(CAST({x} AS DOUBLE) * {10**digits} + 0.500001) / CAST({10**digits} AS DOUBLE)"
 
 
+def shown(x: str, digits: int = 6) -> str:
+    """``rounded`` in Spark, whose floor is a long: a number too large for one is whole already."""
+    y = f"(CAST({x} AS DOUBLE) * {10**digits} + 0.500001)"
+    return f"CASE WHEN abs({y}) < 9e15 THEN CAST(floor({y}) AS DOUBLE) ELSE {y} END / CAST({10**digits} AS DOUBLE)"
+
+
 def significant(x: str, digits: int = 6) -> str:
     """As rounded below 1, from 1 on to so many digits in all, from 1e15 on the logarithm: for columns whose sizes differ widely."""
     x = f"CAST({x} AS DOUBLE)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barsmith.operators import factor, prepare, relative, rolling
 from barsmith.plans import expression, features, modelling, orders, portfolio
+from barsmith.plans.staged import shown
 from barsmith.sources import bars as source
 
 FIRST = dt.date(2020, 1, 1)
@@ -278,3 +279,31 @@ def test_a_plan_gathers_its_statistics_at_once(panel):
     whole = [name for kind, name, _ in plan.steps if kind == "whole"]
     text = plan.apply(panel)._jdf.queryExecution().analyzed().toString()
     assert len(whole) == 6 and text.count("Aggregate") == 1
+
+
+def test_rounding_of_numbers_beyond_a_long(spark):
+    """Spark's floor is a long, the checking engine's a double: a number beyond 9.2e12 stays itself."""
+    values = [2392089766029732.0, -5e14, 1e300, 9.3e12, 0.1234567, -0.0000004, 12345678.1234565]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").selectExpr(shown("x")).collect()]
+    assert got == [math.floor(v * 10**6 + 0.500001) / 10**6 for v in values]
+
+
+def test_replay_of_a_price_that_falls_to_nothing(spark):
+    """What a purchase of all leaves by rounding is all there is on a day at 0: it is one product with the whole cost, and deviations add up day by day."""
+    price, action, n = [3.7, 0.0, 5.1, 0.3, 11.9, 0.0, 2.2], [1.0, 1.0, 0.0, 1.0, 1.0, 1.0, 0.0], 7
+    rows = spark.createDataFrame([("A", dt.date(2024, 1, 1 + i), price[i], action[i]) for i in range(n)], "ts_code string, trade_date date, close double, action double")
+    money, shares, equity = 10_000.0, 0.0, []
+    for p, a in zip(price, action):
+        if p > 0:
+            step = a * (money + shares * p) / p - shares
+            step = min(step, money / (p * 1.0005 * 1.001)) if step > 0 else step
+            money, shares = money - step * p * (1.0015005 if step > 0 else 0.9985005), shares + step
+        equity.append(money + shares * p)
+    done = features.replay(rows)
+    assert [r["equity"] for r in done.orderBy("trade_date").collect()] == equity
+    r = [b / a - 1 for a, b in zip(equity, equity[1:]) if a != 0]
+    mean = m2 = 0.0
+    for k, x in enumerate(r, 1):
+        new = mean + (x - mean) / k
+        m2, mean = m2 + (x - new) * (x - mean), new
+    assert features.episode_stats(done).first()["volatility"] == math.sqrt(m2 / (len(r) - 1)) * math.sqrt(252)
