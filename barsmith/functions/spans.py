@@ -222,6 +222,50 @@ class Series:
         return [np.where(n > 0, v.astype(float), np.nan) for v in (sii - si * si / k, self.central(lo, hi)[0], xy)]
 
 
+def plain_line(r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Sums of squares and products about the means of row numbers and running sums of known values (xx, yy, xy), spans side by
+    side and each from its own first row on: no digits are lost to rows outside.  As many steps as the longest span has rows."""
+    n, run, mx, my, xx, yy, xy = (np.zeros(len(lo)) for _ in range(7))
+    for j in range(int((hi - lo).max(initial=0))):
+        x = r[np.minimum(lo + j, len(r) - 1)]
+        live = (lo + j < hi) & ~np.isnan(x)
+        n, run = n + live, np.where(live, run + np.where(live, x, 0), run)
+        dx, dy = np.where(live, j - mx, 0), np.where(live, run - my, 0)
+        mx, my = mx + dx / np.maximum(n, 1), my + dy / np.maximum(n, 1)
+        xx, yy, xy = xx + np.where(live, dx * (j - mx), 0), yy + np.where(live, dy * (run - my), 0), xy + np.where(live, dx * (run - my), 0)
+    k = np.maximum(n, 1)
+    return [v / k * n for v in (xx, yy, xy)]
+
+
+def plain_moments(r: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Sums of the 2nd to 4th powers of known values' deviations from a span's own mean, side by side like ``plain_line``."""
+    def each():
+        for j in range(int((hi - lo).max(initial=0))):
+            x = r[np.minimum(lo + j, len(r) - 1)]
+            yield (lo + j < hi) & ~np.isnan(x), x
+
+    n, total = np.zeros(len(lo)), np.zeros(len(lo))
+    for live, x in each():
+        n, total = n + live, total + np.where(live, x, 0)
+    mean, out = total / np.maximum(n, 1), [np.zeros(len(lo)) for _ in range(3)]
+    for live, x in each():
+        d = np.where(live, x - mean, 0)
+        out = [s + p for s, p in zip(out, (d * d, d * d * d, d * d * d * d))]
+    return out
+
+
+def plain_falls(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Sum of squared falls from the highest value so far in a span, side by side like ``plain_line``; gaps have not fallen."""
+    peak, out = np.full(len(lo), -np.inf), np.zeros(len(lo))
+    for j in range(int((hi - lo).max(initial=0))):
+        x = c[np.minimum(lo + j, len(c) - 1)]
+        live = (lo + j < hi) & ~np.isnan(x)
+        peak = np.where(live, np.maximum(peak, np.where(live, x, 0)), peak)
+        d = np.where(live, np.where(live, x, 0) / np.where(live, peak, 1) - 1, 0)
+        out += d * d
+    return out
+
+
 class Drawdowns:
     """Falls of positive values from their highest value so far in a span.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from barsmith.functions.dialect import DATE, KEY, Duck, Spark, ratio
 from barsmith.functions.histories import Groups, numbered, whole_groups
-from barsmith.functions.spans import Drawdowns, Series, prefix, significant_digits
+from barsmith.functions.spans import Drawdowns, Series, plain_falls, plain_line, plain_moments, prefix, significant_digits
 from barsmith.plans.staged import Stage, apply, significant
 
 #: Yearly risk-free rate, and days a year for returns and for volatility.
@@ -53,6 +53,8 @@ def start_of(period: str, end: str, dialect) -> str:
 #: Days of a window of each share that percentiles are taken at, of all, positive and negative returns.
 _SHARES, _TAILS = (0.5, 0.01, 0.05, 0.1, 0.9, 0.95, 0.99), (0.9, 0.95)
 _COLUMNS = ("r", "close", "high", "low", "vol")
+#: Share of a sum of squares below which what differences of prefix sums leave of it is too short of digits.
+WEAK = 1e-3
 
 
 def _calendar(period: str) -> bool:
@@ -135,7 +137,8 @@ class History:
         r, close, high, low, vol = (codes.columns[c] for c in _COLUMNS)
         self.unit = codes.scale(vol)
         self.r, self.high, self.low, self.vol = map(Series, (r, high, low, vol / self.unit))
-        self.plain, self.close = close, Series(close / codes.scale(close))
+        self.plain, self.close = close, Series(close / np.exp2(np.ceil(np.log2(codes.scale(close)))))  # a power of two costs no digit
+        self.size = np.full(len(codes), (self.r.values**2).mean() if len(self.r.values) else 0.0)
         self.pos, self.neg = Series(np.where(r > 0, r, np.nan)), Series(np.where(r < 0, -r, np.nan))
         self.poor = Series(np.where(r < DAILY_RATE, r, np.nan))
         self.under, self.over = Series(np.where(r < DAILY_RATE, r - DAILY_RATE, 0.0)), Series(np.where(r > 0, r, 0.0))
@@ -165,6 +168,20 @@ class History:
             out["highs"][i] = (c > np.concatenate([[-np.inf], peak[:-1]])).sum()
         return out
 
+    def _mend(self, out: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> None:
+        """Windows that are all but a line, or whose returns hardly differ, from their own rows: few in most histories."""
+        with np.errstate(all="ignore"):
+            weak = (out["n"] > 2) & ~(out["syy"] - out["sxy"] ** 2 / out["sxx"] > WEAK * out["syy"])
+            flat = (out["n"] > 1) & ~self.r.constant(lo, hi) & ~(out["m2"] > WEAK * self.size[lo])
+        if weak.any():
+            for k, v in zip(("sxx", "syy", "sxy"), plain_line(self.r.x, lo[weak], hi[weak])):
+                out[k][weak] = v
+        if flat.any():
+            made, n = plain_moments(self.r.x, lo[flat], hi[flat]), out["n"][flat]
+            for k, v in zip(("m2", "m3", "m4"), made):
+                out[k][flat] = v / n
+            out["sd"][flat] = np.sqrt(made[0] / (n - 1))
+
     def numbers(self, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
         """What ``aggregates`` says of each window."""
         r, rows = self.r, hi - lo
@@ -180,6 +197,11 @@ class History:
         out |= {"pos_sd": self.pos.deviation(lo, hi, 0), "pos_mu": self.pos.mean(lo, hi), "neg_sd": self.neg.deviation(lo, hi, 0), "neg_mu": -self.neg.mean(lo, hi)}
         out["sxx"], out["syy"], out["sxy"] = self.run.regression(lo, hi)
         out["pxx"], out["pyy"], out["pxy"] = self.log_close.regression(lo, hi)
+        self._mend(out, lo, hi)
+        if self.falls is not None:
+            near = (out["mdd"] < 0) & ~(out["dd2"] * self.close.minimum(lo, hi) ** 2 > WEAK)
+            if near.any():
+                out["dd2"][near] = plain_falls(self.plain, lo[near], hi[near]) / rows[near]
         n_low = self.poor.n(lo, hi)
         out["low3"] = np.where(n_low > 0, self.poor.central(lo, hi, 3)[1] / np.maximum(n_low, 1), np.nan)
         unit = self.unit[lo]

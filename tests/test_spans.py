@@ -3,6 +3,7 @@
 import datetime
 import math
 from collections.abc import Iterable
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -308,3 +309,34 @@ def test_tables_are_scanned_once(spark, sf, name, scans):
 
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert 1 <= plan.count("Scan parquet ") <= scans
+
+
+def test_digits_of_windows_that_are_all_but_a_line():
+    """Beside long histories of large returns a window keeps its digits: residual of its line, its small falls, its small moments."""
+    rng = np.random.default_rng(3)
+    n, days = 8000, 30
+    own = [None, 0.1, None, -0.6066145779171565, -0.19664667575340936, None, -0.393161345903227]
+    falls = [400.0, 400.0, None, 0.31, 0.30999, None, 0.309985]
+    calm = [None, 0.1, 0.7, 0.7000001, 0.7000003, 0.69999995, 0.7]
+    r = np.concatenate([rng.normal(0, 3, n), *(np.array(x, float) for x in (own, calm))])
+    close = np.concatenate([rng.uniform(0.01, 500, n), np.array(falls, float), np.full(7, 1.0)])
+    no = np.concatenate([np.arange(n) % days + 1, np.arange(7) + 1, np.arange(7) + 1])
+    day = [datetime.date(2024, 1, 1) + datetime.timedelta(int(k)) for k in no]
+    plain = pa.array(np.ones(len(r)))
+    t = pa.table({"ts_code": ["C"] * len(r), "trade_date": pa.array(day, pa.date32()), "_no": pa.array(no), "r": pa.array(r, mask=np.isnan(r)), "close": pa.array(close, mask=np.isnan(close)), "high": plain, "low": plain, "vol": plain})
+    lo, hi = np.array([n + 2, n + 9]), np.array([n + 7, n + 14])
+    x = period.History(period.Codes(t)).numbers(lo, hi)
+    total, points = Fraction(0), []
+    for i, v in enumerate(own[2:]):
+        if v is not None:
+            total += Fraction(v)
+            points.append((i, total))
+    mx, my = (sum(p[k] for p in points) / Fraction(len(points)) for k in (0, 1))
+    xx, yy, xy = (sum((a[i] - m[i]) * (a[j] - m[j]) for a in points for m in [(mx, my)]) for i, j in ((0, 0), (1, 1), (0, 1)))
+    assert math.isclose(x["syy"][0] - x["sxy"][0] ** 2 / x["sxx"][0], float(yy - xy * xy / xx), rel_tol=1e-6)
+    top = Fraction(0.31)
+    assert math.isclose(x["dd2"][0], float(((Fraction(0.30999) / top - 1) ** 2 + (Fraction(0.309985) / top - 1) ** 2) / 5), rel_tol=1e-9)
+    values = [Fraction(v) for v in calm[2:]]
+    mean = sum(values) / 5
+    for k in (2, 3, 4):
+        assert math.isclose(x[f"m{k}"][1], float(sum((v - mean) ** k for v in values) / 5), rel_tol=1e-7), k
