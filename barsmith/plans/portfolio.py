@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from barsmith.functions.dialect import DATE, KEY
 
 DAYS = 252
-#: Codes of one tile of the covariance matrix, on average.
-TILE = 128
+#: Kinds of codes (a quarter of the codes, where these are paired) of one tile, on average, and the most codes of one.
+TILE, CROWD = 128, 1 << 16
+#: Codes of a block of covariances; codes and draws of a step over kinds.
+BLOCK, CODES, DRAWS = 1024, 8192, 32
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -39,37 +41,98 @@ def covariance_tile(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.nd
     return np.where(n > 1, (x.T @ y - mean) / np.maximum(n - 1, 1), 0.0)
 
 
+def _by_codes(left: tuple, right: tuple, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gain of the left codes, risk of the pair) of each draw: the covariances of all codes, in blocks."""
+    gain, risk = np.zeros(draws), np.zeros(draws)
+    for i in range(0, len(left[0]), BLOCK):
+        codes, x, m = (v[i : i + BLOCK] for v in left)
+        w = draw_weights(codes, np.arange(draws), seed)
+        gain += w @ (x.sum(axis=1) / m.sum(axis=1))
+        for j in range(0, len(right[0]), BLOCK):
+            others, y, k = (v[j : j + BLOCK] for v in right)
+            v = w if left is right and i == j else draw_weights(others, np.arange(draws), seed)
+            risk += ((w @ covariance_tile((x.T, m.T), (y.T, k.T))) * v).sum(axis=1)
+    return gain, risk
+
+
+def _kinds(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, days) of codes that know the same days: rows of m in that order, where each kind starts, its days."""
+    packed = np.ascontiguousarray(np.packbits(m.astype(bool), axis=1))
+    _, kind = np.unique(packed.view(f"V{packed.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(kind[order]) > 0]))
+    return order, starts, m[order[starts]]
+
+
+def _by_kinds(left: tuple, right: tuple, kinds: list, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from sums over codes that know the same days: two such codes have their common days in common with all others
+    alike, so of a kind only its weighted returns of each day count."""
+    (order_a, starts_a, m), (order_b, starts_b, k) = kinds
+    n = m @ k.T
+    one, two = np.where(n > 1, 1 / np.maximum(n - 1, 1), 0), np.where(n > 1, 1 / np.maximum(n * (n - 1), 1), 0)
+    gain, risk, same = np.zeros(draws), np.zeros(draws), left is right
+    mean = left[1].sum(axis=1) / left[2].sum(axis=1)
+
+    def summed(side: tuple, order: np.ndarray, starts: np.ndarray, number: np.ndarray, gains: np.ndarray | None) -> np.ndarray:
+        out, codes, x, ends = np.zeros((len(starts), len(number), side[1].shape[1])), side[0][order], side[1][order], [*starts[1:].tolist(), len(order)]
+        for p, (a, b) in enumerate(zip(starts.tolist(), ends)):
+            for i in range(a, b, CODES):
+                at = slice(i, min(i + CODES, b))
+                w = draw_weights(codes[at], number, seed)
+                out[p] += w @ x[at]
+                if gains is not None:
+                    gains += w @ mean[order[at]]
+        return out
+
+    for d in range(0, draws, DRAWS):
+        number = np.arange(d, min(d + DRAWS, draws))
+        x = summed(left, order_a, starts_a, number, gain[d : d + DRAWS])
+        y = x if same else summed(right, order_b, starts_b, number, None)
+        products = (one.T @ x.reshape(len(x), -1)).reshape(y.shape) * y
+        means = (x @ k.T) * two[:, None, :] * (y @ m.T).transpose(2, 1, 0)
+        risk[d : d + DRAWS] = products.sum(axis=(0, 2)) - means.sum(axis=(0, 2))
+    return gain, risk
+
+
 def search(panel: DataFrame, draws: int = 10_000, seed: int = 42, tile: int = TILE) -> DataFrame:
     """(draw, gain, risk): yearly mean and variance of so many random portfolios, their weights up to a factor.
 
-    The covariance matrix exists in tiles only: each pair of tiles of codes is one task, which has the two tiles' returns,
-    works out their covariances over common days and adds what they give each draw.  A return goes to as many tasks as
-    there are tiles, and one row a draw comes out of each."""
-    rows = panel.where("log_return IS NOT NULL").select(KEY, DATE, "log_return")
-    tiles = max(1, -(-rows.agg(F.count_distinct(KEY)).first()[0] // tile))
-    rows = rows.withColumn("hash", F.xxhash64(KEY)).withColumn("i", F.pmod("hash", F.lit(tiles)))
+    A code is one row with its days and returns.  Codes that know the same days are of one kind, and covariances over common days
+    depend on a code's kind and returns alone, so a draw's risk is a sum over pairs of kinds of its weighted returns by day: codes
+    are gone through, not paired.  Tiles of kinds are dealt in pairs, each pair one task, and one row a draw comes out of it.
+    Where kinds are nearly as many as codes, pairs of codes are fewer steps, and tiles hold codes (their covariances, in blocks)."""
+    known = F.sort_array(F.collect_list(F.struct(F.unix_date(DATE).alias("day"), F.col("log_return").alias("x"))))
+    rows = panel.where("log_return IS NOT NULL").groupBy(KEY).agg(known.alias("known")).select(F.xxhash64(KEY).alias("hash"), F.col("known.day").alias("days"), F.col("known.x").alias("x"))
+    sizes = rows.groupBy("days").agg(F.count("*").alias("n"))
+    kinds, codes, most, longest = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max(F.size("days")), F.lit(0))).first()
+    salts = -(-most // CROWD) or 1  # parts of the largest kind
+    paired = codes * codes <= 3 * longest * (kinds * salts) ** 2
+    tiles = max(1, -(-codes // (4 * tile)) if paired else max(-(-kinds * salts // tile), -(-codes // CROWD)))
+    at = F.col("hash") if paired else F.xxhash64("days", F.pmod("hash", F.lit(salts)))
+    rows = rows.withColumn("i", F.pmod(at, F.lit(tiles)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    rows = rows.select("hash", DATE, "log_return", "i", F.least("i", "other").alias("a"), F.greatest("i", "other").alias("b"))
+    rows = rows.select("hash", "days", "x", "i", F.least("i", "other").alias("a"), F.greatest("i", "other").alias("b"))
 
     def each(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
         a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
-        days = t.column(DATE).combine_chunks().dictionary_encode()
-        i, day, value, code = t.column("i").to_numpy(), days.indices.to_numpy(), t.column("log_return").to_numpy(), t.column("hash").to_numpy()
-        parts = []
-        for tile_ in (a, b):
-            own = i == tile_
-            names, at = np.unique(code[own], return_inverse=True)
-            x, m = np.zeros((len(days.dictionary), len(names))), np.zeros((len(days.dictionary), len(names)))
-            x[day[own], at], m[day[own], at] = value[own], 1
-            parts.append((names.view(np.uint64), x, m))
-        (left, x, m), (right, y, k) = parts
-        if not len(left) or not len(right):  # a tile without codes
+        i, code = t.column("i").to_numpy(), t.column("hash").to_numpy().view(np.uint64)
+        held = t.column("days").combine_chunks()
+        row = np.repeat(np.arange(len(t)), np.diff(held.offsets.to_numpy()))
+        days, day = np.unique(held.flatten().to_numpy(), return_inverse=True)
+        x, m = np.zeros((len(t), len(days))), np.zeros((len(t), len(days)))
+        x[row, day], m[row, day] = t.column("x").combine_chunks().flatten().to_numpy(), 1
+        left = tuple(v[i == a] for v in (code, x, m))
+        right = left if a == b else tuple(v[i == b] for v in (code, x, m))
+        if not len(left[0]) or not len(right[0]):  # a tile without codes
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.float64())], names=["draw", "gain", "risk"])
-        cov, number = covariance_tile((x, m), (y, k)), np.arange(draws)
-        w, v = draw_weights(left, number, seed), draw_weights(right, number, seed)
-        risk = ((w @ cov) * v).sum(axis=1) * (1 if a == b else 2)
-        gain = w @ (x.sum(axis=0) / m.sum(axis=0)) if a == b else np.zeros(draws)
-        return pa.table([pa.array(number), pa.array(gain), pa.array(risk)], names=["draw", "gain", "risk"])
+        kinds = [_kinds(left[2])]
+        kinds.append(kinds[0] if a == b else _kinds(right[2]))
+        if len(left[0]) * len(right[0]) <= 3 * len(days) * len(kinds[0][1]) * len(kinds[1][1]):
+            gain, risk = _by_codes(left, right, draws, seed)
+        else:
+            gain, risk = _by_kinds(left, right, kinds, draws, seed)
+        return pa.table([pa.array(np.arange(draws)), pa.array(gain * (a == b)), pa.array(risk * (1 if a == b else 2))], names=["draw", "gain", "risk"])
 
     made = rows.groupBy("a", "b").applyInArrow(each, "draw long, gain double, risk double")
     return made.groupBy("draw").agg((F.sum("gain") * DAYS).alias("gain"), (F.sum("risk") * DAYS).alias("risk"))

@@ -307,3 +307,34 @@ def test_replay_of_a_price_that_falls_to_nothing(spark):
         new = mean + (x - mean) / k
         m2, mean = m2 + (x - new) * (x - mean), new
     assert features.episode_stats(done).first()["volatility"] == math.sqrt(m2 / (len(r) - 1)) * math.sqrt(252)
+
+
+def test_search_by_kinds_of_codes():
+    """Codes that know the same days add up by day: the same risks as from all covariances, in steps that grow with the codes."""
+    rng = np.random.default_rng(5)
+    kinds = (rng.random((6, 12)) < 0.7) | (np.arange(12) < 1)
+    m = np.concatenate([kinds[rng.integers(0, 6, 500)], np.eye(12)[:2] > 0]).astype(float)  # two codes with one day each
+    x = rng.normal(size=m.shape) * m
+    codes = rng.integers(0, 1 << 63, len(m)).astype(np.uint64)
+    left, right = (tuple(v[part] for v in (codes, x, m)) for part in (slice(0, 300), slice(300, None)))
+    for a, b in ((left, right), (left, left), (right, right)):
+        held = [portfolio._kinds(a[2]), portfolio._kinds(b[2])]
+        assert len(held[0][2]) <= 6 + 2
+        for got, want in zip(portfolio._by_kinds(a, b, held, 50, 7), portfolio._by_codes(a, b, 50, 7)):
+            np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_search_pairs_kinds_not_codes(spark, monkeypatch):
+    """600 codes of three kinds are one tile, not a task for each pair of five tiles of codes."""
+    days = [dt.date(2024, 1, 1 + i) for i in range(8)]
+    rows = [(f"C{i}", d, math.sin(i * 7 + j)) for i in range(600) for j, d in enumerate(days) if j != i % 3]
+    asked, sequence = [], F.sequence
+    monkeypatch.setattr(portfolio.F, "sequence", lambda a, b: asked.append(str(b)) or sequence(a, b))
+    found = portfolio.search(spark.createDataFrame(rows, "ts_code string, trade_date date, log_return double"), 20, 3)
+    assert asked == ["Column<'0'>"]  # the last tile
+    wide = pd.DataFrame(rows, columns=["c", "d", "r"]).pivot(index="d", columns="c", values="r")
+    hashes = {r["c"]: r["h"] for r in spark.createDataFrame([(c,) for c in wide], "c string").selectExpr("c", "xxhash64(c) AS h").collect()}
+    w = portfolio.draw_weights(np.array([hashes[c] for c in wide], np.int64).view(np.uint64), np.arange(20), 3)
+    got = found.orderBy("draw").toPandas()
+    np.testing.assert_allclose(got["risk"], np.einsum("di,ij,dj->d", w, wide.cov(min_periods=2).fillna(0).to_numpy(), w) * 252, rtol=1e-9)
+    np.testing.assert_allclose(got["gain"], w @ wide.mean().to_numpy() * 252, rtol=1e-9)
