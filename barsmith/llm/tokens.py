@@ -8,7 +8,7 @@ not met goes through the library once, and NumPy gathers the ids.
 
 from __future__ import annotations
 
-import re
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +21,9 @@ from .words import claim
 CACHE_CHUNKS, CHUNK_CHARS = 120_000, 64
 #: Characters of text that are gathered at once.
 SLICE_CHARS = 1 << 20
-_TAIL = re.compile(r"([.,!?;:]+)$")
+#: Words that share one call of the library.
+JOINED = 200
+_TAIL = ".,!?;:"
 
 
 def default_path() -> str:
@@ -45,56 +47,81 @@ class ChunkEncoder:
         n = self.tokenizer.get_vocab_size()
         last = [self.tokenizer.id_to_token(i) or "" for i in range(n)]
         self.ends_word = np.array([t.endswith("</w>") for t in last])
+        gc.freeze()  # what is loaded by now stays, and is not gone through for cycles again
 
     def _learn(self, parts: list[str]) -> None:
         """Encode new parts.  Letters alone make one word, and a word's last id says that it is
         the last, so many such parts share one call; the others are encoded by themselves."""
         cache = self.cache
         plain = [p for p in parts if p.isalpha()]
-        for lo in range(0, len(plain), 2000):
-            some = plain[lo : lo + 2000]
+        for lo in range(0, len(plain), JOINED):
+            some = plain[lo : lo + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(some):
-                start = 0
-                for word, end in zip(some, ends.tolist()):
-                    cache[word] = ids[start:end].tobytes()
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(some, (4 * ends).tolist()):
+                    cache[word] = raw[start:end]
                     start = end
         rest = [p for p in parts if p not in cache]
         for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             cache[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def ids(self, chunks: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each chunk."""
+        """Little-endian unsigned 32-bit ids of each chunk.
+
+        The collector of cycles stands still meanwhile: there are none here, and it would go through all chunks again and again."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids(chunks)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_CHUNKS:
             self.old, self.cache = self.cache, {"": b""}
         cache, old = self.cache, self.old
         out = list(map(cache.get, chunks))
-        pairs = []
+        at: list[int] = []
+        heads: list[str] = []
+        tails: list[str] = []
         new: dict[str, None] = {}
-        for i, known in enumerate(out):
-            if known is None:
-                c = chunks[i]
-                if (known := old.get(c)) is not None:
-                    out[i] = cache[c] = known
-                    continue
-                head, tail = c, ""
-                if c.isascii():
-                    head = c.lower()
-                    if not head.isalpha() and (m := _TAIL.search(head)) and head[: m.start()].isalnum():
-                        head, tail = head[: m.start()], m[1]
-                for part in (head, tail):
-                    if part not in cache:
-                        if (known := old.get(part)) is not None:
-                            cache[part] = known
-                        else:
-                            new[part] = None
-                pairs.append((i, head, tail))
+        for i in [i for i, known in enumerate(out) if known is None]:
+            c = chunks[i]
+            if (known := old.get(c)) is not None:
+                out[i] = cache[c] = known
+                continue
+            head, tail = c, ""
+            if c.isascii():
+                head = c.lower()
+                if not head.isalpha():
+                    bare = head.rstrip(_TAIL)
+                    if len(bare) < len(head) and bare.isalnum():
+                        head, tail = bare, head[len(bare) :]
+                        if tail not in cache:
+                            if (known := old.get(tail)) is not None:
+                                cache[tail] = known
+                            else:
+                                new[tail] = None
+            if head not in cache:
+                if (known := old.get(head)) is not None:
+                    cache[head] = known
+                else:
+                    new[head] = None
+            at.append(i)
+            heads.append(head)
+            tails.append(tail)
         if new:
             self._learn(list(new))
-        for i, head, tail in pairs:
-            out[i] = cache[chunks[i]] = cache[head] + cache[tail]
-        for i, head, _ in pairs:
+        for i, head, tail in zip(at, heads, tails):
+            c = chunks[i]
+            known = cache[head] + cache[tail] if tail else cache[head]
+            out[i] = known
+            if c is not head:
+                cache[c] = known
+        for i, head in zip(at, heads):
             if len(chunks[i]) > CHUNK_CHARS:
                 cache.pop(chunks[i], None)
                 cache.pop(head, None)

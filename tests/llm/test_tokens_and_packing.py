@@ -197,3 +197,23 @@ def test_query_3(spark, sf, tokenizer):
         assert [(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in own] == [(k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
     assert not pieces
     assert n <= -(-sum(r["length"] for r in rows) // 4096) * 1.05 + 1
+
+
+def test_no_collection_while_chunks_are_encoded():
+    """Ids of many new chunks come without a pass of the collector of cycles, and are the library's own."""
+    import gc
+
+    from barsmith.llm import tokens as t
+
+    enc, runs = t.ChunkEncoder(t.default_path()), []
+    chunks = [f"{'Ab' if i % 3 else 'ab'}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'.,!'[: i % 4]}" for i in range(3000)]
+    watch = lambda phase, info: runs.append(phase)
+    gc.callbacks.append(watch)
+    try:
+        got = enc.ids(chunks)
+        during = len(runs)
+    finally:
+        gc.callbacks.remove(watch)
+    assert during == 0 and gc.isenabled()
+    want = enc.tokenizer.encode_batch(chunks[:200], add_special_tokens=False)
+    assert [list(memoryview(g).cast("I")) for g in got[:200]] == [w.ids for w in want]
