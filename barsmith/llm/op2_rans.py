@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import release, small_batches, stage, table
+from .words import claim
 
 #: log2 of the sum of all frequencies in a table.
 SCALE = 20
@@ -185,6 +186,7 @@ def id_counts(rows: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each id occurs in all documents, end ids included."""
 
     def count(batches):
+        claim("codes", coder.cache_clear)  # the words that tokenising remembered go
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             part = np.bincount(np.concatenate([np.empty(0, kind), *_open(batch.column(0), kind)]), minlength=len(total))
@@ -220,6 +222,7 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, partiti
     def code(batches):
         from pyspark import TaskContext
 
+        claim("codes", coder.cache_clear)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         doc_ids: list = []
@@ -268,6 +271,7 @@ def read_ids(written: DataFrame, freq: bytes) -> DataFrame:
     rows = rows.select("shard", "first_id", F.when(first, F.col("doc_ids")).alias("doc_ids"), F.when(first, F.col("lengths")).alias("lengths"), "payload")
 
     def each(batches):
+        claim("codes", coder.cache_clear)
         c = coder(freq)
         ends = lens = keys = np.empty(0, np.int64)
         held, seen, done, shard, base = np.empty(0, np.uint32), 0, 0, 0, 0  # seen: ids decoded, done: documents given
@@ -299,6 +303,7 @@ def read_parts(written: DataFrame, freq: bytes) -> DataFrame:
     rows = written.select("shard", "container", F.posexplode("parts").alias("part", "payload"))
 
     def each(batches):
+        claim("codes", coder.cache_clear)
         c = coder(freq)
         for batch in batches:
             for i in range(batch.num_rows):
