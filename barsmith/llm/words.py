@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import tidy
+
 #: Bytes of text that are looked at together; a longer text stands alone.
 SLICE_BYTES = 1 << 20
 
@@ -23,6 +25,7 @@ def claim(owner: str, drop: Callable[[], None]) -> None:
     if _holder[0] != owner:
         if _holder[1] is not None:
             _holder[1]()
+            tidy()
         _holder[:] = [owner, drop]
 
 

@@ -217,3 +217,40 @@ def test_no_collection_while_chunks_are_encoded():
     assert during == 0 and gc.isenabled()
     want = enc.tokenizer.encode_batch(chunks[:200], add_special_tokens=False)
     assert [list(memoryview(g).cast("I")) for g in got[:200]] == [w.ids for w in want]
+
+
+def test_capitals_and_marks_as_the_library(tokenizer):
+    """Capitals of special tokens and below marks that only small letters join; letters of all kinds before the marks of clauses."""
+    import pyarrow as pa
+
+    texts = ["<|ENDOFTEXT|> a<|EndOfText|>b <|endoftext|>. A", "H̱. T̈ W̊, Y̊ J̌: İ! Á", "İ. İ! ŉ. Dž, ǅ; ª. ß: ẞ? ΑΣ. K. Å, é.é ×. ÷, क़.", "'S. it'S, É'Ll: 1.2.3,4 É.́a ½. Ⅷ, ۳."]
+    texts += [" ".join(f"{c}. {c}A, A{c}! H{c}.{c}" for c in map(chr, range(lo, lo + 64))) for lo in range(0x80, 0x600, 64)]
+    got = []
+    for _, ids, bounds in tokens.encode_texts(pa.array([*texts, None]), tokens.default_path(), 2):
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [plain(tokenizer, t, 2).tolist() for t in [*texts, None]]
+
+
+def test_words_meet_the_library_once(monkeypatch):
+    """Accented words reach the library in joint calls and once each, whatever mark follows them."""
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.given = inner, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.given += texts
+            return self.inner.encode_batch_fast(texts, **options)
+
+    enc = tokens.encoder(tokens.default_path())
+    seen = Counted(enc.tokenizer)
+    monkeypatch.setattr(enc, "tokenizer", seen)
+    words = [f"éqx{chr(97 + i % 26)}{chr(97 + i // 26)}ñ" for i in range(400)]
+    texts = [f"{w} {w}, {w}. {w}! {w};" for w in words]
+    got = []
+    for _, ids, bounds in tokens.encode_texts(pa.array(texts), tokens.default_path(), 2):
+        got += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert got == [plain(seen.inner, t, 2).tolist() for t in texts]
+    parts = [p for t in seen.given for p in t.split(" ")]
+    assert len(seen.given) <= 20 and sum(w in parts for w in words) == 400 and len(parts) <= 420
