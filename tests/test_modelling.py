@@ -338,3 +338,41 @@ def test_search_pairs_kinds_not_codes(spark, monkeypatch):
     got = found.orderBy("draw").toPandas()
     np.testing.assert_allclose(got["risk"], np.einsum("di,ij,dj->d", w, wide.cov(min_periods=2).fillna(0).to_numpy(), w) * 252, rtol=1e-9)
     np.testing.assert_allclose(got["gain"], w @ wide.mean().to_numpy() * 252, rtol=1e-9)
+
+
+def test_sets_of_unknown_days_equal_pairs(monkeypatch):
+    """However few codes are paired, a set of unknown days and those that go on from it give the risk of all covariances."""
+    rng = np.random.default_rng(3)
+    q = rng.random((300, 14)) < 0.15
+    q = q[q.sum(axis=1) <= 6]
+    q = q[np.argsort(q.sum(axis=1), kind="stable")]
+    x = rng.normal(size=q.shape) * ~q
+    codes = rng.integers(0, 1 << 63, len(q)).astype(np.uint64)
+    want = portfolio._by_codes((codes, x, ~q * 1.0), (codes, x, ~q * 1.0), 30, 7)[1]
+    w = portfolio._code_weights(codes, np.arange(30), 7)
+    assert (w == portfolio.draw_weights(codes, np.arange(30), 7).T).all()
+    for few in (1000, 20, 0):
+        monkeypatch.setattr(portfolio, "PAIRED", few)
+        np.testing.assert_allclose(portfolio._below(w, x, q, q.sum(axis=1), 0, -1), want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("odd", [0, 2])
+def test_search_does_not_pair_codes_with_days_of_their_own(spark, monkeypatch, odd):
+    """1200 codes that nearly all know days of their own go by sets of unknown days; only odd ones with few days meet all others."""
+    rng = np.random.default_rng(8)
+    known = rng.random((1200, 14)) > 0.15
+    known[known.sum(axis=1) < 8] = True
+    known[:odd] = np.arange(14) < 1 + np.arange(odd)[:, None]  # one day, two days
+    rows = [(f"C{i}", dt.date(2024, 1, 1 + int(j)), math.sin(i * 14 + j)) for i, j in zip(*np.nonzero(known))]
+    asked, sequence = [], F.sequence
+    monkeypatch.setattr(portfolio.F, "sequence", lambda a, b: asked.append(b) or sequence(a, b))
+    for name, value in {"FIXED": 0, "STEPS": 0, "TASK": 100, "PART": 150}.items():
+        monkeypatch.setattr(portfolio, name, value, raising=False)
+    found = portfolio.search(spark.createDataFrame(rows, "ts_code string, trade_date date, log_return double"), 20, 3)
+    assert len(asked) == (odd > 0) and all("CASE" in str(b) for b in asked)  # before: tiles of all codes, in pairs
+    wide = pd.DataFrame(rows, columns=["c", "d", "r"]).pivot(index="d", columns="c", values="r")
+    hashes = {r["c"]: r["h"] for r in spark.createDataFrame([(c,) for c in wide], "c string").selectExpr("c", "xxhash64(c) AS h").collect()}
+    w = portfolio.draw_weights(np.array([hashes[c] for c in wide], np.int64).view(np.uint64), np.arange(20), 3)
+    got = found.orderBy("draw").toPandas()
+    np.testing.assert_allclose(got["risk"], np.einsum("di,ij,dj->d", w, wide.cov(min_periods=2).fillna(0).to_numpy(), w, optimize=True) * 252, rtol=1e-9)
+    np.testing.assert_allclose(got["gain"], w @ wide.mean().to_numpy() * 252, rtol=1e-9)
