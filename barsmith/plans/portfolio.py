@@ -24,8 +24,10 @@ DAYS = 252
 TILE, CROWD = 128, 1 << 16
 #: Codes of a block of covariances; codes and draws of a step over kinds.
 BLOCK, CODES, DRAWS = 1024, 8192, 32
-#: Most unknown days of a code, and most days of all, that are worked out by sets of unknown days; steps of one of these and of none.
-GAPS, CALENDAR, STEPS, FIXED = 12, 64, 4, 1 << 24
+#: Most unknown days of a code, and most days of all, that are worked out by sets of unknown days.
+GAPS, CALENDAR = 12, 64
+#: What a step of these costs, and all of them at least, and what a code in a tile of kinds costs, a pair of codes being one (measured).
+STEPS, FIXED, DRAWN = 8, 1 << 24, 500
 #: Codes of a set of unknown days that are paired, that are one task with the sets above it, and that are one task; draws of a step.
 PAIRED, TASK, PART, STEP = 1024, 8192, 1 << 17, 128
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
@@ -213,7 +215,7 @@ def _by_gaps(rows: DataFrame, calendar: list[int], limit: int, draws: int, seed:
     spark, all_days = rows.sparkSession, F.lit(calendar).cast("array<int>")
     of, set_of = "draw long, gain double, risk double", "array<int>"
     held = rows.select("hash", "days", "x", F.array_except(all_days, "days").alias("gaps"), F.array().cast(set_of).alias("of"), F.lit(-(1 << 31)).alias("last"))
-    dealt, groups = [], 0
+    dealt, groups, split = [], 0, False
     while True:
         found = held.groupBy("of").agg(F.count("*").alias("n"))
         sets, large = found.agg(F.count("*"), F.collect_list(F.when(F.col("n") > TASK, F.struct("of", "n")))).first()
@@ -224,6 +226,7 @@ def _by_gaps(rows: DataFrame, calendar: list[int], limit: int, draws: int, seed:
             break
         held = held.join(big, "of")
         groups += sum(-(-r["n"] // PART) - 1 for r in large)
+        split = split or any(r["n"] > PART for r in large)
         dealt.append(held.select("hash", "days", "x", "of", F.pmod(F.xxhash64("hash"), F.col("parts")).cast("int").alias("part"), "parts", F.lit(False).alias("above")))
         held = held.select("hash", "days", "x", "gaps", "of", F.explode(F.filter("gaps", lambda d: d > F.col("last"))).alias("last"))
         held = held.withColumn("of", F.concat("of", F.array("last")))
@@ -271,8 +274,10 @@ def _by_gaps(rows: DataFrame, calendar: list[int], limit: int, draws: int, seed:
 
     # the number of tasks is given: rows are few for the work that they make
     out = made.where("parts = 1").repartition(min(max(groups, 1), 1024), "of").groupBy("of").applyInArrow(whole, of)
-    split = made.where("parts > 1").repartition(min(max(groups, 1), 256), "of", "part").groupBy("of", "part").applyInArrow(part, f"of {set_of}, first int, z binary, gain binary")
-    return out.union(split.groupBy("of", "first").applyInArrow(joined, of))
+    if not split:
+        return out
+    parted = made.where("parts > 1").repartition(min(max(groups, 1), 256), "of", "part").groupBy("of", "part").applyInArrow(part, f"of {set_of}, first int, z binary, gain binary")
+    return out.union(parted.groupBy("of", "first").applyInArrow(joined, of))
 
 
 def _gap_limit(rows: DataFrame, calendar: list[int], codes: int, pairs: int) -> tuple[int, int]:
@@ -314,8 +319,9 @@ def _search(rows: DataFrame, draws: int, seed: int, tile: int) -> DataFrame:
     kinds, codes, most, longest = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max(F.size("days")), F.lit(0))).first()
     salts = -(-most // CROWD) or 1  # parts of the largest kind
     paired = codes * codes <= 3 * longest * (kinds * salts) ** 2
+    at, tiles = _tiles(codes, kinds, salts, paired, tile)
     limit, left, made = -1, codes, None
-    pairs = min(codes * codes, 3 * longest * (kinds * salts) ** 2)
+    pairs = codes * codes if paired else 3 * longest * (kinds * salts) ** 2 + DRAWN * codes * (tiles + 1)
     if longest <= CALENDAR and pairs > FIXED:
         calendar = sorted(r[0] for r in sizes.select(F.explode("days")).distinct().limit(CALENDAR + 1).collect())
         limit, left = _gap_limit(rows, calendar, codes, pairs)
@@ -323,7 +329,7 @@ def _search(rows: DataFrame, draws: int, seed: int, tile: int) -> DataFrame:
         few = F.size(F.array_distinct("days")) >= len(calendar) - limit
         made = _by_gaps(rows.where(few), calendar, limit, draws, seed)
     if left:
-        tiled = _by_tiles(rows, draws, seed, *_tiles(codes, kinds, salts, paired, tile)) if limit < 0 else _by_tiles(rows, draws, seed, F.col("hash"), -(-left // (4 * tile)), few, -(-codes // CODES))
+        tiled = _by_tiles(rows, draws, seed, at, tiles) if limit < 0 else _by_tiles(rows, draws, seed, F.col("hash"), -(-left // (4 * tile)), few, -(-codes // CODES))
         made = tiled if made is None else made.union(tiled)
     if made is None:
         made = rows.sparkSession.createDataFrame([], "draw long, gain double, risk double")
@@ -367,7 +373,8 @@ def _by_tiles(rows: DataFrame, draws: int, seed: int, at: Column, tiles: int, do
             gain, risk = _by_kinds(left, right, kinds, draws, seed)
         return _table(np.arange(draws), gain * (a == b), risk * (1 if a == b else 2))
 
-    return rows.groupBy("a", "b").applyInArrow(each, "draw long, gain double, risk double")
+    # the number of tasks is given: rows are few for the work that they make
+    return rows.repartition(min(4 * (tiles * (tiles + 1) // 2 + tiles * others), 1024), "a", "b").groupBy("a", "b").applyInArrow(each, "draw long, gain double, risk double")
 
 
 def max_sharpe(panel: DataFrame, draws: int = 10_000, seed: int = 42, tile: int = TILE) -> DataFrame:
